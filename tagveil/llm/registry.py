@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import ogg
+from tagveil.llm import ogg, token_counts
 from tagveil.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
+    "op4_viterbi_counts": op4_viterbi_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
