@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import ogg, packing, token_counts
+from tagveil.llm import langid, ogg, packing, token_counts
 from tagveil.llm.common import table
 
 
@@ -22,10 +22,15 @@ def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
     "op5_sum_of_squares": op5_sum_of_squares,
+    "op9_naive_bayes_langid": op9_naive_bayes_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
