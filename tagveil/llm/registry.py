@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import langid, ogg, packing, token_counts
+from tagveil.llm import langid, ogg, packing, quality, token_counts
 from tagveil.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op9_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
     "op5_sum_of_squares": op5_sum_of_squares,
     "op9_naive_bayes_langid": op9_naive_bayes_langid,
+    "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
