@@ -33,16 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: compute ``df`` once into the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut`` for wide rows: a compressed Parquet table under the shared folder, read back.
+    """Cut the lineage: a compressed Parquet table under the shared folder, read back.
 
-    The table lives as long as the folder; Spark's cleaner does not drop it.
+    Unlike a checkpoint it has true size estimates, which plans of many rounds need. The
+    table lives as long as the folder; Spark's cleaner does not drop it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import cut, map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import map_arrow, stored, sub_batches, texts_of
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 10_000
@@ -216,8 +216,8 @@ def _rate(evidence: Column, base: float) -> Column:
 def group_rates(judged: DataFrame, model: Classifier, site: Column, path: Column) -> DataFrame:
     """(site, path, one shrunk rate per target and level): partial sums first, so a hot site is no matter."""
     sums = [F.sum(_rate(F.col("_evidence")[i], model.base[i])).alias(f"s_{t}") for i, t in enumerate(TARGETS)]
-    paths = cut(judged.groupBy(site.alias("_site"), path.alias("_path")).agg(F.count("*").cast("double").alias("n"), *sums))
-    sites = cut(paths.groupBy("_site").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)))
+    paths = stored(judged.groupBy(site.alias("_site"), path.alias("_path")).agg(F.count("*").cast("double").alias("n"), *sums))
+    sites = stored(paths.groupBy("_site").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)))
     total = sites.agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)).first()
     rate = {t: ((total[f"s_{t}"] or 0) + 0.5) / ((total.n or 0) + 1) for t in TARGETS}
 
@@ -234,7 +234,7 @@ def group_rates(judged: DataFrame, model: Classifier, site: Column, path: Column
     for t in TARGETS:
         k = weight(sites, t, F.lit(rate[t]))
         sites = sites.withColumn(f"site_{t}", (F.col(f"s_{t}") + k * rate[t]) / (F.col("n") + k))
-    joined = cut(paths.join(sites.select(F.col("_site").alias("_of"), *(f"site_{t}" for t in TARGETS)), F.col("_site").eqNullSafe(F.col("_of"))).drop("_of"))
+    joined = stored(paths.join(sites.select(F.col("_site").alias("_of"), *(f"site_{t}" for t in TARGETS)), F.col("_site").eqNullSafe(F.col("_of"))).drop("_of"))
     for t in TARGETS:
         k = weight(joined, t, F.col(f"site_{t}"))
         joined = joined.withColumn(f"path_{t}", (F.col(f"s_{t}") + k * F.col(f"site_{t}")) / (F.col("n") + k))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import langid, ogg, packing, quality, token_counts
+from tagveil.llm import langid, ogg, packing, quality, simhash, token_counts
 from tagveil.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
     "op5_sum_of_squares": op5_sum_of_squares,
     "op9_naive_bayes_langid": op9_naive_bayes_langid,
     "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
+    "op8_golay_simhash": op8_golay_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
