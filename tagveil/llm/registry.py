@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import langid, ogg, packing, quality, simhash, token_counts
+from tagveil.llm import fuzzy_digest, langid, ogg, packing, quality, simhash, token_counts
 from tagveil.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_digest.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_naive_bayes_langid": op9_naive_bayes_langid,
     "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
     "op8_golay_simhash": op8_golay_simhash,
+    "op3_improbable_features": op3_improbable_features,
 }
 
 ORACLE_SQL: dict[str, str] = {}
