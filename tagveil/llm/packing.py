@@ -9,8 +9,9 @@ needed, into the gaps of the fullest, so at most one window of a group is not fu
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,35 +26,92 @@ DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW, END_ID = 2048, 1
 #: Tokens that one packing group holds on average, and windows of a document's body in one row.
 GROUP_TOKENS, ROW_WINDOWS = 1_000_000, 32
-CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+CACHE_WORDS, CACHED_LENGTH = 1_000_000, 64
+#: A control character that the tokenizer keeps as one id which nothing else gives.
+_FENCE = b"\x01"
+#: Latin letters up to U+024F in UTF-8, and marks that are no letter, digit or apostrophe.
+_LATIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)")
 
 
 class Encoder:
-    """Ids as unsigned 32-bit bytes, by remembering blank-separated words.
+    """Ids as little-endian bytes, by remembering blank-separated words.
 
-    The tokenizer folds white space and never joins across it, so a text's ids are those of
-    its blank-separated parts one after the other (tested against whole texts).
+    The tokenizer folds white space and case and never joins across white space, so a text's
+    ids are those of its blank-separated parts one after the other (tested against whole
+    texts). New words are encoded in one string, fenced by a control character.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.model, self.memory = Tokenizer.from_file(file), {}
+        self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        (self.fence,) = self._ids(_FENCE)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.model.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        (found,) = self.model.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found.ids, self.kind)
+
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word.
+
+        Latin letters are one piece and so end with the first id that ends a word; marks
+        behind them are a piece of their own. Other words are fenced, and those that could
+        mean more than themselves in a longer string go alone.
+        """
+        out: dict[bytes, bytes] = {}
+        letters: set[bytes] = set()
+        fenced: set[bytes] = set()
+        both: list[tuple[bytes, bytes, bytes]] = []
+        memory = self.memory
+        for word in words:
+            found = _LATIN.fullmatch(word)
+            if found is None:
+                fenced.add(word)
+            elif tail := found[2]:
+                both.append((word, found[1], tail))
+                letters.add(found[1])
+                fenced.add(tail)
+            else:
+                letters.add(word)
+        known = {w: memory[w] for w in letters | fenced if w in memory}
+        for word in [w for w in fenced if _FENCE in w or b"<|" in w]:
+            out[word] = self._ids(word).tobytes()
+        self._joined(sorted(letters - known.keys()), b" ", lambda ids: self.ends[ids], 1, out)
+        self._joined(sorted(fenced - known.keys() - out.keys()), b" " + _FENCE + b" ", lambda ids: ids == self.fence, 0, out)
+        known |= out
+        for word, head, tail in both:
+            out[word] = known[head] + known[tail]
+        return out
+
+    def _joined(self, words: list[bytes], between: bytes, ends: Callable[[np.ndarray], np.ndarray], own: int, out: dict[bytes, bytes]) -> None:
+        """Encode words as one string; ``own``: an end belongs to its word (1) or stands between words (0)."""
+        width = self.kind.itemsize
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            ids = self._ids(between.join(some))
+            stops = (np.flatnonzero(ends(ids)) + own).tolist() + ([] if own else [len(ids)])
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(some, stops, strict=True):
+                out[word] = data[start * width : stop * width]
+                start = stop + 1 - own
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         memory = self.memory
         if len(memory) > CACHE_WORDS:
             memory.clear()
-        parts = [text.split() for text in texts]
-        new = list({w for p in parts for w in p if w not in memory})
-        once: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 10_000):
-            words = new[at : at + 10_000]
-            for word, e in zip(words, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-                (memory if len(word) <= CACHED_LENGTH else once)[word] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            memory = {w: memory[w] if w in memory else once[w] for p in parts for w in p}
-        return [b"".join(map(memory.__getitem__, p)) for p in parts]
+        parts = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        seen: set[bytes] = set()
+        for p in parts:
+            seen.update(p)
+        new = list(seen.difference(memory))
+        memory |= self.words(new)
+        out = [b"".join(map(memory.__getitem__, p)) for p in parts]
+        for word in [w for w in new if len(w) > CACHED_LENGTH]:
+            del memory[word]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -118,9 +176,10 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def token_rows(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
-    """Ids of each whole text and the end id, in rows of at most ``ROW_WINDOWS`` windows (4 bytes an id)."""
-    step = 4 * window * ROW_WINDOWS
-    end = np.array([end_id], "<u4").tobytes()
+    """Ids of each whole text and the end id, in rows of at most ``ROW_WINDOWS`` windows (2 bytes an id where the vocabulary allows)."""
+    kind = encoder(tokenizer).kind
+    width, end = kind.itemsize, np.array([end_id], kind).tobytes()
+    step = width * window * ROW_WINDOWS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -128,7 +187,7 @@ def token_rows(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch)), strict=True):
                 ids += end
-                out += [(doc_id, at // 4, len(ids) // 4, ids[at : at + step]) for at in range(0, len(ids), step)]
+                out += [(doc_id, at // width, len(ids) // width, ids[at : at + step]) for at in range(0, len(ids), step)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "doc_tokens", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), rows, _ROWS)
@@ -146,7 +205,9 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
     spark = docs.sparkSession
     rows = stored(token_rows(docs, tokenizer, end_id, window))
     total = rows.agg(F.sum(F.length("ids"))).first()[0] or 0
-    groups = max(1, round(total / 4 / group_tokens))
+    kind = encoder(tokenizer).kind
+    width = kind.itemsize
+    groups = max(1, round(total / width / group_tokens))
     hashed = rows.withColumn("h", F.xxhash64(F.lit(5), "doc_id", "start"))
     dealt = hashed.withColumn("g", F.pmod("h", F.lit(groups))).withColumn("h", F.xxhash64("h"))
     parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16))
@@ -155,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
 
     def cut(piece, size):
         doc_id, start, total, ids = piece
-        return (doc_id, start, total, ids[: 4 * size]), (doc_id, start + size, total, ids[4 * size :])
+        return (doc_id, start, total, ids[: width * size]), (doc_id, start + size, total, ids[width * size :])
 
     names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
@@ -167,6 +228,7 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
             nonlocal number
             at = 0
             for size, (doc_id, start, total, ids) in pieces:
+                ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
                 out.append((doc_id, start, size, zlib.crc32(ids), total, group << 32 | number, at, *[ids] * with_ids))
                 at += size
             number += 1
@@ -183,9 +245,9 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
                         for pieces in packer.close(cut):
                             emit(pieces)
                     group, number = g, 0
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    full = packer.place(len(piece) // 4, (doc_id, start + at // 4, total, piece))
+                for at in range(0, len(ids), width * window):
+                    piece = ids[at : at + width * window]
+                    full = packer.place(len(piece) // width, (doc_id, start + at // width, total, piece))
                     if full:
                         emit(full)
                 if len(out) >= 20_000:

@@ -66,3 +66,16 @@ def test_level_choice_is_the_least_sum_of_squares():
         if size < 32:
             assert (packer.levels**2).sum() == best
     assert all(len(o) == n for o, n in zip(packer.open, packer.levels, strict=True))
+
+
+def test_every_word_of_the_corpus_equals_the_tokenizer():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts += ["é́a, ʼn ǅx. ɏɐ a'b it's 'tis x' ß! ﬁ <|startoftext|>, a\x01, \x01", "…a a… ª º µm ÷2 ×x", "The<|endoftext|>END <|endoftext|>"]
+    own = packing.encoder(packing.DEFAULT_TOKENIZER)
+    want = Tokenizer.from_file(packing.DEFAULT_TOKENIZER).encode_batch_fast(texts, add_special_tokens=False)
+    for at in range(0, len(texts), 500):
+        for got, e in zip(own.encode([t.encode() for t in texts[at : at + 500]]), want[at : at + 500], strict=True):
+            assert np.frombuffer(got, own.kind).tolist() == e.ids
