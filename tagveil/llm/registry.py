@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import fuzzy_digest, langid, ogg, packing, quality, simhash, token_counts
+from tagveil.llm import fuzzy_digest, langid, mixing, ogg, packing, quality, simhash, token_counts, url_filter
 from tagveil.llm.common import table
 
 
@@ -38,6 +38,14 @@ def op3_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_digest.digests(table(spark, sf_dir, "documents"))
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
@@ -46,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
     "op8_golay_simhash": op8_golay_simhash,
     "op3_improbable_features": op3_improbable_features,
+    "op1_pareto_mix": op1_pareto_mix,
+    "op7_link_trust": op7_link_trust,
 }
 
 ORACLE_SQL: dict[str, str] = {}
