@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import fuzzy_digest, langid, mixing, ogg, packing, quality, simhash, token_counts, url_filter
+from tagveil.llm import fuzzy_digest, langid, lattice_lm, mixing, ogg, packing, quality, simhash, token_counts, url_filter
 from tagveil.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
+def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ogg": op2_ogg,
     "op4_viterbi_counts": op4_viterbi_counts,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_improbable_features": op3_improbable_features,
     "op1_pareto_mix": op1_pareto_mix,
     "op7_link_trust": op7_link_trust,
+    "op6_subword_lattice": op6_subword_lattice,
 }
 
 ORACLE_SQL: dict[str, str] = {}
