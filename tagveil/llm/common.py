@@ -50,6 +50,11 @@ def doc_hash(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """All columns in one, ``_row``, so that columns added beside it clash with none; ``_row.*`` gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -13,17 +13,20 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import doc_hash, map_arrow, sub_batches, texts_of
+from tagveil.llm.common import as_rows, doc_hash, map_arrow, sub_batches, texts_of
 
 BUCKETS, ORDERS = 1 << 17, (1, 2, 3)
 SMOOTHING = 0.5
 #: More labels than this are taken for a mistake in the column, and raise.
 MAX_LANGS = 2000
 UNDETERMINED = "und"
+#: A document is rejected below this posterior, or if it is surely in another language than it says.
+LEAST_SCORE, SURE_SCORE, SURE_LETTERS = 0.5, 0.999, 200
 FOLDS, HELD_OUT_FOLD = 4, 2
 CHUNK_BYTES = 2 << 20
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
@@ -150,3 +153,34 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.pmod(doc_hash(), F.lit(FOLDS)) == HELD_OUT_FOLD, F.lit(False))
     model = train(docs.where(~held_out).select("text", "lang"))
     return predict(docs, model, held_out)
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents whose language is known, with the columns of ``docs``.
+
+    Learns from all labelled documents. Rejected are texts without a letter, those of an
+    uncertain language, and those of some length that are surely not in the language of
+    their label; the text stays in the JVM row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.select("text", "lang")))
+
+    @F.pandas_udf("lang string, score double")
+    def guess(texts: pd.Series) -> pd.DataFrame:
+        model = shared.value
+        raw = [(x or "").encode("utf-8", "replace") for x in texts]
+        if not model.langs:
+            return pd.DataFrame({"lang": [UNDETERMINED] * len(raw), "score": 0.0})
+        langs, scores, at, size = [], [], 0, 0
+        for i, text in enumerate(raw):
+            size += len(text)
+            if size > CHUNK_BYTES or i == len(raw) - 1:
+                some = model.score(raw[at : i + 1])
+                langs += some[0]
+                scores.append(some[1])
+                at, size = i + 1, 0
+        return pd.DataFrame({"lang": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+
+    found = as_rows(docs).withColumn("_found", guess(F.col("_row.text")))
+    other = (F.col("_found.lang") != F.col("_row.lang")) & (F.col("_found.score") >= SURE_SCORE) & (F.length("_row.text") >= SURE_LETTERS)
+    keep = (F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= LEAST_SCORE) & ~F.coalesce(other, F.lit(False))
+    return found.where(keep).select("_row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import as_rows, map_arrow, stored, sub_batches, texts_of
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 10_000
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(names, mean, scale, np.array(weights), np.array(base))
 
 
-def with_evidence(docs: DataFrame, model: Classifier, name: str = "_evidence") -> DataFrame:
+def with_evidence(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with an array column of the targets' log-likelihood ratios; the text stays in the JVM row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -206,7 +206,7 @@ def with_evidence(docs: DataFrame, model: Classifier, name: str = "_evidence") -
         for series in texts:
             yield pd.Series(list(shared.value.evidence([(x or "").encode("utf-8", "replace") for x in series])), dtype=object)
 
-    return docs.withColumn(name, judge(F.col("text")))
+    return docs.withColumn("_evidence", judge(F.col(text)))
 
 
 def _rate(evidence: Column, base: float) -> Column:
@@ -251,11 +251,6 @@ def with_posteriors(judged: DataFrame, rates: DataFrame, site: Column, path: Col
     return out.withColumn("_keep", (F.col("_p_quality") >= CUT_OFF) & (F.col("_p_toxic") < CUT_OFF))
 
 
-def site_of(docs: DataFrame) -> tuple[Column, Column]:
-    """The documents table has no urls: its source is the site and its language the path."""
-    return F.col("source"), F.col("lang")
-
-
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Posterior quality and toxicity of every document, with its site's and path's rates.
 
@@ -265,7 +260,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     model = fit(docs, labels)
-    site, path = site_of(docs)
+    # the documents table has no urls: its source is the site and its language the path
+    site, path = F.col("source"), F.col("lang")
     judged = stored(with_evidence(docs, model).drop("text"))
     found = with_posteriors(judged, group_rates(judged, model, site, path), site, path)
     return found.select("doc_id", "source", "lang", *(F.col(f"_{x}_{t}").alias(f"{x}_{t}") for t in TARGETS for x in ("site", "path", "p")), F.col("_keep").alias("keep"))
@@ -274,7 +270,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. The text is judged twice instead of being stored."""
     model = fit(docs, labels)
-    site, path = site_of(docs)
-    judged = with_evidence(docs, model)
+    judged = with_evidence(as_rows(docs), model, "_row.text")
+    site, path = F.col("_row.source").cast("string"), F.col("_row.lang").cast("string")
     rates = group_rates(judged, model, site, path)
-    return with_posteriors(judged, rates, site, path).where("_keep").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_posteriors(judged, rates, site, path).where("_keep").select("_row.*")

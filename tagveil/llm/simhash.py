@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm import golay
-from tagveil.llm.common import map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import as_rows, map_arrow, stored, sub_batches, texts_of
 from tagveil.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -53,14 +53,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches):
             found = np.array([fingerprint(text, shingle) for text in texts_of(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), rows, "doc_id long, text_hash long, fp long")
 
 
 def compound_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +163,14 @@ def similar_fingerprints(fps: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, text_hash, fp, root, component_id) of every row; root is a fingerprint of the component."""
     marked = stored(fingerprints(docs, shingle))
     owners = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_fingerprints(owners.select("fp")))
     of_root = owners.join(roots, owners.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_root.join(groups, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = of_root.join(groups, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,3 +181,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no row; columns besides doc_id and text are not looked at.
     """
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, with the columns of ``docs``: that of least doc_id (null last), then text hash."""
+    found = stored(components(docs, shingle).select("root", "doc_id", "text_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("m"))
+    first = stored(first.select(F.col("m.doc_id").alias("_k_id"), F.col("m.text_hash").alias("_k_hash")))
+    own = as_rows(docs).withColumn("_own_id", F.col("_row.doc_id").cast("long")).withColumn("_own_hash", F.xxhash64("_row.text"))
+    same = F.col("_own_id").eqNullSafe(F.col("_k_id")) & (F.col("_own_hash") == F.col("_k_hash"))
+    out = own.join(first, same, "left_semi")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not repeated.isEmpty():  # the same id and text more than once: one row of them
+        out = out.dropDuplicates(["_own_id", "_own_hash"])
+    return out.select("_row.*")
