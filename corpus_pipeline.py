@@ -1,17 +1,65 @@
-"""The document pipeline; its stages come with the operators."""
+"""The document pipeline: reject, identify, deduplicate, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, written
+as Parquet and read again between stages. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-import tagveil.llm  # noqa: F401
+from tagveil.llm import langid, mixing, packing, quality, simhash
+from tagveil.llm.common import shared_dir, table
+
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality or toxic ones go; the classifier learns from the labels table."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go."""
+    return langid.kept(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; fingerprints of five-word shingles, at least 60 of 64 bits equal."""
+    return simhash.kept(docs, SHINGLE)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as their source's target takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mix),
+    ("packing", window_packing),
+]
 
-STAGES: list = []
+#: Trained models and tokenizers are beyond SQL; the tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
