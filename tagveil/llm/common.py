@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A word is a run of bytes other than the six ASCII blanks; ``bytes.split()`` cuts at exactly these.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the Python operators hold at once, besides one single longer document.
@@ -50,13 +55,42 @@ def doc_hash(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks, such as a tokenizer with its remembered words: one thing at a time.
+
+    Workers serve one operator after another; without this each would leave its memory behind.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def as_rows(docs: DataFrame) -> DataFrame:
     """All columns in one, ``_row``, so that columns added beside it clash with none; ``_row.*`` gives them back."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker waits for its next task with what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -77,6 +111,13 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
         yield batch.slice(start)
 
 
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """An Arrow column of texts as lists of UTF-8 bytes of about ``limit`` bytes in all; null is empty."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for part in sub_batches(iter([batch]), limit=limit):
+        yield texts_of(part)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -13,12 +13,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import as_rows, doc_hash, map_arrow, sub_batches, texts_of
+from tagveil.llm.common import as_rows, chunks, doc_hash, give_back, map_arrow, resident, sub_batches, texts_of
 
 BUCKETS, ORDERS = 1 << 17, (1, 2, 3)
 SMOOTHING = 0.5
@@ -28,11 +27,11 @@ UNDETERMINED = "und"
 #: A document is rejected below this posterior, or if it is surely in another language than it says.
 LEAST_SCORE, SURE_SCORE, SURE_LETTERS = 0.5, 0.999, 200
 FOLDS, HELD_OUT_FOLD = 4, 2
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=1)  # a megabyte
 def letters() -> np.ndarray:
     """Is the code point a letter? Combining marks count, so that they stay with theirs."""
     import unicodedata
@@ -98,6 +97,7 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
     """Fit on every row whose text and label are not null."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("nothing", dict)
         tables: dict[str, np.ndarray] = {}
         for batch in sub_batches(batches, limit=CHUNK_BYTES):
             labels = np.array(batch.column("label").to_pylist(), object)
@@ -164,21 +164,18 @@ def kept(docs: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.select("text", "lang")))
 
-    @F.pandas_udf("lang string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        resident("nothing", dict)
         model = shared.value
-        raw = [(x or "").encode("utf-8", "replace") for x in texts]
-        if not model.langs:
-            return pd.DataFrame({"lang": [UNDETERMINED] * len(raw), "score": 0.0})
-        langs, scores, at, size = [], [], 0, 0
-        for i, text in enumerate(raw):
-            size += len(text)
-            if size > CHUNK_BYTES or i == len(raw) - 1:
-                some = model.score(raw[at : i + 1])
+        for texts in batches:
+            langs, scores = [], []
+            for part in chunks(texts, CHUNK_BYTES):
+                some = model.score(part) if model.langs else ([UNDETERMINED] * len(part), np.zeros(len(part)))
                 langs += some[0]
-                scores.append(some[1])
-                at, size = i + 1, 0
-        return pd.DataFrame({"lang": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+                scores += some[1].tolist()
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+            give_back()
 
     found = as_rows(docs).withColumn("_found", guess(F.col("_row.text")))
     other = (F.col("_found.lang") != F.col("_row.lang")) & (F.col("_found.score") >= SURE_SCORE) & (F.length("_row.text") >= SURE_LETTERS)

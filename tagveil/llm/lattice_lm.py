@@ -18,7 +18,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm import unigram
-from tagveil.llm.common import doc_hash, map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import doc_hash, map_arrow, resident, stored, sub_batches, texts_of
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: Bytes of text coded against one dictionary.
@@ -143,8 +142,11 @@ def _prior(model_file: str) -> tuple[list[str], np.ndarray]:
     return [p for p, _ in entries], weight / weight.mean()
 
 
-@lru_cache(maxsize=2)
 def initial(model_file: str) -> Lattice:
+    return resident(f"lattice {model_file}", lambda: _initial(model_file))
+
+
+def _initial(model_file: str) -> Lattice:
     pieces, weight = _prior(model_file)
     n = len(pieces)
     return _normalised(pieces, weight, weight, np.array([ESCAPE_SHARE * n, ESCAPE_SHARE * n, STOP_SHARE * n]))

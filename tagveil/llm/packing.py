@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import map_arrow, resident, stored, sub_batches, texts_of
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW, END_ID = 2048, 1
 #: Tokens that one packing group holds on average, and windows of a document's body in one row.
 GROUP_TOKENS, ROW_WINDOWS = 1_000_000, 32
-CACHE_WORDS, CACHED_LENGTH = 1_000_000, 64
+CACHE_WORDS, CACHED_LENGTH = 800_000, 64
 #: A control character that the tokenizer keeps as one id which nothing else gives.
 _FENCE = b"\x01"
 #: Latin letters up to U+024F in UTF-8, and marks that are no letter, digit or apostrophe.
@@ -114,9 +113,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(file: str) -> Encoder:
-    return Encoder(file)
+    return resident(f"encoder {file}", lambda: Encoder(file))
 
 
 class Packer:

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import as_rows, map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import as_rows, chunks, give_back, map_arrow, resident, stored, sub_batches, texts_of
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 10_000
@@ -27,7 +26,9 @@ SAMPLE = 10_000
 WORDS, LEAST_DOCS = 400, 5
 #: Bytes of the word beginnings that are features, and how many words with one in a text make a feature of their own.
 BEGINNINGS, REPEATS = (5, 6, 7, 8, 9), (2, 3)
-CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+CACHE_WORDS, CACHED_LENGTH = 200_000, 64
+#: Bytes of text whose features are counted together.
+COUNT_BYTES = 1 << 20
 TARGETS = ("quality", "toxic")
 CUT_OFF = 0.5
 #: Bounds of the pseudo-documents that a group's prior is worth.
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches):
+        resident("nothing", dict)
+        for batch in sub_batches(batches, limit=COUNT_BYTES):
             sums: dict[bytes, int] = {}
             for text, *marks in zip(texts_of(batch), *(batch.column(t).to_pylist() for t in TARGETS), strict=True):
                 kind = 1 + marks[0] + 2 * marks[1]
@@ -201,10 +203,14 @@ def with_evidence(docs: DataFrame, model: Classifier, text: str = "text") -> Dat
     """``docs`` with an array column of the targets' log-likelihood ratios; the text stays in the JVM row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series(list(shared.value.evidence([(x or "").encode("utf-8", "replace") for x in series])), dtype=object)
+    @F.arrow_udf("array<double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        resident("nothing", dict)
+        for texts in batches:
+            parts = [shared.value.evidence(part) for part in chunks(texts)]
+            found = np.concatenate(parts) if parts else np.zeros((0, len(TARGETS)))
+            yield pa.array(found.tolist(), pa.list_(pa.float64()))
+            give_back()
 
     return docs.withColumn("_evidence", judge(F.col(text)))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm import golay
-from tagveil.llm.common import as_rows, map_arrow, stored, sub_batches, texts_of
+from tagveil.llm.common import as_rows, map_arrow, resident, stored, sub_batches, texts_of
 from tagveil.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("nothing", dict)
         for batch in sub_batches(batches):
             found = np.array([fingerprint(text, shingle) for text in texts_of(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])

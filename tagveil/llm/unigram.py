@@ -12,6 +12,8 @@ from functools import lru_cache
 import ahocorasick
 import public_tokenizers
 
+from tagveil.llm.common import resident
+
 DEFAULT_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: An unknown character scores this much below the worst piece (fixed by the tokenizer).
@@ -94,7 +96,6 @@ class Viterbi:
         return len(words), pieces, total
 
 
-@lru_cache(maxsize=2)
 def viterbi(model_file: str) -> Viterbi:
     """One per Python worker."""
-    return Viterbi(model_file)
+    return resident(f"viterbi {model_file}", lambda: Viterbi(model_file))
