@@ -42,8 +42,12 @@ class Pattern:
 
     @property
     def walk(self) -> str:
-        """Regex whose successive matches are (what comes before the value, value): group lengths give offsets."""
-        return f"{self.flags}(.*?{self.before})({self.value}){self.after}"
+        """Regex whose successive matches are (what comes before the value, value): group lengths give offsets.
+
+        Held to the end of the last match: without that, the search behind the last value would
+        start anew at every character, in time that grows with the square of the text.
+        """
+        return f"{self.flags}\\G(.*?{self.before})({self.value}){self.after}"
 
 
 # The accepted forms, in the order that numbers are given out.

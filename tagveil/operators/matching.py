@@ -10,26 +10,36 @@ from tagveil.operators import spans
 
 #: Rules that every text is tried with, because they hold no ASCII word to look up, may be so many at most.
 MOST_UNANCHORED = 1000
-_RUN = "[0-9A-Za-z]+"
+
+
+def anchored(rules: DataFrame) -> DataFrame:
+    """Replace ``runs`` (a rule's ASCII runs in small letters) by ``anchor``: the one that the fewest rules have, then the longest.
+
+    All runs are whole words of every text that the rule matches, as its bounds and gaps are
+    no ASCII letters or digits; the rarest one brings the fewest rules to a text.
+    """
+    each = rules.select("ord", F.explode(F.array_distinct("runs")).alias("run"))
+    often = each.groupBy("run").agg(F.count("*").alias("n"))
+    best = each.join(often, "run").groupBy("ord").agg(F.min(F.struct("n", (-F.length("run")).alias("l"), "run")).alias("m"))
+    return rules.join(best.select("ord", F.col("m.run").alias("anchor")), "ord", "left").drop("runs")
 
 
 def term_rules(entries: DataFrame, weight: int = 0, source: str = "term", ignore_case: bool = True, whole_word: bool = True) -> DataFrame:
-    """(term, tag, ord) to rules: (ord, regex, anchor, label, replacement, weight, source).
+    """(term, tag, ord) to rules: (ord, regex, label, replacement, weight, source, anchor).
 
-    The anchor is the term's longest ASCII run in small letters: a whole word of every text
-    that a whole-word rule matches, as the bounds are not ASCII letters or digits.
+    Rules that match within words have no anchor and are tried on every text.
     """
-    runs = F.regexp_extract_all(F.lower("term"), F.lit("[0-9a-z]+"), F.lit(0))
-    anchor = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), 1)["r"] if whole_word else F.lit(None).cast("string")
-    return entries.select(
+    runs = F.regexp_extract_all(F.lower("term"), F.lit("[0-9a-z]+"), F.lit(0)) if whole_word else F.expr("cast(array() as array<string>)")
+    rules = entries.select(
         F.col("ord").cast("long").alias("ord"),
         T.bounded_regex(F.col("term"), ignore_case, whole_word).alias("regex"),
-        F.when(F.size(runs) > 0, anchor).alias("anchor"),
+        runs.alias("runs"),
         F.col("tag").alias("label"),
         F.col("tag").alias("replacement"),
         F.lit(weight).alias("weight"),
         F.lit(source).alias("source"),
     )
+    return anchored(rules)
 
 
 def rule_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -47,8 +57,7 @@ def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Each doc_id is one text. Texts without a candidate are left out.
     """
-    anchored = rule_hits(docs, rules).join(rules, "ord")
-    tried = docs.select("doc_id", "text").join(anchored, "doc_id")
+    tried = docs.select("doc_id", "text").join(rule_hits(docs, rules).join(rules, "ord"), "doc_id")
     loose = rules.where("anchor is null")
     if not loose.isEmpty():
         n = loose.count()

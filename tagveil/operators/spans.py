@@ -37,7 +37,7 @@ def pattern_spans(text: Column, pattern: Pattern) -> Column:
 
 def rule_spans(text: Column, regex: Column) -> Column:
     """Spans of a rule's regex (flags in front are allowed), empty matches left out."""
-    return F.filter(walk(text, F.concat(F.lit("(?s)(.*?)("), regex, F.lit(")"))), lambda x: x["e"] > x["s"])
+    return F.filter(walk(text, F.concat(F.lit(r"(?s)\G(.*?)("), regex, F.lit(")"))), lambda x: x["e"] > x["s"])
 
 
 def resolve_overlaps(candidates: Column) -> Column:
