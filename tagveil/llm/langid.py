@@ -33,14 +33,10 @@ _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 @lru_cache(maxsize=1)  # a megabyte
 def letters() -> np.ndarray:
-    """Is the code point a letter? Combining marks count, so that they stay with theirs."""
+    """2 for code points that are letters, 1 for combining marks, which stay with their letter, else 0."""
     import unicodedata
 
-    out = np.zeros(0x110000, bool)
-    for i in range(0x20000):
-        out[i] = unicodedata.category(chr(i))[0] in "LM"
-    out[0x20000:0x32000] = True  # the ideographic planes
-    return out
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,9 +47,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = "\0".join(t.decode("utf-8", "replace").replace("\0", " ").lower() for t in texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = points == 0
-    letter = letters()[points]
+    kind = letters()[points]
+    letter = kind > 0
     text_no = np.cumsum(ends) - ends
-    has_letter = np.bincount(text_no, letter, minlength=len(texts)) > 0
+    has_letter = np.bincount(text_no, kind == 2, minlength=len(texts)) > 0
     points = np.where(letter | ends, points, 32).astype(np.uint32)
     keep = np.ones(len(points), bool)
     keep[1:] = ~((points[1:] == 32) & (points[:-1] == 32))

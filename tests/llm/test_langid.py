@@ -34,7 +34,7 @@ def test_equals_naive_bayes_by_hand():
 
 
 def test_odd_rows(spark):
-    rows = [(1, "le chat est là", "fr", 0.1), (2, "the cat is here", "en", 0.2), (3, None, "en", 0.3), (4, "", None, 0.0), (5, "123 !", "fr", 0.0), (None, "the cat", "en", 0.0), (6, "the " * 300_000, None, 0.0), (6, "the " * 300_000, None, 0.0)]
+    rows = [(1, "le chat est là", "fr", 0.1), (2, "the cat is here", "en", 0.2), (3, None, "en", 0.3), (4, "", None, 0.0), (5, "123 ! \u0301", "fr", 0.0), (None, "the cat", "en", 0.0), (6, "the " * 300_000, None, 0.0), (6, "the " * 300_000, None, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     got = langid.identify(docs).collect()
     assert len(got) == 8
