@@ -30,11 +30,23 @@ class Pattern:
     after: str = ""
     ignore_case: bool = False
     valid: Callable[[Column], Column] | None = None
+    #: A string that every match holds; texts without it are not searched.
+    needs: str | None = None
 
     @property
     def flags(self) -> str:
         return "(?isU)" if self.ignore_case else "(?sU)"
 
+    @property
+    def parts(self) -> str:
+        """Regex with two groups: what is matched before the value, and the value."""
+        return f"{self.flags}({self.before})({self.value}){self.after}"
+
+    @property
+    def ascii_parts(self) -> str:
+        """The same for texts in ASCII only, where the faster ASCII classes mean the same."""
+        return self.parts.replace("U)", ")", 1)
+
     @property
     def found(self) -> str:
         """Regex that is true of texts with the pattern."""
@@ -52,21 +64,21 @@ class Pattern:
 
 # The accepted forms, in the order that numbers are given out.
 CATALOGUE = (
-    Pattern("email", "EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
-    Pattern("ssn", "SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
-    Pattern("ein", "EIN", r"\b\d{2}-\d{7}\b"),
+    Pattern("email", "EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", needs="@"),
+    Pattern("ssn", "SSN", r"\b\d{3}-\d{2}-\d{4}\b", needs="-"),
+    Pattern("ein", "EIN", r"\b\d{2}-\d{7}\b", needs="-"),
     Pattern("phone", "PHONE", r"(?<!\d)(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)"),
     Pattern("iban", "IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
     Pattern("credit_card", "CARD", r"\b(?:\d[ -]?){13,19}\b", valid=text.luhn_valid),
     Pattern("routing", "ROUTING", r"\b\d{9}\b", valid=text.routing_valid),
-    Pattern("url", "URL", r"\bhttps?://[^\s<>\"')]+"),
+    Pattern("url", "URL", r"\bhttps?://[^\s<>\"')]+", needs="://"),
     Pattern("account", "ACCOUNT", r"[0-9A-Za-z][0-9A-Za-z\-]{3,}", r"\b(?:account|acct)\b" + _LABEL_END, ignore_case=True, valid=text.has_digit),
     Pattern("doc_number", "DOCUMENT", r"[0-9A-Za-z][0-9A-Za-z\-]{2,}", rf"\b(?:{DOCUMENT_LABELS})\b" + _LABEL_END, ignore_case=True, valid=text.has_digit),
-    Pattern("zip", "ZIP", r"\b\d{5}-\d{4}\b"),
+    Pattern("zip", "ZIP", r"\b\d{5}-\d{4}\b", needs="-"),
     Pattern("zip", "ZIP", r"\d{5}(?:-\d{4})?", rf"\b(?:{STATES})\s+", r"\b"),
     Pattern("place", "PLACE", rf"\b(?:{STATES})\b", after=r"(?=\s+\d{5}(?:-\d{4})?\b)"),
 )
-MONEY = Pattern("money", "AMOUNT", r"\$\s?\d[\d,]*(?:\.\d{2})?\b")
+MONEY = Pattern("money", "AMOUNT", r"\$\s?\d[\d,]*(?:\.\d{2})?\b", needs="$")
 
 
 def catalogue(include_money: bool = False, custom: tuple[Pattern, ...] = ()) -> tuple[Pattern, ...]:

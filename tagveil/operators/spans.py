@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagveil.functions.patterns import Pattern
 
+#: Marks around values; texts that hold one of them are walked without.
+_OPEN, _CLOSE = "\x01", "\x02"
 SPAN = "struct<s:int,e:int,t:string>"
 CANDIDATE = "struct<s:int,e:int,t:string,weight:int,ord:bigint,label:string,source:string,replacement:string>"
 
@@ -28,10 +30,35 @@ def walk(text: Column, regex: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
 
+def marked_walk(text: Column, regex: str) -> Column:
+    """Like ``walk`` in one search: values get a mark on both sides, and the pieces between marks are counted.
+
+    ``regex`` has groups for what is matched before the value and the value. Only for texts
+    without the two marks.
+    """
+    pieces = F.split(F.regexp_replace(text, F.lit(regex), F.lit(f"$1{_OPEN}$2{_CLOSE}")), _OPEN, -1)
+
+    def step(acc: Column, piece: Column) -> Column:
+        value = F.substring_index(piece, _CLOSE, 1)
+        e = acc["at"] + F.length(value)
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("s"), e.alias("e"), value.alias("t"))).alias("spans"))
+
+    def counted(found: Column) -> Column:
+        start = F.struct(F.length(found[0]).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
+        return F.aggregate(F.slice(found, F.lit(2), F.size(found)), start, step, lambda acc: acc["spans"])
+
+    # as a lambda's argument the pieces are made once, though used three times
+    return F.transform(F.array(pieces), counted)[0]
+
+
 def pattern_spans(text: Column, pattern: Pattern) -> Column:
-    """Valid spans of a catalogue pattern; texts that it is not found in cost one search only."""
+    """Valid spans of a catalogue pattern; texts without what it needs are not searched at all."""
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    spans = F.when(text.rlike(pattern.found), walk(text, F.lit(pattern.walk))).otherwise(empty)
+    held = text.contains(_OPEN) | text.contains(_CLOSE)
+    plain = F.octet_length(text) == F.char_length(text)
+    spans = F.when(held, walk(text, F.lit(pattern.walk))).when(plain, marked_walk(text, pattern.ascii_parts)).otherwise(marked_walk(text, pattern.parts))
+    if pattern.needs:
+        spans = F.when(text.contains(pattern.needs), spans).otherwise(empty)
     return F.filter(spans, lambda x: pattern.valid(x["t"])) if pattern.valid else spans
 
 

@@ -83,7 +83,7 @@ def test_spans_equal_finditer_on_the_corpus(spark):
     from tagveil.functions.patterns import catalogue
 
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    extra = docs(spark, "TX 78701-1234 a@b.co,c@d.org (555) 123-4567 5551234567 x", "order no. A12 order B13; acct 99-1 invoice #: Ä12").withColumn("doc_id", F.col("doc_id") + 10_000)
+    extra = docs(spark, "TX 78701-1234 a@b.co,c@d.org (555) 123-4567 5551234567 x", "order no. A12 order B13; acct 99-1 invoice #: Ä12", "\x01a@b.co\x02 c@d.org \x01, order A12", "$5 $1 a@b.co $2").withColumn("doc_id", F.col("doc_id") + 10_000)
     texts = {r.doc_id: r.text for r in table.union(extra).collect()}
     patterns = catalogue(True)
     got = {(r.doc_id, r.pat_ord, r.s, r.e, r.t) for r in detect.pattern_spans(table.union(extra), tuple(p.__class__(**{**p.__dict__, "valid": None}) for p in patterns)).collect()}
