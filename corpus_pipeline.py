@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagveil.llm import langid, mixing, packing, quality, simhash
+from tagveil.llm import jaccard, langid, mixing, packing, quality
 from tagveil.llm.common import shared_dir, table
 
 #: Words of a shingle in the near-duplicate stage.
@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; fingerprints of five-word shingles, at least 60 of 64 bits equal."""
-    return simhash.kept(docs, SHINGLE)
+    """One document of each group stays; linked are sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return jaccard.kept(docs, SHINGLE)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,19 +30,26 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 2048
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority of each bit over the hashes of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all word shingles in order, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     joined = memoryview(b" ".join(words))
     starts = np.zeros(n + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), (starts[shingle:] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), (starts[shingle:] - 1).tolist(), strict=True)), np.uint64, n - shingle + 1)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority of each bit over the hashes of all word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     if len(hashes) < 2000:
         counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
     else:  # by bytes: 256 counts for each of the eight
@@ -186,7 +193,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with the columns of ``docs``: that of least doc_id (null last), then text hash."""
-    found = stored(components(docs, shingle).select("root", "doc_id", "text_hash"))
+    return keep_first(docs, stored(components(docs, shingle).select("root", "doc_id", "text_hash")))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, by ``found`` (root, doc_id, text_hash)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("m"))
     first = stored(first.select(F.col("m.doc_id").alias("_k_id"), F.col("m.text_hash").alias("_k_hash")))
     own = as_rows(docs).withColumn("_own_id", F.col("_row.doc_id").cast("long")).withColumn("_own_hash", F.xxhash64("_row.text"))
