@@ -15,7 +15,9 @@ from tagveil.llm.common import stored
 
 #: (host, path, verdict); a rule holds for its host and all below it, where the path starts so.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-4
+DAMPING, SETTLED = 0.85, 1e-4
+#: Rounds after which something must be wrong (each leaves at most the damping's share of the change).
+MOST_ROUNDS = 1000
 #: Distrust over trust above which a host is blocked.
 THRESHOLD = 1.0
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,11 +60,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(up).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, kind, mass): ``seeds`` has the same columns; kind ``trust`` follows edges, ``distrust`` runs against them.
 
     Mass at hosts without a way on starts anew at the seeds; that only scales the fixed
-    point, so each kind is normalised at the end. Stops when a round moves next to nothing.
+    point, so each kind is normalised at the end. Ends when a round reaches no new host and
+    moves next to nothing, so hosts however many links from a seed have their mass.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("all_in"))
@@ -72,15 +75,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = stored(seeds.join(total, "kind").where("all > 0").select("host", "kind", (F.col("mass") / F.col("all") * (1 - damping)).alias("mass")))
     now = start
-    for _ in range(rounds):
+    reached = start.count()
+    for _ in range(MOST_ROUNDS):
         sent = arcs.join(now, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share") * damping).alias("new"), F.lit(0.0).alias("old"))
         kept = start.select("host", "kind", F.col("mass").alias("new"), F.lit(0.0).alias("old"))
         was = now.select("host", "kind", F.lit(0.0).alias("new"), F.col("mass").alias("old"))
         after = stored(sent.unionByName(kept).unionByName(was).groupBy("host", "kind").agg(F.sum("new").alias("mass"), F.sum("old").alias("old")))
-        moved = after.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
+        moved, n = after.agg(F.sum(F.abs(F.col("mass") - F.col("old"))), F.count("*")).first()
         now = after.select("host", "kind", "mass")
-        if moved < settled * (1 - damping):
+        if n == reached and (moved or 0.0) < settled * (1 - damping):
             break
+        reached = n
+    else:
+        raise RuntimeError("the propagation did not settle")
     every = now.groupBy("kind").agg(F.sum("mass").alias("all"))
     return now.join(every, "kind").select("host", "kind", (F.col("mass") / F.col("all")).alias("mass"))
 

@@ -81,3 +81,19 @@ def test_odd_tables(spark):
     frame = spark.createDataFrame([(1, "http://x.net/", "<a href='//y.com'>", "r")] * 3, "page_id long, url string, html string, rule string")
     assert [r.verdict for r in uf.judge(frame, uf.rules_frame(spark)).collect()] == ["block"] * 3
     assert uf.judge(frame.where("false"), uf.rules_frame(spark)).count() == 0
+
+
+def test_long_chains_and_cycles_settle(spark):
+    """A cycle of two hosts that feeds a chain of 90, followed to its last host."""
+    names = [f"h{i}.com" for i in range(90)]
+    links = {("good.org", "a.com"): 1, ("a.com", "b.com"): 1, ("b.com", "a.com"): 2, ("b.com", names[0]): 1, **{e: 1 for e in zip(names, names[1:])}}
+    back = {("bad.net", "x.com"): 1, ("x.com", "y.com"): 1, ("y.com", "x.com"): 1, ("y.com", "z.com"): 3}
+    edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in links.items()] + [(b, a, float(w)) for (a, b), w in back.items()], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("good.org", "trust", 1.0), ("bad.net", "distrust", 1.0)], "host string, kind string, mass double")
+    got = {(r.host, r.kind): r.mass for r in uf.propagate(edges, seeds).collect()}
+    for kind, graph, seed in (("trust", links, "good.org"), ("distrust", back, "bad.net")):
+        want = plain_mass(graph, {seed: 1}, rounds=1000)
+        assert {h for h, k in got if k == kind} == set(want)
+        for h, m in want.items():
+            assert got[h, kind] == pytest.approx(m, abs=1e-4)
+    assert got[names[-1], "trust"] > 0
