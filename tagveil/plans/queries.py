@@ -564,6 +564,16 @@ def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore.report(docs, few, restore.restored(docs, few)[0])
 
 
+# the same over whole mappings: each draft's own, of its customer's tag and a tag that the draft does not use
+@query(f"with {_RESTORED} select doc_id, '[[CUST_' || cast(o_custkey as varchar) || ']]' as tag, {_COUNTS} from r union all select doc_id, '[[LAND_' || cast(o_custkey % 25 as varchar) || ']]', 0, 0 from r")
+def restore_report_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drafts = corpus(spark, sf_dir, "drafts")
+    tags = F.array(F.expr("'[[CUST_' || cast(o_custkey as string) || ']]'"), F.expr("'[[LAND_' || cast(o_custkey % 25 as string) || ']]'"))
+    own = drafts.select("doc_id", F.explode(tags).alias("tag"))
+    docs = drafts.select("doc_id", "text")
+    return restore.report(docs, own, restore.restored(docs, _mapping(spark, sf_dir))[0])
+
+
 @query(f"with {_RESTORED}, l as (select doc_id, unnest(list_distinct(regexp_extract_all(new_text, '\\[\\[[^\\]\\n]{{1,60}}\\]\\]'))) as token from r) select doc_id, token from l")
 def restore_leftover(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir, "drafts").select("doc_id", "text")

@@ -238,3 +238,14 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
     redact_stream(stream, entries(spark), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert {r.redacted_text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"[[CLIENT2_DBA]] came.", "nothing"}
+
+
+def test_report_over_whole_mappings(spark):
+    mapping = spark.range(10_050).select(F.expr("'[[T_' || id || ']]'").alias("tag"), F.expr("'v' || id").alias("value"), F.col("id").alias("ord"))
+    drafts = docs(spark, "a [[T_7]] and [[ t 10049 ]]", "nothing")
+    found, _ = restore.restored(drafts, mapping)
+    rows = restore.report(drafts, mapping, found)
+    assert rows.count() == 2 * 10_050
+    assert {tuple(r) for r in rows.where("replaced + mangled > 0").collect()} == {(0, "[[T_7]]", 1, 0), (0, "[[T_10049]]", 0, 1)}
+    own = spark.createDataFrame([(0, "[[T_7]]"), (0, "[[T_8]]"), (1, "[[T_7]]")], "doc_id long, tag string")
+    assert {tuple(r) for r in restore.report(drafts, own, found).collect()} == {(0, "[[T_7]]", 1, 0), (0, "[[T_8]]", 0, 0), (1, "[[T_7]]", 0, 0)}
