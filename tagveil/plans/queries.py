@@ -702,8 +702,7 @@ _TERMS = (("the", "[[WORD_1]]"), ("and of", "[[WORD_2]]"))
 @query()
 def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(_TERMS)], "term string, tag string, ord long")
-    done = docx.rules_applied(_files(spark, sf_dir), matching.term_rules(entries))
-    return docx.texts(docx.segments(done.where("error is null").select("doc_id", "content")))
+    return docx.redacted(_files(spark, sf_dir), entries).select("doc_id", "ok", "text", "leaked", "error")
 
 
 @query("select conv_id * 1000 + turn as doc_id, array_to_string(list_filter(str_split(text, chr(10)), lambda x: x != ''), chr(10)) as text from conversations where replace(text, chr(10), '') != ''")

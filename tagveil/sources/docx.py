@@ -197,6 +197,33 @@ def rules_applied(files: DataFrame, rules: DataFrame) -> DataFrame:
     return rewritten(files, new.select(parsed.alias("u"), "seg_idx", "new_text", "preserve").select("u.*", "seg_idx", "new_text", "preserve"))
 
 
+def redacted(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row a file: (doc_id, ok, content, text, leaked, error).
+
+    The written file is read again, and its text over all parts checked for each term, also
+    across paragraphs. Content and text are null where a term is left or the file has an error.
+    """
+    from tagveil.operators import matching, redact
+
+    clean = redact.clean_entries(entries)
+    done = rules_applied(files, matching.term_rules(clean))
+    again = segments(done.where("error is null").select("doc_id", "content"))
+    new = texts(again).withColumnRenamed("text", "new_text")
+    leaked = redact.leaks(new, clean).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("leaked"))
+    out = done.join(new, "doc_id", "left").join(leaked, "doc_id", "left").withColumn("leaked", F.coalesce("leaked", F.expr("cast(array() as array<string>)")))
+    ok = F.col("error").isNull() & (F.size("leaked") == 0)
+    return out.select("doc_id", ok.alias("ok"), F.when(ok, F.col("content")).alias("content"), F.when(ok, F.coalesce("new_text", F.lit(""))).alias("text"), "leaked", "error")
+
+
+def paragraph_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, text, matches) of the files' paragraphs; doc_id is a paragraph's key."""
+    from tagveil.operators import matching
+    from tagveil.operators.segments import joined
+
+    unit = F.to_json(F.struct("doc_id", "part", "para_idx"))
+    return matching.matches(joined(segments(files).where("error is null").select(unit.alias("doc_id"), "seg_idx", "text")), rules)
+
+
 def kinds(files: DataFrame) -> DataFrame:
     """(file_id, name) to the reader that takes the file, or an error."""
     kind = T.kind_of(F.col("name"))

@@ -249,3 +249,16 @@ def test_report_over_whole_mappings(spark):
     assert {tuple(r) for r in rows.where("replaced + mangled > 0").collect()} == {(0, "[[T_7]]", 1, 0), (0, "[[T_10049]]", 0, 1)}
     own = spark.createDataFrame([(0, "[[T_7]]"), (0, "[[T_8]]"), (1, "[[T_7]]")], "doc_id long, tag string")
     assert {tuple(r) for r in restore.report(drafts, own, found).collect()} == {(0, "[[T_7]]", 1, 0), (0, "[[T_8]]", 0, 0), (1, "[[T_7]]", 0, 0)}
+
+
+def test_word_files_are_held_back(spark, tmp_path):
+    pairs = [("Acme Corp", "[[CO]]"), ("x a", "[[T0]]"), ("a a", "[[T1]]")]
+    contents = {1: docx.plain_docx(["by Acme Corp, Acme Corp"]), 2: docx.plain_docx(["by Acme", "Corp"]), 3: docx.plain_docx(["x a a a"]), 4: b"nozip", 5: docx.plain_docx([""])}
+    files = spark.createDataFrame(list(contents.items()), "doc_id long, content binary")
+    engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
+    got = {r.doc_id: r for r in engine.redact_files(files, entries(spark, pairs), "job-1").collect()}
+    assert {d: (r.ok, r.content is not None, r.leaked) for d, r in got.items()} == {1: (True, True, []), 2: (False, False, ["Acme Corp"]), 3: (False, False, ["a a"]), 4: (False, False, []), 5: (True, True, [])}
+    assert got[4].error and engine.mappings.count() == 0 and engine.dictionary.load().count() == 0
+    assert engine.redact_files(files.where("doc_id in (1, 5)"), entries(spark, pairs), "job-2").where("ok").count() == 2
+    assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().collect()] == [("[[CO]]", "Acme Corp", 2)]
+    assert engine.dictionary.load().count() == 3
