@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tagveil.functions import text as T
 from tagveil.operators import spans
 
-#: Rules that every text is tried with, because they hold no ASCII word to look up, may be so many at most.
-MOST_UNANCHORED = 1000
+#: Rules that every text is tried with, because they hold no ASCII word to look up, go so many at a time.
+UNANCHORED_BLOCK = 1000
 
 
 def anchored(rules: DataFrame) -> DataFrame:
@@ -60,13 +60,11 @@ def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:
     tried = docs.select("doc_id", "text").join(rule_hits(docs, rules).join(rules, "ord"), "doc_id")
     loose = rules.where("anchor is null")
     if not loose.isEmpty():
-        n = loose.count()
-        if n > MOST_UNANCHORED:
-            raise ValueError(f"{n} rules hold no ASCII word; {MOST_UNANCHORED} at most can be tried on every text")
         listed = [r.asDict() for r in loose.collect()]
-        every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in listed))
-        more = docs.select("doc_id", "text", F.explode(every).alias("r")).select("doc_id", "text", *(F.col("r")[c].cast(rules.schema[c].dataType).alias(c) for c in rules.columns))
-        tried = tried.unionByName(more.where("text is not null"))
+        for at in range(0, len(listed), UNANCHORED_BLOCK):
+            every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in listed[at : at + UNANCHORED_BLOCK]))
+            more = docs.select("doc_id", "text", F.explode(every).alias("r")).select("doc_id", "text", *(F.col("r")[c].cast(rules.schema[c].dataType).alias(c) for c in rules.columns))
+            tried = tried.unionByName(more.where("text is not null"))
     found = tried.withColumn("own", spans.rule_spans(F.col("text"), F.col("regex"))).where(F.size("own") > 0)
     full = F.transform("own", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.col("weight"), F.col("ord"), F.col("label"), F.col("source"), F.col("replacement")))
     return found.groupBy("doc_id").agg(F.first("text").alias("text"), F.flatten(F.collect_list(full)).alias("candidates"))

@@ -262,3 +262,9 @@ def test_word_files_are_held_back(spark, tmp_path):
     assert engine.redact_files(files.where("doc_id in (1, 5)"), entries(spark, pairs), "job-2").where("ok").count() == 2
     assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().collect()] == [("[[CO]]", "Acme Corp", 2)]
     assert engine.dictionary.load().count() == 3
+
+
+def test_many_terms_without_ascii_words(spark):
+    pairs = [("ж" * (1 + i % 40) + "я" * (1 + i // 40), f"[[N_{i}]]") for i in range(1001)]
+    out = redacted(spark, pairs, f"это {pairs[0][0]} и {pairs[1000][0]} тут")[0]
+    assert out.ok and out.redacted_text == "это [[N_0]] и [[N_1000]] тут"
