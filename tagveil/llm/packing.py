@@ -25,11 +25,13 @@ DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW, END_ID = 2048, 1
 #: Tokens that one packing group holds on average, and windows of a document's body in one row.
 GROUP_TOKENS, ROW_WINDOWS = 1_000_000, 32
+#: Share of a group that equal rows must make up together before they are dealt out one by one.
+HEAVY = 1 / 8
 CACHE_WORDS, CACHED_LENGTH = 800_000, 64
 #: A control character that the tokenizer keeps as one id which nothing else gives.
 _FENCE = b"\x01"
-#: Latin letters up to U+024F in UTF-8, and marks that are no letter, digit or apostrophe.
-_LATIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)")
+#: Latin letters up to U+024F in UTF-8, and marks that are no letter, digit or apostrophe. U+0130 is left out, as it folds to two characters.
+_LATIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)")
 
 
 class Encoder:
@@ -92,6 +94,9 @@ class Encoder:
             some = words[at : at + 50_000]
             ids = self._ids(between.join(some))
             stops = (np.flatnonzero(ends(ids)) + own).tolist() + ([] if own else [len(ids)])
+            if len(stops) != len(some) or own and stops[-1] != len(ids):  # a word that ends oftener than once: each by itself
+                out |= {word: self._ids(word).tobytes() for word in some}
+                continue
             data, start = ids.tobytes(), 0
             for word, stop in zip(some, stops, strict=True):
                 out[word] = data[start * width : stop * width]
@@ -191,14 +196,36 @@ def token_rows(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), rows, _ROWS)
 
 
+def numbered(rows: DataFrame, most_bytes: float) -> DataFrame:
+    """Add ``content``, a hash of the ids, and ``nth``, which tells equal rows apart where they are many.
+
+    Equal rows (id, place and ids) share a hash and so a group. Those that take up more than
+    ``most_bytes`` together are few; they are counted, reduced to one and numbered.
+    """
+    names = ("doc_id", "start", "content")
+    rows = rows.withColumn("content", F.xxhash64("ids"))
+    heavy = rows.groupBy(*names).agg(F.count("*").alias("times"), F.sum(F.length("ids")).alias("size")).where((F.col("times") > 1) & (F.col("size") > most_bytes))
+    heavy = stored(heavy.select(*(F.col(c).alias(f"heavy_{c}") for c in names), "times"))
+    if heavy.isEmpty():
+        return rows.withColumn("nth", F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"heavy_{c}")) for c in names]
+    marked = rows.join(heavy, same[0] & same[1] & same[2], "left").drop(*(f"heavy_{c}" for c in names))
+    single = marked.where("times is null").drop("times").withColumn("nth", F.lit(0))
+    several = marked.where("times is not null").dropDuplicates(list(names))
+    return single.unionByName(several.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times"))
+
+
 def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_ID, window: int = WINDOW, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """Pack all documents; one row per piece, with its ids if asked for.
 
     Null and empty texts are one end id. Repeated rows and repeated or null doc_ids are
-    documents of their own. Rows are dealt to groups by a hash of id and start, the number of
-    groups following the tokens, so a long document spreads over groups and no group grows
-    with the input; in a group the order is by that hash, so reruns agree. An empty table
-    gives no row; columns besides doc_id and text are not looked at.
+    documents of their own. Rows are dealt to groups by a hash of id, start and ids, the number
+    of groups following the tokens, so a long document spreads over groups, as do documents
+    without an id and rows that are equal in great numbers (``numbered``), and no group grows
+    with the input; in a group the order is by that hash, so reruns agree. Of levels that cost
+    the same the fullest is taken. A very long text is encoded as a whole and leaves in rows
+    of ``ROW_WINDOWS`` windows. An empty table gives no row; columns besides doc_id and text
+    are not looked at.
     """
     spark = docs.sparkSession
     rows = stored(token_rows(docs, tokenizer, end_id, window))
@@ -206,11 +233,12 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_
     kind = encoder(tokenizer).kind
     width = kind.itemsize
     groups = max(1, round(total / width / group_tokens))
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(5), "doc_id", "start"))
-    dealt = hashed.withColumn("g", F.pmod("h", F.lit(groups))).withColumn("h", F.xxhash64("h"))
+    dealt = numbered(rows, group_tokens * HEAVY * width)
+    dealt = dealt.withColumn("h", F.xxhash64(F.lit(5), "doc_id", "start", "content", "nth"))
+    dealt = dealt.withColumn("g", F.pmod("h", F.lit(groups))).withColumn("h", F.xxhash64("h"))
     parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16))
     # groups are dealt out by range, as hashing a few of them would leave some tasks with several
-    dealt = dealt.repartitionByRange(parts, "g").sortWithinPartitions("g", "h", "doc_id", "start", "ids")
+    dealt = dealt.repartitionByRange(parts, "g").sortWithinPartitions("g", "h", "doc_id", "start", "nth", "ids")
 
     def cut(piece, size):
         doc_id, start, total, ids = piece

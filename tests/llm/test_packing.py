@@ -79,3 +79,35 @@ def test_every_word_of_the_corpus_equals_the_tokenizer():
     for at in range(0, len(texts), 500):
         for got, e in zip(own.encode([t.encode() for t in texts[at : at + 500]]), want[at : at + 500], strict=True):
             assert np.frombuffer(got, own.kind).tolist() == e.ids
+
+
+def test_every_code_point_equals_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    points = [chr(i) for i in range(1, 0x3000)]
+    texts = points + [f"ab{c}cd {c}x, y{c}" for c in points] + ["Merhaba \u0130stanbul ve \u0130zmir", "\u0130", "D\u0130YARBAKIR, i\u0307x I\u0307"]
+    own, model = packing.encoder(packing.DEFAULT_TOKENIZER), Tokenizer.from_file(packing.DEFAULT_TOKENIZER)
+    want = model.encode_batch_fast(texts, add_special_tokens=False)
+    for at in range(0, len(texts), 997):  # together and, below, one by one
+        got = own.encode([t.encode() for t in texts[at : at + 997]])
+        assert [np.frombuffer(g, own.kind).tolist() for g in got] == [e.ids for e in want[at : at + 997]]
+    rows = dict(enumerate(texts[-3:]))
+    check(None, packing.pack(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect(), 2048, rows)
+
+
+def test_a_word_that_the_rules_misjudge_is_encoded_alone():
+    own = packing.Encoder(packing.DEFAULT_TOKENIZER)
+    out = {}
+    words = ["a", "\u0130", "zebra"]
+    own._joined([w.encode() for w in words], b" ", lambda ids: own.ends[ids], 1, out)
+    assert out == {w.encode(): own._ids(w.encode()).tobytes() for w in words}
+
+
+def test_rows_without_an_id_and_equal_rows_spread(spark):
+    words = "the cat sat on a mat and " * 60
+    docs = spark.createDataFrame([(None, f"{words} {i}") for i in range(150)] + [(7, words)] * 300, "doc_id long, text string")
+    rows = packing.pack(docs, group_tokens=20_000)
+    sizes = {r.g: r.n for r in rows.selectExpr("sequence_id >> 32 as g", "length").groupBy("g").agg({"length": "sum"}).toDF("g", "n").collect()}
+    assert len(sizes) > 4 and max(sizes.values()) < 3 * 20_000
+    assert rows.where("doc_id = 7 and start = 0").count() == 300 and rows.where("doc_id is null and start = 0").count() == 150
+    assert sorted(map(str, rows.collect())) == sorted(map(str, packing.pack(docs.repartition(5), group_tokens=20_000).collect()))
