@@ -14,8 +14,6 @@ from tagveil.operators import matching, spans
 from tagveil.operators.mint import mint
 
 MOST_CONTEXTS = 5
-#: Saved tags of names that are sent along with every document at most.
-MOST_NAME_TAGS = 100_000
 DICTIONARY_WEIGHT = 1000
 RANK = {"dictionary": 3, "pattern": 2, "ner": 1}
 # Labels of name models, the types shown and the prefixes of their tags.
@@ -25,61 +23,63 @@ NAME_LABELS = {"PERSON": ("person", "PERSON"), "ORG": ("company", "COMPANY"), "G
 NameModel = Callable[[DataFrame], DataFrame]
 
 
-def _marked(number: int, p: Pattern) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(number).alias("pat_ord"), F.lit(p.type).alias("type"), F.lit(p.prefix).alias("prefix"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))
+def _marked(number: int, p: Pattern, context: bool) -> Callable[[Column], Column]:
+    def mark(x: Column) -> Column:
+        around = [T.context_snippet(F.col("text"), x["s"], x["e"]).alias("context")] if context else []
+        return F.struct(F.lit(number).alias("pat_ord"), F.lit(p.type).alias("type"), F.lit(p.prefix).alias("prefix"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *around)
 
+    return mark
 
-def pattern_spans(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """(doc_id, pat_ord, type, prefix, s, e, t), all patterns in one pass over the texts, overlaps kept."""
+
+def pattern_spans(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None, context: bool = False) -> DataFrame:
+    """(doc_id, row_key, pat_ord, type, prefix, s, e, t), all patterns in one pass over the texts, overlaps kept; with what stands around if asked for."""
     patterns = catalogue() if patterns is None else patterns
-    found = [F.transform(spans.pattern_spans(F.col("text"), p), _marked(i, p)) for i, p in enumerate(patterns)]
-    return docs.where("text is not null").select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
+    found = [F.transform(spans.pattern_spans(F.col("text"), p), _marked(i, p, context)) for i, p in enumerate(patterns)]
+    return matching.keyed(docs).where("text is not null").select("doc_id", "row_key", F.explode(F.concat(*found)).alias("m")).select("doc_id", "row_key", "m.*")
 
 
-def suggestions(docs: DataFrame, found: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per document and key: first span's columns, count, first contexts in match order.
+def suggestions(found: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Group spans by document and key: first row's columns, count, the first contexts in order.
 
-    ``found`` has doc_id, s, e, t and the columns of key and order. Only documents with a
-    span get their text joined.
+    ``found`` has doc_id, row_key, s, e, context and whatever ``key`` and ``order`` name. It
+    is dealt out by row_key once; all further groups and windows of a document stay there.
+    Rows equal in id and text are one document here.
     """
-    with_text = found.join(docs.select("doc_id", "text"), "doc_id").withColumn("context", T.context_snippet(F.col("text"), F.col("s"), F.col("e"))).drop("text")
-    first = F.struct(*order, *(c for c in found.columns if c not in order and c != "doc_id" and c not in key))
+    once = found.repartition("row_key").dropDuplicates(list(dict.fromkeys(["doc_id", "row_key", *key, *order, "e"])))
+    first = F.struct(*order, *(c for c in found.columns if c not in order and c not in ("doc_id", "row_key", "context") and c not in key))
     contexts = F.slice(F.array_sort(F.collect_list(F.struct(*order, "context"))), 1, MOST_CONTEXTS)
-    out = with_text.groupBy("doc_id", *key).agg(F.min(first).alias("first"), F.count("*").alias("n"), contexts.alias("contexts"))
-    return out.select("doc_id", *key, "first.*", "n", F.transform("contexts", lambda x: x["context"]).alias("contexts"))
+    out = once.groupBy("doc_id", "row_key", *key).agg(F.min(first).alias("first"), F.count("*").alias("n"), contexts.alias("contexts"))
+    return out.select("doc_id", "row_key", *key, "first.*", "n", F.transform("contexts", lambda x: x["context"]).alias("contexts"))
+
+
+_SUGGESTED = ("doc_id", "row_key", "term", "type", "tag", "n", "contexts", "pat_ord", "s")
 
 
 def detect_patterns(docs: DataFrame, taken: DataFrame, patterns: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """Pattern layer of each document: (doc_id, term, type, tag, n, contexts, pat_ord, s)."""
-    found = suggestions(docs, pattern_spans(docs, patterns), ["type", "t"], ["pat_ord", "s"])
-    return mint(found, taken, ["doc_id"], ["pat_ord", "s"]).select("doc_id", F.col("t").alias("term"), "type", "tag", "n", "contexts", "pat_ord", "s")
+    """Pattern layer of each document: (doc_id, row_key, term, type, tag, n, contexts, pat_ord, s)."""
+    found = suggestions(pattern_spans(docs, patterns, context=True), ["type", "t"], ["pat_ord", "s"])
+    return mint(found, taken, ["row_key"], ["pat_ord", "s"]).withColumn("term", F.col("t")).select(*_SUGGESTED)
 
 
 def detect_dictionary(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary layer: saved terms (term, tag, ord), overlaps resolved among them only."""
     rules = matching.term_rules(dictionary, DICTIONARY_WEIGHT, "dictionary")
-    found = matching.exploded(matching.matches(docs, rules)).withColumn("folded", F.lower("t")).select("doc_id", "label", "folded", "s", "e", "t")
-    out = suggestions(docs, found, ["label", "folded"], ["s"])
-    return out.select("doc_id", F.col("t").alias("term"), F.lit("saved").alias("type"), F.col("label").alias("tag"), "n", "contexts", F.lit(0).alias("pat_ord"), "s")
+    found = matching.exploded(matching.matches(docs, rules), context=True).withColumn("folded", F.lower("t"))
+    out = suggestions(found.select("doc_id", "row_key", "label", "folded", "s", "e", "t", "context"), ["label", "folded"], ["s"])
+    return out.withColumns({"term": F.col("t"), "type": F.lit("saved"), "tag": F.col("label"), "pat_ord": F.lit(0)}).select(*_SUGGESTED)
 
 
-def detect_names(docs: DataFrame, names: DataFrame, taken: DataFrame) -> DataFrame:
-    """Name layer from a model's proposals; one tag a name in small letters, whatever its labels."""
-    kept = kept_names(names)
-    found = suggestions(docs, kept.select("doc_id", "label", "folded", "s", "e", "t"), ["label", "folded"], ["s"])
-    kind = _label_map()
-    first = found.groupBy("doc_id", "folded").agg(F.min(F.struct("s", "label")).alias("m")).select("doc_id", "folded", "m.s", kind[F.col("m.label")]["prefix"].alias("prefix"))
-    tags = mint(first, taken, ["doc_id"], ["s"]).select("doc_id", "folded", "tag")
-    return found.join(tags, ["doc_id", "folded"]).select("doc_id", F.col("t").alias("term"), kind[F.col("label")]["type"].alias("type"), "tag", "n", "contexts", F.lit(0).alias("pat_ord"), "s")
-
+def detect_names(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """Name layer from a model's proposals (doc_id, row_key, s, e, t, label, context); one tag a name in small letters, whatever its labels.
 
-def name_tags(taken: DataFrame) -> list[str]:
-    """Dictionary tags whose prefix names can get; they are few beside the documents, and checked to be."""
-    prefixes = "|".join(sorted({p for _, p in NAME_LABELS.values()}))
-    rows = taken.where(F.col("tag").rlike(rf"^\[\[(?:{prefixes})_[1-9][0-9]*\]\]$")).distinct().limit(MOST_NAME_TAGS + 1).collect()
-    if len(rows) > MOST_NAME_TAGS:
-        raise ValueError(f"more than {MOST_NAME_TAGS} saved name tags; give names their tags in a separate pass")
-    return sorted(r.tag for r in rows)
+    ``taken`` has tags that apply to all documents, and may have them by row_key as well.
+    """
+    found = suggestions(kept_names(names).select("doc_id", "row_key", "label", "folded", "s", "e", "t", "context"), ["label", "folded"], ["s"])
+    kind = _label_map()
+    first = found.groupBy("row_key", "folded").agg(F.min(F.struct("s", "label")).alias("m")).select("row_key", "folded", "m.s", kind[F.col("m.label")]["prefix"].alias("prefix"))
+    tags = mint(first, taken, ["row_key"], ["s"]).select("row_key", "folded", "tag")
+    out = found.join(tags, ["row_key", "folded"])
+    return out.withColumns({"term": F.col("t"), "type": kind[F.col("label")]["type"], "pat_ord": F.lit(0)}).select(*_SUGGESTED)
 
 
 def _label_map():
@@ -93,22 +93,34 @@ def kept_names(names: DataFrame) -> DataFrame:
 
 
 def merge_layers(layers: DataFrame) -> DataFrame:
-    """(doc_id, source, term, ...) with pat_ord and s: of equal terms in any case, the highest layer's first one stays."""
+    """(doc_id, row_key, source, term, ...) with pat_ord and s: of equal terms in any case, the highest layer's first one stays."""
     ranked = layers.withColumn("rank", F.element_at(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv)), F.col("source")))
-    best = F.row_number().over(W.partitionBy("doc_id", F.lower("term")).orderBy(F.col("rank").desc(), "pat_ord", "s"))
+    best = F.row_number().over(W.partitionBy("doc_id", "row_key", F.lower("term")).orderBy(F.col("rank").desc(), "pat_ord", "s"))
     return ranked.withColumn("best", best).where("best = 1").drop("best")
 
 
+def ranked(merged: DataFrame) -> DataFrame:
+    """Add ``pos``: by layer, then count, then term."""
+    return merged.withColumn("pos", F.row_number().over(W.partitionBy("doc_id", "row_key").orderBy(F.col("rank").desc(), F.col("n").desc(), F.lower("term"))))
+
+
 def analyze(docs: DataFrame, dictionary: DataFrame, include_money: bool = False, names: NameModel | None = None, custom: tuple[Pattern, ...] = ()) -> DataFrame:
-    """All suggestions of each document, ranked: (doc_id, pos, term, type, source, tag, n, contexts, checked)."""
+    """All suggestions of each document, ranked: (doc_id, pos, term, type, source, tag, n, contexts, checked).
+
+    Documents are told apart by id and text: of a repeated id each text has suggestions of
+    its own, also where the id is null, and rows equal in both are one document. Null and
+    empty texts have none; columns besides doc_id and text are not looked at. A name model
+    sees row keys in place of ids.
+    """
+    docs = matching.keyed(docs.select("doc_id", "text"))
     taken = dictionary.select("tag").where("tag is not null and tag != ''")
     layers = detect_dictionary(docs, dictionary).withColumn("source", F.lit("dictionary"))
     by_pattern = detect_patterns(docs, taken, catalogue(include_money, custom))
     layers = layers.unionByName(by_pattern.withColumn("source", F.lit("pattern")))
     if names is not None:
-        proposed = names(docs).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "s", "e", F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s")).alias("t"), "label")
+        seen = docs.select(F.col("row_key").alias("doc_id"), "text")
+        proposed = names(seen).withColumnRenamed("doc_id", "row_key").join(docs, "row_key")
+        cut = proposed.select("doc_id", "row_key", "s", "e", F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s")).alias("t"), "label", T.context_snippet(F.col("text"), F.col("s"), F.col("e")).alias("context"))
         # a document's names also avoid the numbers that its patterns took
-        used = by_pattern.select("doc_id", "tag").unionByName(docs.select("doc_id", F.explode(F.array(*map(F.lit, tags))).alias("tag")) if (tags := name_tags(taken)) else by_pattern.select("doc_id", "tag").limit(0))
-        layers = layers.unionByName(detect_names(docs, proposed, used).withColumn("source", F.lit("ner")))
-    pos = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("rank").desc(), F.col("n").desc(), F.lower("term")))
-    return merge_layers(layers).withColumn("pos", pos).select("doc_id", "pos", "term", "type", "source", "tag", "n", "contexts", (F.col("source") != "ner").alias("checked"))
+        layers = layers.unionByName(detect_names(cut, taken.select(F.lit(None).cast("long").alias("row_key"), "tag").unionByName(by_pattern.select("row_key", "tag"))).withColumn("source", F.lit("ner")))
+    return ranked(merge_layers(layers)).select("doc_id", "pos", "term", "type", "source", "tag", "n", "contexts", (F.col("source") != "ner").alias("checked"))

@@ -1,86 +1,140 @@
-"""Rules from a table against a table of texts."""
+"""Rules from a table against a table of texts.
+
+A text stays in one row from the rules' choice to the rewriting; rows are told apart by a
+hash of id and text, so repeated and missing ids are no matter.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.functions import text as T
 from tagveil.operators import spans
 
-#: Rules that every text is tried with, because they hold no ASCII word to look up, go so many at a time.
-UNANCHORED_BLOCK = 1000
+#: What a rule is looked up by: a run of ASCII letters and digits, or so many characters in a row, not all (or, from ANY on, maybe all) of those.
+BY_RUN, GRAMS, ANY = 0, (3, 2, 1), 10
+_RUN = "[0-9a-z]+"
+_STRINGS = "array<string>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add ``row_key``; rows equal in id and text share it, and whatever is found by it is true of both."""
+    return docs if "row_key" in docs.columns else docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def _runs(folded: Column) -> Column:
+    return F.regexp_extract_all(folded, F.lit(_RUN), F.lit(0))
+
+
+def _grams(folded: Column, n: int, every: bool) -> Column:
+    """Characters in a row, at every place. Without tag brackets: what remains never reaches over the edge of a tag."""
+    odd = "" if every else rf"(?=\S{{0,{n - 1}}}[^0-9a-z\s])"
+    found = F.regexp_extract_all(folded, F.lit(rf"(?U)(?=(\S{{{n}}})){odd}"), F.lit(1))
+    return found if n == 1 else F.filter(found, lambda x: ~(x.contains("[") | x.contains("]")))
 
 
 def anchored(rules: DataFrame) -> DataFrame:
-    """Replace ``runs`` (a rule's ASCII runs in small letters) by ``anchor``: the one that the fewest rules have, then the longest.
+    """Replace ``keys`` (strings that every match of a rule holds, folded) by ``anchor``: the one that the fewest rules have, then the longest."""
+    whole = F.struct(*(c for c in rules.columns if c != "keys"))
+    each = rules.select(F.explode(F.array_distinct("keys")).alias("key"), whole.alias("rule"))
+    often = each.groupBy("key").agg(F.count("*").alias("n"))
+    best = each.join(often, "key").groupBy("rule.ord").agg(F.min(F.struct("n", (-F.length("key")).alias("l"), "key", "rule")).alias("m"))
+    return best.select("m.rule.*", F.col("m.key").alias("anchor"))
+
+
+def keys_of(term: Column, whole_word: bool = True) -> tuple[Column, Column]:
+    """(kind, keys) of a term.
 
-    All runs are whole words of every text that the rule matches, as its bounds and gaps are
-    no ASCII letters or digits; the rarest one brings the fewest rules to a text.
+    ASCII runs are whole words of every text that a whole-word rule matches, as its bounds
+    and gaps are no ASCII letters or digits. Other terms, which may stand within longer
+    words, are known by three characters in a row, or by two or one if they are shorter.
     """
-    each = rules.select("ord", F.explode(F.array_distinct("runs")).alias("run"))
-    often = each.groupBy("run").agg(F.count("*").alias("n"))
-    best = each.join(often, "run").groupBy("ord").agg(F.min(F.struct("n", (-F.length("run")).alias("l"), "run")).alias("m"))
-    return rules.join(best.select("ord", F.col("m.run").alias("anchor")), "ord", "left").drop("runs")
+    folded = T.fold(term)
+    base = 0 if whole_word else ANY
+    kind, keys = F.lit(base + 1), _grams(folded, 1, not whole_word)
+    for n in (2, 3):
+        found = _grams(folded, n, not whole_word)
+        kind, keys = F.when(F.size(found) > 0, base + n).otherwise(kind), F.when(F.size(found) > 0, found).otherwise(keys)
+    if whole_word:
+        runs = _runs(folded)
+        kind, keys = F.when(F.size(runs) > 0, BY_RUN).otherwise(kind), F.when(F.size(runs) > 0, runs).otherwise(keys)
+    return kind, keys
 
 
 def term_rules(entries: DataFrame, weight: int = 0, source: str = "term", ignore_case: bool = True, whole_word: bool = True) -> DataFrame:
-    """(term, tag, ord) to rules: (ord, regex, label, replacement, weight, source, anchor).
-
-    Rules that match within words have no anchor and are tried on every text.
-    """
-    runs = F.regexp_extract_all(F.lower("term"), F.lit("[0-9a-z]+"), F.lit(0)) if whole_word else F.expr("cast(array() as array<string>)")
+    """(term, tag, ord) to rules: (ord, regex, term, label, replacement, weight, source, kind, anchor). Blank terms give none."""
+    kind, keys = keys_of(F.col("term"), whole_word)
     rules = entries.select(
         F.col("ord").cast("long").alias("ord"),
         T.bounded_regex(F.col("term"), ignore_case, whole_word).alias("regex"),
-        runs.alias("runs"),
+        F.col("term"),
         F.col("tag").alias("label"),
         F.col("tag").alias("replacement"),
         F.lit(weight).alias("weight"),
         F.lit(source).alias("source"),
+        kind.alias("kind"),
+        keys.alias("keys"),
     )
     return anchored(rules)
 
 
-def rule_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, ord) pairs worth trying: texts that hold the rule's anchor, and all texts for rules without one.
+def kinds_of(rules: DataFrame) -> set[int]:
+    """Which kinds of keys the rules need from the texts."""
+    return {r.kind for r in rules.select("kind").distinct().collect()}
 
-    An equality join of the texts' distinct words with the rules' anchors; Spark sends the
-    rules to the texts while they are small and shuffles by word beyond that.
-    """
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0)))).alias("anchor"))
-    return words.join(rules.where("anchor is not null").select("anchor", "ord"), "anchor").select("doc_id", "ord").distinct()
 
+def anchors_in(text: Column, kinds: set[int]) -> Column:
+    """Distinct keys of a text by which rules of these kinds can be found."""
+    folded = T.fold(text)
+    found = [_runs(folded)] if BY_RUN in kinds else []
+    found += [_grams(folded, n, ANY + n in kinds) for n in GRAMS if {n, ANY + n} & kinds]
+    return F.array_distinct(F.concat(*found)) if found else F.expr(f"cast(array() as {_STRINGS})")
 
-def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, text, candidates): every rule's own matches, before any is preferred over another.
 
-    Each doc_id is one text. Texts without a candidate are left out.
+def with_rules(docs: DataFrame, rules: DataFrame, kinds: set[int] | None = None) -> DataFrame:
+    """Add ``rules``, an array of those whose anchor the text holds (null if none does).
+
+    An equality join of the texts' distinct keys with the rules' anchors; Spark sends the
+    rules to the texts while they are small and shuffles by key beyond that. Keys and rules
+    travel without the texts, which are joined with their rules once.
     """
-    tried = docs.select("doc_id", "text").join(rule_hits(docs, rules).join(rules, "ord"), "doc_id")
-    loose = rules.where("anchor is null")
-    if not loose.isEmpty():
-        listed = [r.asDict() for r in loose.collect()]
-        for at in range(0, len(listed), UNANCHORED_BLOCK):
-            every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in listed[at : at + UNANCHORED_BLOCK]))
-            more = docs.select("doc_id", "text", F.explode(every).alias("r")).select("doc_id", "text", *(F.col("r")[c].cast(rules.schema[c].dataType).alias(c) for c in rules.columns))
-            tried = tried.unionByName(more.where("text is not null"))
-    found = tried.withColumn("own", spans.rule_spans(F.col("text"), F.col("regex"))).where(F.size("own") > 0)
-    full = F.transform("own", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.col("weight"), F.col("ord"), F.col("label"), F.col("source"), F.col("replacement")))
-    return found.groupBy("doc_id").agg(F.first("text").alias("text"), F.flatten(F.collect_list(full)).alias("candidates"))
+    docs = keyed(docs)
+    kinds = kinds_of(rules) if kinds is None else kinds
+    keys = docs.select("row_key", F.explode(anchors_in(F.col("text"), kinds)).alias("anchor"))
+    rule = F.struct(*(c for c in rules.columns if c not in ("anchor", "kind")))
+    hits = keys.join(rules, "anchor").groupBy("row_key").agg(F.collect_set(rule).alias("rules"))
+    return docs.join(hits, "row_key", "left")
+
+
+def with_candidates(ruled: DataFrame) -> DataFrame:
+    """Add ``candidates``: every rule's own matches, before any is preferred over another."""
+
+    def of(rule: Column) -> Column:
+        return F.transform(spans.rule_spans(F.col("text"), rule["regex"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *(rule[c].alias(c) for c in ("weight", "ord", "label", "source", "replacement"))))
+
+    return ruled.withColumn("candidates", F.coalesce(F.flatten(F.transform("rules", of)), F.expr(f"cast(array() as array<{spans.CANDIDATE}>)")))
+
+
+def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and whatever else) with their candidates."""
+    return with_candidates(with_rules(docs, rules)).drop("rules")
 
 
 def matches(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, text, matches): what a sweep over the candidates takes."""
-    return candidates(docs, rules).select("doc_id", "text", spans.resolve_overlaps(F.col("candidates")).alias("matches"))
+    """Every row of ``docs`` with ``matches``, what a sweep over the candidates takes; an empty array where there is none."""
+    return candidates(docs, rules).withColumn("matches", spans.resolve_overlaps(F.col("candidates"))).drop("candidates")
 
 
-def exploded(found: DataFrame, column: str = "matches") -> DataFrame:
-    """One row a span: doc_id, s, e, t, label, source, weight, ord."""
-    return found.select("doc_id", F.explode(column).alias("m")).select("doc_id", "m.s", "m.e", "m.t", "m.label", "m.source", "m.weight", "m.ord")
+def exploded(found: DataFrame, column: str = "matches", context: bool = False) -> DataFrame:
+    """One row a span: doc_id, row_key, s, e, t, label, source, weight, ord, and what stands around it if asked for."""
+    rows = F.col(column)
+    if context:  # cut while the text is at hand, so that it need not travel
+        rows = F.transform(rows, lambda x: x.withField("context", T.context_snippet(F.col("text"), x["s"], x["e"])))
+    names = ["s", "e", "t", "label", "source", "weight", "ord", *(["context"] if context else [])]
+    return found.select("doc_id", "row_key", F.explode(rows).alias("m")).select("doc_id", "row_key", *(f"m.{c}" for c in names))
 
 
-def rewritten(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Every text with its matches replaced (doc_id, new_text, n_matches); texts without any come back as they are."""
-    new = found.select("doc_id", spans.splice(F.col("text"), F.col("matches")).alias("new_text"), F.size("matches").cast("long").alias("n"))
-    return docs.select("doc_id", "text").join(new, "doc_id", "left").select("doc_id", F.coalesce("new_text", "text").alias("new_text"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))
+def rewritten(found: DataFrame) -> DataFrame:
+    """(doc_id, new_text, n_matches) of every row of ``matches``; texts without any come back as they are."""
+    return found.select("doc_id", spans.splice(F.col("text"), F.col("matches")).alias("new_text"), F.size("matches").cast("long").alias("n_matches"))

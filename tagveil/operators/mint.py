@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagveil.functions import text as T
+
 
 def clean_prefix(prefix: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.upper(prefix), "[^A-Z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("TAG"))
@@ -14,18 +16,31 @@ def clean_prefix(prefix: Column) -> Column:
 def mint(new: DataFrame, taken: DataFrame, scope: list[str], order: list) -> DataFrame:
     """Add ``tag`` to keys that need one.
 
-    ``new`` has ``prefix``; ``taken`` has ``tag`` and may have the scope's columns as well.
-    Of a prefix, the k-th new key gets the k-th number that no taken tag has: k plus the
-    taken numbers below it. Those are counted from the sorted taken numbers t_1 < t_2 ...,
-    as t_i - i numbers below t_i are free.
+    ``new`` has ``prefix``; ``taken`` has ``tag`` and may have the scope's columns as well,
+    null where a tag is taken everywhere. Of a prefix, the k-th new key gets the k-th number
+    that no taken tag has: k plus the taken numbers below it. Those are counted from the
+    sorted taken numbers t_1 < t_2 ..., as t_i - i numbers below t_i are free.
     """
     new = new.withColumn("prefix", clean_prefix(F.col("prefix")))
     keyed = new.withColumn("k", F.row_number().over(W.partitionBy(*scope, "prefix").orderBy(*order)))
     number = F.regexp_extract("tag", r"^\[\[[A-Z0-9_]+_([1-9][0-9]{0,17})\]\]$", 1)
-    used = taken.select(*(c for c in scope if c in taken.columns), F.regexp_extract("tag", r"^\[\[([A-Z0-9_]+)_[1-9][0-9]{0,17}\]\]$", 1).alias("prefix"), number.try_cast("long").alias("n")).where("n is not null")
-    by = [c for c in used.columns if c != "n"]
-    used = used.groupBy(*by).agg(F.array_sort(F.collect_set("n")).alias("numbers"))
-    used = used.select(*by, F.transform("numbers", lambda x, i: x - i - 1).alias("free_below"))
-    out = keyed.join(used, by, "left")
-    n = F.col("k") + F.when(F.col("free_below").isNull(), 0).otherwise(F.size(F.filter("free_below", lambda x: x < F.col("k"))))
-    return out.withColumn("tag", F.concat(F.lit("[["), F.col("prefix"), F.lit("_"), n.cast("string"), F.lit("]]"))).drop("k", "free_below")
+    own = [c for c in scope if c in taken.columns]
+    used = taken.select(*own, F.regexp_extract("tag", r"^\[\[([A-Z0-9_]+)_[1-9][0-9]{0,17}\]\]$", 1).alias("prefix"), number.try_cast("long").alias("n")).where("n is not null")
+    everywhere = used.where(" and ".join(f"{c} is null" for c in own)) if own else used
+    out = keyed.join(_numbers(everywhere, ["prefix"], "numbers"), "prefix", "left")
+    if own:
+        out = out.join(_numbers(used, [*own, "prefix"], "own_numbers"), [*own, "prefix"], "left")
+        out = out.withColumn("numbers", F.when(F.col("own_numbers").isNull(), F.col("numbers")).when(F.col("numbers").isNull(), F.col("own_numbers")).otherwise(F.array_sort(F.array_union("numbers", "own_numbers")))).drop("own_numbers")
+    free_below = F.transform("numbers", lambda x, i: x - i - 1)
+    n = F.col("k") + F.when(F.col("numbers").isNull(), 0).otherwise(F.size(F.filter(free_below, lambda x: x < F.col("k"))))
+    return out.withColumn("tag", F.concat(F.lit("[["), F.col("prefix"), F.lit("_"), n.cast("string"), F.lit("]]"))).drop("k", "numbers")
+
+
+def _numbers(used: DataFrame, by: list[str], name: str) -> DataFrame:
+    return used.groupBy(*by).agg(F.array_sort(F.collect_set("n")).alias(name))
+
+
+def next_tag(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(ord, type) typed in by hand to (ord, type, tag): the type's prefix and the lowest free numbers, tags in any case counted as taken."""
+    new = wanted.withColumn("prefix", T.prefix_of_type(F.col("type")))
+    return mint(new, taken.select(F.upper("tag").alias("tag")), [], ["ord"]).select("ord", "type", "tag")

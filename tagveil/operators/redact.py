@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagveil.functions import text as T
-from tagveil.operators import matching
+from tagveil.operators import matching, spans
+from tagveil.operators.order import numbered
 
 
 def clean_entries(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -18,9 +19,15 @@ def clean_entries(entries: DataFrame, scope: list[str] | None = None) -> DataFra
     return clean.withColumn("nth", first).where("nth = 1").drop("nth")
 
 
-def tag_values(entries: DataFrame) -> DataFrame:
+def tag_values(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(tag, value, ord): a shared tag stands for the last of its terms and keeps the first one's place."""
-    return entries.groupBy("tag").agg(F.max_by("term", "ord").alias("value"), F.min("ord").alias("ord"))
+    return entries.groupBy(*(scope or []), "tag").agg(F.max_by("term", "ord").alias("value"), F.min("ord").alias("ord"))
+
+
+def job_mapping(found: DataFrame, values: DataFrame) -> DataFrame:
+    """(tag, value, n) over all documents of a redaction: used tags only."""
+    counts = found.select(F.explode("matches").alias("m")).groupBy(F.col("m.label").alias("tag")).agg(F.count("*").alias("n"))
+    return counts.join(values, "tag").select("tag", "value", "n")
 
 
 def tag_counts(found: DataFrame) -> DataFrame:
@@ -34,28 +41,63 @@ def mapping_entries(counts: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def leaks(outputs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_id, term): whole-word terms that the new texts still hold. Existence only, no spans."""
-    rules = matching.term_rules(entries)
+    """(doc_id, term): whole-word terms that the new texts (doc_id, new_text) still hold. Existence only, no spans."""
     texts = outputs.select("doc_id", F.col("new_text").alias("text"))
-    tried = matching.rule_hits(texts, rules).join(rules, "ord").join(texts, "doc_id")
-    loose = rules.where("anchor is null")
-    found = tried.where(F.expr("text rlike regex")).select("doc_id", "ord")
-    if not loose.isEmpty():
-        found = found.unionByName(matching.candidates(texts, loose).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.ord").distinct())
-    return found.join(entries.select(F.col("ord").cast("long").alias("ord"), "term"), "ord").select("doc_id", "term")
+    ruled = matching.with_rules(texts, matching.term_rules(entries))
+    left = F.filter("rules", lambda r: F.regexp_like("text", r["regex"]))
+    return ruled.select("doc_id", F.explode(F.transform(left, lambda r: r["term"])).alias("term"))
+
+
+def gate(outputs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, ok, leaked) of every row of new texts (doc_id, new_text), each judged in its own row."""
+    texts = outputs.select("doc_id", F.col("new_text").alias("text"))
+    ruled = matching.with_rules(texts, matching.term_rules(entries))
+    left = F.filter("rules", lambda r: F.regexp_like("text", r["regex"]))
+    leaked = F.coalesce(F.array_sort(F.transform(left, lambda r: r["term"])), F.expr("cast(array() as array<string>)"))
+    return ruled.select("doc_id", leaked.alias("leaked")).select("doc_id", F.coalesce(F.size("leaked") == 0, F.lit(False)).alias("ok"), "leaked")
+
+
+def _with_followers(rules: DataFrame, kinds: set[int]) -> DataFrame:
+    """Add ``also``: the rules (term, regex) that a rule's tag may give something to find.
+
+    What a redacted text holds is left of the old text or is in a tag, and anchors never
+    reach over a tag's edge; so a text's own rules and these are all that can match it.
+    """
+    own = rules.withColumn("at", F.explode_outer(matching.anchors_in(F.col("label"), kinds)))
+    other = rules.select(F.col("anchor").alias("at"), F.struct("term", "regex").alias("check"))
+    rule = F.struct(*rules.columns)
+    met = own.join(other, "at", "left").groupBy("ord").agg(F.min(rule).alias("rule"), F.collect_set("check").alias("also"))
+    return met.select("rule.*", "also")
 
 
 def redact(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """One row a document: (doc_id, ok, n_matches, redacted_text, leaked).
 
-    ``entries`` (term, tag, ord) are cleaned first. A text is null where the gate holds it back.
+    ``entries`` (term, tag, ord) are cleaned first. Matching, rewriting and the leak check
+    happen in the text's own row, so each row is judged by its own text whatever its id:
+    null ids, repeated ids and repeated rows all have their own verdict. A text is released
+    only where the check has found nothing; without a verdict it is held back. Null and
+    empty texts come back as they are, with nothing matched; an empty table gives no row.
     """
-    entries = clean_entries(entries)
-    found = matching.matches(docs, matching.term_rules(entries))
-    new = matching.rewritten(docs, found)
-    leaked = leaks(new, entries).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("leaked"))
-    out = new.join(leaked, "doc_id", "left").withColumn("leaked", F.coalesce("leaked", F.expr("cast(array() as array<string>)")))
-    ok = F.size("leaked") == 0
+    return judged(found_in(docs, clean_entries(entries)))
+
+
+def found_in(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``matches`` and ``checks``, the terms that the rewritten text is to be tested for."""
+    rules = matching.term_rules(clean)
+    kinds = matching.kinds_of(rules)
+    ruled = matching.with_rules(docs, _with_followers(rules, kinds), kinds)
+    checks = F.array_distinct(F.flatten(F.transform("rules", lambda r: F.array_append(r["also"], F.struct(r["term"].alias("term"), r["regex"].alias("regex"))))))
+    found = matching.with_candidates(ruled).withColumn("matches", spans.resolve_overlaps(F.col("candidates")))
+    return found.withColumn("checks", F.coalesce(checks, F.expr("cast(array() as array<struct<term:string,regex:string>>)"))).drop("candidates", "rules")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Rewrite the rows of ``found_in`` and release those in which no term is left."""
+    new = found.select("doc_id", "checks", spans.splice(F.col("text"), F.col("matches")).alias("new_text"), F.size("matches").cast("long").alias("n_matches"))
+    left = F.filter("checks", lambda c: F.coalesce(F.regexp_like("new_text", c["regex"]), F.lit(False)))
+    out = new.withColumn("leaked", F.array_sort(F.transform(left, lambda c: c["term"])))
+    ok = F.coalesce(F.size("leaked") == 0, F.lit(False))
     return out.select("doc_id", ok.alias("ok"), "n_matches", F.when(ok, F.col("new_text")).alias("redacted_text"), "leaked")
 
 
@@ -87,8 +129,9 @@ def mapping_json(entries: DataFrame, source: Column, generated: Column, scope: s
 
 
 def output_names(files: DataFrame, saved: int) -> DataFrame:
-    """(file_id, name, hide_name) to redacted and restored file names; hidden ones are numbered on from the saved mappings."""
+    """(file_id, name, hide_name) to redacted and restored file names; hidden ones are numbered, by their numeric id, on from the saved mappings."""
+    hidden = numbered(files.where("hide_name").select("file_id"), ["file_id"], "file_id").withColumn("hide_name", F.lit(True))
     base = T.base_name(F.col("name"))
-    job = F.row_number().over(W.partitionBy("hide_name").orderBy("file_id")) + F.lit(saved)
-    redacted = F.when(F.col("hide_name"), F.concat(F.lit("redacted-job-"), job.cast("string"), F.lit(".docx"))).otherwise(F.concat(base, F.lit("_redacted.docx")))
-    return files.select("file_id", redacted.alias("redacted_name"), F.concat(base, F.lit("_restored.docx")).alias("restored_name"))
+    named = files.join(hidden, ["file_id", "hide_name"], "left")
+    job = F.concat(F.lit("redacted-job-"), (F.col("pos") + F.lit(saved)).cast("string"), F.lit(".docx"))
+    return named.select("file_id", F.when(F.col("hide_name"), job).otherwise(F.concat(base, F.lit("_redacted.docx"))).alias("redacted_name"), F.concat(base, F.lit("_restored.docx")).alias("restored_name"))

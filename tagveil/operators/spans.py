@@ -86,4 +86,5 @@ def splice(text: Column, spans: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
         return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(gap, x["replacement"])).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))), ""))
+    whole = F.aggregate(spans, start, step, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))), ""))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

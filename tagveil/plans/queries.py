@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagveil.functions import text as T
 from tagveil.functions.patterns import CATALOGUE, DOCUMENT_LABELS, MONEY, STATES, Pattern
-from tagveil.operators import detect, matching, mint, redact, restore, segments
+from tagveil.operators import detect, matching, mint, redact, restore, review, segments
 from tagveil.plans.corpora import corpus, documents, table, with_sql
-from tagveil.sources import docx, providers, stores
+from tagveil.sources import docx, ingest, providers, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,10 +80,10 @@ def has_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.has_digit(F.col("p_name")).alias("in_name"), T.has_digit(F.col("p_brand")).alias("in_brand"))
 
 
-@query("with d as (select doc_id, text, doc_id % 97 as s, doc_id % 97 + 12 as e from documents) select doc_id, case when s > 40 then '…' else '' end || replace(substr(text, greatest(0, s - 40) + 1, least(length(text), e + 40) - greatest(0, s - 40)), chr(10), ' ') || case when least(length(text), e + 40) < length(text) then '…' else '' end as context from d where e <= length(text)")
+@query("with d as (select doc_id, text, least(doc_id % 97, length(text)) as s, least(doc_id % 97 + 12, length(text)) as e from documents) select doc_id, case when s > 40 then '…' else '' end || replace(substr(text, greatest(0, s - 40) + 1, least(length(text), e + 40) - greatest(0, s - 40)), chr(10), ' ') || case when least(length(text), e + 40) < length(text) then '…' else '' end as context from d")
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = (F.col("doc_id") % 97).cast("int")
-    return documents(spark, sf_dir).where(s + 12 <= F.length("text")).select("doc_id", T.context_snippet(F.col("text"), s, s + 12).alias("context"))
+    s, e = (F.least((F.col("doc_id") % 97 + n).cast("int"), F.length("text")) for n in (0, 12))
+    return documents(spark, sf_dir).select("doc_id", T.context_snippet(F.col("text"), s, e).alias("context"))
 
 
 @query(f"""with {with_sql('values_')}, s as (select id, {_SPACE.format('value')} as v from values_) select id, case when v = '' then null when regexp_matches(v, '\\S+@\\S+\\.\\S+') then 'email' when regexp_full_match(v, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') then 'ssn' when regexp_full_match(v, '[+(]?[0-9][0-9\\s().-]{{6,}}') then 'phone' when regexp_matches(v, '(?i)\\b(?:{T.LEGAL_ENDINGS})\\b\\.?$') then 'company' when regexp_matches(v, '(?i)\\b(?:{T.COMPANY_WORDS})\\b') then 'company' else 'person' end as type from s""")
@@ -203,6 +202,8 @@ def _of(type_: str) -> tuple[Pattern, ...]:
 
 
 _LABEL_END = r"\.?\s*(?:number|no|num|#|id)?\.?\s*[:#]?\s*"
+#: (pattern, walk, validity, is a third group matched behind the value) of each type, for the whole analysis.
+_FULL_WALKS: list[tuple[Pattern, str, str, bool]] = []
 for _name, _type, _walk, _keep in (
     ("detect_email", "email", r"(?s)(.*?)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b)", "true"),
     ("detect_ssn", "ssn", r"(?s)(.*?)(\b\d{3}-\d{2}-\d{4}\b)", "true"),
@@ -215,10 +216,15 @@ for _name, _type, _walk, _keep in (
     ("detect_doc_number", "doc_number", rf"(?is)(.*?\b(?:{DOCUMENT_LABELS})\b" + _LABEL_END + r")([0-9A-Za-z][0-9A-Za-z\-]{2,})", _DIGIT_SQL),
 ):
     _detector(_name, _of(_type), _spans_sql(_walk, _BOTH_SRC, _keep))
-_detector("detect_money", (MONEY,), _spans_sql(r"(?s)(.*?)(\$\s?\d[\d,]*(?:\.\d{2})?\b)", _BOTH_SRC))
+    _FULL_WALKS.append((_of(_type)[0], _walk, _keep, False))
 # DuckDB has no lookaround, so what must stand beside a match is matched with it (no two values of these texts share it)
-_detector("detect_phone", _of("phone"), _spans_sql(r"(?s)(^|.*?[^\d])((?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4})([^\d]|$)", _BOTH_SRC, tail=True))
-_detector("detect_place", _of("place"), _spans_sql(rf"(?s)(.*?)(\b(?:{STATES})\b)(\s+\d{{5}}(?:-\d{{4}})?\b)", _BOTH_SRC, tail=True))
+for _name, _pattern, _walk, _tail in (
+    ("detect_money", MONEY, r"(?s)(.*?)(\$\s?\d[\d,]*(?:\.\d{2})?\b)", False),
+    ("detect_phone", _of("phone")[0], r"(?s)(^|.*?[^\d])((?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4})([^\d]|$)", True),
+    ("detect_place", _of("place")[0], rf"(?s)(.*?)(\b(?:{STATES})\b)(\s+\d{{5}}(?:-\d{{4}})?\b)", True),
+):
+    _detector(_name, (_pattern,), _spans_sql(_walk, _BOTH_SRC, tail=_tail))
+    _FULL_WALKS.append((_pattern, _walk, "true", _tail))
 _ZIP_WALKS = (r"(?s)(.*?)(\b\d{5}-\d{4}\b)", rf"(?s)(.*?\b(?:{STATES})\s+)(\d{{5}}(?:-\d{{4}})?\b)")
 _detector("detect_zip", _of("zip"), " union all ".join(f"select * from ({_spans_sql(w, _BOTH_SRC)})" for w in _ZIP_WALKS))
 
@@ -231,7 +237,7 @@ _EMAIL_WALK = r"(?s)(.*?)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b)"
 @query(f"select doc_id, term, count(*) as n, min(s) as s from ({_spans_sql(_EMAIL_WALK, _BOTH_SRC)}) group by doc_id, term")
 def suggest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _both(spark, sf_dir)
-    return detect.suggestions(docs, detect.pattern_spans(docs, _of("email")), ["type", "t"], ["pat_ord", "s"]).select("doc_id", F.col("t").alias("term"), "n", "s")
+    return detect.suggestions(detect.pattern_spans(docs, _of("email"), context=True), ["type", "t"], ["pat_ord", "s"]).select("doc_id", F.col("t").alias("term"), "n", "s")
 
 
 def _context_sql(text: str, s: str, e: str) -> str:
@@ -241,7 +247,7 @@ def _context_sql(text: str, s: str, e: str) -> str:
 @query(f"with {_BOTH_SRC}, f as (select doc_id, term, s, row_number() over (partition by doc_id, term order by s) as pos from ({_spans_sql(_EMAIL_WALK, _BOTH_SRC)})) select doc_id, term, pos, {_context_sql('text', 's', '(s + length(term))')} as context from f join src using (doc_id) where pos <= 5")
 def suggest_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _both(spark, sf_dir)
-    found = detect.suggestions(docs, detect.pattern_spans(docs, _of("email")), ["type", "t"], ["pat_ord", "s"])
+    found = detect.suggestions(detect.pattern_spans(docs, _of("email"), context=True), ["type", "t"], ["pat_ord", "s"])
     return found.select("doc_id", F.col("t").alias("term"), F.posexplode("contexts").alias("p", "context")).select("doc_id", "term", (F.col("p") + 1).cast("long").alias("pos"), "context")
 
 
@@ -310,8 +316,7 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {with_sql('letters')} select doc_id, replace(substr(text, 1, length(text) - length(n_name)), ' of ' || n_name || ',', ' [[OF_' || substr(n_name, 8) || ']],') || '[[LAND_' || substr(n_name, 8) || ']]' as new_text from letters")
 def apply_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _letters(spark, sf_dir)
-    return matching.rewritten(docs, matching.matches(docs, matching.term_rules(_nations(spark, sf_dir)))).select("doc_id", "new_text")
+    return matching.rewritten(matching.matches(_letters(spark, sf_dir), matching.term_rules(_nations(spark, sf_dir)))).select("doc_id", "new_text")
 
 
 _REDACTED = f"with {with_sql('letters')}, r as (select doc_id, c_custkey, replace(text, c_name, '[[CUST_' || cast(c_custkey as varchar) || ']]') as new_text from letters)"
@@ -319,8 +324,7 @@ _REDACTED = f"with {with_sql('letters')}, r as (select doc_id, c_custkey, replac
 
 @query(_REDACTED + " select doc_id, new_text from r")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _letters(spark, sf_dir)
-    return matching.rewritten(docs, matching.matches(docs, matching.term_rules(_customers(spark, sf_dir)))).select("doc_id", "new_text")
+    return matching.rewritten(_found(spark, sf_dir)).select("doc_id", "new_text")
 
 
 @query(f"with {with_sql('letters')} select doc_id, c_name as term, 'saved' as type, '[[CUST_' || cast(c_custkey as varchar) || ']]' as tag, 2 as n from letters")
@@ -351,11 +355,29 @@ def analyze_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LAYERS + " select doc_id, row_number() over (partition by doc_id order by rank desc, n desc, lower(term)) as pos, term from l")
 def analyze_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("rank").desc(), F.col("n").desc(), F.lower("term")))
-    return _layers(spark, sf_dir).select("doc_id", pos.cast("long").alias("pos"), "term")
+    return detect.ranked(_layers(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+def _full_sql() -> str:
+    """Every layer's spans, counted and numbered by document, with the saved names before them."""
+    from tagveil.functions.patterns import catalogue
 
+    walks = {p.type: (walk, keep, tail) for p, walk, keep, tail in _FULL_WALKS}
+    parts = []
+    zips = iter(_ZIP_WALKS)
+    for i, p in enumerate(catalogue(True)):
+        walk, keep, tail = (next(zips), "true", False) if p.type == "zip" else walks[p.type]
+        parts.append(f"select doc_id, {i} as pat_ord, '{p.type}' as type, '{p.prefix}' as prefix, s, term from ({_spans_sql(walk, _BOTH_SRC, keep, tail)})")
+    return f"""with f as ({" union all ".join(parts)}),
+        g as (select doc_id, type, term, any_value(prefix) as prefix, count(*) as n, min(pat_ord * 1000000000 + s) as place from f group by doc_id, type, term),
+        k as (select *, '[[' || prefix || '_' || cast(row_number() over (partition by doc_id, prefix order by place) as varchar) || ']]' as tag from g),
+        {with_sql("letters")},
+        l as (select doc_id, 2 as rank, 'pattern' as source, term, type, tag, n, place from k union all select doc_id, 3, 'dictionary', c_name, 'saved', '[[CUST_' || cast(c_custkey as varchar) || ']]', 2, 0 from letters),
+        b as (select *, row_number() over (partition by doc_id, lower(term) order by rank desc, place) as best from l)
+        select doc_id, row_number() over (partition by doc_id order by rank desc, n desc, lower(term)) as pos, term, type, source, tag, n, true as checked from b where best = 1"""
 
-@query()
+
+@query(_full_sql())
 def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers over letters and documents, with every customer's name saved."""
     return detect.analyze(_both(spark, sf_dir), _customers(spark, sf_dir), include_money=True).select("doc_id", "pos", "term", "type", "source", "tag", "n", "checked")
@@ -371,20 +393,19 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with r as ({_ROWS}) select doc_id, pos, term, tag from r where contains(lower(term), 't 12') or contains(lower(tag), 'p_r')")
 def review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return rows.where(F.lower("term").contains("t 12") | F.lower("tag").contains("p_r")).select("doc_id", "pos", "term", "tag")
+    return review.filtered(rows, "T 12 ", "p_R").select("doc_id", "pos", "term", "tag")
 
 
 @query(f"with r as ({_ROWS}) select doc_id, count(*) filter (checked) as selected, count(*) filter (not checked) as declined from r group by doc_id")
 def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).groupBy("doc_id").agg(F.count_if("checked").alias("selected"), F.count_if(~F.col("checked")).alias("declined"))
+    return review.counts(_rows(spark, sf_dir))
 
 
 # a term typed in by hand: refused if the list has it in another spelling, else put in front
 @query(f"with r as ({_ROWS}), a as (select o_orderkey as doc_id, 'PART, ' || cast(o_custkey as string) as term from orders), k as (select a.doc_id, a.term from a where not exists (select 1 from r where r.doc_id = a.doc_id and lower(r.term) = replace(lower(a.term), ',', ''))) select doc_id, 0 as pos, term, 'manual' as source, true as checked from k")
 def review_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "'PART, ' || cast(o_custkey as string) as term").withColumn("key", T.norm_key_ui(F.col("term")))
-    have = _rows(spark, sf_dir).select("doc_id", T.norm_key_ui(F.col("term")).alias("key"))
-    return typed.join(have, ["doc_id", "key"], "left_anti").select("doc_id", F.lit(0).alias("pos"), "term", F.lit("manual").alias("source"), F.lit(True).alias("checked"))
+    typed = table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "'PART, ' || cast(o_custkey as string) as term")
+    return review.added(_rows(spark, sf_dir), typed)
 
 
 _PICTURES = "select event_id as image_id, case event_type when 'click' then null when 'view' then '  ' when 'purchase' then 'call (555) 123-' || lpad(cast(event_id % 10000 as string), 4, '0') else 'plain words' end as text from events"
@@ -406,8 +427,7 @@ def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with p as ({_PICTURES}) select image_id from p where ({_WARN_SQL}) != 'sensitive'")
 def keep_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = _pictures(spark, sf_dir)
-    chosen = pictures.where("warn != 'sensitive'").select("image_id")
-    return pictures.join(chosen, "image_id", "left_semi").select("image_id")
+    return providers.chosen(pictures, providers.keep_by_default(pictures)).select("image_id")
 
 
 @query("select l_orderkey as doc_id, string_agg('line ' || cast(l_linenumber as varchar), chr(10) order by l_quantity desc, l_extendedprice, l_linenumber) as text from lineitem group by l_orderkey")
@@ -423,12 +443,32 @@ def region_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where(kept).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"))
 
 
-@query()
+# every box takes in the boxes near it, until none does; the boxes that are left are the clusters
+@query("""with recursive b as (select l_orderkey as page_id, row_number() over () as rect_id, cast(l_quantity * 8 as double) as x0, cast(l_tax * 2000 as double) as y0, cast(l_quantity * 8 + 30 as double) as x1, cast(l_tax * 2000 + 30 as double) as y1 from lineitem),
+    g as (select 0 as i, * from b union all
+        select a.i + 1, a.page_id, a.rect_id, min(o.x0), min(o.y0), max(o.x1), max(o.y1) from g a join g o on a.page_id = o.page_id and o.x0 - 26 < a.x1 and a.x0 < o.x1 + 26 and o.y0 - 26 < a.y1 and a.y0 < o.y1 + 26 where a.i < 10 group by a.i, a.page_id, a.rect_id)
+    select distinct page_id, x0, y0, x1, y1 from g where i = 10""")
 def region_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rects = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as page_id", "l_linenumber as rect_id", "l_quantity * 8 as x0", "l_tax * 2000 as y0", "l_quantity * 8 + 30 as x1", "l_tax * 2000 + 30 as y1")
     return providers.clusters(rects)
 
 
+_PAGES = "select l_suppkey as doc_id, l_linenumber as page, l_returnflag != 'N' as raster, l_orderkey as pos, case when l_returnflag != 'N' then l_partkey % 400 end as xref, cast(l_quantity * 20 as int) as width, cast(l_tax * 4000 as int) + 20 as height from lineitem"
+_ORDER_SQL = "page, raster desc, pos"
+
+
+@query(f"""with p as ({_PAGES}), u as (select *, row_number() over (partition by doc_id, raster, xref order by {_ORDER_SQL}) as nth from p),
+    l as (select *, row_number() over (partition by doc_id order by {_ORDER_SQL}) - 1 as image_id from u where (nth = 1 or not raster) and width >= 40 and height >= 40),
+    c as (select *, min(image_id) over (partition by doc_id, page) as before from l)
+    select doc_id, page, pos, image_id from c where before < 24 and (raster or image_id < 24)""")
+def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier is a document whose pages hold embedded pictures, some shown again and again, and drawn regions."""
+    from tagveil.plans.corpora import _braced
+
+    found = spark.sql(_braced(_PAGES, ("lineitem",)), lineitem=table(spark, sf_dir, "lineitem"))
+    return providers.kept_pictures(found).select("doc_id", "page", "pos", F.col("image_id").cast("long").alias("image_id"))
+
+
 # --- redaction result, gate, mappings ------------------------------------------------------------
 
 _ENTRY_TERM = "case when o_orderkey % 4 = 0 then ' ' else ' Part ' || cast(o_orderkey % 9 as string) || case when o_orderkey % 2 = 0 then ' ' else '' end end"
@@ -451,7 +491,7 @@ def clean_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_CLEAN} select doc_id, tag, arg_max(term, ord) as value, min(ord) as ord from clean group by doc_id, tag")
 def tag_value_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = redact.clean_entries(_entries(spark, sf_dir), ["doc_id"])
-    return clean.groupBy("doc_id", "tag").agg(F.max_by("term", "ord").alias("value"), F.min("ord").alias("ord"))
+    return redact.tag_values(clean, ["doc_id"])
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,10 +556,7 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_OUTPUTS} select doc_id, not contains(new_text, c_name) as ok, case when contains(new_text, c_name) then 1 else 0 end as n_leaked from o")
 def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = _outputs(spark, sf_dir)
-    leaked = redact.leaks(outputs, _customers(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return outputs.join(leaked, "doc_id", "left").select("doc_id", (n == 0).alias("ok"), n.cast("int").alias("n_leaked"))
+    return redact.gate(_outputs(spark, sf_dir), _customers(spark, sf_dir)).select("doc_id", "ok", F.size("leaked").alias("n_leaked"))
 
 
 @query(_REDACTED + " select doc_id, true as ok, 2 as n_matches, new_text as redacted_text from r")
@@ -527,6 +564,32 @@ def redaction_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact(_letters(spark, sf_dir), _customers(spark, sf_dir)).select("doc_id", "ok", "n_matches", "redacted_text")
 
 
+# texts with the id of another, without one, and twice: each is redacted by itself
+_ODD = f"with {with_sql('letters')}, o as (select case when doc_id % 4 = 0 then null else doc_id // 8 end as doc_id, c_custkey, c_name, text from letters), t as (select * from o union all select * from o where c_custkey % 50 = 0)"
+
+
+@query(_ODD + " select doc_id, true as ok, 2 as n_matches, replace(text, c_name, '[[CUST_' || cast(c_custkey as varchar) || ']]') as redacted_text from t")
+def redact_odd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = corpus(spark, sf_dir, "letters").select(F.expr("case when doc_id % 4 = 0 then null else doc_id div 8 end").alias("doc_id"), "c_custkey", "text")
+    docs = odd.unionByName(odd.where("c_custkey % 50 = 0")).select("doc_id", "text")
+    return redact.redact(docs, _customers(spark, sf_dir)).select("doc_id", "ok", "n_matches", "redacted_text")
+
+
+# names without a Latin letter: every part has one in Cyrillic and one in Chinese, in longer words
+_GLYPHS = "translate(cast(p_partkey as string), '0123456789', '{0}')"
+_CYRILLIC, _CHINESE = "абвгдежзик", "零一二三四五六七八九"
+
+
+@query(f"select p_partkey as doc_id, true as ok, 3 as n_matches, 'Нет [[K_' || p_partkey || ']]ов, [[K_' || p_partkey || ']]; 给[[H_' || p_partkey || ']]。' as redacted_text from part")
+def redact_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(_GLYPHS.format(_CYRILLIC)).alias("k"), F.expr(_GLYPHS.format(_CHINESE)).alias("h"))
+    # a mark behind each name keeps the name of part 1 apart from that of part 12
+    docs = parts.select(F.col("p_partkey").alias("doc_id"), F.expr("'Нет ¤' || k || '¤ов, ¤' || upper(k) || '¤; 给¤' || h || '¤。'").alias("text"))
+    terms = parts.select(F.expr("'¤' || k || '¤'").alias("term"), F.expr("'[[K_' || cast(p_partkey as string) || ']]'").alias("tag"), (F.col("p_partkey") * 2).alias("ord"))
+    more = parts.select(F.expr("'¤' || h || '¤'").alias("term"), F.expr("'[[H_' || cast(p_partkey as string) || ']]'").alias("tag"), (F.col("p_partkey") * 2 + 1).alias("ord"))
+    return redact.redact(docs, terms.unionByName(more)).select("doc_id", "ok", "n_matches", "redacted_text")
+
+
 # --- restore ------------------------------------------------------------------------------------
 
 
@@ -553,18 +616,17 @@ _COUNTS = "case doc_id % 4 when 0 then 2 else 1 end as replaced, case doc_id % 4
 
 @query(f"with {_RESTORED} select doc_id, '[[CUST_' || cast(o_custkey as varchar) || ']]' as tag, {_COUNTS} from r")
 def restore_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = restore.restored(corpus(spark, sf_dir, "drafts").select("doc_id", "text"), _mapping(spark, sf_dir))
-    return restore.hits(found)
+    return restore.hits(restore.restored(corpus(spark, sf_dir, "drafts").select("doc_id", "text"), _mapping(spark, sf_dir))[0])
 
 
-# the report proper has a row for every tag of the mapping: here a mapping of five
-@query(f"with {with_sql('drafts')}, t as (select '[[CUST_' || cast(c_custkey as varchar) || ']]' as tag, c_custkey from customer where c_custkey <= 5), z as (select doc_id, tag, c_custkey, o_custkey from drafts, t) select doc_id, tag, case when c_custkey = o_custkey then case doc_id % 4 when 0 then 2 else 1 end else 0 end as replaced, case when c_custkey = o_custkey and doc_id % 4 in (1, 2) then 1 else 0 end as mangled from z")
+# over all drafts, for every tag of the mapping that they share
+@query(f"with {_RESTORED}, h as (select o_custkey, {_COUNTS} from r), t as (select o_custkey, sum(replaced) as replaced, sum(mangled) as mangled from h group by o_custkey) select '[[CUST_' || cast(c_custkey as varchar) || ']]' as tag, cast(coalesce(replaced, 0) as bigint) as replaced, cast(coalesce(mangled, 0) as bigint) as mangled from customer left join t on o_custkey = c_custkey")
 def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, few = corpus(spark, sf_dir, "drafts").select("doc_id", "text"), _mapping(spark, sf_dir).where("ord <= 5")
-    return restore.report(docs, few, restore.restored(docs, few)[0])
+    docs, mapping = corpus(spark, sf_dir, "drafts").select("doc_id", "text"), _mapping(spark, sf_dir)
+    return restore.report_totals(mapping, restore.restored(docs, mapping)[0])
 
 
-# the same over whole mappings: each draft's own, of its customer's tag and a tag that the draft does not use
+# by draft, over whole mappings: each draft's own, of its customer's tag and a tag that the draft does not use
 @query(f"with {_RESTORED} select doc_id, '[[CUST_' || cast(o_custkey as varchar) || ']]' as tag, {_COUNTS} from r union all select doc_id, '[[LAND_' || cast(o_custkey % 25 as varchar) || ']]', 0, 0 from r")
 def restore_report_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = corpus(spark, sf_dir, "drafts")
@@ -642,7 +704,7 @@ def recent_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SAVED} select count(*) as n from m")
 def mapping_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mappings(spark, sf_dir).agg(F.count("*").alias("n"))
+    return stores.count(_mappings(spark, sf_dir))
 
 
 @query(f"with {_SAVED} select 'u' || cast(user_id as varchar) as mapping_id from m where user_id % 10 != 0")
@@ -656,13 +718,14 @@ def mapping_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.forget(_mappings(spark, sf_dir), ids).select("mapping_id")
 
 
-@query("select c_name as term, '[[' || c_mktsegment || ']]' as tag, c_custkey as ord from customer")
+@query("select c_mktsegment as file_id, c_name as term, '[[' || c_mktsegment || ']]' as tag, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as ord from customer")
 def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of dictionary files: one JSON object a segment, read from its text."""
-    entry = F.struct(F.col("c_name").alias("term"), F.expr("'[[' || c_mktsegment || ']]'").alias("tag"), F.col("c_custkey").alias("ord"))
-    files = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.to_json(F.struct(F.lit("n").alias("note"), F.collect_list(entry).alias("entries"))).alias("json"))
-    parsed = F.from_json("json", "entries array<struct<term:string,tag:string,ord:bigint>>")["entries"]
-    return files.select(F.explode(parsed).alias("e")).select("e.term", "e.tag", "e.ord")
+    """Entries of dictionary files: a JSON object a segment (a bare list for one of them), and two files that cannot be read."""
+    entry = F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("term"), F.expr("'[[' || c_mktsegment || ']]'").alias("tag"))))
+    files = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("file_id")).agg(entry.alias("entries"))
+    json = F.when(F.col("file_id") == "BUILDING", F.to_json("entries")).otherwise(F.to_json(F.struct(F.lit("n").alias("note"), "entries")))
+    broken = spark.createDataFrame([("a", "{broken"), ("b", '{"entries": null}')], "file_id string, json string")
+    return stores.dictionary_entries(files.select("file_id", json.alias("json")).unionByName(broken)).select("file_id", "term", "tag", "ord")
 
 
 # --- paragraphs, segments, Word files -----------------------------------------------------------
@@ -670,8 +733,7 @@ def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with p as (select doc_id, str_split(text, chr(10)) as l from documents) select doc_id, unnest(range(len(l))) as para, unnest(l) as line from p")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "line"))
-    return lines.select("doc_id", F.col("para").cast("long").alias("para"), "line")
+    return ingest.paragraphs(documents(spark, sf_dir))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -699,7 +761,9 @@ def docx_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = (("the", "[[WORD_1]]"), ("and of", "[[WORD_2]]"))
 
 
-@query()
+@query(r"""with r as (select conv_id * 1000 + turn as doc_id, array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda l: regexp_replace(regexp_replace(l, '\band\s+of\b', '[[WORD_2]]', 'gi'), '\bthe\b', '[[WORD_1]]', 'gi')), lambda l: l != ''), chr(10)) as t from conversations),
+    k as (select doc_id, t, list_filter(['and of', 'the'], lambda w: regexp_matches(t, '(?i)\b' || replace(w, ' ', '\s+') || '\b')) as leaked from r)
+    select doc_id, len(leaked) = 0 as ok, case when len(leaked) = 0 then t end as text, leaked, cast(null as varchar) as error from k""")
 def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(_TERMS)], "term string, tag string, ord long")
     return docx.redacted(_files(spark, sf_dir), entries).select("doc_id", "ok", "text", "leaked", "error")
@@ -712,7 +776,7 @@ def docx_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = matching.term_rules(entries, ignore_case=False)
     hidden = docx.rules_applied(_files(spark, sf_dir), rules).select("doc_id", "content")
     back = docx.rules_applied(hidden, restore.restore_rules(entries.select("tag", F.col("term").alias("value"), "ord")))
-    return docx.texts(docx.segments(back.select("doc_id", "content")))
+    return docx.texts(docx.segments(back.select("doc_id", "content"))).where("text != ''").select("doc_id", "text")
 
 
 @query("select cast(c_custkey as bigint) as doc_id, case when c_custkey % 2 = 0 then 'BadZipFile' when c_custkey % 3 = 0 then 'UnsafeFile' end as error from customer")

@@ -1,8 +1,12 @@
 """Word files as tables: segments of paragraphs out, rewritten files in.
 
 Files come as (doc_id, content), for example from Spark's ``binaryFile`` source. One file is
-one row, so the work is map-only Python over the standard library's zip and XML; a file that
-looks malicious or broken gives an error, not a failed job.
+one row, so the work is map-only Python over the standard library's zip and XML readers; a
+file that looks malicious or cannot be read gives an error, not a failed job. Files are told
+apart by a digest of id and content, so repeated and missing ids are no matter.
+
+Rewriting replaces the bytes of text nodes where they stand. Everything else in a part, such
+as declarations of namespaces that only an attribute's value names, stays byte for byte.
 """
 
 from __future__ import annotations
@@ -10,12 +14,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from dataclasses import dataclass
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.functions import text as T
@@ -26,15 +32,23 @@ CONTENT_PART = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnote
 PROPERTY_PARTS = ("docProps/core.xml", "docProps/app.xml")
 PROPERTY_FIELDS = frozenset({"creator", "lastModifiedBy", "title", "subject", "description", "keywords", "Company", "Manager"})
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
+_WORD = _W[1:-1]
+_SPACE = re.compile(rb"""\s(?:xml:space)\s*=\s*(?:"[^"]*"|'[^']*')""")
+_START_TAG = re.compile(rb"""<[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>""")
+#: Characters that XML cannot hold.
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
-SEGMENTS = "doc_id long, part string, para_idx int, seg_idx int, text string, error string"
+SEGMENTS = "doc_id long, file string, part string, para_idx int, seg_idx int, text string, error string"
 
 
 class UnsafeFile(Exception):
     pass
 
 
+#: What reading a broken, encrypted or oddly packed file can raise.
+BROKEN = (UnsafeFile, zipfile.BadZipFile, expat.ExpatError, zlib.error, EOFError, RuntimeError, NotImplementedError, UnicodeError, ValueError, OSError)
+
+
 def _parts(content: bytes) -> list[tuple[zipfile.ZipInfo, bytes]]:
     """All members, after the checks that need no reading."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -50,178 +64,308 @@ def _parts(content: bytes) -> list[tuple[zipfile.ZipInfo, bytes]]:
         return [(m, z.read(m)) for m in members]
 
 
-def _parsed(data: bytes) -> ElementTree.Element:
-    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
-        raise UnsafeFile("document type declarations are refused")
-    return ElementTree.fromstring(data)
-
+@dataclass
+class Node:
+    """A text node: the bytes of its element and what it says."""
 
-def _paragraphs(root: ElementTree.Element) -> list[list[ElementTree.Element]]:
-    """Text nodes by the nearest paragraph around them, paragraphs in document order."""
-    out: list[list[ElementTree.Element]] = []
+    start: int
+    end: int = 0
+    text: str = ""
+    is_run: bool = True
 
-    def visit(node: ElementTree.Element, own: list | None) -> None:
-        if node.tag == _W + "p":
-            own = []
-            out.append(own)
-        elif node.tag == _W + "t" and own is not None:
-            own.append(node)
-        for child in node:
-            visit(child, own)
 
-    visit(root, None)
-    return out
+def _utf8(data: bytes) -> bytes:
+    """The part in UTF-8, so that offsets in it are those of the parser."""
+    if data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+        return data
+    return re.sub(r"""(<\?xml[^>]*encoding\s*=\s*["'])[^"']*""", r"\1UTF-8", data.decode("utf-16"), count=1).encode("utf-8")
 
 
-def _properties(root: ElementTree.Element) -> list[ElementTree.Element]:
-    return [e for e in root.iter() if e.text and e.text.strip() and e.tag.rpartition("}")[2] in PROPERTY_FIELDS]
+def _units(name: str, data: bytes) -> list[list[Node]]:
+    """Text nodes of a part by paragraph, the nearest one around them; a property is a paragraph of one node."""
+    content = CONTENT_PART.match(name) is not None
+    if not content and name not in PROPERTY_PARTS:
+        return []
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.buffer_text = True
+    units: list[list[Node]] = []
+    paragraphs: list[list[Node]] = []
+    open_nodes: list[Node | None] = []
+    depth_of_paragraph: list[int] = []
 
+    def refuse(*_) -> None:
+        raise UnsafeFile("document type declarations are refused")
 
-def _units(name: str, data: bytes) -> tuple[ElementTree.Element | None, list[list[ElementTree.Element]]]:
-    """The part's tree and its paragraphs' nodes; a property is a paragraph of one node."""
-    if CONTENT_PART.match(name):
-        root = _parsed(data)
-        return root, _paragraphs(root)
-    if name in PROPERTY_PARTS:
-        root = _parsed(data)
-        return root, [[e] for e in _properties(root)]
-    return None, []
+    def start(tag: str, _) -> None:
+        uri, _, local = tag.rpartition(" ")
+        node = None
+        if content and uri == _WORD and local == "p":
+            paragraphs.append([])
+            units.append(paragraphs[-1])
+            depth_of_paragraph.append(len(open_nodes))
+        elif content and uri == _WORD and local == "t" and paragraphs:
+            node = Node(parser.CurrentByteIndex)
+            paragraphs[-1].append(node)
+        elif not content and local in PROPERTY_FIELDS:
+            node = Node(parser.CurrentByteIndex, is_run=False)
+        open_nodes.append(node)
+
+    def end(_) -> None:
+        node = open_nodes.pop()
+        if node is not None:
+            node.end = parser.CurrentByteIndex
+            if not node.is_run and node.text.strip():
+                units.append([node])
+        if depth_of_paragraph and depth_of_paragraph[-1] == len(open_nodes):
+            depth_of_paragraph.pop()
+            paragraphs.pop()
+
+    def text(part: str) -> None:
+        if open_nodes and open_nodes[-1] is not None:
+            open_nodes[-1].text += part
+
+    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refuse
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    parser.Parse(data, True)
+    return units
+
+
+def _file_key(doc_id: Column, content: Column) -> Column:
+    return F.sha2(F.concat(F.coalesce(content, F.lit(b"")), F.lit(b"\x00"), F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary")), 256)
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    doc_id, content = F.col("doc_id").cast("long"), F.col("content").cast("binary")
+    return files.select(doc_id.alias("doc_id"), _file_key(doc_id, content).alias("file"), content.alias("content"))
 
 
 def segments(files: DataFrame) -> DataFrame:
-    """One row a text node: (doc_id, part, para_idx, seg_idx, text), or one row with an error."""
+    """One row a text node: (doc_id, file, part, para_idx, seg_idx, text); one row with an error, or without a part if there is no text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, content in zip(batch.doc_id, batch.content, strict=True):
+            for doc_id, file, content in zip(batch.doc_id, batch.file, batch.content, strict=True):
                 own = []
                 try:
                     for member, data in _parts(bytes(content or b"")):
-                        for p, nodes in enumerate(_units(member.filename, data)[1]):
-                            own += [(doc_id, member.filename, p, i, n.text or "", None) for i, n in enumerate(nodes)]
-                except (UnsafeFile, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as e:
-                    own = [(doc_id, None, None, None, None, f"{type(e).__name__}: {e}")]
-                rows += own
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "para_idx", "seg_idx", "text", "error"]).astype({"para_idx": "Int32", "seg_idx": "Int32"})
+                        for p, nodes in enumerate(_units(member.filename, _utf8(data))):
+                            own += [(doc_id, file, member.filename, p, i, n.text, None) for i, n in enumerate(nodes)]
+                except BROKEN as e:
+                    own = [(doc_id, file, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += own or [(doc_id, file, None, None, None, None, None)]
+            yield pd.DataFrame(rows, columns=["doc_id", "file", "part", "para_idx", "seg_idx", "text", "error"]).astype({"doc_id": "Int64", "para_idx": "Int32", "seg_idx": "Int32"})
 
-    return files.select(F.col("doc_id").cast("long"), F.col("content").cast("binary").alias("content")).mapInPandas(read, SEGMENTS)
+    return _keyed(files).mapInPandas(read, SEGMENTS)
 
 
 def texts(found: DataFrame) -> DataFrame:
-    """(doc_id, text): non-empty paragraphs of all parts, one a line."""
+    """(doc_id, file, text): non-empty paragraphs of all parts, one a line; an empty text for files without one."""
     paragraph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), "")
-    lines = found.where("error is null").groupBy("doc_id", "part", "para_idx").agg(paragraph.alias("line")).where("line != ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "para_idx", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("doc_id").agg(text.alias("text"))
+    lines = found.where("error is null").groupBy("doc_id", "file", "part", "para_idx").agg(paragraph.alias("line"))
+    said = F.filter(F.array_sort(F.collect_list(F.struct("part", "para_idx", "line"))), lambda x: x["line"] != "")
+    return lines.groupBy("doc_id", "file").agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("text"))
 
 
 def rewritten(files: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, content, error) with the text nodes of ``new`` (doc_id, part, para_idx, seg_idx, new_text, preserve) put in.
+    """(doc_id, file, content, error) with the text nodes of ``new`` (file, part, para_idx, seg_idx, new_text, preserve) put in; ``file`` names the file as it was.
 
     All that is no text node stays as it is; a file without new nodes passes through.
     """
-    changes = new.groupBy("doc_id").agg(F.collect_list(F.struct("part", "para_idx", "seg_idx", "new_text", "preserve")).alias("changes"))
-    both = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content")).join(changes, "doc_id", "left")
+    changes = new.groupBy("file").agg(F.collect_list(F.struct("part", "para_idx", "seg_idx", "new_text", "preserve")).alias("changes"))
+    both = _keyed(files).join(changes, "file", "left").select("doc_id", "file", "content", "changes")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, content, listed in zip(batch.doc_id, batch.content, batch.changes, strict=True):
+            for doc_id, file, content, listed in zip(batch.doc_id, batch.file, batch.content, batch.changes, strict=True):
                 try:
                     at = {(c["part"], c["para_idx"], c["seg_idx"]): (c["new_text"], c["preserve"]) for c in ([] if listed is None else listed)}
-                    rows.append((doc_id, _rewrite(bytes(content or b""), at), None))
-                except (UnsafeFile, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as e:
-                    rows.append((doc_id, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "content", "error"])
+                    rows.append((doc_id, file, _rewrite(bytes(content or b""), at)[0], None))
+                except BROKEN as e:
+                    rows.append((doc_id, file, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "file", "content", "error"]).astype({"doc_id": "Int64"})
 
-    return both.mapInPandas(write, "doc_id long, content binary, error string")
+    return both.mapInPandas(write, "doc_id long, file string, content binary, error string")
 
 
-def _rewrite(content: bytes, at: dict[tuple[str, int, int], tuple[str, bool]]) -> bytes:
-    changed = {key[0] for key in at}
-    out = io.BytesIO()
+def _rewrite(content: bytes, at: dict[tuple[str, int, int], tuple[str, bool]]) -> tuple[bytes, dict[str, int]]:
+    """The file with changed text nodes, and how many of each part changed."""
+    named = {key[0] for key in at}
+    out, counts = io.BytesIO(), {}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for member, data in _parts(content):
-            if member.filename in changed:
-                for prefix, uri in {n for _, n in ElementTree.iterparse(io.BytesIO(data), ["start-ns"])}:
-                    if not re.fullmatch(r"ns\d+", prefix):
-                        ElementTree.register_namespace(prefix, uri)
-                root, units = _units(member.filename, data)
-                for p, nodes in enumerate(units):
-                    for i, node in enumerate(nodes):
-                        if (got := at.get((member.filename, p, i))) is not None:
-                            node.text = got[0]
-                            if got[1] and node.tag == _W + "t":
-                                node.set(_SPACE, "preserve")
-                data = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+            if member.filename in named:
+                own = {key[1:]: new for key, new in at.items() if key[0] == member.filename}
+                data, counts[member.filename] = _replaced(member.filename, data, own)
             z.writestr(member, data)
-    return out.getvalue()
+    return out.getvalue(), counts
+
+
+def _replaced(name: str, original: bytes, new: dict[tuple[int, int], tuple[str, bool]]) -> tuple[bytes, int]:
+    data = _utf8(original)
+    edits = []
+    for p, nodes in enumerate(_units(name, data)):
+        for i, node in enumerate(nodes):
+            got = new.get((p, i))
+            if got is not None and got[0] != node.text:
+                edits.append((node, *got))
+    if not edits:
+        return original, 0
+    parts, at = [], 0
+    for node, text, preserve in sorted(edits, key=lambda e: e[0].start):
+        head = _START_TAG.match(data, node.start)
+        tag, body = head[0], escape(_FORBIDDEN.sub("", text or "")).encode("utf-8")
+        empty = tag.endswith(b"/>")
+        if node.is_run and preserve:
+            tag = _SPACE.sub(b"", tag)
+            tag = tag[: -2 if empty else -1] + b' xml:space="preserve"' + (b"/>" if empty else b">")
+        if empty:
+            label = re.match(rb"<([^\s/>]+)", tag)[1]
+            parts += [data[at : node.start], tag[:-2] + b">", body, b"</" + label + b">"]
+            at = head.end()
+        else:
+            parts += [data[at : node.start], tag, body]
+            at = node.end
+    return b"".join([*parts, data[at:]]), len(edits)
 
 
 def plain_docx(lines: list[str]) -> bytes:
     """A minimal Word file with one paragraph a line and no properties."""
     body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+    return _package(body)
+
+
+# Content types, relation types and namespaces of the package format, and a picture's width of six inches in its units.
+_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+PICTURE_WIDTH = 6 * 914_400
+
+
+def _package(body: str) -> bytes:
     parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>',
+        "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_RELATIONS}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'<w:document xmlns:w="{_WORD}"><w:body>{body}</w:body></w:document>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + data)
+            z.writestr(_member(name), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + data)
     return out.getvalue()
 
 
+def _member(name: str) -> zipfile.ZipInfo:
+    """A new part without the time of writing, so that equal contents are equal files."""
+    made = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+    made.compress_type = zipfile.ZIP_DEFLATED
+    return made
+
+
+def with_pictures(content: bytes, pictures: list[tuple[bytes, int, int]]) -> bytes:
+    """A file that ``plain_docx`` made or a writer's, with (png, width, height) pictures six inches wide on a page of their own at its end."""
+    members = _parts(content)
+    known = {m.filename for m, _ in members}
+    names = [f"kept{i}.png" for i in range(len(pictures))]
+    if not pictures or f"word/media/{names[0]}" in known:
+        return content
+
+    def drawn(i: int, width: int, height: int) -> str:
+        size = f'cx="{PICTURE_WIDTH}" cy="{PICTURE_WIDTH * max(height, 1) // max(width, 1)}"'
+        picture = f'<pic:pic xmlns:pic="{_DRAWING}/picture"><pic:nvPicPr><pic:cNvPr id="{i + 1}" name="kept{i}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="kept{i}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"/></pic:spPr></pic:pic>'
+        return f'<w:p><w:r><w:drawing><wp:inline xmlns:wp="{_DRAWING}/wordprocessingDrawing" xmlns:a="{_DRAWING}/main" xmlns:r="{_RELATIONS}"><wp:extent {size}/><wp:docPr id="{i + 1}" name="kept{i}"/><a:graphic><a:graphicData uri="{_DRAWING}/picture">{picture}</a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>'
+
+    own = f'<w:p xmlns:w="{_WORD}">'
+    added = "".join(['<w:p><w:r><w:br w:type="page"/></w:r></w:p>', *(drawn(i, w, h) for i, (_, w, h) in enumerate(pictures))]).replace("<w:p>", own)
+    rels = "".join(f'<Relationship Id="kept{i}" Type="{_RELATIONS}/image" Target="media/{n}"/>' for i, n in enumerate(names))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for member, data in members:
+            if member.filename == "word/document.xml":
+                body = re.search(rb"(<(?:\w+:)?sectPr\b(?:(?!</(?:\w+:)?p>).)*)?</(?:\w+:)?body>\s*</(?:\w+:)?document>\s*\Z", _utf8(data), re.S)
+                if body is None:
+                    return content
+                data = _utf8(data)[: body.start()] + added.encode() + body[0]
+            elif member.filename == "word/_rels/document.xml.rels":
+                data = data.replace(b"</Relationships>", rels.encode() + b"</Relationships>")
+            elif member.filename == "[Content_Types].xml" and b'Extension="png"' not in data:
+                data = re.sub(rb"(<Types[^>]*>)", rb'\1<Default Extension="png" ContentType="image/png"/>', data, count=1)
+            z.writestr(member, data)
+        if "word/_rels/document.xml.rels" not in known:
+            z.writestr(_member("word/_rels/document.xml.rels"), f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="{_PACKAGE}/relationships">{rels}</Relationships>')
+        for name, (png, _, _) in zip(names, pictures, strict=True):
+            z.writestr(_member(f"word/media/{name}"), png)
+    return out.getvalue()
+
+
+def embedded(files: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(doc_id, content) with the kept pictures (doc_id, image_id, png, width, height) at the end of each file, by image_id; a file that cannot take them stays as it is."""
+    listed = F.array_sort(F.collect_list(F.struct("image_id", "png", "width", "height")))
+    both = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content")).join(pictures.groupBy("doc_id").agg(listed.alias("pictures")), "doc_id", "left")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for content, own in zip(batch.content, batch.pictures, strict=True):
+                try:
+                    made.append(with_pictures(bytes(content or b""), [(bytes(p["png"]), p["width"], p["height"]) for p in ([] if own is None else own)]))
+                except BROKEN:
+                    made.append(content)
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "content": made})
+
+    return both.mapInPandas(write, "doc_id long, content binary")
+
+
 def from_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, content): each text as a plain Word file, a paragraph a line."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [plain_docx(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", t or "").split("\n")) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "content": made})
+            made = [plain_docx(_FORBIDDEN.sub("", t or "").split("\n")) for t in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "content": made})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(write, "doc_id long, content binary")
 
 
 def rules_applied(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Redact or restore whole files by rules: segments out, matches per paragraph, segments back."""
+    """(doc_id, file, content, error): whole files redacted or restored by rules, segments out, matches per paragraph, segments back."""
     from tagveil.operators.segments import redistribute
 
-    found = segments(files).where("error is null")
-    unit = F.struct("doc_id", "part", "para_idx")
+    found = segments(files).where("part is not null")
     # paragraphs are texts of their own, so matches never reach over one
-    new = redistribute(found.select(F.to_json(unit).alias("unit_key"), "seg_idx", "text"), rules, "unit_key")
-    parsed = F.from_json("unit_key", "doc_id long, part string, para_idx int")
-    return rewritten(files, new.select(parsed.alias("u"), "seg_idx", "new_text", "preserve").select("u.*", "seg_idx", "new_text", "preserve"))
+    return rewritten(files, redistribute(found, rules, ["file", "part", "para_idx"]))
 
 
 def redacted(files: DataFrame, entries: DataFrame) -> DataFrame:
     """One row a file: (doc_id, ok, content, text, leaked, error).
 
     The written file is read again, and its text over all parts checked for each term, also
-    across paragraphs. Content and text are null where a term is left or the file has an error.
+    across paragraphs. Content and text are null where a term is left, where the file has an
+    error and where the check has no verdict.
     """
     from tagveil.operators import matching, redact
 
     clean = redact.clean_entries(entries)
     done = rules_applied(files, matching.term_rules(clean))
     again = segments(done.where("error is null").select("doc_id", "content"))
-    new = texts(again).withColumnRenamed("text", "new_text")
-    leaked = redact.leaks(new, clean).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("leaked"))
-    out = done.join(new, "doc_id", "left").join(leaked, "doc_id", "left").withColumn("leaked", F.coalesce("leaked", F.expr("cast(array() as array<string>)")))
-    ok = F.col("error").isNull() & (F.size("leaked") == 0)
-    return out.select("doc_id", ok.alias("ok"), F.when(ok, F.col("content")).alias("content"), F.when(ok, F.coalesce("new_text", F.lit(""))).alias("text"), "leaked", "error")
+    new = texts(again).select(F.struct("doc_id", "file").alias("doc_id"), F.col("text").alias("new_text"))
+    left = redact.leaks(new, clean).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("leaked"))
+    checked = new.select(F.col("doc_id.file").alias("new_file"), "new_text").distinct().join(left.select(F.col("doc_id.file").alias("new_file"), "leaked"), "new_file", "left")
+    broken = again.where("error is not null").select(F.col("file").alias("new_file"), F.col("error").alias("new_error")).distinct()
+    named = done.withColumn("new_file", _file_key(F.col("doc_id"), F.col("content"))).drop("file")
+    out = named.join(checked, "new_file", "left").join(broken, "new_file", "left").withColumn("error", F.coalesce("error", "new_error"))
+    leaked = F.when(F.col("new_text").isNotNull(), F.coalesce("leaked", F.expr("cast(array() as array<string>)")))
+    ok = F.coalesce(F.col("error").isNull() & (F.size(leaked) == 0) & F.col("new_text").isNotNull(), F.lit(False))
+    return out.select("doc_id", ok.alias("ok"), F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("new_text")).alias("text"), F.coalesce(leaked, F.expr("cast(array() as array<string>)")).alias("leaked"), "error")
 
 
 def paragraph_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, text, matches) of the files' paragraphs; doc_id is a paragraph's key."""
+    """The files' paragraphs with their matches; doc_id is a paragraph's key."""
     from tagveil.operators import matching
     from tagveil.operators.segments import joined
 
-    unit = F.to_json(F.struct("doc_id", "part", "para_idx"))
-    return matching.matches(joined(segments(files).where("error is null").select(unit.alias("doc_id"), "seg_idx", "text")), rules)
+    return matching.matches(joined(segments(files).where("part is not null"), ["file", "part", "para_idx"]), rules)
 
 
 def kinds(files: DataFrame) -> DataFrame:

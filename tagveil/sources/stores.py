@@ -8,14 +8,15 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from tagveil.functions import text as T
+from tagveil.operators.order import numbered
 
 ENTRY = "term string, tag string, source string, ord long"
 RECENT = 25
@@ -23,12 +24,18 @@ _FILE_ENTRIES = ty.ArrayType(ty.StructType([ty.StructField("tag", ty.StringType(
 _FILE = ty.StructType([ty.StructField("source", ty.StringType()), ty.StructField("generated", ty.StringType()), ty.StructField("entries", _FILE_ENTRIES)])
 
 
+_TERM_ENTRIES = ty.ArrayType(ty.StructType([ty.StructField(n, ty.StringType()) for n in ("term", "tag", "source")]))
+_TERM_FILE = ty.StructType([ty.StructField("entries", _TERM_ENTRIES)])
+#: Names of a dictionary's file in its folder: today's, and one that is renamed where it is found alone.
+DICTIONARY_FILE, OLD_DICTIONARY_FILE = "terms.json", "dictionary.json"
+
+
 def merge(base: DataFrame, incoming: DataFrame) -> DataFrame:
     """Union of (term, tag, source, ord) by comparison key: the last incoming row wins, the first row's place stays."""
     sides = base.where("term != ''").withColumn("side", F.lit(0)).unionByName(incoming.where(T.strip(F.col("term")) != "").withColumn("side", F.lit(1)))
     keyed = sides.withColumn("key", T.norm_key(F.col("term")))
     won = keyed.groupBy("key").agg(F.max_by(F.struct("term", "tag", "source"), F.struct("side", "ord")).alias("w"), F.min(F.struct("side", "ord")).alias("place"))
-    return won.select("w.term", "w.tag", "w.source", F.row_number().over(W.orderBy("place")).cast("long").alias("ord"))
+    return _placed(won.select("w.term", "w.tag", "w.source", "place"))
 
 
 def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,7 +49,15 @@ def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
     first_new = F.min_by(F.when(F.col("side") == 1, F.coalesce("source", F.lit("manual"))), F.when(F.col("side") == 1, F.col("ord")))
     won = keyed.groupBy("key").agg(latest.alias("w"), of_base.alias("old"), first_new.alias("new"), F.min(F.struct("side", "ord")).alias("place"))
     source = F.when(F.col("w.side") == 0, F.col("old")).otherwise(F.coalesce("old", "new"))
-    return won.select("w.term", "w.tag", source.alias("source"), F.row_number().over(W.orderBy("place")).cast("long").alias("ord"))
+    return _placed(won.select("w.term", "w.tag", source.alias("source"), "place"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Give each row its number by ``place``: those of the base first."""
+    base = numbered(rows.where("place.side = 0").withColumn("at", F.col("place.ord")), ["at"], "at")
+    n = rows.where("place.side = 0").count()
+    new = numbered(rows.where("place.side = 1").withColumn("at", F.col("place.ord")), ["at"], "at").withColumn("pos", F.col("pos") + n)
+    return base.unionByName(new).select("term", "tag", "source", F.col("pos").cast("long").alias("ord"))
 
 
 def add(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -66,13 +81,19 @@ def all_entries(mappings: DataFrame) -> DataFrame:
     each = mappings.select("mapping_id", "saved_at", F.posexplode("entries").alias("pos", "e")).where("e.tag != ''")
     when = F.struct("saved_at", "mapping_id", "pos")
     won = each.groupBy("e.tag").agg(F.max_by("e", when).alias("w"), F.min(when).alias("first"))
-    return won.select("tag", F.col("w.value").alias("value"), F.col("w.count").alias("n"), F.row_number().over(W.orderBy("first")).cast("long").alias("ord"))
+    at = numbered(won.withColumn("at", F.col("first.saved_at")), ["at", "first"], "at")
+    return at.select("tag", F.col("w.value").alias("value"), F.col("w.count").alias("n"), F.col("pos").cast("long").alias("ord"))
 
 
 def recent(mappings: DataFrame, limit: int = RECENT) -> DataFrame:
-    """Newest mappings' metadata, never their values."""
-    meta = mappings.orderBy(F.col("saved_at").desc(), "mapping_id").limit(limit)
-    return meta.select("mapping_id", F.coalesce("source", F.lit("document")).alias("source"), F.coalesce("generated", F.lit("")).alias("generated"), F.coalesce(F.size("entries"), F.lit(0)).alias("n"))
+    """Newest mappings' metadata, never their values; of the newest those that cannot be read (entries null) are left out."""
+    meta = mappings.orderBy(F.col("saved_at").desc(), "mapping_id").limit(limit).where("entries is not null")
+    return meta.select("mapping_id", F.coalesce("source", F.lit("document")).alias("source"), F.coalesce("generated", F.lit("")).alias("generated"), F.size("entries").alias("n"))
+
+
+def count(mappings: DataFrame) -> DataFrame:
+    """(n): how many mappings are saved."""
+    return mappings.agg(F.count("*").alias("n"))
 
 
 def forget(mappings: DataFrame, ids: DataFrame) -> DataFrame:
@@ -86,18 +107,45 @@ def savable(mappings: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """(mapping_id, json) to (mapping_id, source, generated, entries): an object with entries, or a bare list."""
+    """(mapping_id, json) to (mapping_id, source, generated, entries): an object with entries, or a bare list; entries are null if it is neither."""
     both = raw.withColumn("o", F.from_json("json", _FILE)).withColumn("l", F.from_json("json", _FILE_ENTRIES))
-    bare = F.col("json").rlike(r"^\s*\[")
-    return both.select("mapping_id", "o.source", "o.generated", F.when(bare, F.col("l")).otherwise(F.col("o.entries")).alias("entries"))
+    bare, readable = F.col("json").rlike(r"^\s*\["), F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*[\[{]")
+    none = F.lit(None).cast(_FILE_ENTRIES)
+    entries = F.when(readable & bare, F.col("l")).when(readable, F.coalesce(F.col("o.entries"), F.array().cast(_FILE_ENTRIES))).otherwise(none)
+    return both.select("mapping_id", "o.source", "o.generated", entries.alias("entries"))
+
+
+def dictionary_entries(raw: DataFrame) -> DataFrame:
+    """(file_id, json) of dictionary files to (file_id, term, tag, source, ord) in their order; what cannot be read has no entries."""
+    both = raw.select("file_id", F.from_json("json", _TERM_FILE)["entries"].alias("o"), F.from_json("json", _TERM_ENTRIES).alias("l"), F.col("json").rlike(r"^\s*\[").alias("bare"))
+    listed = both.select("file_id", F.posexplode(F.when(F.col("bare"), F.col("l")).otherwise(F.col("o"))).alias("at", "e"))
+    return listed.select("file_id", "e.term", "e.tag", "e.source", F.col("at").cast("long").alias("ord"))
 
 
 def resolve(saved: DataFrame, uploaded: DataFrame | None = None, inline: DataFrame | None = None) -> DataFrame:
     """The mapping to restore with: an uploaded one, else one given in the call, else the union of all saved."""
     given = uploaded if uploaded is not None else inline
-    if given is None:
-        return all_entries(saved)
-    return given.select("tag", "value", "n", "ord")
+    found = all_entries(saved) if given is None else given.select("tag", "value", "n", "ord")
+    if found.isEmpty():
+        raise ValueError("there is no mapping to restore with: redact something first, or give a mapping")
+    return found
+
+
+def dictionary_path(override: str | None = None, folder: str | None = None, default: str = "~/.tagveil") -> Path:
+    """Where the dictionary is: a file named outright, else in the chosen folder, else in the default one.
+
+    A file under the old name is given the new one if there is none yet; where that fails, the old one is used.
+    """
+    if override:
+        return Path(override)
+    place = Path(folder or default).expanduser()
+    new, old = place / DICTIONARY_FILE, place / OLD_DICTIONARY_FILE
+    if not new.exists() and old.exists():
+        try:
+            old.rename(new)
+        except OSError:
+            return old
+    return new
 
 
 class Dictionary:
@@ -111,14 +159,14 @@ class Dictionary:
         try:
             data = json.loads(self.path.read_text("utf-8"))
             rows = data.get("entries", []) if isinstance(data, dict) else data
-            rows = [(e.get("term"), e.get("tag"), e.get("source"), i) for i, e in enumerate(rows)]
-        except (OSError, ValueError, AttributeError):
+            rows = [(e.get("term"), e.get("tag"), e.get("source"), i) for i, e in enumerate(rows or [])]
+        except (OSError, ValueError, AttributeError, TypeError):
             rows = []
         return self.spark.createDataFrame(rows, ENTRY)
 
     def save(self, entries: DataFrame) -> DataFrame:
-        rows = [{k: v for k, v in (("term", r.term), ("tag", r.tag), ("source", r.source)) if v is not None} for r in entries.orderBy("ord").collect()]
-        _private(self.path, json.dumps({"note": "Saved terms. Private; may be deleted.", "entries": rows}, indent=2))
+        rows = ({k: v for k, v in (("term", r.term), ("tag", r.tag), ("source", r.source)) if v is not None} for r in entries.orderBy("ord").toLocalIterator())
+        _private(self.path, _json({"note": "Saved terms. Private; may be deleted."}, rows))
         return self.load()
 
     def upsert(self, new: DataFrame) -> DataFrame:
@@ -138,6 +186,7 @@ class Dictionary:
         other = Dictionary(self.spark, path)
         if other.path.resolve() == self.path.resolve():
             return self
+        _usable(other.path.parent)
         other.save(merge(other.load(), self.load()))
         self.clear()
         return other
@@ -158,7 +207,13 @@ class MappingStore:
 
     def save(self, mapping_id: str, text: str) -> None:
         if _valid(mapping_id):
-            _private(self.folder / f"{mapping_id}.json", text)
+            _private(self.folder / f"{mapping_id}.json", [text])
+
+    def save_rows(self, mapping_id: str, source: str, generated: str, rows: DataFrame) -> None:
+        """A mapping of (tag, value, n), longest tags first; rows go to the file as they come."""
+        if _valid(mapping_id):
+            each = ({"tag": r.tag, "value": r.value, "count": r.n} for r in rows.orderBy(F.length("tag").desc(), "tag").toLocalIterator())
+            _private(self.folder / f"{mapping_id}.json", _json({"source": source, "generated": generated}, each))
 
     def load(self) -> DataFrame:
         rows = [(p.stem, p.stat().st_mtime_ns, p.read_text("utf-8", errors="replace")) for p in sorted(self.folder.glob("*.json"))] if self.folder.is_dir() else []
@@ -170,7 +225,7 @@ class MappingStore:
         return path.read_text("utf-8") if _valid(mapping_id) and path.is_file() else None
 
     def recent(self, limit: int = RECENT) -> DataFrame:
-        return recent(self.load(), limit).where("n is not null")
+        return recent(self.load(), limit)
 
     def count(self) -> int:
         return len(list(self.folder.glob("*.json"))) if self.folder.is_dir() else 0
@@ -190,10 +245,28 @@ def _valid(mapping_id: str) -> bool:
     return bool(mapping_id) and all(c.isascii() and (c.isalnum() or c in "_-") for c in mapping_id)
 
 
-def _private(path: Path, text: str) -> None:
+def _usable(folder: Path) -> None:
+    """Refuse a folder that cannot be written to."""
+    try:
+        folder.mkdir(mode=0o700, parents=True, exist_ok=True)
+    except OSError as e:
+        raise ValueError(f"this folder cannot be used: {folder}") from e
+    if not os.access(folder, os.W_OK):
+        raise ValueError(f"this folder cannot be written to: {folder}")
+
+
+def _json(head: dict[str, str], entries: Iterable[dict]) -> Iterator[str]:
+    """An object with ``entries`` as its last member, piece by piece."""
+    yield json.dumps(head)[:-1] + ', "entries": ['
+    for i, e in enumerate(entries):
+        yield (",\n" if i else "\n") + json.dumps(e)
+    yield "\n]}"
+
+
+def _private(path: Path, pieces: Iterable[str]) -> None:
     """Write whole or not at all, for the owner's eyes."""
     path.parent.mkdir(mode=0o700, parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent)  # made with mode 0600
     with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines(pieces)
     os.replace(name, path)

@@ -11,7 +11,7 @@ from tagveil.operators.segments import redistribute
 from tagveil.plans.api import Engine
 from tagveil.sources import docx, providers, stores
 
-ENTITIES = [("Acme Corp Inc", "[[CLIENT1_NAME]]"), ("Acme Credit", "[[CLIENT1_DBA]]"), ("Clienty Corp", "[[CLIENT2_NAME]]"), ("Clienty", "[[CLIENT2_DBA]]"), ("Banky Bank", "[[SPONSOR_BANK1]]")]
+ENTITIES = [("Orbit Mills Ltd", "[[MILL_1]]"), ("Orbit Lending", "[[LOANS_1]]"), ("Quarry Works", "[[WORKS_2]]"), ("Quarry", "[[YARD_2]]"), ("Harbor Trust", "[[LENDER_9]]")]
 
 
 def entries(spark, pairs=ENTITIES):
@@ -27,15 +27,15 @@ def redacted(spark, pairs, *texts):
 
 
 def test_redaction_cases(spark):
-    pairs = [*ENTITIES, ("Acme", "[[CLIENT1_SHORT]]")]
+    pairs = [*ENTITIES, ("Orbit", "[[SHORT_1]]")]
     cases = {
-        "Clienty Corp signed with Clienty today.": "[[CLIENT2_NAME]] signed with [[CLIENT2_DBA]] today.",
-        "Acme Corp Inc, doing business as Acme Credit, is not Acme alone.": "[[CLIENT1_NAME]], doing business as [[CLIENT1_DBA]], is not [[CLIENT1_SHORT]] alone.",
-        "That is Clienty's headquarters.": "That is [[CLIENT2_DBA]]'s headquarters.",
-        "BANKY BANK and banky bank both.": "[[SPONSOR_BANK1]] and [[SPONSOR_BANK1]] both.",
-        "Signed by Acme\nCorp Inc yesterday.": "Signed by [[CLIENT1_NAME]] yesterday.",
-        "The Acmes are unrelated.": "The Acmes are unrelated.",
-        "\U0001f600é Acme  Credité": "\U0001f600é [[CLIENT1_DBA]]é",
+        "Quarry Works leases from Quarry since May.": "[[WORKS_2]] leases from [[YARD_2]] since May.",
+        "Orbit Mills Ltd, at times trading as Orbit Lending and never as Orbit only.": "[[MILL_1]], at times trading as [[LOANS_1]] and never as [[SHORT_1]] only.",
+        "We toured Quarry's yard.": "We toured [[YARD_2]]'s yard.",
+        "HARBOR TRUST or harbor trust, either.": "[[LENDER_9]] or [[LENDER_9]], either.",
+        "Paid by Orbit\nMills Ltd on Friday.": "Paid by [[MILL_1]] on Friday.",
+        "The Orbits live elsewhere.": "The Orbits live elsewhere.",
+        "\U0001f600é Orbit  Lendingé": "\U0001f600é [[LOANS_1]]é",
         "": "",
     }
     got = redacted(spark, pairs, *cases, None)
@@ -122,23 +122,23 @@ def test_analysis_merges_and_ranks(spark):
 
 
 def test_restore(spark):
-    mapping = spark.createDataFrame([("[[CLIENT1_NAME]]", r"Acme $1 \ Inc", 0), ("[[B_2]]", "Bob", 1)], "tag string, value string, ord long")
-    texts = ["Draft for **[[CLIENT1_NAME]]** and [[ CLIENT1_NAME ]] and [[Client1 Name]].", "Hi [[CLIENT1_NAME]] and [[UNKNOWN_9]].", "****[[B_2]]****", "[[CLIENT1-NAME]]", None, ""]
+    mapping = spark.createDataFrame([("[[MILL_1]]", r"Orbit $1 \ Ltd", 0), ("[[B_2]]", "Bob", 1)], "tag string, value string, ord long")
+    texts = ["Note to **[[MILL_1]]**, [[ MILL_1 ]] or [[Mill 1]].", "Ask [[MILL_1]] or [[NOBODY_3]].", "****[[B_2]]****", "[[MILL-1]]", None, ""]
     got = {r.doc_id: r for r in restore.restore(docs(spark, *texts), mapping).collect()}
-    assert got[0].mangled == {"[[CLIENT1_NAME]]": 3} and "[[" not in got[0].restored_text
-    assert (got[1].restored_text, got[1].leftover, got[1].total) == (r"Hi Acme $1 \ Inc and [[UNKNOWN_9]].", ["[[UNKNOWN_9]]"], 1)
-    assert got[2].restored_text == "*Bob*" and got[3].leftover == ["[[CLIENT1-NAME]]"] and got[5].restored_text == ""
-    text = "Acme Corp Inc and Clienty Corp met Banky Bank about Clienty."
+    assert got[0].mangled == {"[[MILL_1]]": 3} and "[[" not in got[0].restored_text
+    assert (got[1].restored_text, got[1].leftover, got[1].total) == (r"Ask Orbit $1 \ Ltd or [[NOBODY_3]].", ["[[NOBODY_3]]"], 1)
+    assert got[2].restored_text == "*Bob*" and got[3].leftover == ["[[MILL-1]]"] and got[5].restored_text == ""
+    text = "Orbit Mills Ltd owes Quarry Works, and Harbor Trust lends to Quarry."
     hidden = redact.redact(docs(spark, text), entries(spark)).select("doc_id", F.col("redacted_text").alias("text"))
     back = restore.restore(hidden, spark.createDataFrame([(g, t, i) for i, (t, g) in enumerate(ENTITIES)], mapping.schema)).first()
     assert (back.restored_text, back.leftover) == (text, [])
 
 
 def test_segments(spark):
-    runs = spark.createDataFrame([(0, i, t) for i, t in enumerate(["Client is ", "Ac", "me Corp", " Inc", "", " today."])] + [(1, i, t) for i, t in enumerate(["Also ", "Clienty", " Corp here; Clienty."])], "doc_id long, seg_idx int, text string")
+    runs = spark.createDataFrame([(0, i, t) for i, t in enumerate(["Tenant: ", "Or", "bit Mills", " Ltd", "", " since May."])] + [(1, i, t) for i, t in enumerate(["Then ", "Quarry", " Works there; Quarry."])], "doc_id long, seg_idx int, text string")
     rows = {(r.doc_id, r.seg_idx): r for r in redistribute(runs, matching.term_rules(entries(spark))).collect()}
-    assert [rows[0, i].new_text for i in range(6)] == ["Client is ", "[[CLIENT1_NAME]]", "", "", "", " today."]
-    assert [rows[1, i].new_text for i in range(3)] == ["Also ", "[[CLIENT2_NAME]]", " here; [[CLIENT2_DBA]]."]
+    assert [rows[0, i].new_text for i in range(6)] == ["Tenant: ", "[[MILL_1]]", "", "", "", " since May."]
+    assert [rows[1, i].new_text for i in range(3)] == ["Then ", "[[WORKS_2]]", " there; [[YARD_2]]."]
     assert rows[0, 0].preserve and not rows[0, 1].preserve
 
 
@@ -148,8 +148,8 @@ def docx_file(paragraphs, core=""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
-        z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}"><w:p><w:r><w:t>Banky Bank confidential</w:t></w:r></w:p></w:hdr>')
-        z.writestr("docProps/core.xml", f'<cp xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>{core}</dc:creator><dc:format>Acme Credit</dc:format></cp>')
+        z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}"><w:p><w:r><w:t>Harbor Trust, not for others</w:t></w:r></w:p></w:hdr>')
+        z.writestr("docProps/core.xml", f'<cp xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>{core}</dc:creator><dc:format>Orbit Lending</dc:format></cp>')
         z.writestr("other.bin", b"\0\1")
     return out.getvalue()
 
@@ -161,31 +161,31 @@ def test_word_files(spark, tmp_path):
     evil = io.BytesIO()
     with zipfile.ZipFile(evil, "w") as z:
         z.writestr("word/document.xml", '<!DOCTYPE a [<!ENTITY b "c">]><a/>')
-    content = docx_file([["Client is ", "Ac", "me Corp", " Inc", " today."], ["plain"]], "Clienty Corp")
-    files = spark.createDataFrame([(1, content), (2, b"nozip"), (3, bad.getvalue()), (4, evil.getvalue()), (5, docx.plain_docx(["Clienty", "", "a & b"]))], "doc_id long, content binary")
+    content = docx_file([["Tenant: ", "Or", "bit Mills", " Ltd", " since May."], ["plain"]], "Quarry Works")
+    files = spark.createDataFrame([(1, content), (2, b"nozip"), (3, bad.getvalue()), (4, evil.getvalue()), (5, docx.plain_docx(["Quarry", "", "a & b"]))], "doc_id long, content binary")
     seg = docx.segments(files)
     assert {r.doc_id for r in seg.where("error is not null").collect()} == {2, 3, 4}
-    assert {r.doc_id: r.text for r in docx.texts(seg).collect()} == {1: "Clienty Corp\nClient is Acme Corp Inc today.\nplain\nBanky Bank confidential", 5: "Clienty\na & b"}
+    assert {r.doc_id: r.text for r in docx.texts(seg).collect()} == {1: "Quarry Works\nTenant: Orbit Mills Ltd since May.\nplain\nHarbor Trust, not for others", 5: "Quarry\na & b"}
     engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
     hidden = engine.redact_files(files.where("doc_id in (1, 5)"), entries(spark))
     text = {r.doc_id: r.text for r in docx.texts(docx.segments(hidden.select("doc_id", "content"))).collect()}
-    assert text[1] == "[[CLIENT2_NAME]]\nClient is [[CLIENT1_NAME]] today.\nplain\n[[SPONSOR_BANK1]] confidential" and text[5] == "[[CLIENT2_DBA]]\na & b"
+    assert text[1] == "[[WORKS_2]]\nTenant: [[MILL_1]] since May.\nplain\n[[LENDER_9]], not for others" and text[5] == "[[YARD_2]]\na & b"
     mapping = spark.createDataFrame([(g, t, i) for i, (t, g) in enumerate(ENTITIES)], "tag string, value string, ord long")
     back = docx.texts(docx.segments(engine.restore_files(hidden.select("doc_id", "content"), mapping).select("doc_id", "content"))).where("doc_id = 1").first().text
-    assert back == "Clienty Corp\nClient is Acme Corp Inc today.\nplain\nBanky Bank confidential"
+    assert back == "Quarry Works\nTenant: Orbit Mills Ltd since May.\nplain\nHarbor Trust, not for others"
     with zipfile.ZipFile(io.BytesIO(bytes(hidden.where("doc_id = 1").first().content))) as z:
-        assert z.read("other.bin") == b"\0\1" and b"Acme Credit" in z.read("docProps/core.xml")
+        assert z.read("other.bin") == b"\0\1" and b"Orbit Lending" in z.read("docProps/core.xml")
 
 
 def test_engine_learns_and_restores(spark, tmp_path):
     engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
-    engine.dictionary.add(spark.createDataFrame([("Clienty", "client 9", None, 0), (" ", "x", None, 1)], stores.ENTRY))
-    text = "Clienty met Acme Credit. Acme Credit paid."
+    engine.dictionary.add(spark.createDataFrame([("Quarry", "yard 9", None, 0), (" ", "x", None, 1)], stores.ENTRY))
+    text = "Quarry called Orbit Lending. Orbit Lending sold."
     out = engine.redact(docs(spark, text), entries(spark), "job-1").first()
     assert out.ok and out.n_matches == 3
     known = {r.term: (r.tag, r.source) for r in engine.dictionary.load().collect()}
-    assert known["Clienty"] == ("[[CLIENT2_DBA]]", "manual") and known["Banky Bank"] == ("[[SPONSOR_BANK1]]", "redaction")
-    assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().orderBy("tag").collect()] == [("[[CLIENT1_DBA]]", "Acme Credit", 2), ("[[CLIENT2_DBA]]", "Clienty", 1)]
+    assert known["Quarry"] == ("[[YARD_2]]", "manual") and known["Harbor Trust"] == ("[[LENDER_9]]", "redaction")
+    assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().orderBy("tag").collect()] == [("[[LOANS_1]]", "Orbit Lending", 2), ("[[YARD_2]]", "Quarry", 1)]
     assert engine.restore(docs(spark, out.redacted_text)).first().restored_text == text
     assert engine.mappings.count() == 1 and engine.mappings.forget("job-1") and not engine.mappings.forget("../x")
     assert engine.capabilities()["names"] is False
@@ -195,8 +195,8 @@ def test_dictionary_rules(spark, tmp_path):
     def frame(*rows):
         return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], stores.ENTRY)
 
-    merged = stores.merge(frame(("Globex", "[[G]]", "manual"), ("acme", "[[REMOTE]]", None)), frame(("Acme", "[[LOCAL]]", None)))
-    assert [(r.term, r.tag) for r in merged.orderBy("ord").collect()] == [("Globex", "[[G]]"), ("Acme", "[[LOCAL]]")]
+    merged = stores.merge(frame(("Nimbus", "[[G]]", "manual"), ("lumen", "[[REMOTE]]", None)), frame(("Lumen", "[[LOCAL]]", None)))
+    assert [(r.term, r.tag) for r in merged.orderBy("ord").collect()] == [("Nimbus", "[[G]]"), ("Lumen", "[[LOCAL]]")]
     up = stores.upsert(frame(), frame(("Company Name Inc.", "[[A]]", None), ("company Name  inc", "[[B]]", "redaction")))
     assert [(r.term, r.tag, r.source) for r in up.collect()] == [("company Name  inc", "[[B]]", "manual")]
     one = stores.Dictionary(spark, f"{tmp_path}/a/d.json")
@@ -212,7 +212,7 @@ def test_scalars(spark):
         return spark.createDataFrame([row], ", ".join(f"c{i} string" for i in range(len(row)))).select(column).first()[0]
 
     c = F.col("c0")
-    for raw, tag in (("client1 name", "[[CLIENT1_NAME]]"), ("[[SSN_1]]", "[[SSN_1]]"), ("  straße 1 ", "[[STRASSE_1]]"), ("[[]]", ""), ("--", "")):
+    for raw, tag in (("mill 1", "[[MILL_1]]"), ("[[SSN_1]]", "[[SSN_1]]"), ("  straße 1 ", "[[STRASSE_1]]"), ("[[]]", ""), ("--", "")):
         assert value(T.normalize_tag(c), raw) == tag
     assert value(T.norm_key(c), "Company_Name Inc.") == "company_name inc" and value(T.norm_key_ui(c), "O'Brien_ & Co.") == "obrien co"
     for v, kind in (("a@b.co", "email"), ("123-45-6789", "ssn"), ("(555) 123 4567", "phone"), ("Foo LLC", "company"), ("Northwind Trading Post", "company"), ("Jane Doe", "person"), (" ", None)):
@@ -234,10 +234,10 @@ def test_pictures(spark):
 def test_stream(spark, tmp_path):
     from tagveil.streaming.arrivals import redact_stream
 
-    docs(spark, "Clienty came.", "nothing").write.parquet(f"{tmp_path}/in")
+    docs(spark, "Quarry wrote.", "nothing").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
     redact_stream(stream, entries(spark), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
-    assert {r.redacted_text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"[[CLIENT2_DBA]] came.", "nothing"}
+    assert {r.redacted_text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"[[YARD_2]] wrote.", "nothing"}
 
 
 def test_report_over_whole_mappings(spark):
@@ -252,15 +252,15 @@ def test_report_over_whole_mappings(spark):
 
 
 def test_word_files_are_held_back(spark, tmp_path):
-    pairs = [("Acme Corp", "[[CO]]"), ("x a", "[[T0]]"), ("a a", "[[T1]]")]
-    contents = {1: docx.plain_docx(["by Acme Corp, Acme Corp"]), 2: docx.plain_docx(["by Acme", "Corp"]), 3: docx.plain_docx(["x a a a"]), 4: b"nozip", 5: docx.plain_docx([""])}
+    pairs = [("Orbit Mills", "[[CO]]"), ("x a", "[[T0]]"), ("a a", "[[T1]]")]
+    contents = {1: docx.plain_docx(["by Orbit Mills, Orbit Mills"]), 2: docx.plain_docx(["by Orbit", "Mills"]), 3: docx.plain_docx(["x a a a"]), 4: b"nozip", 5: docx.plain_docx([""])}
     files = spark.createDataFrame(list(contents.items()), "doc_id long, content binary")
     engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
     got = {r.doc_id: r for r in engine.redact_files(files, entries(spark, pairs), "job-1").collect()}
-    assert {d: (r.ok, r.content is not None, r.leaked) for d, r in got.items()} == {1: (True, True, []), 2: (False, False, ["Acme Corp"]), 3: (False, False, ["a a"]), 4: (False, False, []), 5: (True, True, [])}
+    assert {d: (r.ok, r.content is not None, r.leaked) for d, r in got.items()} == {1: (True, True, []), 2: (False, False, ["Orbit Mills"]), 3: (False, False, ["a a"]), 4: (False, False, []), 5: (True, True, [])}
     assert got[4].error and engine.mappings.count() == 0 and engine.dictionary.load().count() == 0
     assert engine.redact_files(files.where("doc_id in (1, 5)"), entries(spark, pairs), "job-2").where("ok").count() == 2
-    assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().collect()] == [("[[CO]]", "Acme Corp", 2)]
+    assert [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().collect()] == [("[[CO]]", "Orbit Mills", 2)]
     assert engine.dictionary.load().count() == 3
 
 
@@ -268,3 +268,138 @@ def test_many_terms_without_ascii_words(spark):
     pairs = [("ж" * (1 + i % 40) + "я" * (1 + i // 40), f"[[N_{i}]]") for i in range(1001)]
     out = redacted(spark, pairs, f"это {pairs[0][0]} и {pairs[1000][0]} тут")[0]
     assert out.ok and out.redacted_text == "это [[N_0]] и [[N_1000]] тут"
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    frame = spark.createDataFrame([(None, "Bob here"), (None, "no one"), (1, "Bob one"), (1, "Bob two Bob"), (1, "Bob one"), (2, None), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.ok, r.n_matches, r.redacted_text or "") for r in redact.redact(frame, entries(spark, [("Bob", "[[P_1]]")])).collect()))
+    assert got == sorted([(0, True, 1, "[[P_1]] here"), (0, True, 0, "no one"), (1, True, 1, "[[P_1]] one"), (1, True, 2, "[[P_1]] two [[P_1]]"), (1, True, 1, "[[P_1]] one"), (2, True, 0, ""), (0, True, 0, "")])
+    held = redact.redact(frame.where("doc_id is null"), entries(spark, [("Bob x", "[[P_1]]"), ("Bob", "[[BOB]]")])).where("not ok").collect()
+    assert [r.redacted_text for r in held] == [None] and held[0].leaked == ["Bob"]
+    assert [(r.ok, r.leaked) for r in redact.gate(frame.withColumnRenamed("text", "new_text").where("doc_id is null"), entries(spark, [("bob", "[[P]]")])).orderBy("ok").collect()] == [(False, ["bob"]), (True, []), (True, [])]
+    mapping = spark.createDataFrame([("[[P_1]]", "Bob", 0)], "tag string, value string, ord long")
+    back = restore.restore(spark.createDataFrame([(None, "[[P_1]] a"), (3, "b [[p 1]]"), (3, "c")], frame.schema), mapping).collect()
+    assert sorted(r.restored_text for r in back) == ["Bob a", "b Bob", "c"]
+    mails = spark.createDataFrame([(None, "a@b.co"), (None, "a@b.co c@d.co"), (5, "x@y.co"), (5, "z@y.co z@y.co"), (5, "x@y.co")], frame.schema)
+    rows = detect.analyze(mails, entries(spark, [])).collect()
+    assert sorted((r.doc_id or 0, r.pos, r.term, r.tag, r.n) for r in rows) == [(0, 1, "a@b.co", "[[EMAIL_1]]", 1), (0, 1, "a@b.co", "[[EMAIL_1]]", 1), (0, 2, "c@d.co", "[[EMAIL_2]]", 1), (5, 1, "x@y.co", "[[EMAIL_1]]", 1), (5, 1, "z@y.co", "[[EMAIL_1]]", 2)]
+    assert redact.redact(frame.where("false"), entries(spark, [("Bob", "[[P]]")])).count() == 0
+
+
+def test_terms_of_any_script_are_found_by_equality(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = {"ru": "абвгдежзиклмнопрстуфя", "zh": "".join(chr(i) for i in range(0x4E00, 0x4F00)), "el": "αβγδεζηθικλμνξοπρστυφχψω"}
+    words = [f"{k}{''.join(rng.choice(a) for _ in range(rng.choice((2, 3, 5))))}"[2:] for k, a in letters.items() for _ in range(2400)]
+    pairs = [(w, f"[[N_{i}]]") for i, w in enumerate(dict.fromkeys(words))]
+    assert len(pairs) > 5000
+    chosen = rng.sample(pairs, 60)
+    texts = ["-".join(w.upper() for w, _ in chosen[i : i + 3]) for i in range(0, 60, 3)]
+    rules = matching.term_rules(entries(spark, pairs))
+    got = {(r.doc_id, r.ord) for r in matching.exploded(matching.candidates(docs(spark, *texts), rules), "candidates").select("doc_id", "ord").distinct().collect()}
+    want = {(d, o) for d, t in enumerate(texts) for o, (w, _) in enumerate(pairs) if w in t.lower().replace("ς", "σ")}
+    assert got == want and len(want) >= 60
+    # letters that the search takes for the same, single characters, marks, and rules within words
+    odd = {"İstanbul": "in istanbul", "ΟΔΟΣ": "οδος", "µm": "ΜM", "王": "小王子", "--": "a -- b", "ſun": "SUN", "вода": "ᲀода"}
+    for i, (term, text) in enumerate(odd.items()):
+        one = matching.matches(docs(spark, text), matching.term_rules(entries(spark, [(term, "[[X]]")]))).first()
+        assert len(one.matches) == 1, (i, term)
+    inner = matching.matches(docs(spark, "unbelievable"), matching.term_rules(entries(spark, [("LIE", "[[X]]")]), whole_word=False)).first()
+    assert [(m.s, m.e) for m in inner.matches] == [(4, 7)]
+
+
+W14 = 'xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" mc:Ignorable="w14"'
+
+
+def zipped(parts, method=zipfile.ZIP_DEFLATED):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_rewriting_touches_text_nodes_only(spark):
+    w = docx._W[1:-1]
+    body = f"""<?xml version='1.0'?>\n<w:document xmlns:w="{w}" {W14}><!-- Quarry --><w:body><w:p w14:paraId='1'><w:r><w:t xml:space='default' >Quarry &amp; </w:t><w:t/></w:r></w:p>\r\n<w:p><w:r><w:t>caf\u00e9 </w:t></w:r><w:txbx><w:p><w:t>in Quarry</w:t></w:p></w:txbx><w:r><w:t><![CDATA[Qua]]>rry</w:t></w:r></w:p></w:body></w:document>"""
+    other = f'<w:hdr xmlns:w="{w}" {W14}><w:p><w:r><w:t>none</w:t></w:r></w:p></w:hdr>'
+    wide = f'<?xml version="1.0" encoding="UTF-16"?><w:ftr xmlns:w="{w}"><w:p><w:t>Quarry</w:t></w:p></w:ftr>'
+    content = zipped({"word/document.xml": body, "word/header1.xml": other, "word/footer1.xml": wide.encode("utf-16"), "x.bin": b"Quarry"})
+    files = spark.createDataFrame([(None, content), (None, zipped({"word/document.xml": f'<w:d xmlns:w="{w}"><w:p><w:t>Quarry 2</w:t></w:p></w:d>'})), (3, docx.plain_docx(["a"])), (3, docx.plain_docx(["Quarry"]))], "doc_id long, content binary")
+    rows = docx.redacted(files, entries(spark)).collect()
+    assert all(r.ok for r in rows) and "[[YARD_2]] 2" in {r.text for r in rows}
+    new = next(bytes(r.content) for r in rows if "caf" in r.text)
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        got = z.read("word/document.xml").decode()
+        assert z.read("word/header1.xml").decode() == other and z.read("x.bin") == b"Quarry"
+        assert "[[YARD_2]]" in z.read("word/footer1.xml").decode()
+    want = body.replace("<w:t xml:space='default' >Quarry &amp; </w:t>", '<w:t  xml:space="preserve">[[YARD_2]] &amp; </w:t>').replace("in Quarry", "in [[YARD_2]]").replace("<![CDATA[Qua]]>rry", "[[YARD_2]]")
+    assert got.replace("<w:t  ", "<w:t ").replace(" >", ">") == want.replace("<w:t  ", "<w:t ").replace(" >", ">")
+    assert sorted(r.text for r in rows if r.doc_id == 3) == ["[[YARD_2]]", "a"]
+
+
+def test_files_that_cannot_be_read_are_rows_with_an_error(spark):
+    good = bytearray(zipped({"word/document.xml": f'<w:d xmlns:w="{docx._W[1:-1]}"><w:p><w:t>Quarry</w:t></w:p></w:d>'}))
+    at = good.index(b"PK\x01\x02")
+    locked, odd, torn = bytearray(good), bytearray(good), bytearray(good)
+    for flags in (6, at + 8):
+        locked[flags] |= 1  # marked as encrypted
+    for method in (8, at + 10):
+        odd[method] = 9  # a packing that is not known
+    torn[60:64] = b"\xff\xff\xff\xff"
+    broken = zipped({"word/document.xml": b"<a>\xff</a>"})
+    files = spark.createDataFrame([(i, bytes(c)) for i, c in enumerate((good, locked, odd, torn, broken, b"", good[:40]))] + [(7, None)], "doc_id long, content binary")
+    rows = {r.doc_id: r for r in docx.redacted(files, entries(spark)).collect()}
+    assert rows[0].ok and rows[0].text == "[[YARD_2]]"
+    assert [(i, rows[i].ok, rows[i].content, bool(rows[i].error)) for i in range(1, 8)] == [(i, False, None, True) for i in range(1, 8)]
+
+
+def test_kept_pictures_are_embedded(spark):
+    png = b"\x89PNG made up"
+    files = spark.createDataFrame([(1, docx.plain_docx(["a"])), (2, b"nozip")], "doc_id long, content binary")
+    pictures = spark.createDataFrame([(1, 0, png, 40, 80), (1, 3, png, 40, 40), (2, 0, png, 1, 1)], "doc_id long, image_id int, png binary, width int, height int")
+    rows = {r.doc_id: bytes(r.content) for r in docx.embedded(files, pictures).collect()}
+    assert rows[2] == b"nozip"
+    with zipfile.ZipFile(io.BytesIO(rows[1])) as z:
+        from xml.etree import ElementTree
+
+        assert [z.read(f"word/media/kept{i}.png") for i in (0, 1)] == [png] * 2
+        assert all(ElementTree.fromstring(z.read(n)) is not None for n in z.namelist() if n.endswith((".xml", ".rels")))
+        assert z.read("word/document.xml").count(b"r:embed=") == 2
+
+
+def test_reading_files_of_all_kinds(spark):
+    from tagveil.sources import ingest
+
+    files = spark.createDataFrame([(1, "a.docx", docx.plain_docx(["Quarry"])), (2, "b.pdf", b"x"), (3, "c.png", b"x"), (4, "d.txt", b"x"), (5, "e.docx", b"x"), (6, "f.docx", docx.plain_docx([" "]))], "doc_id long, name string, content binary")
+    got = {r.doc_id: r for r in ingest.read(files).collect()}
+    assert got[1].text == "Quarry" and got[1].error is None
+    assert [got[i].error for i in (2, 3, 4, 6)] == ["no reader for pdf", "no reader for image", ingest.NO_KIND, ingest.NO_TEXT] and got[5].error.startswith("BadZipFile")
+    plugged = providers.Providers(ocr=lambda f: f.selectExpr("doc_id", "1.0 as y", "explode(array(2.0, 1.0)) as x", "'w' as text"), pdf=lambda f: f.selectExpr("doc_id", "'' as text"))
+    got = {r.doc_id: r for r in ingest.read(files, plugged).collect()}
+    assert got[3].text == "w\nw" and got[2].error == ingest.NO_TEXT
+
+
+def test_stores_on_odd_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    store = stores.MappingStore(spark, f"{tmp_path}/m")
+    for name, text in (("a", '{"entries": [{"tag": "[[X]]", "value": "v", "count": 1}]}'), ("b", "{broken"), ("c", "{}"), ("d", "7")):
+        store.save(name, text)
+    assert {(r.mapping_id, r.n) for r in store.recent().collect()} == {("a", 1), ("c", 0)}
+    (tmp_path / "dictionary.json").write_text('{"entries": null}')
+    assert stores.dictionary_path("/x/y.json", str(tmp_path)).as_posix() == "/x/y.json"
+    path = stores.dictionary_path(None, str(tmp_path))
+    assert path.name == "terms.json" and path.exists() and stores.Dictionary(spark, path).load().count() == 0
+    with pytest.raises(ValueError):
+        stores.Dictionary(spark, path).move(f"{path}/inside/d.json")
+    with pytest.raises(ValueError):
+        stores.resolve(stores.parse(spark.createDataFrame([], "mapping_id string, json string")).withColumn("saved_at", F.lit(0)))
+
+
+def test_tags_for_typed_values(spark):
+    from tagveil.operators.mint import next_tag
+
+    wanted = spark.createDataFrame([(0, "company"), (1, "other"), (2, "company"), (3, None)], "ord long, type string")
+    taken = spark.createDataFrame([("[[company_1]]",), ("[[COMPANY_3]]",)], "tag string")
+    assert [r.tag for r in next_tag(wanted, taken).orderBy("ord").collect()] == ["[[COMPANY_2]]", "[[CUSTOM_1]]", "[[COMPANY_4]]", "[[CUSTOM_2]]"]
