@@ -369,7 +369,7 @@ def _full_sql() -> str:
         walk, keep, tail = (next(zips), "true", False) if p.type == "zip" else walks[p.type]
         parts.append(f"select doc_id, {i} as pat_ord, '{p.type}' as type, '{p.prefix}' as prefix, s, term from ({_spans_sql(walk, _BOTH_SRC, keep, tail)})")
     return f"""with f as ({" union all ".join(parts)}),
-        g as (select doc_id, type, term, any_value(prefix) as prefix, count(*) as n, min(pat_ord * 1000000000 + s) as place from f group by doc_id, type, term),
+        g as (select doc_id, type, term, any_value(prefix) as prefix, count(*) as n, min(cast(pat_ord as bigint) * 1000000000 + s) as place from f group by doc_id, type, term),
         k as (select *, '[[' || prefix || '_' || cast(row_number() over (partition by doc_id, prefix order by place) as varchar) || ']]' as tag from g),
         {with_sql("letters")},
         l as (select doc_id, 2 as rank, 'pattern' as source, term, type, tag, n, place from k union all select doc_id, 3, 'dictionary', c_name, 'saved', '[[CUST_' || cast(c_custkey as varchar) || ']]', 2, 0 from letters),
