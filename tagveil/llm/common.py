@@ -42,12 +42,23 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: a compressed Parquet table under the shared folder, read back.
 
     Unlike a checkpoint it has true size estimates, which plans of many rounds need. The
-    table lives as long as the folder; Spark's cleaner does not drop it.
+    table lives as long as the folder, or until it is given to ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing to come reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def doc_hash(column: str = "doc_id") -> Column:

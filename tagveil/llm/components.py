@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import stored
+from tagveil.llm.common import dropped, stored
 
 #: Rounds after which something must be wrong (each round at least halves a path).
 MOST_ROUNDS = 200
@@ -17,17 +17,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without a link do not occur. Every round gives each node the least label among its
     own and its neighbours', then replaces that label by the label's own label; it ends when
     no label changes. Minima are taken map-side first, so a hub's many links are no burden,
-    and every round is cut into the shared checkpoint folder.
+    and every round is cut into the shared checkpoint folder, where the one before it goes.
     """
     links = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = stored(links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+    before = labels
     for _ in range(MOST_ROUNDS):
         near = links.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("further"))
         moved = stored(lower.join(jump, "root").select("node", F.least("root", "further").alias("root"), "was"))
         changed = moved.where("root != was").limit(1).count()
-        labels = moved.select("node", "root")
+        dropped(before)
+        before, labels = moved, moved.select("node", "root")
         if not changed:
+            dropped(links)
             return labels
     raise RuntimeError("the components did not settle")

@@ -1,12 +1,12 @@
-"""Subword lattice likelihood: an open-vocabulary word model over an existing unigram vocabulary.
+"""Subword lattice likelihood over an existing unigram vocabulary.
 
-A word's probability is a discounted count from the training documents plus the left-over
-mass times its lattice probability: the sum over all ways to write it in the vocabulary's
-pieces, by a forward recursion in log space. Within a document the words are drawn from an
-urn that starts with this measure and gets every drawn word again (the document's own word
-distribution integrated out). The pieces start with weights from their
-existing scores and are re-weighted once by their expected counts over the training words
-(the vocabulary itself stays as it is).
+A word's lattice probability is the sum over all ways to write it in the vocabulary's pieces,
+by a forward recursion in log space. The vocabulary's existing scores weight all
+segmentations of every training word; the pieces that they expect there, added to the scores'
+own weights, are the piece weights of each language (the vocabulary itself stays as it is).
+A token's probability is half its lattice probability and half its share of the language's
+training tokens; a document's is the product over its tokens, times its language's share of
+the training documents. All of it adds up to one over labels and texts.
 
 Nothing is gathered in one place: documents are coded against dictionaries of bounded
 blocks, block words meet their corpus counts by word, and the scores return by block.
@@ -22,117 +22,178 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm import unigram
-from tagveil.llm.common import doc_hash, map_arrow, resident, stored, sub_batches, texts_of
+from tagveil.llm.common import doc_hash, dropped, map_arrow, resident, stored, sub_batches, texts_of
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: Bytes of text coded against one dictionary.
 BLOCK_BYTES = 16 << 20
-#: Pseudo-count that a score's weight is worth in the re-weighting, per piece of average weight.
+#: The lattice's share in a word's probability.
+SHARE = 0.5
+#: What a score's weight counts for beside the expected pieces, per piece of average weight.
 PRIOR = 0.5
-#: What the model's measure weighs in a document's urn, in words.
-CONCENTRATION = 1000.0
+#: Tokens of all languages together that are added to a language's own, so that words seen in others are not strange.
+SHARED_TOKENS = 1000.0
 #: Shift of the rank in the weights that scores stand for (rank-frequency law).
 RANK_SHIFT = 2.7
 #: Pieces after which a word ends, before anything is learnt.
 STOP_SHARE = 0.3
 #: Prior weight of writing a character byte by byte.
 ESCAPE_SHARE = 1e-4
+#: Languages with weights of their own, by training tokens; all others, and documents without a label, are one class.
+CLASSES = 15
+#: Characters of a word that are worked on at once; longer words go by a window, and are learnt from in stretches.
+LONG = 2000
+#: Words of a batch of the recursion.
+BATCH = 4000
+#: The share of ends among tokens where nothing is learnt.
+NO_END = 0.01
 _NEVER = -1e30
 _BYTE = math.log(1 / 256)
 
 
 @dataclass
-class Lattice:
-    """Log-probabilities of pieces: those that start words and those that go on, each adding up to one with the escape (and, going on, the stop)."""
+class Edges:
+    """All pieces that fit somewhere in some words, by where they end: from node, to node, weight number, what is added."""
 
-    pieces: list[str]
-    start: np.ndarray
-    on: np.ndarray
-    #: Of starting and going on.
-    escape: tuple[float, float]
-    stop: float
+    src: np.ndarray
+    dst: np.ndarray
+    weight: np.ndarray
+    extra: np.ndarray
+    #: Bounds of the edges that end at the first, second ... character.
+    steps: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    word: np.ndarray
+
+
+class Vocabulary:
+    """The pieces and their automaton. Weights are numbered: pieces that start words, pieces that go on, escapes at a start and later."""
 
-    def __post_init__(self):
+    def __init__(self, pieces: list[str]):
+        self.pieces, n = pieces, len(pieces)
         self.automaton = ahocorasick.Automaton()
         # what follows the space mark, so that a start is the same string as elsewhere
-        starts, ons = self.start.tolist(), self.on.tolist()
-        for i, piece in enumerate(self.pieces):
+        for i, piece in enumerate(pieces):
             body = piece.removeprefix(unigram.SPACE)
             if body:
-                have = self.automaton.get(body, (len(body), _NEVER, -1, _NEVER, -1))
-                have = (have[0], starts[i], i, *have[3:]) if piece[0] == unigram.SPACE else (*have[:3], ons[i], i)
-                self.automaton.add_word(body, have)
+                have = self.automaton.get(body, (len(body), -1, -1))
+                self.automaton.add_word(body, (have[0], i, have[2]) if piece[0] == unigram.SPACE else (have[0], have[1], n + i))
         self.automaton.make_automaton()
+        self.longest = max(map(len, pieces))
+        self.escapes = (2 * n, 2 * n + 1)
+
+    def edges(self, words: list[str]) -> Edges:
+        src, end, weight, extra, word_no = [], [], [], [], []
+        base = 0
+        lengths = np.array([len(w) for w in words], np.int64)
+        for k, word in enumerate(words):
+            alone = bytearray(len(word))
+            for e, (length, first, later) in self.automaton.iter(word):
+                no = first if e + 1 == length else later
+                if no >= 0:
+                    src.append(base + e + 1 - length)
+                    end.append(e)
+                    weight.append(no)
+                    word_no.append(k)
+                    if length == 1:
+                        alone[e] = 1
+            at = alone.find(0)
+            while at >= 0:
+                src.append(base + at)
+                end.append(at)
+                weight.append(self.escapes[at > 0])
+                word_no.append(k)
+                extra.append((len(src) - 1, _BYTE * len(word[at].encode("utf-8", "surrogatepass"))))
+                at = alone.find(0, at + 1)
+            base += len(word) + 1
+        bases = np.concatenate([[0], np.cumsum(lengths + 1)])
+        end_, no_ = np.array(end, np.int64), np.array(word_no, np.int64)
+        added = np.zeros(len(src))
+        if extra:
+            places, values = zip(*extra, strict=True)
+            added[list(places)] = values
+        order = np.lexsort((no_, end_))
+        dst = bases[no_] + end_ + 1
+        steps = np.searchsorted(end_[order], np.arange(int(lengths.max(initial=0)) + 1))
+        return Edges(np.array(src, np.int64)[order], dst[order], np.array(weight, np.int64)[order], added[order], steps, bases[:-1], bases[1:] - 1, no_[order])
+
+
+def forward(edges: Edges, weights: np.ndarray) -> np.ndarray:
+    """Log-probabilities (nodes x classes) of all ways to write each beginning; ``weights`` is (numbers x classes)."""
+    alpha = np.zeros((int(edges.last[-1]) + 1, weights.shape[1]))
+    for a, b in zip(edges.steps[:-1].tolist(), edges.steps[1:].tolist(), strict=True):
+        dst = edges.dst[a:b]
+        terms = alpha[edges.src[a:b]] + weights[edges.weight[a:b]] + edges.extra[a:b, None]
+        cuts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+        top = np.maximum.reduceat(terms, cuts, 0)
+        spread = np.repeat(top, np.diff(np.append(cuts, b - a)), 0)
+        alpha[dst[cuts]] = top + np.log(np.add.reduceat(np.exp(terms - spread), cuts, 0))
+    return alpha
+
+
+def expected(edges: Edges, weights: np.ndarray) -> np.ndarray:
+    """For each edge, the share of its word's probability that runs over it, by one class's weights."""
+    alpha = forward(edges, weights[:, None])[:, 0]
+    beta = np.full(len(alpha), _NEVER)
+    beta[edges.last] = 0.0
+    own = weights[edges.weight] + edges.extra
+    for a, b in zip(edges.steps[:-1].tolist()[::-1], edges.steps[1:].tolist()[::-1], strict=True):
+        np.logaddexp.at(beta, edges.src[a:b], own[a:b] + beta[edges.dst[a:b]])
+    return np.exp(alpha[edges.src] + own + beta[edges.dst] - alpha[edges.last][edges.word])
 
-    def _edges(self, word: str) -> list[list[tuple[int, float, int]]]:
-        """For each end the pieces (start, log-probability, piece) that end there; -1 is the escape."""
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in word]
-        for end, (length, first, first_no, later, later_no) in self.automaton.iter(word):
-            at = end + 1 - length
-            if at == 0:
-                if first_no >= 0:
-                    ends[end].append((0, first, first_no))
-            elif later_no >= 0:
-                ends[end].append((at, later, later_no))
-        for end, found in enumerate(ends):
-            if not found or found[-1][0] != end:
-                found.append((end, self.escape[end > 0] + _BYTE * len(word[end].encode("utf-8", "surrogatepass")), -1))
-        return ends
-
-    def forward(self, ends: list[list[tuple[int, float, int]]]) -> list[float]:
-        """Log-probability of all ways to write each beginning."""
-        alpha = [0.0] * (len(ends) + 1)
-        exp, log = math.exp, math.log
-        for end, found in enumerate(ends):
-            if len(found) == 1:
-                at, own, _ = found[0]
-                alpha[end + 1] = alpha[at] + own
-                continue
-            terms = [alpha[at] + own for at, own, _ in found]
-            top = max(terms)
-            alpha[end + 1] = top + log(sum([exp(x - top) for x in terms]))
-        return alpha
-
-    def log_probability(self, word: str) -> float:
-        return self.forward(self._edges(word))[-1] + self.stop
-
-    def expected(self, word: str, start: list[float], on: list[float], other: list[float]) -> None:
-        """Add the word's expected piece counts: of starts, goings on, and (escapes at a start, later; stop)."""
-        ends = self._edges(word)
-        alpha = self.forward(ends)
-        n = len(ends)
-        beta = [_NEVER] * n + [0.0]
-        total, exp = alpha[n], math.exp
-        for end in range(n - 1, -1, -1):
-            after = beta[end + 1]
-            if after <= _NEVER:
-                continue
-            for at, own, piece in ends[end]:
-                share = own + after
-                part = exp(alpha[at] + share - total)
-                if piece >= 0:
-                    (on if at else start)[piece] += part
-                else:
-                    other[1 if at else 0] += part
-                was = beta[at]
-                if was <= _NEVER:
-                    beta[at] = share
-                elif was > share:
-                    beta[at] = was + math.log1p(exp(share - was))
-                else:
-                    beta[at] = share + math.log1p(exp(was - share))
-        other[2] += 1
-
-
-def _normalised(pieces: list[str], start: np.ndarray, on: np.ndarray, other: np.ndarray) -> Lattice:
-    starts = np.array([p[0] == unigram.SPACE and len(p) > 1 for p in pieces])
-    s, o = np.where(starts, start, 0.0), np.where(starts, 0.0, on)
-    with np.errstate(divide="ignore"):
-        return Lattice(pieces, np.log(s / (s.sum() + other[0])), np.log(o / (o.sum() + other[1] + other[2])), (math.log(other[0] / (s.sum() + other[0])), math.log(other[1] / (o.sum() + other[1] + other[2]))), math.log(other[2] / (o.sum() + other[1] + other[2])))
+
+@dataclass
+class Lattice:
+    """Weights by class: each class's starts add up to one with the escape, its goings on with the escape and the stop."""
+
+    vocabulary: Vocabulary
+    #: (numbers x classes), and what ending a word weighs (classes).
+    weights: np.ndarray
+    stop: np.ndarray
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """(words x classes); words must not be empty."""
+        out = np.empty((len(words), len(self.stop)))
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for at in range(0, len(short), BATCH):
+            some = short[at : at + BATCH]
+            edges = self.vocabulary.edges([words[i] for i in some])
+            out[some] = forward(edges, self.weights)[edges.last]
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                out[i] = self.by_window(word)
+        return out + self.stop
+
+    def by_window(self, word: str) -> np.ndarray:
+        """The recursion with no more memory than the longest piece needs."""
+        size = self.vocabulary.longest + 1
+        alpha = np.zeros((size, len(self.stop)))
+        found, weights, escapes = self.vocabulary.automaton.iter(word), self.weights, self.vocabulary.escapes
+        match = next(found, None)
+        for e, char in enumerate(word):
+            src, no, alone = [], [], False
+            while match is not None and match[0] == e:
+                length, first, later = match[1]
+                own = first if e + 1 == length else later
+                if own >= 0:
+                    src.append((e + 1 - length) % size)
+                    no.append(own)
+                    alone |= length == 1
+                match = next(found, None)
+            if alone:
+                terms = alpha[src] + weights[no]
+            else:
+                src.append(e % size)
+                no.append(escapes[e > 0])
+                terms = alpha[src] + weights[no]
+                terms[-1] += _BYTE * len(char.encode("utf-8", "surrogatepass"))
+            top = terms.max(0)
+            alpha[(e + 1) % size] = top + np.log(np.exp(terms - top).sum(0))
+        return alpha[len(word) % size]
 
 
 def _prior(model_file: str) -> tuple[list[str], np.ndarray]:
@@ -142,148 +203,223 @@ def _prior(model_file: str) -> tuple[list[str], np.ndarray]:
     return [p for p, _ in entries], weight / weight.mean()
 
 
-def initial(model_file: str) -> Lattice:
-    return resident(f"lattice {model_file}", lambda: _initial(model_file))
+def normalised(pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log weights of one class, and of the stop, from counts of starts, goings on, escapes at a start, escapes later, stops."""
+    n = len(pieces)
+    starts = np.array([p[0] == unigram.SPACE and len(p) > 1 for p in pieces])
+    s, o, (first, later, stop) = np.where(starts, counts[:n], 0.0), np.where(starts, 0.0, counts[n : 2 * n]), counts[2 * n :]
+    of_start, of_on = s.sum() + first, o.sum() + later + stop
+    with np.errstate(divide="ignore"):
+        weights = np.concatenate([np.log(s / of_start), np.log(o / of_on), [math.log(first / of_start), math.log(later / of_on)]])
+    return np.maximum(weights, _NEVER), math.log(stop / of_on)
+
 
+@dataclass
+class Prior:
+    """What the existing scores say: their weights as counts, and the lattice of these alone."""
 
-def _initial(model_file: str) -> Lattice:
-    pieces, weight = _prior(model_file)
-    n = len(pieces)
-    return _normalised(pieces, weight, weight, np.array([ESCAPE_SHARE * n, ESCAPE_SHARE * n, STOP_SHARE * n]))
+    pieces: list[str]
+    weight: np.ndarray
+    vocabulary: Vocabulary
+    lattice: Lattice
 
 
-_CODED = "block long, word binary, code int, n long, doc_id long, held_out boolean, n_tokens long, codes binary"
+def initial(model_file: str) -> Prior:
+    def make() -> Prior:
+        pieces, weight = _prior(model_file)
+        n = len(pieces)
+        vocabulary = Vocabulary(pieces)
+        weights, stop = normalised(pieces, np.concatenate([weight, weight, [ESCAPE_SHARE * n, ESCAPE_SHARE * n, STOP_SHARE * n]]))
+        return Prior(pieces, weight, vocabulary, Lattice(vocabulary, weights[:, None], np.array([stop])))
+
+    return resident(f"lattice {model_file}", make)
+
+
+_CODED = "block long, label string, word binary, code int, n long, doc_id long, held_out boolean, n_tokens long, codes binary"
+_KINDS = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
 
 
 def coded(docs: DataFrame) -> DataFrame:
     """Texts as codes of a dictionary of their block, and the blocks' dictionaries with training counts, in one table.
 
     Rows with a word are dictionary rows, the others documents. A block is what one task has
-    read of up to ``BLOCK_BYTES``; its number is made of the task's and a running one, and
-    table and dictionary come from the same attempt.
+    read in one language of up to ``BLOCK_BYTES``; its number is made of the task's and a
+    running one, and table and dictionary come from the same attempt.
     """
+    names = [x.split()[0] for x in _CODED.split(", ")]
+
+    def batch_of(rows_: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows_, k) for c, k in zip(names, _KINDS, strict=True)], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
         for batch in sub_batches(batches, limit=BLOCK_BYTES):
-            block = part << 24 | made
-            made += 1
-            held = batch.column("held_out").to_pylist()
-            code: dict[bytes, int] = {b"": 0}
-            sums: Counter[bytes] = Counter()
-            lists, lengths = [], []
-            for text, out in zip(texts_of(batch), held, strict=True):
-                words = text.lower().split()
-                words.append(b"")
-                if not out:
-                    sums.update(words)
-                lists.append(np.array([code.setdefault(w, len(code)) for w in words], "<u4").tobytes())
-                lengths.append(len(words))
-            n, d = len(code), batch.num_rows
-            names = [x.split()[0] for x in _CODED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(code), pa.binary()), pa.array(range(n), pa.int32()), pa.array([sums[w] for w in code], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * d, pa.int64()), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int32()), pa.nulls(d, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(lists, pa.binary())], names=names)
+            labels = batch.column("label").to_pylist()
+            for label in dict.fromkeys(labels):
+                own = batch.take(pa.array([i for i, x in enumerate(labels) if x == label]))
+                block = part << 24 | made
+                made += 1
+                code: dict[bytes, int] = {b"": 0}
+                sums: Counter[bytes] = Counter()
+                lists, lengths = [], []
+                for text, out in zip(texts_of(own), own.column("held_out").to_pylist(), strict=True):
+                    words = text.lower().split()
+                    words.append(b"")
+                    if not out:
+                        sums.update(words)
+                    lists.append(np.array([code.setdefault(w, len(code)) for w in words], "<u4").tobytes())
+                    lengths.append(len(words))
+                n, d = len(code), own.num_rows
+                yield batch_of(n, block=[block] * n, label=[label] * n, word=list(code), code=range(n), n=[sums[w] for w in code])
+                yield batch_of(d, block=[block] * d, label=[label] * d, doc_id=own.column("doc_id"), held_out=own.column("held_out"), n_tokens=lengths, codes=lists)
 
     held_out = F.coalesce(F.pmod(doc_hash(), F.lit(FOLDS)) == HELD_OUT_FOLD, F.lit(False))
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), rows, _CODED)
+    label = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), label.alias("label"), "text"), rows, _CODED)
 
 
-def learn(counts: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> Lattice:
-    """Re-weight the pieces by expected counts over the distinct training words (word, c).
+def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[list[dict]], list[int]]]:
+    """Words with their counts by class, as stretches of bounded length; the list of numbers says which word a stretch is of."""
+    words, by = batch.column("word").to_pylist(), batch.column("by").to_pylist()
+    parts, of = [], []
+    for i, word in enumerate(words):
+        text = word.decode("utf-8", "replace")
+        for at in range(0, len(text), LONG):
+            parts.append(text[at : at + LONG])
+            of.append(i)
+    for at in range(0, len(parts), BATCH):
+        yield parts[at : at + BATCH], by, of[at : at + BATCH]
 
-    Each task sends at most one number a piece; the driver gets their sums, as many as pieces.
-    """
-    pieces, weight = _prior(model_file)
-    n = len(pieces)
 
-    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = initial(model_file)
-        start, on, other = [0.0] * n, [0.0] * n, [0.0] * 3
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                lattice.expected(word.decode("utf-8", "replace"), start, on, other)
-        every = np.array(start + on + other)
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(every[at])], names=["at", "x"])
+def learn(counts: DataFrame, classes: int, model_file: str = unigram.DEFAULT_MODEL) -> Lattice:
+    """Weights of each class from the pieces that the existing scores expect in its training tokens.
 
-    found = map_arrow(counts.where((F.col("c") > 0) & (F.length("word") > 0)).select("word"), expected, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    sums = np.zeros(2 * n + 3)
-    sums[found.column("at").to_numpy()] = found.column("x").to_numpy()
-    return _normalised(pieces, sums[:n] + PRIOR * weight, sums[n : 2 * n] + PRIOR * weight, sums[2 * n :] + np.array([1.0, 1.0, 1.0]))
+    ``counts`` has distinct words with their counts by class. Each task sends at most one
+    number a piece and class; the driver gets their sums.
+    """
+    prior = initial(model_file)
+    pieces, weight = prior.pieces, prior.weight
+    size = 2 * len(pieces) + 3
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = initial(model_file)
+        weights = own.lattice.weights[:, 0]
+        every = np.zeros((classes, size))
+        for batch in batches:
+            for parts, by, of in _batches_of(batch):
+                edges = own.vocabulary.edges(parts)
+                share = expected(edges, weights)
+                times = np.zeros((classes, len(parts)))
+                for k, i in enumerate(of):
+                    for x in by[i]:
+                        times[x["cls"], k] = x["n"]
+                for c in np.flatnonzero(times.any(1)):
+                    every[c, : size - 1] += np.bincount(edges.weight, share * times[c][edges.word], minlength=size - 1)
+                    every[c, size - 1] += times[c].sum()
+        flat = every.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], names=["at", "x"])
+
+    seen = counts.where((F.col("c") > 0) & (F.length("word") > 0)).select("word", F.filter("by", lambda x: x["n"] > 0).alias("by"))
+    found = map_arrow(seen, sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    flat = np.zeros(classes * size)
+    flat[found.column("at").to_numpy()] = found.column("x").to_numpy()
+    added = np.concatenate([PRIOR * weight, PRIOR * weight, [1.0, 1.0, 1.0]])
+    made = [normalised(pieces, row + added) for row in flat.reshape(classes, size)]
+    return Lattice(prior.vocabulary, np.stack([w for w, _ in made], 1), np.array([s for _, s in made]))
 
 
 @dataclass
 class Totals:
-    """Training tokens, distinct ones, and the count taken off each for the words not seen."""
+    """Training tokens and ends (documents) by class."""
+
+    tokens: np.ndarray
+    ends: np.ndarray
+
+    @property
+    def all(self) -> int:
+        return int(self.tokens.sum())
+
+    def end_share(self) -> np.ndarray:
+        return self.shares(self.ends, self.ends.sum()) if self.all else np.full(len(self.ends), NO_END)
 
-    tokens: int
-    distinct: int
-    discount: float
+    def shares(self, own, all_) -> np.ndarray:
+        """A token's share in each class, from its counts there and in all."""
+        return (own + SHARED_TOKENS * all_ / max(self.all, 1)) / (self.tokens + SHARED_TOKENS)
+
+    def log_label(self) -> np.ndarray:
+        """log10 share of each class among the documents."""
+        return np.log10((self.ends + 1) / (self.ends.sum() + len(self.ends)))
 
 
 def word_scores(counts: DataFrame, totals: Totals, lattice: Lattice) -> DataFrame:
-    """(word, c) to (word, c, lp): log10 probability of every word that occurs anywhere."""
-    shared = counts.sparkSession.sparkContext.broadcast(lattice)
-    tokens, left = max(totals.tokens, 1), totals.discount * totals.distinct / max(totals.tokens, 1)
-    discount = totals.discount
-    if not totals.tokens:
-        left = 1.0
+    """(word, by, c) to (word, cls, c, lp): log10 probability of every word in every class where it occurs."""
+    shared = counts.sparkSession.sparkContext.broadcast((lattice.weights, lattice.stop, lattice.vocabulary.pieces))
+    share = SHARE if totals.all else 1.0
+    end = totals.end_share()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        log_left = math.log(left) if left else _NEVER
+        weights, stop, pieces = shared.value
+        model = Lattice(resident(f"vocabulary {len(pieces)} {hash(tuple(pieces))}", lambda: Vocabulary(pieces)), weights, stop)
         for batch in batches:
-            out = []
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                own = math.log((c - discount) / tokens) if c > discount else _NEVER
-                if word or not c:
-                    rest = log_left + (model.log_probability(word.decode("utf-8", "replace")) if word else model.stop)
-                    top, low = (own, rest) if own > rest else (rest, own)
-                    own = top + math.log1p(math.exp(max(low - top, -700.0)))
-                out.append(own / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out, pa.float64())], names=["word", "c", "lp"])
-
-    return map_arrow(counts.select("word", "c"), score, "word binary, c long, lp double")
-
-
-def urn(codes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, lp: np.ndarray) -> np.ndarray:
-    """log10 probability of each token after those before it in its document: (K p + times so far) / (K + tokens so far)."""
-    n = len(codes)
-    key = np.repeat(np.arange(len(lengths)), lengths) << 32 | codes
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
-    before = np.empty(n, np.int64)
-    before[order] = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    so_far = np.arange(n) - np.repeat(starts, lengths)
-    fresh = lp[codes] + math.log10(CONCENTRATION)
-    drawn = np.where(before > 0, np.log10(10.0**fresh + before), fresh)
-    return drawn - np.log10(CONCENTRATION + so_far)
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False)
+            by = batch.column("by").to_pylist()
+            full = [i for i, w in enumerate(words) if w]
+            log = np.zeros((len(words), len(stop)))
+            if full:
+                log[full] = model.log_probabilities([words[i].decode("utf-8", "replace") for i in full])
+            row, cls, own = (np.array(x, np.int64) for x in zip(*((i, x["cls"], x["n"]) for i, b in enumerate(by) for x in b), strict=True))
+            q = (own + SHARED_TOKENS * c[row] / max(totals.all, 1)) / (totals.tokens[cls] + SHARED_TOKENS)
+            empty = np.array([not w for w in words])[row]
+            with np.errstate(divide="ignore"):
+                seen, parts = np.log((1 - share) * q), math.log(share) + np.log1p(-end[cls]) + log[row, cls]
+            lp = np.where(empty, np.log(end[cls]), np.logaddexp(seen, parts)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(row)), pa.array(cls, pa.int32()), pa.array(c[row], pa.int64()), pa.array(lp)], names=["word", "cls", "c", "lp"])
+
+    return map_arrow(counts.select("word", "by", "c"), score, "word binary, cls int, c long, lp double")
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _numbered(labels: list[str]) -> Column:
+    """The class of a label: its place among the largest, else 0."""
+    out = F.lit(0)
+    for i, label in enumerate(labels):
+        out = F.when(F.col("label") == label, i + 1).otherwise(out)
+    return out.cast("int")
+
+
 def score(docs: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> DataFrame:
     """Base and lattice log10 probability of every whole text.
 
     Null and empty texts are the end alone; a null doc_id counts as training; repeated rows
-    count and return each time; without training documents every word is scored by the
-    lattice with its existing weights; an empty table gives no row; columns besides doc_id
-    and text are not looked at.
+    count and return each time; documents without a label, and those of labels beyond the
+    ``CLASSES`` with most training tokens, are a class of their own; without training documents
+    the lattice of the existing weights has it all; ties among labels go by the label. A word
+    of any length is scored whole, in memory of the longest piece; in learning, words beyond
+    ``LONG`` characters count in stretches. An empty table gives no row; columns besides
+    doc_id, text and lang are not looked at, and lang may be missing.
     """
     table = stored(coded(docs))
-    words = table.where("word is not null").select("block", "word", "code", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")))
-    sums = counts.agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    tokens, distinct = sums.tokens or 0, sums.distinct or 0
-    discount = (sums.once or 0) / ((sums.once or 0) + 2 * (sums.twice or 0)) if sums.once else 0.5
-    totals = Totals(tokens, distinct, min(0.95, max(0.05, discount)))
-    scores = stored(word_scores(counts, totals, learn(counts, model_file)))
-    known = words.select("block", "word", "code").join(scores, "word").select("block", "code", "c", "lp")
-    texts = table.where("word is null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "n_tokens", "codes")
+    labels = table.where("word is not null and label is not null").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES)
+    number = _numbered([r.label for r in labels.collect()])
+    words = table.where("word is not null").select("block", number.alias("cls"), "word", "code", "n")
+    by_class = words.select("word", "cls", "n").repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    counts = stored(by_class.groupBy("word").agg(F.collect_list(F.struct("cls", "n")).alias("by"), F.sum("n").alias("c")))
+    each = counts.select(F.length("word").alias("size"), F.explode("by").alias("x")).groupBy("x.cls").agg(F.sum("x.n").alias("tokens"), F.sum(F.when(F.col("size") == 0, F.col("x.n")).otherwise(0)).alias("ends")).collect()
+    classes = 1 + max((r.cls for r in each), default=0)
+    totals = Totals(*(np.array([next((r[k] for r in each if r.cls == c), 0) for c in range(classes)], np.int64) for k in ("tokens", "ends")))
+    tokens, distinct = totals.all, counts.where("c > 0").count()
+    scores = stored(word_scores(counts, totals, learn(counts, classes, model_file)))
+    dropped(counts)
+    blocks = table.select("block").distinct().count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    known = words.select("block", "word", "code", "cls").join(scores, ["word", "cls"]).select("block", "code", "c", "lp")
+    texts = table.where("word is null").select(F.col("block").alias("text_block"), number.alias("cls"), "doc_id", "held_out", "n_tokens", "codes")
+    of_label = totals.log_label()
 
     def joined(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         code = right.column("code").to_numpy()
@@ -293,9 +429,8 @@ def score(docs: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> DataFrame
         lengths = left.column("n_tokens").to_numpy()
         codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), "<u4")
         starts = np.cumsum(lengths) - lengths
-        own = urn(codes, lengths, starts, lp)
-        n_known, base_score, score_ = (np.add.reduceat(x, starts) if len(starts) else x for x in ((c[codes] > 0).astype(np.int64), base[codes], own))
+        n_known, base_score, own = (np.add.reduceat(x[codes], starts) for x in ((c > 0).astype(np.int64), base, lp))
         n = left.num_rows
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score_, pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
+        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(own + of_label[left.column("cls").to_numpy()], pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
 
-    return texts.groupBy("text_block").cogroup(known.groupBy("block")).applyInArrow(joined, _SCORES)
+    return texts.repartition(parts, "text_block").groupBy("text_block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(joined, _SCORES)

@@ -1,6 +1,7 @@
 import math
+import resource
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,48 +10,64 @@ pytest.importorskip("tagveil.llm")
 from tagveil.llm import lattice_lm as lm
 from tagveil.llm import unigram
 
-MODEL = lm.initial(unigram.DEFAULT_MODEL)
+PRIOR = lm.initial(unigram.DEFAULT_MODEL)
+N = len(PRIOR.pieces)
+STARTS = {p[1:]: i for i, p in enumerate(PRIOR.pieces) if p[0] == unigram.SPACE and len(p) > 1}
+ONS = {p: i for i, p in enumerate(PRIOR.pieces) if p[0] != unigram.SPACE}
 
 
-def all_ways(model, word, at=0):
-    """Sum over segmentations, one by one."""
+def ways(word, at=0):
+    """All segmentations of a word, as lists of (weight number, added)."""
     if at == len(word):
-        return math.exp(model.stop)
-    start = {p[1:]: x for p, x in zip(model.pieces, model.start, strict=True) if p[0] == unigram.SPACE and len(p) > 1}
-    on = {p: x for p, x in zip(model.pieces, model.on, strict=True) if p[0] != unigram.SPACE}
-    return _ways(model, start, on, word, 0)
-
-
-def _ways(model, start, on, word, at):
-    if at == len(word):
-        return math.exp(model.stop)
-    table, total = (on if at else start), 0.0
+        return [[]]
+    table, shift = (ONS, N) if at else (STARTS, 0)
+    out = []
     for end in range(at + 1, len(word) + 1):
         if word[at:end] in table:
-            total += math.exp(table[word[at:end]]) * _ways(model, start, on, word, end)
+            out += [[(table[word[at:end]] + shift, 0.0), *rest] for rest in ways(word, end)]
     if word[at] not in table:
-        total += math.exp(model.escape[at > 0] + lm._BYTE * len(word[at].encode())) * _ways(model, start, on, word, at + 1)
-    return total
+        out += [[(2 * N + (at > 0), math.log(1 / 256) * len(word[at].encode())), *rest] for rest in ways(word, at + 1)]
+    return out
+
+
+def weight_of(way, weights):
+    return math.exp(sum(weights[no] + more for no, more in way))
 
 
 @pytest.mark.parametrize("word", ["the", "a", "thononwh", "réeux", "漢字x", "\U0001f600z", "x▁the"])
 def test_marginal_is_the_sum_over_segmentations(word):
-    assert MODEL.log_probability(word) == pytest.approx(math.log(all_ways(MODEL, word)), rel=1e-9)
+    lattice = PRIOR.lattice
+    want = math.log(sum(weight_of(w, lattice.weights[:, 0]) for w in ways(word))) + lattice.stop[0]
+    assert lattice.log_probabilities(["zz", word, "a"])[1, 0] == pytest.approx(want, rel=1e-9)
+    assert lattice.by_window(word)[0] + lattice.stop[0] == pytest.approx(want, rel=1e-9)
 
 
 def test_weights_add_up():
-    for logs, extra in ((MODEL.start, [MODEL.escape[0]]), (MODEL.on, [MODEL.escape[1], MODEL.stop])):
-        assert np.exp(logs).sum() + sum(map(math.exp, extra)) == pytest.approx(1)
+    weights, stop = PRIOR.lattice.weights[:, 0], PRIOR.lattice.stop[0]
+    assert np.exp(weights[:N]).sum() + math.exp(weights[2 * N]) == pytest.approx(1)
+    assert np.exp(weights[N : 2 * N]).sum() + math.exp(weights[2 * N + 1]) + math.exp(stop) == pytest.approx(1)
 
 
-def test_expected_counts_by_enumeration():
-    n = len(MODEL.pieces)
-    start, on, other = [0.0] * n, [0.0] * n, [0.0] * 3
-    MODEL.expected("thin", start, on, other)
-    at = {p: i for i, p in enumerate(MODEL.pieces)}
-    whole = math.exp(MODEL.start[at["▁thin"]] + MODEL.stop) / all_ways(MODEL, "thin") if "▁thin" in at else 0.0
-    assert (start[at["▁thin"]] if "▁thin" in at else 0.0) == pytest.approx(whole)
-    assert sum(start) + other[0] == pytest.approx(1) and other[2] == 1
+def expected_by_hand(word):
+    """Expected pieces under the existing scores, by enumeration."""
+    each = [(w, weight_of(w, PRIOR.lattice.weights[:, 0])) for w in ways(word)]
+    total, out = sum(p for _, p in each), defaultdict(float)
+    for way, p in each:
+        for no, _ in way:
+            out[no] += p / total
+    return out
+
+
+def test_expected_pieces_by_enumeration():
+    words = ["thin", "ndré", "a"]
+    edges = PRIOR.vocabulary.edges(words)
+    share = lm.expected(edges, PRIOR.lattice.weights[:, 0])
+    for k, word in enumerate(words):
+        got = defaultdict(float)
+        for no, x in zip(edges.weight[edges.word == k], share[edges.word == k], strict=True):
+            got[int(no)] += x
+        want = expected_by_hand(word)
+        assert {no: pytest.approx(x) for no, x in want.items()} == {no: got[no] for no in want} and sum(got.values()) == pytest.approx(sum(want.values()))
 
 
 def check(docs, rows):
@@ -70,31 +87,47 @@ def check(docs, rows):
     return counts, n, v, tokens
 
 
-def test_whole_corpus(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+def test_a_small_corpus_by_hand(spark):
+    """Every number of the model by enumeration and plain counting."""
+    made = [(1, "the thin cat, the cat", "en"), (2, "le chat", "fr"), (3, "Le le thin", "fr"), (5, "the ox", "en"), (6, "cat zq", None), (8, "", "en"), (14, "the thin le zyx", "en"), (15, None, "fr"), (27, "le ndré the", "fr"), (29, "ox", "xx")]
+    docs = [(d, t) for d, t, _ in made]
+    label = {d: x for d, _, x in made}
+    rows = lm.score(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()
+    counts, n, _, tokens = check(docs, rows)
+    assert any(r.held_out for r in rows) and not all(r.held_out for r in rows)
+    train = [d for d, _ in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    labels = [x for x, _ in Counter(w for d in train for w in [label[d]] * len(tokens[d]) if label[d]).most_common()]
+    cls = {d: labels.index(label[d]) + 1 if label[d] in labels else 0 for d, _ in docs}
+    for r in rows:
+        k = cls[r.doc_id]
+        own = Counter(w for d in train if cls[d] == k for w in tokens[d])
+        size, ends = sum(own.values()), sum(cls[d] == k for d in train)
+        pieces = np.concatenate([lm.PRIOR * PRIOR.weight, lm.PRIOR * PRIOR.weight, [1.0, 1.0, 1.0]])
+        for w, times in own.items():
+            for no, x in expected_by_hand(w.decode()).items() if w else ():
+                pieces[no] += times * x
+            pieces[2 * N + 2] += times if w else 0
+        weights, stop = lm.normalised(PRIOR.pieces, pieces)
+        share = lambda w: (own[w] + lm.SHARED_TOKENS * counts[w] / n) / (size + lm.SHARED_TOKENS)  # noqa: B023, E731
+        total = math.log10((ends + 1) / (len(train) + 1 + max(cls.values())))
+        for w in tokens[r.doc_id]:
+            p = share(b"")
+            if w:
+                p = (1 - lm.SHARE) * share(w) + lm.SHARE * (1 - share(b"")) * sum(weight_of(x, weights) for x in ways(w.decode())) * math.exp(stop)
+            total += math.log10(p)
+        assert r.score == pytest.approx(total, rel=1e-6), r.doc_id
+
+
+def test_whole_corpus_loses_nothing_to_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = lm.score(docs).collect()
-    counts, n, v, tokens = check([(r.doc_id, r.text) for r in docs.collect()], rows)
-    # the same model by hand: one round of expected counts, discounted counts, urn
-    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
-    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
-    pieces, weight = lm._prior(unigram.DEFAULT_MODEL)
-    k = len(pieces)
-    start, on, other = [0.0] * k, [0.0] * k, [0.0] * 3
-    for w in counts:
-        if w:
-            MODEL.expected(w.decode(), start, on, other)
-    model = lm._normalised(pieces, np.array(start) + lm.PRIOR * weight, np.array(on) + lm.PRIOR * weight, np.array(other) + 1)
-    for r in rows[:40]:
-        seen, total = Counter(), 0.0
-        for i, w in enumerate(tokens[r.doc_id]):
-            p = max(counts[w] - discount, 0) / n + discount * v / n * math.exp(model.log_probability(w.decode()) if w else model.stop) * (bool(w) or not counts[w])
-            total += math.log10((lm.CONCENTRATION * p + seen[w]) / (lm.CONCENTRATION + i))
-            seen[w] += 1
-        assert r.score == pytest.approx(total, rel=1e-5)
+    check([(r.doc_id, r.text) for r in docs.collect()], rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_odd_rows(spark):
-    docs = [(1, None), (2, ""), (3, "The the THE cat"), (4, "z" * 100_000), (5, "ünï   x"), (6, "cat " * 50_000)]
+    docs = [(1, None), (2, ""), (3, "The the THE cat"), (4, "z" * 100_000), (5, "ünï   x"), (6, "cat " * 50_000)]
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, block int")
     check(docs, lm.score(frame).collect())
     twice = lm.score(frame.union(frame)).collect()
@@ -103,3 +136,14 @@ def test_odd_rows(spark):
     assert lm.score(frame.where("false")).count() == 0
     only_held = frame.where("doc_id in (" + ",".join(str(i) for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2) + ")")
     assert all(math.isfinite(r.score) for r in lm.score(only_held).collect())
+    many = spark.createDataFrame([(i, f"w{i} a", f"l{i:03}") for i in range(60)], "doc_id long, text string, lang string")
+    assert lm.score(many).count() == 60
+
+
+def test_a_very_long_word_takes_little_memory():
+    lattice = PRIOR.lattice
+    word = "thononwhé" * 30
+    assert lattice.by_window(word)[0] == pytest.approx(lm.forward(PRIOR.vocabulary.edges([word]), lattice.weights)[-1, 0], rel=1e-9)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert math.isfinite(lattice.log_probabilities(["onthe" * 200_000])[0, 0])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
