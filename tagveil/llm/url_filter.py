@@ -2,7 +2,9 @@
 
 Trust starts at hosts whose pages rules allow and follows links (personalised PageRank);
 distrust starts at hosts whose pages rules block and follows links backwards, to those that
-point there. A host is blocked if its share of distrust is above its share of trust.
+point there. Hosts are linked by their pages' links and, both ways, with the domain above
+them, so hosts of one domain meet there. A host is blocked if its share of distrust is above
+its share of trust.
 DataFrame operations only.
 """
 
@@ -11,16 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import stored
+from tagveil.llm.common import dropped, stored
 
 #: (host, path, verdict); a rule holds for its host and all below it, where the path starts so.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, SETTLED = 0.85, 1e-4
+#: Rounds of the propagation between two cuts of the lineage.
+ROUNDS_AT_ONCE = 4
 #: Rounds after which something must be wrong (each leaves at most the damping's share of the change).
 MOST_ROUNDS = 1000
 #: Distrust over trust above which a host is blocked.
 THRESHOLD = 1.0
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+_RELATIVE = r"""(?i)\b(?:href|src|action)\s*=\s*["']?(?!\s*(?:[a-z][a-z0-9+.-]*:|//))"""
 _LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -49,15 +55,32 @@ def ruled(places: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("host", "path", "m.rule", "m.rule_verdict")
 
 
+def domain_links(hosts: DataFrame) -> DataFrame:
+    """(src, dst) between each host and the domain above it, and so on up to the domain of two labels, both ways."""
+    names = hosts.where(~F.col("host").rlike(r"^[0-9.:\[\]]*$")).withColumn("up", F.expr(f"slice({_SUFFIXES}, 2, length(host))"))
+    steps = F.filter(F.arrays_zip(F.slice("up", F.lit(2), F.size("up")).alias("src"), F.col("up").alias("dst")), lambda x: x["src"].isNotNull())
+    found = names.where(F.size("up") > 1).select(F.explode(steps).alias("e")).select("e.src", "e.dst").distinct()
+    return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst) of the links in pages (host, html): those that name a host, and relative ones where the page's base is another host."""
+    small = lambda c: F.translate(c, _CAPITALS, _SMALL)
+    absolute = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst")).select("src", small("dst").alias("dst"))
+    based = pages.where(F.col("html").rlike(_BASE)).select(F.col("host").alias("src"), small(F.regexp_extract("html", _BASE, 1)).alias("dst"), F.regexp_count("html", F.lit(_RELATIVE)).alias("n"))
+    return absolute.unionByName(based.where("n > 0").select("src", "dst"))
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts: links in the html, counted, and a host's link to the host above it.
+    """(src, dst, weight) between different hosts: links in the html, counted, and those between a host and the domains above it.
 
     ``pages`` has host and html, ``hosts`` the hosts of pages. Links are counted map-side,
     so a host with very many pages is a few rows in the shuffle.
     """
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst")).select("src", F.translate("dst", _CAPITALS, _SMALL).alias("dst"))
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("dst")).join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst")
-    return links.unionByName(up).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    links = page_links(pages).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    known = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    both = links.unionByName(domain_links(known).withColumn("weight", F.lit(1.0)))
+    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
@@ -74,13 +97,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, sett
     arcs = stored(forth.unionByName(back))
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = stored(seeds.join(total, "kind").where("all > 0").select("host", "kind", (F.col("mass") / F.col("all") * (1 - damping)).alias("mass")))
-    now = start
-    reached = start.count()
-    for _ in range(MOST_ROUNDS):
-        sent = arcs.join(now, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share") * damping).alias("new"), F.lit(0.0).alias("old"))
-        kept = start.select("host", "kind", F.col("mass").alias("new"), F.lit(0.0).alias("old"))
-        was = now.select("host", "kind", F.lit(0.0).alias("new"), F.col("mass").alias("old"))
-        after = stored(sent.unionByName(kept).unionByName(was).groupBy("host", "kind").agg(F.sum("new").alias("mass"), F.sum("old").alias("old")))
+
+    def onwards(now: DataFrame) -> DataFrame:
+        sent = arcs.join(now, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") * F.col("share") * damping).alias("mass"))
+        return sent.unionByName(start)
+
+    now, held, reached = start, None, start.count()
+    for _ in range(MOST_ROUNDS // ROUNDS_AT_ONCE):
+        for _ in range(ROUNDS_AT_ONCE - 1):
+            now = onwards(now).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+        last = onwards(now).withColumn("old", F.lit(0.0)).unionByName(now.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
+        after = stored(last.groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")))
+        dropped(held)
+        held = after
         moved, n = after.agg(F.sum(F.abs(F.col("mass") - F.col("old"))), F.count("*")).first()
         now = after.select("host", "kind", "mass")
         if n == reached and (moved or 0.0) < settled * (1 - damping):
@@ -97,7 +126,8 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD) -> D
 
     Null urls and those without :// have an empty host and path, which no rule fits and no
     link reaches: they are allowed. Hosts that neither trust nor distrust reaches are
-    allowed. Null html has no links; repeated pages count and return each time; of rules
+    allowed. ``found_by`` tells whether a rule, rules on the host's own pages, links alone or
+    nothing speak to a page. Null html has no links; very long html is searched whole; repeated pages count and return each time; of rules
     equally long the last by code point wins; an empty table gives no row; columns besides
     page_id, url and html are not looked at.
     """
@@ -107,6 +137,8 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD) -> D
     seeds = by_host.where("host != ''").select("host", F.explode(F.expr("map('trust', trust, 'distrust', distrust)")).alias("kind", "mass")).where("mass > 0")
     found = propagate(stored(host_edges(placed, by_host.select("host"))), seeds)
     scores = stored(found.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust")))
-    out = marked.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
+    own = by_host.select("host", (F.col("trust") + F.col("distrust") > 0).alias("seeded"))
+    out = marked.join(own, "host").join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     by_links = F.when(F.col("distrust") > F.col("trust") * threshold, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_links).alias("verdict"), "trust", "distrust")
+    found_by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("seeded") & (F.col("host") != ""), "own pages").when(F.col("trust") + F.col("distrust") > 0, "links").otherwise("none")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_links).alias("verdict"), "trust", "distrust", found_by.alias("found_by"))
