@@ -4,7 +4,7 @@ A logistic classifier on a bounded labelled sample turns each whole text into lo
 Grouped sums of its probabilities give every path (within a site) and every site a rate,
 shrunk towards the level above by as many pseudo-documents as the spread between groups
 warrants; sparse sites thus fall back on the global rate. A document's posterior is its
-likelihood ratio times its path's odds.
+likelihood ratio times the odds of its path, of whose rate its own probability is left out.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm.common import as_rows, chunks, give_back, map_arrow, resident, stored, sub_batches, texts_of
+from tagveil.llm.url_filter import host_of, path_of
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 10_000
@@ -220,7 +221,7 @@ def _rate(evidence: Column, base: float) -> Column:
 
 
 def group_rates(judged: DataFrame, model: Classifier, site: Column, path: Column) -> DataFrame:
-    """(site, path, one shrunk rate per target and level): partial sums first, so a hot site is no matter."""
+    """(site, path, one shrunk rate per target and level, and what the rates are made of): partial sums first, so a hot site is no matter."""
     sums = [F.sum(_rate(F.col("_evidence")[i], model.base[i])).alias(f"s_{t}") for i, t in enumerate(TARGETS)]
     paths = stored(judged.groupBy(site.alias("_site"), path.alias("_path")).agg(F.count("*").cast("double").alias("n"), *sums))
     sites = stored(paths.groupBy("_site").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)))
@@ -239,44 +240,72 @@ def group_rates(judged: DataFrame, model: Classifier, site: Column, path: Column
 
     for t in TARGETS:
         k = weight(sites, t, F.lit(rate[t]))
-        sites = sites.withColumn(f"site_{t}", (F.col(f"s_{t}") + k * rate[t]) / (F.col("n") + k))
-    joined = stored(paths.join(sites.select(F.col("_site").alias("_of"), *(f"site_{t}" for t in TARGETS)), F.col("_site").eqNullSafe(F.col("_of"))).drop("_of"))
+        sites = sites.withColumns({f"site_{t}": (F.col(f"s_{t}") + k * rate[t]) / (F.col("n") + k), f"site_k_{t}": F.lit(k), f"all_s_{t}": F.lit(float(total[f"s_{t}"] or 0))})
+    sites = sites.withColumn("all_n", F.lit(float(total.n or 0)))
+    of_site = [F.col("n").alias("site_n"), "all_n", *(F.col(f"s_{t}").alias(f"site_s_{t}") for t in TARGETS), *(f"{c}_{t}" for t in TARGETS for c in ("site", "site_k", "all_s"))]
+    joined = stored(paths.join(sites.select(F.col("_site").alias("_of"), *of_site), F.col("_site").eqNullSafe(F.col("_of"))).drop("_of"))
     for t in TARGETS:
         k = weight(joined, t, F.col(f"site_{t}"))
-        joined = joined.withColumn(f"path_{t}", (F.col(f"s_{t}") + k * F.col(f"site_{t}")) / (F.col("n") + k))
-    return stored(joined.select("_site", "_path", *(f"{level}_{t}" for t in TARGETS for level in ("site", "path"))))
+        joined = joined.withColumns({f"path_{t}": (F.col(f"s_{t}") + k * F.col(f"site_{t}")) / (F.col("n") + k), f"path_k_{t}": F.lit(k)})
+    return stored(joined)
 
 
-def with_posteriors(judged: DataFrame, rates: DataFrame, site: Column, path: Column) -> DataFrame:
-    """Add site and path rates, the posteriors ``_p_<target>`` and the decision ``_keep``."""
+def _without(level: str, t: str, own: Column, above: Column) -> Column:
+    """A level's rate without the document's own probability, shrunk towards that of the level above."""
+    n, k = F.col("_n" if level == "path" else "_site_n"), F.col(f"_{level}_k_{t}")
+    s = F.greatest(F.lit(0.0), F.col(f"_s_{t}" if level == "path" else f"_site_s_{t}") - own)
+    return (s + k * above) / (n - 1 + k)
+
+
+def with_posteriors(judged: DataFrame, rates: DataFrame, model: Classifier, site: Column, path: Column) -> DataFrame:
+    """Add site and path rates, the posteriors ``_p_<target>`` and the decision ``_keep``.
+
+    Were a document's own evidence in its path's rate as well, it would count twice, most of
+    all in small groups; so every level's rate is taken without it.
+    """
     rates = rates.select(*(F.col(c).alias(f"_{c}" if c[0] != "_" else f"_g{c}") for c in rates.columns))
     out = judged.join(rates, site.eqNullSafe(F.col("_g_site")) & path.eqNullSafe(F.col("_g_path")), "left")
     for i, t in enumerate(TARGETS):
-        prior = F.col(f"_path_{t}")
+        own = _rate(F.col("_evidence")[i], model.base[i])
+        above = (F.greatest(F.lit(0.0), F.col(f"_all_s_{t}") - own) + 0.5) / F.col("_all_n")
+        prior = _without("path", t, own, _without("site", t, own, above))
         out = out.withColumn(f"_p_{t}", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_evidence")[i] + F.log(prior / (1 - prior))))))
     return out.withColumn("_keep", (F.col("_p_quality") >= CUT_OFF) & (F.col("_p_toxic") < CUT_OFF))
 
 
+def places(docs: DataFrame, at: str = "") -> tuple[Column, Column]:
+    """Site and path of a document: its url's host and first folder, or, where the table has no urls, its source and language."""
+    if "url" in docs.columns:
+        url = F.col(f"{at}url").cast("string")
+        return host_of(url), F.regexp_extract(path_of(url), r"^/([^/]*)/", 1)
+    return F.col(f"{at}source").cast("string"), F.col(f"{at}lang").cast("string")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Posterior quality and toxicity of every document, with its site's and path's rates.
 
     Null texts count as empty; null sites and paths are groups of their own; a null doc_id
-    is judged like any; repeated rows count and return each time; an empty table gives no
-    row; columns besides doc_id, text, source and lang are not looked at.
+    is judged like any; repeated rows count and return each time; a posterior of exactly the
+    cut-off keeps; a very long text is read whole; an empty table gives no row; columns
+    besides doc_id, text, and url, or else source and lang, are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    site, path = places(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", site.alias("source"), path.alias("lang"))
     model = fit(docs, labels)
-    # the documents table has no urls: its source is the site and its language the path
     site, path = F.col("source"), F.col("lang")
     judged = stored(with_evidence(docs, model).drop("text"))
-    found = with_posteriors(judged, group_rates(judged, model, site, path), site, path)
+    found = with_posteriors(judged, group_rates(judged, model, site, path), model, site, path)
     return found.select("doc_id", "source", "lang", *(F.col(f"_{x}_{t}").alias(f"{x}_{t}") for t in TARGETS for x in ("site", "path", "p")), F.col("_keep").alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. The text is judged twice instead of being stored."""
+    """The documents that pass, with all their columns (names may clash with any of ours). The text is judged twice instead of being stored.
+
+    Null, empty and very long texts, null ids, sites and paths, repeated rows and an empty
+    table are as in ``judge``.
+    """
     model = fit(docs, labels)
     judged = with_evidence(as_rows(docs), model, "_row.text")
-    site, path = F.col("_row.source").cast("string"), F.col("_row.lang").cast("string")
+    site, path = places(docs, "_row.")
     rates = group_rates(judged, model, site, path)
-    return with_posteriors(judged, rates, site, path).where("_keep").select("_row.*")
+    return with_posteriors(judged, rates, model, site, path).where("_keep").select("_row.*")
