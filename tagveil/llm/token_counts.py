@@ -18,8 +18,10 @@ def token_counts(docs: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> Da
     """Pieces that the unigram tokenizer of ``model_file`` would give each whole text.
 
     Null and empty texts count 0 tokens; a word without blanks may be as long as it likes
-    (the recursion is linear in it and keeps two numbers a character); repeated rows repeat;
-    an empty table gives no row; other columns are not looked at. Map-only, no shuffle.
+    (the recursion is linear in it and remembers two numbers for each character of the longest
+    piece); of segmentations that score the same the one whose last piece is longest counts,
+    the tokenizer's rule; repeated rows repeat; an empty table gives no row; other columns are
+    not looked at. Map-only, no shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,7 @@ class Viterbi:
         for piece, score in entries:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in entries)
         self.unknown = min(score for _, score in entries) - UNKNOWN_PENALTY
         self.memory: dict[str, tuple[int, float]] = {}
 
@@ -52,27 +53,28 @@ class Viterbi:
         and a later candidate must be strictly better: the tokenizer's tie rule. A character
         without a piece of its own may be unknown; it then costs one piece per byte.
         """
-        n = len(word)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        unknown = self.unknown
-        for end in range(n):
+        size = self.longest + 1  # a step looks back no further than the longest piece
+        score, count = [0.0] * size, [0] * size
+        found, unknown = self.automaton.iter(word), self.unknown
+        match = next(found, None)
+        for end, char in enumerate(word):
             top, pieces, single = None, 0, False
-            for length, own in ends[end]:
-                start = end + 1 - length
+            while match is not None and match[0] == end:
+                length, own = match[1]
+                start = (end + 1 - length) % size
                 candidate = own + score[start]
                 if length == 1:
                     single = True
                 if top is None or candidate > top:
                     top, pieces = candidate, count[start] + 1
+                match = next(found, None)
             if not single:
-                candidate = unknown + score[end]
+                candidate = unknown + score[end % size]
                 if top is None or candidate > top:
-                    top, pieces = candidate, count[end] + len(word[end].encode("utf-8", "surrogatepass"))
-            score[end + 1], count[end + 1] = top, pieces
-        return count[n], score[n]
+                    top, pieces = candidate, count[end % size] + len(char.encode("utf-8", "surrogatepass"))
+            at = (end + 1) % size
+            score[at], count[at] = top, pieces
+        return count[len(word) % size], score[len(word) % size]
 
     def text(self, text: str) -> tuple[int, int, float]:
         """(pre-tokens, pieces, score) of a text: blanks become the space mark, each word starts at one."""

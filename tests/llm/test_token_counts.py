@@ -42,3 +42,16 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 2), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert [r.n_tokens for r in rows if r.doc_id in (1, 2)] == [0, 0]
     assert token_counts(docs.where("false")).count() == 0
+
+
+def test_a_word_of_five_million_characters_takes_little_memory():
+    import resource
+
+    from tagveil.llm import unigram
+
+    model = unigram.viterbi(unigram.DEFAULT_MODEL)
+    text = "onthe" * 1_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    words, pieces, score = model.text(text)
+    assert words == 1 and 1_000_000 <= pieces <= 5_000_000 and score < 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
