@@ -21,11 +21,11 @@ from tagveil.llm.common import as_rows, chunks, doc_hash, give_back, map_arrow,
 
 BUCKETS, ORDERS = 1 << 17, (1, 2, 3)
 SMOOTHING = 0.5
-#: More labels than this are taken for a mistake in the column, and raise.
-MAX_LANGS = 2000
+#: Cells of the matrix at most (a quarter of a gigabyte): with very many languages each has fewer buckets.
+MOST_CELLS, LEAST_BUCKETS = 1 << 25, 1 << 10
 UNDETERMINED = "und"
 #: A document is rejected below this posterior, or if it is surely in another language than it says.
-LEAST_SCORE, SURE_SCORE, SURE_LETTERS = 0.5, 0.999, 200
+LEAST_SCORE, SURE_SCORE = 0.5, 0.999
 FOLDS, HELD_OUT_FOLD = 4, 2
 CHUNK_BYTES = 1 << 19
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
@@ -39,7 +39,7 @@ def letters() -> np.ndarray:
     return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, start of each text's buckets, has a letter?) of texts lower-cased, with runs of non-letters as one blank.
 
     Every text is framed by blanks, so it has grams even if empty; grams never join texts.
@@ -66,7 +66,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             code = (code ^ points[i : n + i]) * _FACTORS[i]
             code ^= code >> np.uint32(15)
         inside = text_no[:n] == text_no[order - 1 :]
-        out.append((code % np.uint32(BUCKETS))[inside])
+        out.append((code % np.uint32(buckets))[inside])
         where.append(text_no[:n][inside])
     # stable by text: each order's run is sorted already, so only the runs are merged
     text = np.concatenate(where)
@@ -82,7 +82,7 @@ class Model:
 
     def score(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Language and posterior of each text."""
-        buckets, starts, has_letter = grams(texts)
+        buckets, starts, has_letter = grams(texts, self.log_prob.shape[1])
         sums = np.stack([np.add.reduceat(row[buckets], starts) for row in self.log_prob], 1) + self.log_prior
         best = sums.argmax(1)
         weight = np.exp(sums - sums.max(1, keepdims=True))
@@ -92,6 +92,13 @@ class Model:
 
 def train(docs: DataFrame, label: str = "lang") -> Model:
     """Fit on every row whose text and label are not null."""
+    rows = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).cast("string").alias("label"))
+    n_langs = rows.select("label").distinct().count()
+    buckets = BUCKETS
+    while n_langs * buckets > MOST_CELLS:
+        buckets >>= 1
+    if buckets < LEAST_BUCKETS:
+        raise ValueError(f"{n_langs} languages; is {label} the right column?")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("nothing", dict)
@@ -101,26 +108,23 @@ def train(docs: DataFrame, label: str = "lang") -> Model:
             texts = texts_of(batch)
             for lang in dict.fromkeys(labels):
                 mine = [t for t, x in zip(texts, labels, strict=True) if x == lang]
-                got = tables.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                got[:BUCKETS] += np.bincount(grams(mine)[0], minlength=BUCKETS)
-                got[BUCKETS] += len(mine)  # documents
+                got = tables.setdefault(lang, np.zeros(buckets + 1, np.int64))
+                got[:buckets] += np.bincount(grams(mine, buckets)[0], minlength=buckets)
+                got[buckets] += len(mine)  # documents
         for lang, got in tables.items():
             cells = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int64()), pa.array(got[cells], pa.int64())], names=["label", "bucket", "n"])
 
-    rows = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).cast("string").alias("label"))
     cells = map_arrow(rows, counts, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     # the driver gets a fixed number of cells a language
     found = cells.toArrow()
     names = np.array(found.column("label").to_pylist(), object)
     langs = sorted(set(names))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; is {label} the right column?")
-    table = np.zeros((len(langs), BUCKETS + 1), np.float64)
+    table = np.zeros((len(langs), buckets + 1), np.float64)
     at = {x: i for i, x in enumerate(langs)}
     table[[at[x] for x in names], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    grams_, n_docs = table[:, :BUCKETS], table[:, BUCKETS]
-    log_prob = np.log(grams_ + SMOOTHING) - np.log(grams_.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+    grams_, n_docs = table[:, :buckets], table[:, buckets]
+    log_prob = np.log(grams_ + SMOOTHING) - np.log(grams_.sum(1, keepdims=True) + SMOOTHING * buckets)
     return Model(langs, np.log(n_docs / max(n_docs.sum(), 1)), log_prob)
 
 
@@ -144,7 +148,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0, as is everything where no
     labelled document exists; a null doc_id is trained on (its fold is not the held-out one)
-    and predicted; repeated rows count and return each time; an empty table gives no row;
+    and predicted; repeated rows count and return each time; of languages that score the same
+    the first by name is taken; a very long text is read whole; an empty table gives no row;
     columns besides doc_id, text and lang are not looked at.
     """
     held_out = F.coalesce(F.pmod(doc_hash(), F.lit(FOLDS)) == HELD_OUT_FOLD, F.lit(False))
@@ -155,9 +160,11 @@ def identify(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents whose language is known, with the columns of ``docs``.
 
-    Learns from all labelled documents. Rejected are texts without a letter, those of an
-    uncertain language, and those of some length that are surely not in the language of
-    their label; the text stays in the JVM row.
+    Learns from all labelled documents. Rejected are texts that are null, empty or without a
+    letter, those of an uncertain language, and those that are surely not in the language of
+    their label; the text stays in the JVM row and is read whole, however long. A null label
+    or id rejects nothing; repeated rows are kept or rejected together; names of columns may
+    clash with any of ours; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.select("text", "lang")))
 
@@ -175,6 +182,6 @@ def kept(docs: DataFrame) -> DataFrame:
             give_back()
 
     found = as_rows(docs).withColumn("_found", guess(F.col("_row.text")))
-    other = (F.col("_found.lang") != F.col("_row.lang")) & (F.col("_found.score") >= SURE_SCORE) & (F.length("_row.text") >= SURE_LETTERS)
+    other = (F.col("_found.lang") != F.col("_row.lang")) & (F.col("_found.score") >= SURE_SCORE)
     keep = (F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= LEAST_SCORE) & ~F.coalesce(other, F.lit(False))
     return found.where(keep).select("_row.*")
