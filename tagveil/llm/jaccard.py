@@ -1,5 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets, 0.8 or more, exactly.
 
+The groups are found in two steps. First the fingerprints of whole texts meet by the Golay
+keys of ``simhash``; what they propose is verified on the whole sets. That finds copies and
+nearly all edited copies, but fingerprints within four bits are not all pairs of 0.8. So a
+prefix filter then proposes the pairs that are left, between different components, and they
+are verified the same way.
+
 Two sets so similar share at least 4/5 of each one's shingles. In any one order of all
 shingles, the first they share is then among the first n - ceil(4n/5) + 1 of either set of n
 (prefix filter), so equality of those keys misses no pair. The order puts shingles last that
@@ -7,8 +13,8 @@ a sample of documents finds common, which keeps the runs of one key short. It on
 work: the result is the same in every order. Bucket counts rule out most candidates, by a
 bound; the rest are verified on the whole sets. The links' components are the groups.
 
-A large group of near copies would give all its pairs. So every set is first tried with one
-set that it shares most keys with, in a few rounds, and then only pairs in different
+A large group of near copies would give all its pairs. So, after the fingerprints, every set
+is tried with one set that it shares most keys with, and then only pairs in different
 components are left to try.
 """
 
@@ -23,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagveil.llm.common import map_arrow, resident, stored, sub_batches, texts_of
+from tagveil.llm.common import dropped, map_arrow, resident, stored, sub_batches, texts_of
 from tagveil.llm.components import connected_components
-from tagveil.llm.simhash import keep_first, shingle_hashes
+from tagveil.llm.simhash import keep_first, majority, shingle_hashes, similar_fingerprints
 
 #: One of so many documents tells which shingles are common, at so many occurrences there; so many are known at most.
 SAMPLE, OFTEN, MOST_COMMON = 16, 3, 50_000
 #: Rounds of trying one other set before the pairs that are left.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Bytes that are sent to a Python worker at once.
+SENT_BYTES = 8 << 20
 #: Counts of a set's shingles by their low bits; a count at FULL says nothing.
 BUCKETS, FULL = 256, 255
 #: Rows of a key above which all of them stay without a look at their partners.
@@ -83,24 +91,26 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, sid, n, keys, sketch): the set's name, size, prefix in its order and bucket counts."""
+    """(doc_id, text_hash, fp, sid, n, keys, sketch): the text's fingerprint; the set's name, size, prefix in its order and bucket counts."""
     common, often = common_shingles(docs, shingle)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("nothing", dict)
         for batch in sub_batches(batches):
-            sids, sizes, keys, sketches = [], [], [], []
+            fps, sids, sizes, keys, sketches = [], [], [], [], []
             for text in texts_of(batch):
-                found = shingle_set(text, shingle)
+                hashes = shingle_hashes(text, shingle)
+                fps.append(majority(hashes))
+                found = np.unique(hashes)
                 sids.append(xxhash.xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 keys.append(prefix(found, common, often).view(np.int64))
                 sketches.append(sketch(found))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "sid", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sids)), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "fp", "sid", "n", "keys", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), rows, "doc_id long, text_hash long, sid long, n int, keys array<long>, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), rows, "doc_id long, text_hash long, fp long, sid long, n int, keys array<long>, sketch binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -251,27 +261,47 @@ def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _kept_table(df: DataFrame) -> DataFrame:
-    """Stored, and the shuffle files of what is no longer in use given back, as the rounds would pile them up."""
-    out = stored(df)
+    """Stored, in small batches to Python, and the shuffle files of what is no longer in use given back, as the rounds would pile them up."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(SENT_BYTES))
+    try:
+        out = stored(df)
+    finally:
+        spark.conf.set(name, was)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    spark.sparkContext._jvm.java.lang.System.gc()
     return out
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """(a, b): sets of equal or near fingerprints, each fingerprint standing for its least set."""
+    sets = rows.where("n > 0").select("fp", "sid").distinct()
+    least = _kept_table(sets.groupBy("fp").agg(F.min("sid").alias("least")))
+    same = sets.join(least, "fp").where("sid != least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    near = similar_fingerprints(least.select("fp"))
+    of = [least.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}")) for x in ("a", "b")]
+    return same.unionByName(near.join(of[0], "a").join(of[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).where("a != b")
+
+
 def components(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_hash, root) of every row; root names the component."""
     rows = _kept_table(marked(docs, shingle))
     shared = _kept_table(shared_keys(rows.where("n > 0")))
-    of_shared = _kept_table(rows.select("sid", "doc_id", "text_hash", "sketch").join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("m")).select("sid", "m.*"))
+    first = _kept_table(proposed(rows))
+    wanted = shared.select("sid").unionByName(first.select(F.col("a").alias("sid"))).unionByName(first.select(F.col("b").alias("sid"))).distinct()
+    of_shared = _kept_table(rows.select("sid", "doc_id", "text_hash", "sketch").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("m")).select("sid", "m.*"))
     texts = _kept_table(whole_texts(docs, of_shared.select("sid", "doc_id", "text_hash")))
     links, roots = None, None
-    for nth in range(STAR_ROUNDS + 1):
+    for nth in range(-1, STAR_ROUNDS + 1):
         at = shared.withColumn("root", F.col("sid")) if roots is None else shared.join(roots, shared.sid == roots.node, "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-        pairs = _kept_table(likely(star_pairs(at, nth) if nth < STAR_ROUNDS else left_pairs(at), of_shared))
+        pairs = _kept_table(likely(first if nth < 0 else star_pairs(at, nth) if nth < STAR_ROUNDS else left_pairs(at), of_shared))
         new = _kept_table(verified(pairs, texts, shingle))
+        dropped(pairs)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             roots = _kept_table(connected_components(links))
+    dropped(shared, of_shared, texts, first)
     of_rows = rows.select("doc_id", "text_hash", "sid")
     if roots is None:
         return of_rows.select("doc_id", "text_hash", F.col("sid").alias("root"))
@@ -279,5 +309,10 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def kept(docs: DataFrame, shingle: int) -> DataFrame:
-    """One document of each component, with the columns of ``docs``, as ``simhash.kept`` takes it."""
+    """One document of each component, with the columns of ``docs``, as ``simhash.kept`` takes it.
+
+    Null and empty texts have no shingle and are copies of each other; a very long text is
+    compared whole. Of equal sets, and of rows equal in id and text, one document stays; null
+    ids come last; names of columns may clash with any of ours; an empty table gives no row.
+    """
     return keep_first(docs, _kept_table(components(docs, shingle).select("root", "doc_id", "text_hash")))

@@ -47,7 +47,11 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Majority of each bit over the hashes of all word shingles, repeats included; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     if len(hashes) < 2:
         return int(hashes[0]) if len(hashes) else 0
     if len(hashes) < 2000:
@@ -122,7 +126,8 @@ def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int,
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, fp) to links: each key's run, which may reach over batches, is compared within itself."""
-    held_key, held = None, np.zeros(0, np.uint64)
+    held_key: int | None = None
+    held: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
 
     def out() -> pa.RecordBatch:
@@ -130,27 +135,35 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def compare(run: np.ndarray) -> None:
+        if len(run) > 1:
+            seen.update(spanning_links(run))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column("key").to_numpy(zero_copy_only=False)
         fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        if held_key is not None:
-            key, fp = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, fp])
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        held_key, held = key[-1], fp[last:].copy()
-        starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else np.zeros(0, np.int64)
-        sizes = cuts - starts
-        two = starts[sizes == 2]
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        first = 0
+        if held and key[0] == held_key:  # the run goes on; its parts are put together once, when it ends
+            held.append(fp[: starts[1]].copy())
+            first = 1
+        if first == len(starts) - 1:
+            continue
+        if held:
+            compare(np.concatenate(held))
+        held_key, held = int(key[-1]), [fp[starts[-2] :].copy()]
+        whole, sizes = starts[first:-2], np.diff(starts)[first:-1]
+        two = whole[sizes == 2]
         close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= DISTANCE]
         seen.update(zip(fp[close].tolist(), fp[close + 1].tolist(), strict=True))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            seen.update(spanning_links(fp[s : s + n]))
+        for s, n in zip(whole[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            compare(fp[s : s + n])
         if len(seen) > 200_000:
             yield out()
-    if len(held) > 1:
-        seen.update(spanning_links(held))
+    if held:
+        compare(np.concatenate(held))
     if seen:
         yield out()
 
@@ -185,14 +198,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of every document.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows
-    return each time; a null doc_id never names a component unless all of it are null; an
-    empty table gives no row; columns besides doc_id and text are not looked at.
+    return each time; a null doc_id never names a component unless all of it are null; a bit
+    that half the hashes have is 0; a very long text is read whole; an empty table gives no
+    row; columns besides doc_id and text are not looked at.
     """
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: that of least doc_id (null last), then text hash."""
+    """One document of each component, with the columns of ``docs``: that of least doc_id (null last), then text hash.
+
+    Null, empty and very long texts are as in ``near_duplicates``; of rows equal in id and
+    text one stays; names of columns may clash with any of ours; an empty table gives no row.
+    """
     return keep_first(docs, stored(components(docs, shingle).select("root", "doc_id", "text_hash")))
 
 
