@@ -28,7 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; linked are sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays; linked are five-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+    Golay keys of SimHash fingerprints propose, whole sets verify; a prefix filter proposes what fingerprints miss.
+    """
     return jaccard.kept(docs, SHINGLE)
 
 
