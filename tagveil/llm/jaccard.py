@@ -1,10 +1,10 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets, 0.8 or more, exactly.
 
 The groups are found in two steps. First the fingerprints of whole texts meet by the Golay
-keys of ``simhash``; what they propose is verified on the whole sets. That finds copies and
-nearly all edited copies, but fingerprints within four bits are not all pairs of 0.8. So a
-prefix filter then proposes the pairs that are left, between different components, and they
-are verified the same way.
+keys of ``simhash``, and every set is tried with the one set that it shares most keys with;
+what these propose is verified on the whole sets. That finds copies and nearly all edited
+copies, but not all pairs of 0.8. So a prefix filter then proposes the pairs that are left,
+between different components, and they are verified the same way.
 
 Two sets so similar share at least 4/5 of each one's shingles. In any one order of all
 shingles, the first they share is then among the first n - ceil(4n/5) + 1 of either set of n
@@ -13,9 +13,8 @@ a sample of documents finds common, which keeps the runs of one key short. It on
 work: the result is the same in every order. Bucket counts rule out most candidates, by a
 bound; the rest are verified on the whole sets. The links' components are the groups.
 
-A large group of near copies would give all its pairs. So, after the fingerprints, every set
-is tried with one set that it shares most keys with, and then only pairs in different
-components are left to try.
+A large group of near copies would give all its pairs; after the first step most of it is
+one component, and only pairs in different components are left to try.
 """
 
 from __future__ import annotations
@@ -35,12 +34,12 @@ from tagveil.llm.simhash import keep_first, majority, shingle_hashes, similar_fi
 
 #: One of so many documents tells which shingles are common, at so many occurrences there; so many are known at most.
 SAMPLE, OFTEN, MOST_COMMON = 16, 3, 50_000
-#: Rounds of trying one other set before the pairs that are left.
-STAR_ROUNDS = 1
 #: Bytes that are sent to a Python worker at once.
 SENT_BYTES = 8 << 20
 #: Counts of a set's shingles by their low bits; a count at FULL says nothing.
 BUCKETS, FULL = 256, 255
+#: An odd factor that puts names of sets in another order.
+RANK = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a key above which all of them stay without a look at their partners.
 LONG_RUN = 1024
 #: Pairs of one key that are written at once.
@@ -150,7 +149,10 @@ def _batched(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, sid, n, pos) of the keys by which two sets or more can be similar, each set once a key."""
+    """(key, sid, n, pos, lead) of the keys by which two sets or more can be similar, each set once a key.
+
+    ``lead`` is one set of the key's run, the same where runs have the same sets, and the set itself where these two can't be similar by this key.
+    """
     names = ["key", "sid", "n", "pos"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +165,15 @@ def shared_keys(rows: DataFrame) -> DataFrame:
                     np.fill_diagonal(fits, False)
                     at = at[fits.any(1)]
                 if len(at) > 1:
-                    yield [run[c][at] for c in names]
+                    cols = [run[c][at] for c in names]
+                    _, sid, n, pos = cols
+                    first = int(np.argmin(sid.view(np.uint64) * RANK))
+                    yield [*cols, np.where(_possible(n, pos, int(n[first]), int(pos[first])), sid[first], sid)]
 
-        yield from _batched(each(), names)
+        yield from _batched(each(), [*names, "lead"])
 
     keys = rows.select("sid", "n", F.posexplode("keys").alias("pos", "key")).select(*names)
-    return map_arrow(keys.repartition("key").sortWithinPartitions("key"), found, "key long, sid long, n int, pos int")
+    return map_arrow(keys.repartition("key").sortWithinPartitions("key"), found, "key long, sid long, n int, pos int, lead long")
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, own_n: int, own_pos: int) -> np.ndarray:
@@ -176,23 +181,10 @@ def _possible(n: np.ndarray, pos: np.ndarray, own_n: int, own_pos: int) -> np.nd
     return 9 * np.minimum(n - pos, own_n - own_pos).astype(np.int64) >= 4 * (n.astype(np.int64) + own_n)
 
 
-def star_pairs(shared: DataFrame, nth: int) -> DataFrame:
+def star_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): every set with the one set, of those that lead a key's run, that leads most of its keys."""
-    names = ["a", "b"]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[list[np.ndarray]]:
-            for _, run in _runs(batches):
-                lead = int(np.argmin(run["rank"]))
-                ok = (run["root"] != run["root"][lead]) & _possible(run["n"], run["pos"], int(run["n"][lead]), int(run["pos"][lead]))
-                if ok.any():
-                    yield [np.full(int(ok.sum()), run["sid"][lead]), run["sid"][ok]]
-
-        yield from _batched(each(), names)
-
-    ranked = shared.withColumn("rank", F.xxhash64("sid", F.lit(nth)))
-    found = map_arrow(ranked.repartition("key").sortWithinPartitions("key"), rows, "a long, b long")
-    return found.groupBy("a", "b").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select("m.a", "b")
+    led = shared.where("lead != sid").groupBy("lead", "sid").count()
+    return led.groupBy("sid").agg(F.max(F.struct("count", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("sid").alias("b"))
 
 
 def left_pairs(shared: DataFrame) -> DataFrame:
@@ -288,23 +280,23 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_hash, root) of every row; root names the component."""
     rows = _kept_table(marked(docs, shingle))
     shared = _kept_table(shared_keys(rows.where("n > 0")))
-    first = _kept_table(proposed(rows))
-    wanted = shared.select("sid").unionByName(first.select(F.col("a").alias("sid"))).unionByName(first.select(F.col("b").alias("sid"))).distinct()
+    near = proposed(rows).unionByName(star_pairs(shared))
+    first = _kept_table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = shared.select("sid").unionByName(first.select(F.explode(F.array("a", "b")).alias("sid"))).distinct()
     of_shared = _kept_table(rows.select("sid", "doc_id", "text_hash", "sketch").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("m")).select("sid", "m.*"))
     texts = _kept_table(whole_texts(docs, of_shared.select("sid", "doc_id", "text_hash")))
-    links, roots = None, None
-    for nth in range(-1, STAR_ROUNDS + 1):
-        at = shared.withColumn("root", F.col("sid")) if roots is None else shared.join(roots, shared.sid == roots.node, "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-        pairs = _kept_table(likely(first if nth < 0 else star_pairs(at, nth) if nth < STAR_ROUNDS else left_pairs(at), of_shared))
-        new = _kept_table(verified(pairs, texts, shingle))
-        dropped(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = _kept_table(connected_components(links))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _kept_table(verified(likely(pairs, of_shared), texts, shingle))
+
+    links = linked(first)
+    roots = connected_components(links)
+    of_key = shared.join(roots, shared.sid == roots.node, "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    rest = linked(left_pairs(of_key))
+    if not rest.isEmpty():
+        roots = connected_components(links.unionByName(rest))
     dropped(shared, of_shared, texts, first)
     of_rows = rows.select("doc_id", "text_hash", "sid")
-    if roots is None:
-        return of_rows.select("doc_id", "text_hash", F.col("sid").alias("root"))
     return of_rows.join(roots, of_rows.sid == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
 
 
