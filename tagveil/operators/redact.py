@@ -130,7 +130,7 @@ def mapping_json(entries: DataFrame, source: Column, generated: Column, scope: s
 
 def output_names(files: DataFrame, saved: int) -> DataFrame:
     """(file_id, name, hide_name) to redacted and restored file names; hidden ones are numbered, by their numeric id, on from the saved mappings."""
-    hidden = numbered(files.where("hide_name").select("file_id"), ["file_id"], "file_id").withColumn("hide_name", F.lit(True))
+    hidden = numbered(files.where("hide_name").select("file_id"), ["file_id"]).withColumn("hide_name", F.lit(True))
     base = T.base_name(F.col("name"))
     named = files.join(hidden, ["file_id", "hide_name"], "left")
     job = F.concat(F.lit("redacted-job-"), (F.col("pos") + F.lit(saved)).cast("string"), F.lit(".docx"))

@@ -54,10 +54,7 @@ def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Give each row its number by ``place``: those of the base first."""
-    base = numbered(rows.where("place.side = 0").withColumn("at", F.col("place.ord")), ["at"], "at")
-    n = rows.where("place.side = 0").count()
-    new = numbered(rows.where("place.side = 1").withColumn("at", F.col("place.ord")), ["at"], "at").withColumn("pos", F.col("pos") + n)
-    return base.unionByName(new).select("term", "tag", "source", F.col("pos").cast("long").alias("ord"))
+    return numbered(rows, ["place"], "ord").select("term", "tag", "source", "ord")
 
 
 def add(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -81,8 +78,7 @@ def all_entries(mappings: DataFrame) -> DataFrame:
     each = mappings.select("mapping_id", "saved_at", F.posexplode("entries").alias("pos", "e")).where("e.tag != ''")
     when = F.struct("saved_at", "mapping_id", "pos")
     won = each.groupBy("e.tag").agg(F.max_by("e", when).alias("w"), F.min(when).alias("first"))
-    at = numbered(won.withColumn("at", F.col("first.saved_at")), ["at", "first"], "at")
-    return at.select("tag", F.col("w.value").alias("value"), F.col("w.count").alias("n"), F.col("pos").cast("long").alias("ord"))
+    return numbered(won, ["first"], "ord").select("tag", F.col("w.value").alias("value"), F.col("w.count").alias("n"), "ord")
 
 
 def recent(mappings: DataFrame, limit: int = RECENT) -> DataFrame:
