@@ -107,13 +107,18 @@ def with_rules(docs: DataFrame, rules: DataFrame, kinds: set[int] | None = None)
     return docs.join(hits, "row_key", "left")
 
 
-def with_candidates(ruled: DataFrame) -> DataFrame:
-    """Add ``candidates``: every rule's own matches, before any is preferred over another."""
+def candidates_of(text: Column, rules: Column) -> Column:
+    """Every rule's own matches in a text, before any is preferred over another."""
 
     def of(rule: Column) -> Column:
-        return F.transform(spans.rule_spans(F.col("text"), rule["regex"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *(rule[c].alias(c) for c in ("weight", "ord", "label", "source", "replacement"))))
+        return F.transform(spans.rule_spans(text, rule["regex"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *(rule[c].alias(c) for c in ("weight", "ord", "label", "source", "replacement"))))
+
+    return F.coalesce(F.flatten(F.transform(rules, of)), F.expr(f"cast(array() as array<{spans.CANDIDATE}>)"))
 
-    return ruled.withColumn("candidates", F.coalesce(F.flatten(F.transform("rules", of)), F.expr(f"cast(array() as array<{spans.CANDIDATE}>)")))
+
+def with_candidates(ruled: DataFrame) -> DataFrame:
+    """Add ``candidates``: those of the row's text by the row's rules."""
+    return ruled.withColumn("candidates", candidates_of(F.col("text"), F.col("rules")))
 
 
 def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:

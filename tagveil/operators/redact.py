@@ -24,10 +24,9 @@ def tag_values(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     return entries.groupBy(*(scope or []), "tag").agg(F.max_by("term", "ord").alias("value"), F.min("ord").alias("ord"))
 
 
-def job_mapping(found: DataFrame, values: DataFrame) -> DataFrame:
-    """(tag, value, n) over all documents of a redaction: used tags only."""
-    counts = found.select(F.explode("matches").alias("m")).groupBy(F.col("m.label").alias("tag")).agg(F.count("*").alias("n"))
-    return counts.join(values, "tag").select("tag", "value", "n")
+def job_tags(found: DataFrame) -> DataFrame:
+    """(tag, n) over all documents of a redaction: used tags only."""
+    return found.select(F.explode("matches").alias("m")).groupBy(F.col("m.label").alias("tag")).agg(F.count("*").alias("n"))
 
 
 def tag_counts(found: DataFrame) -> DataFrame:
@@ -82,21 +81,31 @@ def redact(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return judged(found_in(docs, clean_entries(entries)))
 
 
-def found_in(docs: DataFrame, clean: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``matches`` and ``checks``, the terms that the rewritten text is to be tested for."""
+def with_checks(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """Add ``rules``, those that the row's text may match, and ``checks``, the terms that its rewritten text is to be tested for."""
     rules = matching.term_rules(clean)
     kinds = matching.kinds_of(rules)
     ruled = matching.with_rules(docs, _with_followers(rules, kinds), kinds)
     checks = F.array_distinct(F.flatten(F.transform("rules", lambda r: F.array_append(r["also"], F.struct(r["term"].alias("term"), r["regex"].alias("regex"))))))
-    found = matching.with_candidates(ruled).withColumn("matches", spans.resolve_overlaps(F.col("candidates")))
-    return found.withColumn("checks", F.coalesce(checks, F.expr("cast(array() as array<struct<term:string,regex:string>>)"))).drop("candidates", "rules")
+    return ruled.withColumn("checks", F.coalesce(checks, F.expr("cast(array() as array<struct<term:string,regex:string>>)")))
+
+
+def left_of(checks: Column, new_text: Column) -> Column:
+    """The terms of ``checks`` that a rewritten text still holds, sorted."""
+    left = F.filter(checks, lambda c: F.coalesce(F.regexp_like(new_text, c["regex"]), F.lit(False)))
+    return F.array_sort(F.transform(left, lambda c: c["term"]))
+
+
+def found_in(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``matches`` and ``checks``."""
+    found = matching.with_candidates(with_checks(docs, clean)).withColumn("matches", spans.resolve_overlaps(F.col("candidates")))
+    return found.drop("candidates", "rules")
 
 
 def judged(found: DataFrame) -> DataFrame:
     """Rewrite the rows of ``found_in`` and release those in which no term is left."""
     new = found.select("doc_id", "checks", spans.splice(F.col("text"), F.col("matches")).alias("new_text"), F.size("matches").cast("long").alias("n_matches"))
-    left = F.filter("checks", lambda c: F.coalesce(F.regexp_like("new_text", c["regex"]), F.lit(False)))
-    out = new.withColumn("leaked", F.array_sort(F.transform(left, lambda c: c["term"])))
+    out = new.withColumn("leaked", left_of(F.col("checks"), F.col("new_text")))
     ok = F.coalesce(F.size("leaked") == 0, F.lit(False))
     return out.select("doc_id", ok.alias("ok"), "n_matches", F.when(ok, F.col("new_text")).alias("redacted_text"), "leaked")
 

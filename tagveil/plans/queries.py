@@ -769,6 +769,49 @@ def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.redacted(_files(spark, sf_dir), entries).select("doc_id", "ok", "text", "leaked", "error")
 
 
+# files that share an id, have none, or are there twice: each is judged by itself
+@query(r"""with c as (select case when turn % 3 = 0 then null else conv_id end as doc_id, text, turn from conversations), o as (select * from c union all select * from c where turn % 2 = 0),
+    r as (select doc_id, array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda l: regexp_replace(regexp_replace(l, '\band\s+of\b', '[[WORD_2]]', 'gi'), '\bthe\b', '[[WORD_1]]', 'gi')), lambda l: l != ''), chr(10)) as t from o),
+    k as (select doc_id, t, list_filter(['and of', 'the'], lambda w: regexp_matches(t, '(?i)\b' || replace(w, ' ', '\s+') || '\b')) as leaked from r)
+    select doc_id, len(leaked) = 0 as ok, case when len(leaked) = 0 then t end as text, leaked from k""")
+def docx_redact_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = table(spark, sf_dir, "conversations").selectExpr("case when turn % 3 = 0 then null else conv_id end as doc_id", "turn", "text")
+    files = docx.from_texts(odd.unionByName(odd.where("turn % 2 = 0")))
+    entries = spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(_TERMS)], "term string, tag string, ord long")
+    return docx.redacted(files, entries).select("doc_id", "ok", "text", "leaked")
+
+
+_HITS = r"len(regexp_extract_all({0}, '(?i)\bthe\b')) + list_sum(list_transform(str_split({0}, chr(10)), lambda l: len(regexp_extract_all(l, '(?i)\band\s+of\b'))))"
+
+
+@query(f"with c as (select conv_id * 1000 + turn as doc_id, text, 'The ' || role || ' and of ' || split_part(text, chr(10), 1) as header from conversations), p as (select doc_id, 'word/document.xml' as part, {_HITS.format('text')} as n from c union all select doc_id, 'word/header1.xml', {_HITS.format('header')} from c) select doc_id, part, cast(n as bigint) as n from p where n > 0")
+def docx_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many replacements each part of a file has got."""
+    made = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn as doc_id", "text", "'The ' || role || ' and of ' || split_part(text, '\\n', 1) as header")
+    entries = spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(_TERMS)], "term string, tag string, ord long")
+    done = docx.rules_applied(docx.from_texts(made), matching.term_rules(entries))
+    return done.select("doc_id", F.explode("replaced").alias("part", "n"))
+
+
+_READ_SQL = "array_to_string(list_filter(str_split(text, chr(10)), lambda x: x != ''), chr(10))"
+
+
+# Word files, broken ones, pictures, PDF files without a reader and files of no kind, with repeated and missing ids
+@query(f"""with c as (select case when turn % 3 = 0 then null else conv_id end as doc_id, text, (conv_id + turn) % 5 as k from conversations), f as (select * from c union all select * from c where k < 3)
+    select doc_id, case k when 0 then 'docx' when 1 then 'docx' when 2 then 'image' when 3 then 'pdf' end as kind,
+        case when trim(replace(text, chr(10), '')) = '' then null when k = 0 then {_READ_SQL} when k = 2 then text end as text,
+        case k when 1 then 'BadZipFile' when 3 then 'no reader for pdf' when 4 then 'unsupported file type' else case when trim(replace(text, chr(10), '')) = '' then 'no text found' end end as error from f""")
+def ingest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr("case when turn % 3 = 0 then null else conv_id end as doc_id", "text", "(conv_id + turn) % 5 as k", "monotonically_increasing_id() as row")
+    made = docx.from_texts(rows.selectExpr("row as doc_id", "text")).withColumnRenamed("doc_id", "row")
+    raw = F.when(F.col("k") == 0, F.col("content")).otherwise(F.col("text").cast("binary"))
+    files = rows.join(made, "row").select("doc_id", F.expr("array('a.docx', 'b.DOCX', 'c.png', 'd.pdf', 'e.txt')[k]").alias("name"), raw.alias("content"), "k")
+    files = files.unionByName(files.where("k < 3")).drop("k")
+    seen = lambda f: f.select("doc_id", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text")).selectExpr("doc_id", "-line as y", "0 as x", "text")
+    read = ingest.read(files, providers.Providers(ocr=seen))
+    return read.select("doc_id", "kind", "text", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
 @query("select conv_id * 1000 + turn as doc_id, array_to_string(list_filter(str_split(text, chr(10)), lambda x: x != ''), chr(10)) as text from conversations where replace(text, chr(10), '') != ''")
 def docx_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted and restored: what was there is back, as both terms occur in one spelling."""
@@ -776,7 +819,7 @@ def docx_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = matching.term_rules(entries, ignore_case=False)
     hidden = docx.rules_applied(_files(spark, sf_dir), rules).select("doc_id", "content")
     back = docx.rules_applied(hidden, restore.restore_rules(entries.select("tag", F.col("term").alias("value"), "ord")))
-    return docx.texts(docx.segments(back.select("doc_id", "content"))).where("text != ''").select("doc_id", "text")
+    return docx.texts(back).where("text != ''").select("doc_id", "text")
 
 
 @query("select cast(c_custkey as bigint) as doc_id, case when c_custkey % 2 = 0 then 'BadZipFile' when c_custkey % 3 = 0 then 'UnsafeFile' end as error from customer")

@@ -2,8 +2,12 @@
 
 Files come as (doc_id, content), for example from Spark's ``binaryFile`` source. One file is
 one row, so the work is map-only Python over the standard library's zip and XML readers; a
-file that looks malicious or cannot be read gives an error, not a failed job. Files are told
-apart by a digest of id and content, so repeated and missing ids are no matter.
+file that looks malicious or cannot be read gives an error, not a failed job.
+
+A file stays one row from parsing to the gate: its paragraphs are an array in that row, matched
+and rewritten there, and what has been written is read again in the same step. So repeated
+rows, equal files and missing ids are each judged alone. Reading is a map over rows with
+whatever else in them.
 
 Rewriting replaces the bytes of text nodes where they stand. Everything else in a part, such
 as declarations of namespaces that only an attribute's value names, stays byte for byte.
@@ -15,16 +19,21 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tagveil.functions import text as T
+from tagveil.operators import matching, redact, spans
+from tagveil.operators import segments as segments_
 
 # Limits against zip bombs, parts with paragraphs, properties that can tell who wrote the file.
 MOST_PARTS, MOST_BYTES = 4096, 300 << 20
@@ -36,9 +45,12 @@ _WORD = _W[1:-1]
 _SPACE = re.compile(rb"""\s(?:xml:space)\s*=\s*(?:"[^"]*"|'[^']*')""")
 _START_TAG = re.compile(rb"""<[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>""")
 #: Characters that XML cannot hold.
-_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
-SEGMENTS = "doc_id long, file string, part string, para_idx int, seg_idx int, text string, error string"
+#: Paragraphs in the order of the file, each the texts of its nodes.
+PARAGRAPHS = "array<struct<part:string,para_idx:int,texts:array<string>>>"
+READ = f"struct<paragraphs:{PARAGRAPHS},error:string>"
+WRITTEN = f"struct<content:binary,paragraphs:{PARAGRAPHS},error:string>"
 
 
 class UnsafeFile(Exception):
@@ -130,63 +142,68 @@ def _units(name: str, data: bytes) -> list[list[Node]]:
     return units
 
 
-def _file_key(doc_id: Column, content: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(content, F.lit(b"")), F.lit(b"\x00"), F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary")), 256)
-
+def _paragraphs(content: bytes) -> list[dict]:
+    return [{"part": member.filename, "para_idx": p, "texts": [n.text for n in nodes]} for member, data in _parts(content) for p, nodes in enumerate(_units(member.filename, _utf8(data)))]
 
-def _keyed(files: DataFrame) -> DataFrame:
-    doc_id, content = F.col("doc_id").cast("long"), F.col("content").cast("binary")
-    return files.select(doc_id.alias("doc_id"), _file_key(doc_id, content).alias("file"), content.alias("content"))
 
+def _beside(rows: DataFrame, name: str, kind: str, of: list[str], made: Callable[..., dict]) -> DataFrame:
+    """Add a column that a plain function makes of the columns ``of``, row by row. What breaks in a file is its ``error``."""
 
-def segments(files: DataFrame) -> DataFrame:
-    """One row a text node: (doc_id, file, part, para_idx, seg_idx, text); one row with an error, or without a part if there is no text."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, file, content in zip(batch.doc_id, batch.file, batch.content, strict=True):
-                own = []
+            out = []
+            for values in zip(*(batch.column(c).to_pylist() for c in of), strict=True):
                 try:
-                    for member, data in _parts(bytes(content or b"")):
-                        for p, nodes in enumerate(_units(member.filename, _utf8(data))):
-                            own += [(doc_id, file, member.filename, p, i, n.text, None) for i, n in enumerate(nodes)]
+                    out.append(made(*values) | {"error": None})
                 except BROKEN as e:
-                    own = [(doc_id, file, None, None, None, None, f"{type(e).__name__}: {e}")]
-                rows += own or [(doc_id, file, None, None, None, None, None)]
-            yield pd.DataFrame(rows, columns=["doc_id", "file", "part", "para_idx", "seg_idx", "text", "error"]).astype({"doc_id": "Int64", "para_idx": "Int32", "seg_idx": "Int32"})
+                    out.append({"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, target)], names=[*batch.schema.names, name])
+
+    target = to_arrow_type(ty._parse_datatype_string(kind))
+    return rows.mapInArrow(each, ty.StructType([*rows.schema.fields, ty.StructField(name, ty._parse_datatype_string(kind))]))
 
-    return _keyed(files).mapInPandas(read, SEGMENTS)
 
+def read(files: DataFrame) -> DataFrame:
+    """Add ``r``, a ``READ`` of each row's ``content``: a Word file's paragraphs, or why there are none. Null is no zip file.
 
-def texts(found: DataFrame) -> DataFrame:
-    """(doc_id, file, text): non-empty paragraphs of all parts, one a line; an empty text for files without one."""
-    paragraph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), "")
-    lines = found.where("error is null").groupBy("doc_id", "file", "part", "para_idx").agg(paragraph.alias("line"))
-    said = F.filter(F.array_sort(F.collect_list(F.struct("part", "para_idx", "line"))), lambda x: x["line"] != "")
-    return lines.groupBy("doc_id", "file").agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("text"))
+    Rows stay as they are otherwise, whatever else is in them.
+    """
+    return _beside(files, "r", READ, ["content"], lambda content: {"paragraphs": _paragraphs(content or b"")})
 
 
-def rewritten(files: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, file, content, error) with the text nodes of ``new`` (file, part, para_idx, seg_idx, new_text, preserve) put in; ``file`` names the file as it was.
+def write(files: DataFrame) -> DataFrame:
+    """Add ``w``, ``WRITTEN`` of each row's ``content`` with the texts of ``new`` (like ``PARAGRAPHS``) put in their places: the new file, and what it says when it is read again.
 
-    All that is no text node stays as it is; a file without new nodes passes through.
+    All that is no text node stays as it is, bytes and all.
     """
-    changes = new.groupBy("file").agg(F.collect_list(F.struct("part", "para_idx", "seg_idx", "new_text", "preserve")).alias("changes"))
-    both = _keyed(files).join(changes, "file", "left").select("doc_id", "file", "content", "changes")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, file, content, listed in zip(batch.doc_id, batch.file, batch.content, batch.changes, strict=True):
-                try:
-                    at = {(c["part"], c["para_idx"], c["seg_idx"]): (c["new_text"], c["preserve"]) for c in ([] if listed is None else listed)}
-                    rows.append((doc_id, file, _rewrite(bytes(content or b""), at)[0], None))
-                except BROKEN as e:
-                    rows.append((doc_id, file, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "file", "content", "error"]).astype({"doc_id": "Int64"})
+    def made(content: bytes | None, new: list[dict] | None) -> dict:
+        at = {(x["part"], x["para_idx"], i): (t, t != t.strip()) for x in new or [] for i, t in enumerate(x["texts"])}
+        out = _rewrite(content or b"", at)[0] if at else content or b""
+        return {"content": out, "paragraphs": _paragraphs(out)}
+
+    return _beside(files, "w", WRITTEN, ["content", "new"], made)
 
-    return both.mapInPandas(write, "doc_id long, file string, content binary, error string")
+
+def text_of(paragraphs: Column) -> Column:
+    """The non-empty paragraphs, one a line; an empty text where there is none."""
+    lines = F.transform(paragraphs, lambda p: F.array_join(p["texts"], ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def _plain(files: DataFrame) -> DataFrame:
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content"))
+
+
+def segments(files: DataFrame) -> DataFrame:
+    """One row a text node of (doc_id, content): (doc_id, part, para_idx, seg_idx, text, error); one row with an error, or without a part if there is no text."""
+    found = read(_plain(files)).select("doc_id", "r.error", F.explode_outer("r.paragraphs").alias("p"))
+    return found.select("doc_id", "p.part", "p.para_idx", F.posexplode_outer("p.texts").alias("seg_idx", "text"), "error")
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """(doc_id, text, error) of (doc_id, content), a row each; no text where there is an error."""
+    return read(_plain(files)).select("doc_id", text_of(F.col("r.paragraphs")).alias("text"), "r.error")
 
 
 def _rewrite(content: bytes, at: dict[tuple[str, int, int], tuple[str, bool]]) -> tuple[bytes, dict[str, int]]:
@@ -230,10 +247,13 @@ def _replaced(name: str, original: bytes, new: dict[tuple[int, int], tuple[str,
     return b"".join([*parts, data[at:]]), len(edits)
 
 
-def plain_docx(lines: list[str]) -> bytes:
-    """A minimal Word file with one paragraph a line and no properties."""
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
-    return _package(body)
+def _body(lines: list[str]) -> str:
+    return "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+
+
+def plain_docx(lines: list[str], header: list[str] | None = None) -> bytes:
+    """A minimal Word file with one paragraph a line, a header if there is one, and no properties."""
+    return _package(_body(lines), None if header is None else _body(header))
 
 
 # Content types, relation types and namespaces of the package format, and a picture's width of six inches in its units.
@@ -243,12 +263,20 @@ _DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 PICTURE_WIDTH = 6 * 914_400
 
 
-def _package(body: str) -> bytes:
+def _package(body: str, header: str | None = None) -> bytes:
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    of_header = f'<Override PartName="/word/header1.xml" ContentType="{kind}.header+xml"/>' if header is not None else ""
+    shown = ""
+    if header is not None:
+        shown = f'<w:sectPr xmlns:r="{_RELATIONS}"><w:headerReference w:type="default" r:id="h1"/></w:sectPr>'
     parts = {
-        "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{kind}.document.main+xml"/>{of_header}</Types>',
         "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_RELATIONS}/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{_WORD}"><w:body>{body}</w:body></w:document>',
+        "word/document.xml": f'<w:document xmlns:w="{_WORD}"><w:body>{body}{shown}</w:body></w:document>',
     }
+    if header is not None:
+        parts["word/header1.xml"] = f'<w:hdr xmlns:w="{_WORD}">{header}</w:hdr>'
+        parts["word/_rels/document.xml.rels"] = f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="h1" Type="{_RELATIONS}/header" Target="header1.xml"/></Relationships>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in parts.items():
@@ -300,72 +328,99 @@ def with_pictures(content: bytes, pictures: list[tuple[bytes, int, int]]) -> byt
 
 
 def embedded(files: DataFrame, pictures: DataFrame) -> DataFrame:
-    """(doc_id, content) with the kept pictures (doc_id, image_id, png, width, height) at the end of each file, by image_id; a file that cannot take them stays as it is."""
-    listed = F.array_sort(F.collect_list(F.struct("image_id", "png", "width", "height")))
-    both = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content")).join(pictures.groupBy("doc_id").agg(listed.alias("pictures")), "doc_id", "left")
+    """(doc_id, content) with the kept pictures (doc_id, image_id, png, width, height) at the end of each file, by image_id; a file that cannot take them stays as it is.
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for content, own in zip(batch.content, batch.pictures, strict=True):
-                try:
-                    made.append(with_pictures(bytes(content or b""), [(bytes(p["png"]), p["width"], p["height"]) for p in ([] if own is None else own)]))
-                except BROKEN:
-                    made.append(content)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "content": made})
+    Files that share an id share its pictures, and those without an id have the pictures without one.
+    """
+
+    @F.pandas_udf("binary")
+    def put(contents: pd.Series, pictures: pd.Series) -> pd.Series:
+        made = []
+        for content, own in zip(contents, pictures, strict=True):
+            try:
+                made.append(with_pictures(bytes(content or b""), [(bytes(p["png"]), p["width"], p["height"]) for p in ([] if own is None else own)]))
+            except BROKEN:
+                made.append(content)
+        return pd.Series(made, dtype=object)
 
-    return both.mapInPandas(write, "doc_id long, content binary")
+    listed = pictures.groupBy(F.col("doc_id").cast("long").alias("of_id")).agg(F.array_sort(F.collect_list(F.struct("image_id", "png", "width", "height"))).alias("pictures"))
+    return _plain(files).join(listed, F.col("doc_id").eqNullSafe(F.col("of_id")), "left").select("doc_id", put("content", "pictures").alias("content"))
 
 
 def from_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, content): each text as a plain Word file, a paragraph a line."""
+    """(doc_id, content): each text as a plain Word file, a paragraph a line, with its ``header`` if the table has one."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [plain_docx(_FORBIDDEN.sub("", t or "").split("\n")) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "content": made})
+    def lines(text: str | None) -> list[str]:
+        return _FORBIDDEN.sub("", text or "").split("\n")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(write, "doc_id long, content binary")
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([plain_docx(lines(t), None if h is None else lines(h)) for t, h in zip(texts, headers, strict=True)], dtype=object)
 
+    header = F.col("header") if "header" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col("text"), header).alias("content"))
 
-def rules_applied(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, file, content, error): whole files redacted or restored by rules, segments out, matches per paragraph, segments back."""
-    from tagveil.operators.segments import redistribute
 
-    found = segments(files).where("part is not null")
-    # paragraphs are texts of their own, so matches never reach over one
-    return rewritten(files, redistribute(found, rules, ["file", "part", "para_idx"]))
+def _found(files: DataFrame) -> DataFrame:
+    """(doc_id, content, paragraphs, error, text) of every file."""
+    return read(_plain(files)).select("doc_id", "content", "r.paragraphs", "r.error", text_of(F.col("r.paragraphs")).alias("text"))
+
+
+def _matched(ruled: DataFrame) -> DataFrame:
+    """Add ``new``, the paragraphs that change, with the ``labels`` of what is replaced in each; matches never reach over a paragraph."""
+
+    def one(p: Column) -> Column:
+        segs = segments_.placed(F.transform(p["texts"], lambda t, i: F.struct(i.alias("seg_idx"), t.alias("text"))))
+        found = spans.resolve_overlaps(matching.candidates_of(F.array_join(p["texts"], ""), F.col("rules")))
+        return F.struct(p["part"].alias("part"), p["para_idx"].alias("para_idx"), segs.alias("segs"), found.alias("found"))
+
+    def rewritten(x: Column) -> Column:
+        texts = F.transform(segments_.placed_back(x["segs"], x["found"]), lambda n: n["new_text"])
+        return F.struct(x["part"].alias("part"), x["para_idx"].alias("para_idx"), texts.alias("texts"), F.transform(x["found"], lambda m: m["label"]).alias("labels"))
+
+    looked = ruled.withColumn("looked", F.when(F.size("rules") > 0, F.filter(F.transform("paragraphs", one), lambda x: F.size(x["found"]) > 0)))
+    none = F.expr("cast(array() as array<struct<part:string,para_idx:int,texts:array<string>,labels:array<string>>>)")
+    return looked.withColumn("new", F.coalesce(F.transform("looked", rewritten), none)).drop("looked")
+
+
+def _counts(new: Column) -> Column:
+    """How many replacements each part has got, as a map; parts without one are not in it."""
+    parts = F.array_distinct(F.transform(new, lambda x: x["part"]))
+    of = lambda part: F.size(F.flatten(F.transform(F.filter(new, lambda x: x["part"] == part), lambda x: x["labels"]))).cast("long")
+    return F.map_from_entries(F.transform(parts, lambda part: F.struct(part, of(part))))
+
+
+def _rewritten(matched: DataFrame) -> DataFrame:
+    """Add ``w``, what is written of each row's content and ``new``."""
+    return write(matched.select("doc_id", "content", "error", "new", *(c for c in ("checks",) if c in matched.columns))).withColumn("error", F.coalesce("error", "w.error"))
+
+
+def rules_applied(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, content, replaced, error): whole files redacted or restored by rules, a row each; ``replaced`` counts by part."""
+    done = _rewritten(_matched(matching.with_rules(_found(files), rules)))
+    fine = F.col("error").isNull()
+    return done.select("doc_id", F.when(fine, F.col("w.content")).alias("content"), F.when(fine, _counts(F.col("new"))).alias("replaced"), "error")
 
 
 def redacted(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row a file: (doc_id, ok, content, text, leaked, error).
+    """One row a file: (doc_id, ok, content, text, leaked, replaced, used, error).
 
     The written file is read again, and its text over all parts checked for each term, also
     across paragraphs. Content and text are null where a term is left, where the file has an
-    error and where the check has no verdict.
+    error and where the check has no verdict. ``replaced`` counts replacements by part,
+    ``used`` has the tag of each.
     """
-    from tagveil.operators import matching, redact
-
-    clean = redact.clean_entries(entries)
-    done = rules_applied(files, matching.term_rules(clean))
-    again = segments(done.where("error is null").select("doc_id", "content"))
-    new = texts(again).select(F.struct("doc_id", "file").alias("doc_id"), F.col("text").alias("new_text"))
-    left = redact.leaks(new, clean).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("leaked"))
-    checked = new.select(F.col("doc_id.file").alias("new_file"), "new_text").distinct().join(left.select(F.col("doc_id.file").alias("new_file"), "leaked"), "new_file", "left")
-    broken = again.where("error is not null").select(F.col("file").alias("new_file"), F.col("error").alias("new_error")).distinct()
-    named = done.withColumn("new_file", _file_key(F.col("doc_id"), F.col("content"))).drop("file")
-    out = named.join(checked, "new_file", "left").join(broken, "new_file", "left").withColumn("error", F.coalesce("error", "new_error"))
-    leaked = F.when(F.col("new_text").isNotNull(), F.coalesce("leaked", F.expr("cast(array() as array<string>)")))
-    ok = F.coalesce(F.col("error").isNull() & (F.size(leaked) == 0) & F.col("new_text").isNotNull(), F.lit(False))
-    return out.select("doc_id", ok.alias("ok"), F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("new_text")).alias("text"), F.coalesce(leaked, F.expr("cast(array() as array<string>)")).alias("leaked"), "error")
-
-
-def paragraph_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The files' paragraphs with their matches; doc_id is a paragraph's key."""
-    from tagveil.operators import matching
-    from tagveil.operators.segments import joined
-
-    return matching.matches(joined(segments(files).where("part is not null"), ["file", "part", "para_idx"]), rules)
+    ruled = redact.with_checks(_found(files), redact.clean_entries(entries))
+    done = _rewritten(_matched(ruled)).withColumn("new_text", text_of(F.col("w.paragraphs")))
+    none = F.expr("cast(array() as array<string>)")
+    leaked = F.coalesce(redact.left_of(F.col("checks"), F.col("new_text")), none)
+    ok = F.coalesce(F.col("error").isNull() & (F.size("leaked") == 0) & F.col("new_text").isNotNull(), F.lit(False))
+    out = done.withColumn("leaked", F.when(F.col("error").isNull(), leaked).otherwise(none)).withColumn("ok", ok)
+    released = lambda c: F.when(F.col("ok"), c)
+    return out.select(
+        "doc_id", "ok", released(F.col("w.content")).alias("content"), released(F.col("new_text")).alias("text"), "leaked", released(_counts(F.col("new"))).alias("replaced"),
+        released(F.flatten(F.transform("new", lambda x: x["labels"]))).alias("used"), "error",
+    )
 
 
 def kinds(files: DataFrame) -> DataFrame:

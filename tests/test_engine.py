@@ -1,5 +1,9 @@
+import collections
 import io
+import random
+import re
 import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,21 +30,61 @@ def redacted(spark, pairs, *texts):
     return {r.doc_id: r for r in redact.redact(docs(spark, *texts), entries(spark, pairs)).collect()}
 
 
-def test_redaction_cases(spark):
-    pairs = [*ENTITIES, ("Orbit", "[[SHORT_1]]")]
-    cases = {
-        "Quarry Works leases from Quarry since May.": "[[WORKS_2]] leases from [[YARD_2]] since May.",
-        "Orbit Mills Ltd, at times trading as Orbit Lending and never as Orbit only.": "[[MILL_1]], at times trading as [[LOANS_1]] and never as [[SHORT_1]] only.",
-        "We toured Quarry's yard.": "We toured [[YARD_2]]'s yard.",
-        "HARBOR TRUST or harbor trust, either.": "[[LENDER_9]] or [[LENDER_9]], either.",
-        "Paid by Orbit\nMills Ltd on Friday.": "Paid by [[MILL_1]] on Friday.",
-        "The Orbits live elsewhere.": "The Orbits live elsewhere.",
-        "\U0001f600é Orbit  Lendingé": "\U0001f600é [[LOANS_1]]é",
-        "": "",
-    }
-    got = redacted(spark, pairs, *cases, None)
-    assert [got[i].redacted_text for i in range(len(cases))] == list(cases.values())
-    assert all(r.ok for r in got.values()) and got[len(cases)].redacted_text is None
+#: Words that names and texts are made of: some within others, some of other scripts.
+PIECES = ["lark", "larkin", "ridge", "Ridge-Way", "o'dell", "7th", "b2b", "münch", "Ünal", "дом", "山", "x_y", "A.", "$9"]
+
+
+def made_terms(pick, n):
+    """Distinct terms of one to three words with a tag each, some shared."""
+    terms = {}
+    while len(terms) < n:
+        term = " ".join(pick.choice(PIECES) for _ in range(pick.choice([1, 1, 2, 2, 3])))
+        terms.setdefault(term.lower(), (term, f"[[N_{pick.randrange(n)}]]"))
+    return list(terms.values())
+
+
+def made_text(pick, n):
+    """Words in any case with any gaps, so that terms stand whole, within others, over line ends and cut off."""
+    words = (pick.choice([w, w, w.upper(), w.title(), w + "s", w + "'s", "é" + w]) for w in (pick.choice(PIECES) for _ in range(n)))
+    return "".join(w + pick.choice([" ", " ", " ", "  ", "\n", "\t", ", ", "-", "", "\u00a0"]) for w in words)
+
+
+def plain_matches(text, pairs):
+    """(start, end, tag) by a left-to-right sweep over every term's own matches."""
+    found = []
+    for order, (term, tag) in enumerate(pairs):
+        rx = re.compile(r"(?<![0-9A-Za-z])" + r"\s+".join(map(re.escape, term.split())) + r"(?![0-9A-Za-z])", re.I)
+        found += [(m.start(), m.start() - m.end(), order, m.end(), tag) for m in rx.finditer(text)]
+    taken, end = [], 0
+    for start, _, _, stop, tag in sorted(found):
+        if start >= end:
+            taken.append((start, stop, tag))
+            end = stop
+    return taken
+
+
+def plain_redaction(text, pairs):
+    out, at = [], 0
+    for start, stop, tag in plain_matches(text, pairs):
+        out += [text[at:start], tag]
+        at = stop
+    return "".join([*out, text[at:]])
+
+
+def plain_leaks(text, pairs):
+    return sorted(t for t, _ in pairs if re.search(r"(?<![0-9A-Za-z])" + r"\s+".join(map(re.escape, t.split())) + r"(?![0-9A-Za-z])", text, re.I))
+
+
+def test_redaction_by_a_plain_sweep(spark):
+    pick = random.Random(11)
+    pairs = made_terms(pick, 25)
+    texts = [made_text(pick, pick.randrange(40)) for _ in range(150)] + ["", None]
+    got = redacted(spark, pairs, *texts)
+    for i, text in enumerate(texts):
+        new = None if text is None else plain_redaction(text, pairs)
+        left = plain_leaks(new or "", pairs)
+        assert (got[i].ok, got[i].redacted_text, got[i].leaked) == (not left, None if left else new, left), text
+    assert 0 < sum(r.ok for r in got.values()) < len(texts) and any(r.n_matches > 3 for r in got.values())
 
 
 def test_sweep_order_and_leaks(spark):
@@ -134,47 +178,99 @@ def test_restore(spark):
     assert (back.restored_text, back.leftover) == (text, [])
 
 
-def test_segments(spark):
-    runs = spark.createDataFrame([(0, i, t) for i, t in enumerate(["Tenant: ", "Or", "bit Mills", " Ltd", "", " since May."])] + [(1, i, t) for i, t in enumerate(["Then ", "Quarry", " Works there; Quarry."])], "doc_id long, seg_idx int, text string")
-    rows = {(r.doc_id, r.seg_idx): r for r in redistribute(runs, matching.term_rules(entries(spark))).collect()}
-    assert [rows[0, i].new_text for i in range(6)] == ["Tenant: ", "[[MILL_1]]", "", "", "", " since May."]
-    assert [rows[1, i].new_text for i in range(3)] == ["Then ", "[[WORKS_2]]", " there; [[YARD_2]]."]
-    assert rows[0, 0].preserve and not rows[0, 1].preserve
-
-
-def docx_file(paragraphs, core=""):
-    w = docx._W[1:-1]
-    body = "".join("<w:p>" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in p) + "</w:p>" for p in paragraphs)
-    out = io.BytesIO()
+def cut(pick, text):
+    """The text in runs, some of them empty."""
+    places = sorted(pick.randrange(len(text) + 1) for _ in range(pick.randrange(6)))
+    return [text[a:b] for a, b in zip([0, *places], [*places, len(text)], strict=True)]
+
+
+def test_matches_over_runs(spark):
+    pick = random.Random(12)
+    pairs = made_terms(pick, 12)
+    cuts = [cut(pick, made_text(pick, 12)) for _ in range(60)]
+    runs = spark.createDataFrame([(d, i, t) for d, c in enumerate(cuts) for i, t in enumerate(c)], "doc_id long, seg_idx int, text string")
+    rows = {(r.doc_id, r.seg_idx): r for r in redistribute(runs, matching.term_rules(entries(spark, pairs))).collect()}
+    for d, c in enumerate(cuts):
+        text, new = "".join(c), [rows[d, i].new_text for i in range(len(c))]
+        assert "".join(new) == plain_redaction(text, pairs)
+        # what no match touches stays in its run
+        kept = [True] * len(text)
+        for start, stop, _ in plain_matches(text, pairs):
+            kept[start:stop] = [False] * (stop - start)
+        at = 0
+        for i, t in enumerate(c):
+            assert len("".join(x for x, k in zip(t, kept[at : at + len(t)], strict=True) if k)) <= len(new[i])
+            if all(kept[at : at + len(t)]) and t:
+                assert t in new[i]
+            assert rows[d, i].preserve == (new[i] != new[i].strip())
+            at += len(t)
+
+
+def word_file(parts):
+    """A file of (member, paragraphs of runs); a member of properties has (field, value) pairs."""
+    w, out = docx._W[1:-1], io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
-        z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}"><w:p><w:r><w:t>Harbor Trust, not for others</w:t></w:r></w:p></w:hdr>')
-        z.writestr("docProps/core.xml", f'<cp xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>{core}</dc:creator><dc:format>Orbit Lending</dc:format></cp>')
-        z.writestr("other.bin", b"\0\1")
+        for name, paragraphs in parts:
+            if name.startswith("docProps"):
+                z.writestr(name, "<p>" + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in paragraphs) + "</p>")
+            else:
+                z.writestr(name, f'<w:d xmlns:w="{w}">' + "".join("<w:p>" + "".join(f"<w:r><w:t>{escape(t)}</w:t></w:r>" for t in p) + "</w:p>" for p in paragraphs) + "</w:d>")
+        z.writestr("media/raw.bin", bytes(range(256)))
     return out.getvalue()
 
 
-def test_word_files(spark, tmp_path):
-    bad = io.BytesIO()
-    with zipfile.ZipFile(bad, "w") as z:
-        z.writestr("../x", b"")
-    evil = io.BytesIO()
-    with zipfile.ZipFile(evil, "w") as z:
-        z.writestr("word/document.xml", '<!DOCTYPE a [<!ENTITY b "c">]><a/>')
-    content = docx_file([["Tenant: ", "Or", "bit Mills", " Ltd", " since May."], ["plain"]], "Quarry Works")
-    files = spark.createDataFrame([(1, content), (2, b"nozip"), (3, bad.getvalue()), (4, evil.getvalue()), (5, docx.plain_docx(["Quarry", "", "a & b"]))], "doc_id long, content binary")
-    seg = docx.segments(files)
-    assert {r.doc_id for r in seg.where("error is not null").collect()} == {2, 3, 4}
-    assert {r.doc_id: r.text for r in docx.texts(seg).collect()} == {1: "Quarry Works\nTenant: Orbit Mills Ltd since May.\nplain\nHarbor Trust, not for others", 5: "Quarry\na & b"}
+def test_word_files_by_a_plain_sweep(spark, tmp_path):
+    pick = random.Random(13)
+    pairs = made_terms(pick, 8)
+    written = []
+    for _ in range(40):
+        parts = [("word/document.xml", [cut(pick, made_text(pick, pick.randrange(8))) for _ in range(4)]), ("word/footnotes.xml", [cut(pick, made_text(pick, 3))])]
+        parts += [("docProps/app.xml", [("Manager", made_text(pick, 2) or "none"), ("Template", "lark")])] if pick.random() < 0.5 else []
+        written.append(parts)
+    rows = [(pick.choice([None, 1, 2]), word_file(parts), parts) for parts in written]
+    rows += rows[:5] + rows[:2]  # repeated rows
+    got = docx.redacted(spark.createDataFrame([r[:2] for r in rows], "doc_id long, content binary"), entries(spark, pairs)).collect()
+    want = []
+    for doc_id, _, parts in rows:
+        lines = [(name, "".join(p) if not name.startswith("docProps") else p[1]) for name, ps in parts for p in ps if not name.startswith("docProps") or (p[0] == "Manager" and p[1].strip())]
+        new = "\n".join(x for x in (plain_redaction(t, pairs) for _, t in lines) if x)
+        left = plain_leaks(new, pairs)
+        counts = collections.Counter(name for name, t in lines for _ in plain_matches(t, pairs))
+        want.append((doc_id, not left, None if left else new, left, None if left else sorted(counts.items())))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.ok, r.text, r.leaked, None if r.replaced is None else sorted(r.replaced.items()))) for r in got)
+    assert 0 < sum(r.ok for r in got) < len(got)
+    for r in got:
+        assert r.ok == (r.content is not None)
+        if r.ok:
+            with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z:
+                assert z.read("media/raw.bin") == bytes(range(256))
+                assert "docProps/app.xml" not in z.namelist() or b"<Template>lark</Template>" in z.read("docProps/app.xml")
+
+
+def test_equal_files_are_held_back_each(spark):
+    """A term that two equal rows hold, and one over two paragraphs, with equal, missing and repeated ids."""
+    pairs = [("Bob", "Bob"), ("Acme Corp", "[[A]]")]
+    one, two = docx.plain_docx(["Bob"]), docx.plain_docx(["Acme", "Corp"])
+    files = spark.createDataFrame([(1, one), (1, one), (None, one), (None, one), (2, two), (2, two), (2, one), (None, two)], "doc_id long, content binary")
+    rows = docx.redacted(files, entries(spark, pairs)).collect()
+    assert len(rows) == 8
+    # the tag of Bob holds the term itself, so the gate takes none of those files for clean
+    assert not any(r.ok for r in rows) and all(r.content is None and r.text is None for r in rows)
+    assert sum(not r.ok and r.leaked == ["Acme Corp"] for r in rows) == 3
+    single = docx.redacted(files.where("doc_id = 2").limit(1), entries(spark, pairs)).first()
+    assert not single.ok and single.content is None
+
+
+def test_files_restore_what_they_hid(spark, tmp_path):
+    pick = random.Random(14)
+    pairs = [(t, f"[[M_{i}]]") for i, (t, _) in enumerate(made_terms(pick, 6))]
+    texts = [" and ".join(pick.choice(pairs)[0] for _ in range(4)) for _ in range(10)]
     engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
-    hidden = engine.redact_files(files.where("doc_id in (1, 5)"), entries(spark))
-    text = {r.doc_id: r.text for r in docx.texts(docx.segments(hidden.select("doc_id", "content"))).collect()}
-    assert text[1] == "[[WORKS_2]]\nTenant: [[MILL_1]] since May.\nplain\n[[LENDER_9]], not for others" and text[5] == "[[YARD_2]]\na & b"
-    mapping = spark.createDataFrame([(g, t, i) for i, (t, g) in enumerate(ENTITIES)], "tag string, value string, ord long")
-    back = docx.texts(docx.segments(engine.restore_files(hidden.select("doc_id", "content"), mapping).select("doc_id", "content"))).where("doc_id = 1").first().text
-    assert back == "Quarry Works\nTenant: Orbit Mills Ltd since May.\nplain\nHarbor Trust, not for others"
-    with zipfile.ZipFile(io.BytesIO(bytes(hidden.where("doc_id = 1").first().content))) as z:
-        assert z.read("other.bin") == b"\0\1" and b"Orbit Lending" in z.read("docProps/core.xml")
+    files = spark.createDataFrame([(i, docx.plain_docx([t])) for i, t in enumerate(texts)], "doc_id long, content binary")
+    hidden = engine.redact_files(files, entries(spark, pairs)).where("ok").select("doc_id", "content")
+    mapping = spark.createDataFrame([(g, t, i) for i, (t, g) in enumerate(pairs)], "tag string, value string, ord long")
+    back = {r.doc_id: r.text for r in docx.texts(engine.restore_files(hidden, mapping)).collect()}
+    assert len(back) > 3 and all(texts[i] == t for i, t in back.items())
 
 
 def test_engine_learns_and_restores(spark, tmp_path):
@@ -195,8 +291,16 @@ def test_dictionary_rules(spark, tmp_path):
     def frame(*rows):
         return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], stores.ENTRY)
 
-    merged = stores.merge(frame(("Nimbus", "[[G]]", "manual"), ("lumen", "[[REMOTE]]", None)), frame(("Lumen", "[[LOCAL]]", None)))
-    assert [(r.term, r.tag) for r in merged.orderBy("ord").collect()] == [("Nimbus", "[[G]]"), ("Lumen", "[[LOCAL]]")]
+    pick = random.Random(15)
+    sides = [[(pick.choice(["Nimbus", "nimbus.", "LUMEN", "lumen", "Sol 3", "sol-3", "!", "ключ"]), f"[[{side}_{i}]]", pick.choice(["manual", None])) for i in range(12)] for side in "AB"]
+    keys, places, last = [], {}, {}
+    for row in sides[0] + sides[1]:
+        key = re.sub(r"[^\w\s]", "", row[0].lower()).strip()
+        places.setdefault(key, len(places))
+        last[key] = row
+    merged = stores.merge(frame(*sides[0]), frame(*sides[1]))
+    keys = sorted(places, key=places.get)
+    assert [(r.term, r.tag, r.source) for r in merged.orderBy("ord").collect()] == [last[k] for k in keys]
     up = stores.upsert(frame(), frame(("Company Name Inc.", "[[A]]", None), ("company Name  inc", "[[B]]", "redaction")))
     assert [(r.term, r.tag, r.source) for r in up.collect()] == [("company Name  inc", "[[B]]", "manual")]
     one = stores.Dictionary(spark, f"{tmp_path}/a/d.json")
@@ -379,6 +483,11 @@ def test_reading_files_of_all_kinds(spark):
     plugged = providers.Providers(ocr=lambda f: f.selectExpr("doc_id", "1.0 as y", "explode(array(2.0, 1.0)) as x", "'w' as text"), pdf=lambda f: f.selectExpr("doc_id", "'' as text"))
     got = {r.doc_id: r for r in ingest.read(files, plugged).collect()}
     assert got[3].text == "w\nw" and got[2].error == ingest.NO_TEXT
+    # ids that are missing or repeated: each file has its own text
+    said = lambda f: f.selectExpr("doc_id", "0 as y", "0 as x", "cast(content as string) as text")
+    odd = [(None, "a.docx", docx.plain_docx(["one"])), (None, "b.docx", docx.plain_docx(["two"])), (7, "c.docx", docx.plain_docx(["three"])), (7, "d.png", b"four"), (7, "e.png", b"five"), (None, "e.png", b"five"), (7, "e.png", b"five"), (None, "f.docx", None), (None, None, b"x")]
+    rows = ingest.read(spark.createDataFrame(odd, "doc_id long, name string, content binary"), providers.Providers(ocr=said)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted([("None", "one"), ("None", "two"), ("7", "three"), ("7", "four"), ("7", "five"), ("None", "five"), ("7", "five"), ("None", "None"), ("None", "None")])
 
 
 def test_stores_on_odd_files(spark, tmp_path):
