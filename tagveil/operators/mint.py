@@ -7,37 +7,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagveil.functions import text as T
+from tagveil.operators.order import numbered
 
 
 def clean_prefix(prefix: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.upper(prefix), "[^A-Z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("TAG"))
 
 
+def tag_of(prefix: Column, number: Column) -> Column:
+    return F.concat(F.lit("[["), prefix, F.lit("_"), number.cast("string"), F.lit("]]"))
+
+
+def taken_numbers(taken: DataFrame) -> DataFrame:
+    """(prefix, n), each once: the numbers of tags that have one."""
+    number = F.regexp_extract("tag", r"^\[\[[A-Z0-9_]+_([1-9][0-9]{0,17})\]\]$", 1).try_cast("long")
+    prefix = F.regexp_extract("tag", r"^\[\[([A-Z0-9_]+)_[1-9][0-9]{0,17}\]\]$", 1)
+    return taken.select(prefix.alias("prefix"), number.alias("n")).where("n is not null").distinct()
+
+
+def _within_prefix(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Number rows from 1 within their prefix, by ranges of the whole order: a prefix may have all rows."""
+    placed = numbered(rows, ["prefix", *order], "_pos")
+    firsts = placed.groupBy("prefix").agg(F.min("_pos").alias("_first"))
+    return placed.join(firsts, "prefix").withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+
+
+def gaps(taken: DataFrame) -> DataFrame:
+    """(prefix, free_below, upto): of the sorted taken numbers t_1 < t_2 ..., t_i - i free ones lie below t_i; ``upto`` is the last i with as many."""
+    at = _within_prefix(taken_numbers(taken), ["n"], "i")
+    return at.groupBy("prefix", (F.col("n") - F.col("i")).alias("free_below")).agg(F.max("i").alias("upto"))
+
+
+def free_numbers(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(prefix, k, number): the k-th free number of a prefix; ``wanted`` (prefix, k) has each k from 1 to a prefix's most, once.
+
+    An as-of merge: a taken number goes behind as many wanted ones as there are free ones
+    below it, and a wanted one's place in that order is its number.
+    """
+    at = _within_prefix(taken_numbers(taken).join(wanted.select("prefix").distinct(), "prefix", "left_semi"), ["n"], "i")
+    both = wanted.select("prefix", F.col("k").cast("long").alias("after"), F.lit(True).alias("wanted")).unionByName(at.select("prefix", (F.col("n") - F.col("i")).alias("after"), F.lit(False).alias("wanted")))
+    merged = _within_prefix(both, ["after", F.col("wanted").desc()], "number")
+    return merged.where("wanted").select("prefix", F.col("after").alias("k"), "number")
+
+
 def mint(new: DataFrame, taken: DataFrame, scope: list[str], order: list) -> DataFrame:
-    """Add ``tag`` to keys that need one.
+    """Add ``tag`` to keys (``prefix`` and more) that need one: of a prefix, the k-th new key of a scope gets the k-th number that no ``taken`` tag has.
 
-    ``new`` has ``prefix``; ``taken`` has ``tag`` and may have the scope's columns as well,
-    null where a tag is taken everywhere. Of a prefix, the k-th new key gets the k-th number
-    that no taken tag has: k plus the taken numbers below it. Those are counted from the
-    sorted taken numbers t_1 < t_2 ..., as t_i - i numbers below t_i are free.
+    Without a scope the whole table is numbered, by ranges. Within one, such as a document,
+    keys are numbered there; documents share the free numbers, which are found once.
     """
     new = new.withColumn("prefix", clean_prefix(F.col("prefix")))
-    keyed = new.withColumn("k", F.row_number().over(W.partitionBy(*scope, "prefix").orderBy(*order)))
-    number = F.regexp_extract("tag", r"^\[\[[A-Z0-9_]+_([1-9][0-9]{0,17})\]\]$", 1)
-    own = [c for c in scope if c in taken.columns]
-    used = taken.select(*own, F.regexp_extract("tag", r"^\[\[([A-Z0-9_]+)_[1-9][0-9]{0,17}\]\]$", 1).alias("prefix"), number.try_cast("long").alias("n")).where("n is not null")
-    everywhere = used.where(" and ".join(f"{c} is null" for c in own)) if own else used
-    out = keyed.join(_numbers(everywhere, ["prefix"], "numbers"), "prefix", "left")
-    if own:
-        out = out.join(_numbers(used, [*own, "prefix"], "own_numbers"), [*own, "prefix"], "left")
-        out = out.withColumn("numbers", F.when(F.col("own_numbers").isNull(), F.col("numbers")).when(F.col("numbers").isNull(), F.col("own_numbers")).otherwise(F.array_sort(F.array_union("numbers", "own_numbers")))).drop("own_numbers")
-    free_below = F.transform("numbers", lambda x, i: x - i - 1)
-    n = F.col("k") + F.when(F.col("numbers").isNull(), 0).otherwise(F.size(F.filter(free_below, lambda x: x < F.col("k"))))
-    return out.withColumn("tag", F.concat(F.lit("[["), F.col("prefix"), F.lit("_"), n.cast("string"), F.lit("]]"))).drop("k", "numbers")
-
-
-def _numbers(used: DataFrame, by: list[str], name: str) -> DataFrame:
-    return used.groupBy(*by).agg(F.array_sort(F.collect_set("n")).alias(name))
+    keyed = new.withColumn("k", F.row_number().over(W.partitionBy(*scope, "prefix").orderBy(*order)).cast("long")) if scope else _within_prefix(new, order, "k")
+    numbers = free_numbers(keyed.select("prefix", "k").distinct(), taken)
+    return keyed.join(numbers, ["prefix", "k"]).withColumn("tag", tag_of(F.col("prefix"), F.col("number"))).drop("k", "number")
 
 
 def next_tag(wanted: DataFrame, taken: DataFrame) -> DataFrame:

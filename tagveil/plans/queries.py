@@ -236,8 +236,7 @@ _EMAIL_WALK = r"(?s)(.*?)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b)"
 
 @query(f"select doc_id, term, count(*) as n, min(s) as s from ({_spans_sql(_EMAIL_WALK, _BOTH_SRC)}) group by doc_id, term")
 def suggest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _both(spark, sf_dir)
-    return detect.suggestions(detect.pattern_spans(docs, _of("email"), context=True), ["type", "t"], ["pat_ord", "s"]).select("doc_id", F.col("t").alias("term"), "n", "s")
+    return detect.detect_patterns(_both(spark, sf_dir), spark.createDataFrame([], "tag string"), _of("email")).select("doc_id", "term", "n", "s")
 
 
 def _context_sql(text: str, s: str, e: str) -> str:
@@ -246,9 +245,8 @@ def _context_sql(text: str, s: str, e: str) -> str:
 
 @query(f"with {_BOTH_SRC}, f as (select doc_id, term, s, row_number() over (partition by doc_id, term order by s) as pos from ({_spans_sql(_EMAIL_WALK, _BOTH_SRC)})) select doc_id, term, pos, {_context_sql('text', 's', '(s + length(term))')} as context from f join src using (doc_id) where pos <= 5")
 def suggest_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _both(spark, sf_dir)
-    found = detect.suggestions(detect.pattern_spans(docs, _of("email"), context=True), ["type", "t"], ["pat_ord", "s"])
-    return found.select("doc_id", F.col("t").alias("term"), F.posexplode("contexts").alias("p", "context")).select("doc_id", "term", (F.col("p") + 1).cast("long").alias("pos"), "context")
+    found = detect.detect_patterns(_both(spark, sf_dir), spark.createDataFrame([], "tag string"), _of("email"))
+    return found.select("doc_id", "term", F.posexplode("contexts").alias("p", "context")).select("doc_id", "term", (F.col("p") + 1).cast("long").alias("pos"), "context")
 
 
 _NEW_KEYS = "n as (select o_custkey as scope, o_orderkey as s, case when o_orderkey % 2 = 0 then 'EMAIL' else 'PHONE' end as prefix from orders)"
@@ -270,6 +268,29 @@ def mint_tags_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mint.mint(_new_keys(spark, sf_dir), taken, ["scope"], ["s"]).select("scope", "s", "tag")
 
 
+_FREE = "t as (select distinct cast(o_orderkey * 2 % 100003 + 1 as bigint) as x from orders), f as (select x, row_number() over (order by x) as k from range(1, (select 1 + (select count(*) from lineitem) + (select count(*) from t))) r(x) where x not in (select x from t))"
+
+
+# one prefix for the whole table: every line a key, every order a taken number
+@query(f"with {_FREE}, n as (select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) as k from lineitem) select l_orderkey, l_linenumber, '[[ITEM_' || cast(x as varchar) || ']]' as tag from n join f using (k)")
+def mint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("item").alias("prefix"))
+    taken = table(spark, sf_dir, "orders").selectExpr("'[[ITEM_' || (o_orderkey * 2 % 100003 + 1) || ']]' as tag")
+    return mint.mint(new, taken, [], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "tag")
+
+
+_TYPED = "case cast(o_orderkey % 4 as int) when 0 then 'person' when 1 then 'url' when 2 then 'company' else 'iban' end"
+
+
+# typed in by hand, numbered over the whole list: types without a prefix of their own share one; taken tags count in any case
+@query(f"""with w as (select o_orderkey as ord, {_TYPED} as type, case cast(o_orderkey % 4 as int) when 0 then 'PERSON' when 2 then 'COMPANY' else 'CUSTOM' end as prefix from orders),
+    t as (select distinct cast(c_custkey * 3 as bigint) as x from customer), f as (select x, row_number() over (order by x) as k from range(1, (select 1 + (select count(*) from orders) + (select count(*) from t))) r(x) where x not in (select x from t)),
+    k as (select *, row_number() over (partition by prefix order by ord) as k from w) select ord, type, '[[' || prefix || '_' || cast(case prefix when 'PERSON' then x else k.k end as varchar) || ']]' as tag from k join f using (k)""")
+def next_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.expr(_TYPED).alias("type"))
+    return mint.next_tag(wanted, table(spark, sf_dir, "customer").selectExpr("'[[person_' || (c_custkey * 3) || ']]' as tag"))
+
+
 # --- rules, overlaps, rewriting -----------------------------------------------------------------
 
 
@@ -342,10 +363,7 @@ _LAYERS = f"""with {with_sql('letters')}, l as (
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _letters(spark, sf_dir)
-    dictionary = _customers(spark, sf_dir)
-    by_pattern = detect.detect_patterns(docs, dictionary.select("tag"), (*_of("email"), *_of("url"))).withColumn("source", F.lit("pattern"))
-    return detect.merge_layers(detect.detect_dictionary(docs, dictionary).withColumn("source", F.lit("dictionary")).unionByName(by_pattern))
+    return detect.analyze(_letters(spark, sf_dir), _customers(spark, sf_dir), patterns=(*_of("email"), *_of("url")))
 
 
 @query(_LAYERS + " select doc_id, source, term, n from l")
@@ -355,7 +373,7 @@ def analyze_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LAYERS + " select doc_id, row_number() over (partition by doc_id order by rank desc, n desc, lower(term)) as pos, term from l")
 def analyze_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ranked(_layers(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+    return _layers(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
 
 
 def _full_sql() -> str:
