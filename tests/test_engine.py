@@ -5,6 +5,7 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -512,3 +513,22 @@ def test_tags_for_typed_values(spark):
     wanted = spark.createDataFrame([(0, "company"), (1, "other"), (2, "company"), (3, None)], "ord long, type string")
     taken = spark.createDataFrame([("[[company_1]]",), ("[[COMPANY_3]]",)], "tag string")
     assert [r.tag for r in next_tag(wanted, taken).orderBy("ord").collect()] == ["[[COMPANY_2]]", "[[CUSTOM_1]]", "[[COMPANY_4]]", "[[CUSTOM_2]]"]
+
+
+def test_fold_agrees_with_the_jvm_on_all_planes(spark):
+    points = [(i, chr(i)) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    frame = spark.createDataFrame(pd.DataFrame(points, columns=["i", "c"]))
+    # what neither function changes is in no case pair
+    cased = frame.where("lower(c) != c or upper(c) != c").select("i", "c", T.fold(F.col("c")).alias("folded")).collect()
+    assert len(cased) > 2000
+    of_jvm, classes = spark._jvm.java.lang.Character, {}
+    for r in cased:
+        classes.setdefault(of_jvm.toLowerCase(of_jvm.toUpperCase(r.i)), []).append((r.c, r.folded))
+    assert all(len({f for _, f in own}) == 1 for own in classes.values())
+    assert all(len(f) == 1 for own in classes.values() for _, f in own)
+    # and the search does take the letters of a class as equal
+    pairs = [(own[0][0], c) for own in classes.values() for c, _ in own[1:]]
+    met = spark.createDataFrame(pairs, "a string, b string").select(F.regexp_like("b", F.concat(F.lit("(?iU)"), "a")).alias("met"), "a", "b")
+    assert {r.a + r.b for r in met.where("not met").collect()} <= {"\u00df\u1e9e"}  # folded for nothing, which only adds candidates
+    found = redacted(spark, [("\u03b9\u03bf\u03bd", "[[T]]")], "a \u1fbe\u03bf\u03bd", "\u0345\u039f\u03bd")
+    assert [found[i].redacted_text for i in (0, 1)] == ["a [[T]]", "[[T]]"]
