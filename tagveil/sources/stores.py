@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -103,12 +104,13 @@ def savable(mappings: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """(mapping_id, json) to (mapping_id, source, generated, entries): an object with entries, or a bare list; entries are null if it is neither."""
+    """(mapping_id, json) to (mapping_id, source, generated, entries), other columns kept: an object with entries, or a bare list; entries are null if it is neither."""
     both = raw.withColumn("o", F.from_json("json", _FILE)).withColumn("l", F.from_json("json", _FILE_ENTRIES))
     bare, readable = F.col("json").rlike(r"^\s*\["), F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*[\[{]")
     none = F.lit(None).cast(_FILE_ENTRIES)
     entries = F.when(readable & bare, F.col("l")).when(readable, F.coalesce(F.col("o.entries"), F.array().cast(_FILE_ENTRIES))).otherwise(none)
-    return both.select("mapping_id", "o.source", "o.generated", entries.alias("entries"))
+    rest = [c for c in raw.columns if c not in ("mapping_id", "json")]
+    return both.select("mapping_id", "o.source", "o.generated", entries.alias("entries"), *rest)
 
 
 def dictionary_entries(raw: DataFrame) -> DataFrame:
@@ -196,45 +198,74 @@ class Dictionary:
 
 
 class MappingStore:
-    """A folder of mapping files, one a redaction."""
+    """A folder of mapping files, one a redaction, on any filesystem that Spark reads; the driver lists names, tasks read contents."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, str(folder)
+
+    def _at(self, name: str = ""):
+        """(filesystem, path) of a name in the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, mapping_id: str, text: str) -> None:
-        if _valid(mapping_id):
-            _private(self.folder / f"{mapping_id}.json", [text])
+        self._write(mapping_id, [text])
 
     def save_rows(self, mapping_id: str, source: str, generated: str, rows: DataFrame) -> None:
-        """A mapping of (tag, value, n), longest tags first; rows go to the file as they come."""
-        if _valid(mapping_id):
-            each = ({"tag": r.tag, "value": r.value, "count": r.n} for r in rows.orderBy(F.length("tag").desc(), "tag").toLocalIterator())
-            _private(self.folder / f"{mapping_id}.json", _json({"source": source, "generated": generated}, each))
+        """A mapping of (tag, value, n), longest tags first; rows go to the file as they come. The same id again replaces it."""
+        each = ({"tag": r.tag, "value": r.value, "count": r.n} for r in rows.orderBy(F.length("tag").desc(), "tag").toLocalIterator())
+        self._write(mapping_id, _json({"source": source, "generated": generated}, each))
+
+    def _write(self, mapping_id: str, pieces: Iterable[str]) -> None:
+        """Written whole under another name first, for the owner's eyes; invalid ids are left out without a word."""
+        if not _valid(mapping_id):
+            return
+        fs, path = self._at(f"{mapping_id}.json")
+        _, draft = self._at(f"_{mapping_id}.{uuid.uuid4().hex}")
+        private = self.spark._jvm.org.apache.hadoop.fs.permission.FsPermission
+        fs.mkdirs(self._at()[1], private("700"))
+        out = fs.create(draft, True)
+        fs.setPermission(draft, private("600"))
+        try:
+            for piece in pieces:
+                out.write(piece.encode("utf-8"))
+        finally:
+            out.close()
+        fs.delete(path, False)
+        fs.rename(draft, path)
+
+    def _raw(self) -> DataFrame:
+        """(mapping_id, saved_at, json) of all files, read by tasks."""
+        fs, path = self._at()
+        if not (fs.exists(path) and fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "*.json"))):
+            return self.spark.createDataFrame([], "mapping_id string, saved_at long, json string")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(self.folder)
+        name = F.regexp_extract(F.url_decode("path") if "%" in self.folder else F.col("path"), r"([^/]*)\.json$", 1)
+        return files.select(name.alias("mapping_id"), F.unix_micros("modificationTime").alias("saved_at"), F.make_valid_utf8(F.col("content").cast("string")).alias("json"))
 
     def load(self) -> DataFrame:
-        rows = [(p.stem, p.stat().st_mtime_ns, p.read_text("utf-8", errors="replace")) for p in sorted(self.folder.glob("*.json"))] if self.folder.is_dir() else []
-        raw = self.spark.createDataFrame(rows, "mapping_id string, saved_at long, json string")
-        return parse(raw).join(raw.select("mapping_id", "saved_at"), "mapping_id")
+        """(mapping_id, source, generated, entries, saved_at); a file that cannot be read has no entries."""
+        return parse(self._raw())
 
     def get(self, mapping_id: str) -> str | None:
-        path = self.folder / f"{mapping_id}.json"
-        return path.read_text("utf-8") if _valid(mapping_id) and path.is_file() else None
+        found = self._raw().where(F.col("mapping_id") == mapping_id).first() if _valid(mapping_id) else None
+        return found and found["json"]
 
     def recent(self, limit: int = RECENT) -> DataFrame:
         return recent(self.load(), limit)
 
     def count(self) -> int:
-        return len(list(self.folder.glob("*.json"))) if self.folder.is_dir() else 0
+        fs, path = self._at()
+        return len(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "*.json")) or ()) if fs.exists(path) else 0
 
     def all_entries(self) -> DataFrame:
         return all_entries(self.load())
 
     def forget(self, mapping_id: str) -> bool:
-        path = self.folder / f"{mapping_id}.json"
-        if not (_valid(mapping_id) and path.is_file()):
+        if not _valid(mapping_id):
             return False
-        path.unlink()
-        return True
+        fs, path = self._at(f"{mapping_id}.json")
+        return bool(fs.exists(path) and fs.delete(path, False))
 
 
 def _valid(mapping_id: str) -> bool:

@@ -1,5 +1,6 @@
 import collections
 import io
+import os
 import random
 import re
 import zipfile
@@ -345,6 +346,48 @@ def test_stream(spark, tmp_path):
     assert {r.redacted_text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"[[YARD_2]] wrote.", "nothing"}
 
 
+def test_stream_holds_back_and_learns_once(spark, tmp_path):
+    pairs = [("x a", "[[T0]]"), ("a a", "[[T1]]"), ("Quarry", "[[YARD]]")]
+    spark.createDataFrame([(1, "Quarry wrote."), (2, "x a a a"), (None, "x a a a"), (None, "by Quarry, Quarry"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    engine = Engine(spark, f"{tmp_path}/d.json", f"{tmp_path}/m")
+    real, tries = engine.dictionary.upsert, []
+
+    def failing_once(new):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("the store is away")
+        return real(new)
+
+    engine.dictionary.upsert = failing_once
+    stream = lambda: spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception):
+        engine.redact_stream(stream(), entries(spark, pairs), f"{tmp_path}/out", f"{tmp_path}/ck", "job").awaitTermination(60)
+    engine.redact_stream(stream(), entries(spark, pairs), f"{tmp_path}/out", f"{tmp_path}/ck", "job").awaitTermination(60)
+    assert len(tries) == 2
+    assert sorted(r.redacted_text or "" for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["", "[[YARD]] wrote.", "by [[YARD]], [[YARD]]"]
+    assert sorted((str(r.doc_id), r.leaked) for r in spark.read.parquet(f"{tmp_path}/out_held").collect()) == [("2", ["a a"]), ("None", ["a a"])]
+    assert engine.mappings.count() == 1 and [(r.tag, r.value, r.n) for r in engine.mappings.all_entries().collect()] == [("[[YARD]]", "Quarry", 3)]
+    assert sorted(r.term for r in engine.dictionary.load().collect()) == ["Quarry", "a a", "x a"]
+
+
+def test_many_mappings_are_read_by_tasks(spark, tmp_path):
+    folder = tmp_path / "m 1"
+    folder.mkdir()
+    for k in range(600):
+        (folder / f"job-{k}.json").write_text(f'{{"source": "s{k}", "entries": [{{"tag": "[[T_{k % 200}]]", "value": "v{k}", "count": 1}}]}}')
+        os.utime(folder / f"job-{k}.json", (1000 + k, 1000 + k))
+    (folder / "notes.txt").write_text("no mapping")
+    store = stores.MappingStore(spark, folder)
+    assert store.count() == 600 and store.recent(3).select("mapping_id").collect() == [("job-599",), ("job-598",), ("job-597",)]
+    newest = store.all_entries().orderBy("ord").collect()
+    assert [(r.tag, r.value) for r in newest] == [(f"[[T_{k}]]", f"v{400 + k}") for k in range(200)]
+    assert store.forget("job-599") and not store.forget("job-599") and store.count() == 599
+    assert store.all_entries().where("tag = '[[T_199]]'").first().value == "v399"
+    assert store.get("job-5").startswith('{"source": "s5"') and store.get("../x") is None and store.get("job-599") is None
+    store.save("job-5", "[]")
+    assert store.get("job-5") == "[]" and store.count() == 599 and oct((folder / "job-5.json").stat().st_mode & 0o777) == "0o600"
+
+
 def test_report_over_whole_mappings(spark):
     mapping = spark.range(10_050).select(F.expr("'[[T_' || id || ']]'").alias("tag"), F.expr("'v' || id").alias("value"), F.col("id").alias("ord"))
     drafts = docs(spark, "a [[T_7]] and [[ t 10049 ]]", "nothing")
