@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tagveil.functions import text as T
 from tagveil.operators import spans
 
-#: What a rule is looked up by: a run of ASCII letters and digits, or so many characters in a row, not all (or, from ANY on, maybe all) of those.
-BY_RUN, GRAMS, ANY = 0, (3, 2, 1), 10
+#: What a rule is looked up by: a run of ASCII letters and digits, two such runs in a row, or so many characters in a row, not all (or, from ANY on, maybe all) of those.
+BY_RUN, GRAMS, BY_PAIR, ANY = 0, (3, 2, 1), 5, 10
+#: Rules that may share a word before those with two words in a row are looked up by such a pair.
+MOST_SHARED = 8
 _RUN = "[0-9a-z]+"
 _STRINGS = "array<string>"
 
@@ -34,13 +36,31 @@ def _grams(folded: Column, n: int, every: bool) -> Column:
     return found if n == 1 else F.filter(found, lambda x: ~(x.contains("[") | x.contains("]")))
 
 
+def _pairs(folded: Column) -> Column:
+    """Two ASCII runs with only blanks between them, at every place. As tags have brackets, no pair reaches over the edge of one."""
+    found = F.regexp_extract_all(folded, F.lit(r"(?U)(?<![0-9a-z])(?=([0-9a-z]+\s+[0-9a-z]+)(?![0-9a-z]))"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"(?U)\s+", " "))
+
+
 def anchored(rules: DataFrame) -> DataFrame:
-    """Replace ``keys`` (strings that every match of a rule holds, folded) by ``anchor``: the one that the fewest rules have, then the longest."""
-    whole = F.struct(*(c for c in rules.columns if c != "keys"))
-    each = rules.select(F.explode(F.array_distinct("keys")).alias("key"), whole.alias("rule"))
+    """Replace ``keys`` (strings that every match of a rule holds, folded) by ``anchor``: the one that the fewest rules have, then the longest.
+
+    Rules whose words are all shared by more than ``MOST_SHARED`` rules are looked up by a
+    pair of words in a row instead, where they have one (``pairs``), so that texts with a
+    common word do not meet all rules with it.
+    """
+    whole = F.struct(*(c for c in rules.columns if c not in ("keys", "pairs")))
+    both = F.col("keys")
+    if "pairs" in rules.columns:
+        both = F.concat("keys", F.when(F.col("kind") == BY_RUN, F.col("pairs")).otherwise(F.expr(f"cast(array() as {_STRINGS})")))
+    each = rules.select(F.explode(F.array_distinct(both)).alias("key"), whole.alias("rule"))
     often = each.groupBy("key").agg(F.count("*").alias("n"))
-    best = each.join(often, "key").groupBy("rule.ord").agg(F.min(F.struct("n", (-F.length("key")).alias("l"), "key", "rule")).alias("m"))
-    return best.select("m.rule.*", F.col("m.key").alias("anchor"))
+    paired = F.col("key").contains(" ") & (F.col("rule.kind") == BY_RUN)
+    # a word comes before any pair unless too many share it
+    rank = F.struct(F.when(paired, 1).when(F.col("n") > MOST_SHARED, 2).otherwise(0).alias("late"), "n", (-F.length("key")).alias("l"), "key", paired.alias("paired"), "rule")
+    best = each.join(often, "key").groupBy("rule.ord").agg(F.min(rank).alias("m"))
+    out = best.select("m.rule.*", F.col("m.key").alias("anchor"), "m.paired")
+    return out.withColumn("kind", F.when(F.col("paired"), BY_PAIR).otherwise(F.col("kind"))).drop("paired")
 
 
 def keys_of(term: Column, whole_word: bool = True) -> tuple[Column, Column]:
@@ -75,6 +95,7 @@ def term_rules(entries: DataFrame, weight: int = 0, source: str = "term", ignore
         F.lit(source).alias("source"),
         kind.alias("kind"),
         keys.alias("keys"),
+        (_pairs(T.fold(F.col("term"))) if whole_word else F.expr(f"cast(array() as {_STRINGS})")).alias("pairs"),
     )
     return anchored(rules)
 
@@ -88,6 +109,7 @@ def anchors_in(text: Column, kinds: set[int]) -> Column:
     """Distinct keys of a text by which rules of these kinds can be found."""
     folded = T.fold(text)
     found = [_runs(folded)] if BY_RUN in kinds else []
+    found += [_pairs(folded)] if BY_PAIR in kinds else []
     found += [_grams(folded, n, ANY + n in kinds) for n in GRAMS if {n, ANY + n} & kinds]
     return F.array_distinct(F.concat(*found)) if found else F.expr(f"cast(array() as {_STRINGS})")
 

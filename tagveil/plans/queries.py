@@ -608,6 +608,15 @@ def redact_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact(docs, terms.unionByName(more)).select("doc_id", "ok", "n_matches", "redacted_text")
 
 
+# every term holds the same common word, and each other word of it is in many terms: only two in a row tell them apart
+@query("select p_partkey as doc_id, true as ok, 1 as n_matches, 'See [[P_' || p_partkey || ']]; not the b' || (p_partkey // 50) || ' a' || (p_partkey % 50) || ', nor a' || (p_partkey % 50) || ' b' || (p_partkey // 50) || '.' as redacted_text from part")
+def redact_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "'a' || (p_partkey % 50) as a", "'b' || (p_partkey div 50) as b")
+    docs = parts.selectExpr("p_partkey as doc_id", "'See THE ' || a || '  ' || upper(b) || '; not the ' || b || ' ' || a || ', nor ' || a || ' ' || b || '.' as text")
+    terms = parts.selectExpr("'the ' || a || ' ' || b as term", "'[[P_' || p_partkey || ']]' as tag", "p_partkey as ord")
+    return redact.redact(docs, terms).select("doc_id", "ok", "n_matches", "redacted_text")
+
+
 # --- restore ------------------------------------------------------------------------------------
 
 

@@ -575,3 +575,17 @@ def test_fold_agrees_with_the_jvm_on_all_planes(spark):
     assert {r.a + r.b for r in met.where("not met").collect()} <= {"\u00df\u1e9e"}  # folded for nothing, which only adds candidates
     found = redacted(spark, [("\u03b9\u03bf\u03bd", "[[T]]")], "a \u1fbe\u03bf\u03bd", "\u0345\u039f\u03bd")
     assert [found[i].redacted_text for i in (0, 1)] == ["a [[T]]", "[[T]]"]
+
+
+def test_rules_that_share_their_words(spark):
+    pairs = [(f"the a{i % 50} b{i // 50}", f"[[P_{i}]]") for i in range(2500)] + [("the", "[[THE]]"), ("rare the", "[[R]]"), ("a1-b2", "[[H]]"), ("the a7", "[[S]]")]
+    rules = matching.term_rules(entries(spark, pairs))
+    assert rules.groupBy("anchor").count().agg(F.max("count")).first()[0] <= 50
+    texts = ["The a3\n b7 or a7 b3 the", "rare  THE a49 b49", "A1-B2, a1 b2, the a1 b2", "the [[a7 b7]] the a7", ""]
+    met = matching.with_rules(docs(spark, *texts), rules).select(F.size("rules").alias("n")).collect()
+    assert all((r.n or 0) <= 8 for r in met)
+    got = redacted(spark, pairs, *texts)
+    for i, text in enumerate(texts):
+        new = plain_redaction(text, pairs)
+        left = plain_leaks(new, pairs)
+        assert (got[i].redacted_text, got[i].leaked) == (None if left else new, left), text
