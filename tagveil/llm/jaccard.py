@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets, 0.8 or more, exactly.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets, 0.8 or more, exactly (shingles and sets are known by 64-bit hashes).
 
 The groups are found in two steps. First the fingerprints of whole texts meet by the Golay
 keys of ``simhash``, and every set is tried with the one set that it shares most keys with;
@@ -113,23 +113,33 @@ def marked(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Rows sorted by key as (key, columns) of every key with two rows or more; a run may reach over batches."""
-    held: dict[str, np.ndarray] | None = None
+    """Rows sorted by key as (key, columns) of every key with two rows or more; a run may reach over batches and is put together once."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def whole() -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        if sum(len(x["key"]) for x in held) > 1:
+            yield int(held[0]["key"][0]), {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        held.clear()
+
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        if held is not None:
-            cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
         key = cols["key"]
-        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        sizes = np.diff(starts)
-        for k in np.flatnonzero(sizes > 1).tolist():
-            part = slice(int(starts[k]), int(starts[k + 1]))
-            yield int(key[part.start]), {c: x[part] for c, x in cols.items()}
-        held = {c: x[int(starts[-1]) :].copy() for c, x in cols.items()}
-    if held is not None and len(held["key"]) > 1:
-        yield int(held["key"][0]), held
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+        for k, (start, stop) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            part = {c: x[start:stop] for c, x in cols.items()}
+            if k == 0 and held and held[0]["key"][0] != key[0]:
+                yield from whole()
+            if k == 0 or stop == len(key):
+                if k:
+                    yield from whole()
+                held.append({c: x.copy() for c, x in part.items()})
+            else:
+                yield from whole()
+                if stop - start > 1:
+                    yield int(key[start]), part
+    yield from whole()
 
 
 def _batched(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +197,24 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return led.groupBy("sid").agg(F.max(F.struct("count", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("sid").alias("b"))
 
 
-def left_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): all pairs of sets with a common key that are in different components and can be similar."""
+def left_pairs(shared: DataFrame, most: int = LONG_RUN) -> DataFrame:
+    """(a, b): all pairs of sets with a common key that are in different components and can be similar.
+
+    A key with more than ``most`` rows is cut into blocks; each two of its blocks are a task's
+    work of their own, so that a common key is no task for all its pairs.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[list[np.ndarray]]:
             for _, run in _runs(batches):
                 if (run["root"] == run["root"][0]).all():
                     continue
+                across = len(np.unique(run["block"])) > 1  # two blocks: pairs within one are found where it meets itself
                 for i in range(len(run["sid"]) - 1):
                     rest = slice(i + 1, None)
                     ok = (run["root"][rest] != run["root"][i]) & _possible(run["n"][rest], run["pos"][rest], int(run["n"][i]), int(run["pos"][i]))
+                    if across:
+                        ok &= run["block"][rest] != run["block"][i]
                     if ok.any():
                         other = run["sid"][rest][ok]
                         own = np.full(len(other), run["sid"][i])
@@ -205,7 +222,13 @@ def left_pairs(shared: DataFrame) -> DataFrame:
 
         yield from _batched(each(), ["a", "b"])
 
-    return map_arrow(shared.repartition("key").sortWithinPartitions("key"), rows, "a long, b long").distinct()
+    hot = shared.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    cut = shared.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = cut.withColumn("other", other)
+    name = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    met = met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(name).alias("key"), "sid", "n", "pos", "root", "block")
+    return map_arrow(met.repartition("key").sortWithinPartitions("key"), rows, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -301,7 +324,7 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def kept(docs: DataFrame, shingle: int) -> DataFrame:
-    """One document of each component, with the columns of ``docs``, as ``simhash.kept`` takes it.
+    """One document of each component, with the columns of ``docs``, as ``simhash.keep_first`` takes it.
 
     Null and empty texts have no shingle and are copies of each other; a very long text is
     compared whole. Of equal sets, and of rows equal in id and text, one document stays; null

@@ -141,10 +141,14 @@ def _fit_one(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 25
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit on at most ``sample`` labelled documents; a label that is null in either target is not used.
 
+    An id that is labelled more than once counts once where its labels agree, and not at all
+    where they contradict each other, so the order of the rows is no matter.
     Documents without a text count as empty ones. Without labels everything is judged by
     the priors alone (all weights zero).
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(t).cast("int").alias(t) for t in TARGETS)).dropna().dropDuplicates(["doc_id"])
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(t).cast("int").alias(t) for t in TARGETS)).dropna()
+    agreed = chosen.groupBy("doc_id").agg(*(F.min(t).alias(t) for t in TARGETS), *(F.max(t).alias(f"most_{t}") for t in TARGETS))
+    chosen = agreed.where(" and ".join(f"{t} = most_{t}" for t in TARGETS)).select("doc_id", *TARGETS)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
 

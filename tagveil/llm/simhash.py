@@ -205,17 +205,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: that of least doc_id (null last), then text hash.
-
-    Null, empty and very long texts are as in ``near_duplicates``; of rows equal in id and
-    text one stays; names of columns may clash with any of ours; an empty table gives no row.
-    """
-    return keep_first(docs, stored(components(docs, shingle).select("root", "doc_id", "text_hash")))
-
-
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that come first in their group, by ``found`` (root, doc_id, text_hash)."""
+    """The rows of ``docs`` that come first in their group, by ``found`` (root, doc_id, text_hash): least doc_id (null last), then text hash; of rows equal in both one stays."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("m"))
     first = stored(first.select(F.col("m.doc_id").alias("_k_id"), F.col("m.text_hash").alias("_k_hash")))
     own = as_rows(docs).withColumn("_own_id", F.col("_row.doc_id").cast("long")).withColumn("_own_hash", F.xxhash64("_row.text"))

@@ -2,10 +2,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from test_jaccard import plain_roots, plain_set
 
 pytest.importorskip("tagveil.llm")
 import corpus_pipeline
-from tagveil.llm import langid, mixing, packing, quality, simhash
+from tagveil.llm import jaccard, langid, mixing, packing, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,19 +38,8 @@ def test_columns_and_decisions(spark, stages):
 def test_dedup_by_brute_force(stages):
     before, after = (x.collect() for x in stages[2])
     rows = sorted(before, key=lambda r: r.doc_id)
-    fps = np.array([simhash.fingerprint(r.text.encode(), 5) for r in rows], np.uint64)
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= 4):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    assert {r.doc_id for r in after} == {rows[find(i)].doc_id for i in range(len(rows))} and len(after) < len(before)
+    roots, _ = plain_roots([plain_set(r.text) for r in rows])
+    assert {r.doc_id for r in after} == {rows[i].doc_id for i in set(roots)} and len(after) < len(before)
 
 
 def test_mix_and_packing(stages):
@@ -68,12 +58,25 @@ def test_stages_on_odd_rows(spark):
     rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, "the plain words of a text", "en", None, 5), *[(3, "it is the same text again and again here", "en", "a", 9)] * 20]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _found string")
     labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
-    for got in (quality.kept(docs, labels), langid.kept(docs), simhash.kept(docs, 5), mixing.mixed_rows(docs)):
+    for got in (quality.kept(docs, labels), langid.kept(docs), jaccard.kept(docs, 5), mixing.mixed_rows(docs)):
         assert got.columns == docs.columns
         got.collect()
-    once = simhash.kept(docs, 5).collect()
+    once = jaccard.kept(docs, 5).collect()
     assert Counter(r.doc_id for r in once) == {1: 1, 3: 1, None: 1}
     assert {r.doc_id for r in langid.kept(docs).collect()} == {3, None}
     empty = docs.where("false")
-    for got in (quality.kept(empty, labels), langid.kept(empty), simhash.kept(empty, 5), mixing.mixed_rows(empty), packing.pack(empty)):
+    for got in (quality.kept(empty, labels), langid.kept(empty), jaccard.kept(empty, 5), mixing.mixed_rows(empty), packing.pack(empty)):
         assert got.count() == 0
+
+
+def test_dedup_on_odd_rows(spark):
+    """Null ids, repeated rows, equal ids with other texts, a very long text and names of columns like ours."""
+    base = [f"w{i}" for i in range(60_000)]
+    near = [*base[:30_000], "x", *base[30_001:]]
+    texts = [" ".join(base), " ".join(near), "one two three four five six", "ONE  two three four\nfive six", None, "", " ", "other words stand here in a row"]
+    rows = [(i if i % 4 else None, t) for i, t in enumerate(texts)] + [(5, "")] * 3 + [(None, "other words stand here in a row"), (5, "six more words that nobody else has")]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2, None) for d, t in rows], "doc_id long, text string, sid int, root string, n int, text_hash long")
+    got = jaccard.kept(docs, 5)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "")[:12])) for r in got.collect()) == [(False, 1, "w0 w1 w2 w3 "), (False, 2, "one two thre"), (False, 5, ""), (False, 5, "six more wor"), (False, 7, "other words ")]
+    assert jaccard.kept(docs.where("false"), 5).count() == 0

@@ -113,3 +113,16 @@ def test_hosts_and_folders_of_urls(spark):
     assert [tuple(r) for r in docs.select(site, path).collect()] == [("a.x.org", "en"), ("", "")]
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, labels).count() == 2 and quality.kept(docs, labels).columns == docs.columns
+
+
+def test_repeated_labels_in_any_order(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality", "toxic").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(r.doc_id, 1 - r.quality, r.toxic) for r in rows[:9]] + [tuple(r) for r in rows[9:20]]
+    one = spark.createDataFrame([tuple(r) for r in rows] + odd, "doc_id long, quality int, toxic int")
+    two = spark.createDataFrame((odd + [tuple(r) for r in rows])[::-1], "doc_id long, quality int, toxic int")
+    without = spark.createDataFrame([tuple(r) for r in rows[9:]], "doc_id long, quality int, toxic int")
+    first, *others = (sorted(map(tuple, quality.judge(docs, labels).collect())) for labels in (one.coalesce(1), two.coalesce(1), without))
+    for other in others:
+        assert [r[0] for r in first] == [r[0] for r in other]
+        assert all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for a, b in zip(first, other, strict=True) for x, y in zip(a, b, strict=True))
