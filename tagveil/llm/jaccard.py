@@ -197,11 +197,18 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return led.groupBy("sid").agg(F.max(F.struct("count", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("sid").alias("b"))
 
 
+def _shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets with sketches x (a row each) can be similar to those with sketches y (a row each, or one for all)."""
+    shared, sizes = np.minimum(x, y).sum(-1, dtype=np.int64), x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64)
+    return (9 * shared >= 4 * sizes) | (x[..., 0] == FULL) | (y[..., 0] == FULL)
+
+
 def left_pairs(shared: DataFrame, most: int = LONG_RUN) -> DataFrame:
-    """(a, b): all pairs of sets with a common key that are in different components and can be similar.
+    """(a, b, root_a, root_b): all pairs of sets with a common key that are in different components and can be similar, with their components.
 
-    A key with more than ``most`` rows is cut into blocks; each two of its blocks are a task's
-    work of their own, so that a common key is no task for all its pairs.
+    ``shared`` has each set's sketch, which rules most pairs out where they meet, so that those
+    are never rows. A key with more than ``most`` rows is cut into blocks; each two of its
+    blocks are a task's work of their own, so that a common key is no task for all its pairs.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,25 +217,28 @@ def left_pairs(shared: DataFrame, most: int = LONG_RUN) -> DataFrame:
                 if (run["root"] == run["root"][0]).all():
                     continue
                 across = len(np.unique(run["block"])) > 1  # two blocks: pairs within one are found where it meets itself
+                sketches = np.frombuffer(b"".join(run["sketch"].tolist()), np.uint8).reshape(-1, BUCKETS)
                 for i in range(len(run["sid"]) - 1):
                     rest = slice(i + 1, None)
                     ok = (run["root"][rest] != run["root"][i]) & _possible(run["n"][rest], run["pos"][rest], int(run["n"][i]), int(run["pos"][i]))
                     if across:
                         ok &= run["block"][rest] != run["block"][i]
-                    if ok.any():
-                        other = run["sid"][rest][ok]
-                        own = np.full(len(other), run["sid"][i])
-                        yield [np.minimum(own, other), np.maximum(own, other)]
+                    at = i + 1 + np.flatnonzero(ok)
+                    at = at[_shares(sketches[at], sketches[i])] if len(at) else at
+                    if len(at):
+                        sids, roots = ((np.full(len(at), run[c][i]), run[c][at]) for c in ("sid", "root"))
+                        first = sids[0] < sids[1]
+                        yield [np.where(first, *sids), np.where(first, *sids[::-1]), np.where(first, *roots), np.where(first, *roots[::-1])]
 
-        yield from _batched(each(), ["a", "b"])
+        yield from _batched(each(), ["a", "b", "root_a", "root_b"])
 
     hot = shared.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     cut = shared.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = cut.withColumn("other", other)
     name = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    met = met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(name).alias("key"), "sid", "n", "pos", "root", "block")
-    return map_arrow(met.repartition("key").sortWithinPartitions("key"), rows, "a long, b long").distinct()
+    met = met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(name).alias("key"), "sid", "n", "pos", "root", "block", "sketch")
+    return map_arrow(met.repartition("key").sortWithinPartitions("key"), rows, "a long, b long, root_a long, root_b long").distinct()
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -239,15 +249,14 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("of_a", "of_b"))
-                shared, sizes = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-                ok = (9 * shared >= 4 * sizes) | (x[:, 0] == FULL) | (y[:, 0] == FULL)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                yield batch.select(["a", "b"]).filter(pa.array(_shares(x, y)))
 
     return map_arrow(_beside(pairs, sketches, "sketch"), rows, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets, of texts (sid, text), are similar."""
+    """The pairs (a, b and other numbers) whose whole sets, of texts (sid, text), are similar."""
+    names = pairs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("nothing", dict)
@@ -257,15 +266,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 for x, y in zip(texts_of(batch, "of_a"), texts_of(batch, "of_b"), strict=True):
                     x, y = shingle_set(x, shingle), shingle_set(y, shingle)
                     ok.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return map_arrow(_beside(pairs, texts, "text"), rows, "a long, b long")
+    return map_arrow(_beside(pairs, texts, "text"), rows, ", ".join(f"{c} long" for c in names))
 
 
 def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(a, b, of_a, of_b): the column of either sid beside the pair."""
+    """The pairs with of_a and of_b: the column of either sid beside the pair."""
     of = [table.select(F.col("sid").alias(x), F.col(column).alias(f"of_{x}")) for x in ("a", "b")]
-    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "of_a", "of_b")
+    return pairs.join(of[0], "a").join(of[1], "b").select(*pairs.columns, "of_a", "of_b")
 
 
 def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -309,15 +318,18 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
     of_shared = _kept_table(rows.select("sid", "doc_id", "text_hash", "sketch").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("m")).select("sid", "m.*"))
     texts = _kept_table(whole_texts(docs, of_shared.select("sid", "doc_id", "text_hash")))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _kept_table(verified(likely(pairs, of_shared), texts, shingle))
-
-    links = linked(first)
+    links = _kept_table(verified(likely(first, of_shared), texts, shingle))
     roots = connected_components(links)
     of_key = shared.join(roots, shared.sid == roots.node, "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-    rest = linked(left_pairs(of_key))
-    if not rest.isEmpty():
-        roots = connected_components(links.unionByName(rest))
+    # only keys with sets of several components have pairs left
+    mixed = of_key.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    of_key = of_key.join(mixed, "key", "left_semi").join(of_shared.select("sid", "sketch"), "sid")
+    rest = _kept_table(verified(left_pairs(of_key), texts, shingle))
+    if not rest.isEmpty():  # components that are linked become one; a set without links was one by itself
+        joined = connected_components(rest.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        later = joined.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        alone = joined.join(roots.select("node"), "node", "left_anti")
+        roots = _kept_table(roots.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root")).unionByName(alone))
     dropped(shared, of_shared, texts, first)
     of_rows = rows.select("doc_id", "text_hash", "sid")
     return of_rows.join(roots, of_rows.sid == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tagveil.llm")
@@ -72,20 +74,20 @@ def test_corpus_by_brute_force(spark):
 def test_hot_keys_in_blocks(spark):
     """Every set meets every other by one key; cut into blocks, the same pairs come out."""
     rng = random.Random(9)
-    rows = [(key, sid, 10, rng.randrange(3), sid % 7) for key, sids in ((1, range(60)), (2, range(40, 100)), (3, [5, 6]), (4, [8])) for sid in sids]
-    shared = spark.createDataFrame(rows, "key long, sid long, n int, pos int, root long").repartition(3)
+    # sketches that rule nothing out, and (sid 11) one that does
+    sketch = lambda sid: jaccard.sketch(np.arange(10, dtype=np.uint64) + np.uint64(100 * (sid == 11)))
+    rows = [(key, sid, 10, rng.randrange(3), sid % 7, sketch(sid)) for key, sids in ((1, range(60)), (2, range(40, 100)), (3, [5, 6]), (4, [8])) for sid in sids]
+    shared = spark.createDataFrame(rows, "key long, sid long, n int, pos int, root long, sketch binary").repartition(3)
     want = set()
     for key in (1, 2, 3, 4):
         own = [r for r in rows if r[0] == key]
-        want |= {(min(a[1], b[1]), max(a[1], b[1])) for a in own for b in own if a[4] != b[4] and 9 * min(10 - a[3], 10 - b[3]) >= 80}
+        want |= {(min(a[1], b[1]), max(a[1], b[1])) for a in own for b in own if a[4] != b[4] and 11 not in (a[1], b[1]) and 9 * min(10 - a[3], 10 - b[3]) >= 80}
     for most in (4, 17, 1024):
-        assert {tuple(r) for r in jaccard.left_pairs(shared, most).collect()} == want
+        got = jaccard.left_pairs(shared, most).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and all((r.root_a, r.root_b) == (r.a % 7, r.b % 7) for r in got)
 
 
 def test_runs_over_batches():
-    import numpy as np
-    import pyarrow as pa
-
     keys = np.repeat([3, 4, 7, 9, 10, 12], [1, 5, 1, 11, 2, 1]).astype(np.int64)
     for step in (1, 2, 3, 7, 100):
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(i, min(i + step, len(keys))))], names=["key", "at"]) for i in range(0, len(keys), step)]
