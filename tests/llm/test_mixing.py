@@ -63,7 +63,24 @@ def test_whole_corpus(spark):
             total += r.size
             front.append(r.doc_id)
         extra = {r.doc_id for r in own if r.copies > whole}
-        assert set(front) <= extra and len(extra - set(front)) <= 1
+        at = len(front)
+        behind = [r.doc_id for *_, r in order[at:] if r.size]
+        assert set(front[: at - mixing.FRONT]) <= extra and len(extra - set(front) - set(behind[: mixing.OPEN])) <= 1
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(1, mixing.NEAR * own[0].target)
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Ten documents a source: within two in a hundred, and no subset of those around the cut is nearer."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    of = check(docs.collect(), mixing.mix(docs).collect())
+    assert len(of) > 5 and all(abs(sum(r.taken for r in own) / own[0].target - 1) <= 0.02 for own in of.values())
+    made = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(150, "a"), (243, "a"), (261, "a"), (189, "a"), (453, "a"), (141, "a"), (2000, "a"), (1000, "b"), (10, "c"), (10, "c")])], "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix(made).collect() if r.doc_id < 7]
+    whole = int(rows[0].target / rows[0].source_size)
+    rest, free = rows[0].target - whole * rows[0].source_size, [r for r in rows if 0 < r.inclusion < 1]
+    fixed = sum(r.size for r in rows if r.inclusion >= 1)
+    best = min(abs(fixed + sum(r.size for k, r in enumerate(free) if chosen >> k & 1) - rest) for chosen in range(1 << len(free)))
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= best + mixing.NEAR * rows[0].target
 
 
 def test_sources_of_any_balance(spark):
