@@ -4,9 +4,10 @@ A word's lattice probability is the sum over all ways to write it in the vocabul
 by a forward recursion in log space. The vocabulary's existing scores weight all
 segmentations of every training word; the pieces that they expect there, added to the scores'
 own weights, are the piece weights of each language (the vocabulary itself stays as it is).
-A token's probability is half its lattice probability and half its share of the language's
-training tokens; a document's is the product over its tokens, times its language's share of
-the training documents. All of it adds up to one over labels and texts.
+In a language a token's probability is half its lattice probability and half its share of
+the language's training tokens, and a text's the product over its tokens. A text's score is
+the sum of these over all languages, each weighing what its share of the training documents
+is: all scores add up to one over texts, and ``lang`` is no input of a score.
 
 Nothing is gathered in one place: documents are coded against dictionaries of bounded
 blocks, block words meet their corpus counts by word, and the scores return by block.
@@ -355,7 +356,7 @@ class Totals:
 
 
 def word_scores(counts: DataFrame, totals: Totals, lattice: Lattice) -> DataFrame:
-    """(word, by, c) to (word, cls, c, lp): log10 probability of every word in every class where it occurs."""
+    """(word, by, c) to (word, c, lp): log10 probabilities of every word in all classes, as 32-bit floats in a row."""
     shared = counts.sparkSession.sparkContext.broadcast((lattice.weights, lattice.stop, lattice.vocabulary.pieces))
     share = SHARE if totals.all else 1.0
     end = totals.end_share()
@@ -365,20 +366,21 @@ def word_scores(counts: DataFrame, totals: Totals, lattice: Lattice) -> DataFram
         model = Lattice(resident(f"vocabulary {len(pieces)} {hash(tuple(pieces))}", lambda: Vocabulary(pieces)), weights, stop)
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False)
-            by = batch.column("by").to_pylist()
+            own = np.zeros((len(words), len(stop)))
+            for i, by in enumerate(batch.column("by").to_pylist()):
+                for x in by:
+                    own[i, x["cls"]] = x["n"]
             full = [i for i, w in enumerate(words) if w]
-            log = np.zeros((len(words), len(stop)))
+            log = np.zeros(own.shape)
             if full:
                 log[full] = model.log_probabilities([words[i].decode("utf-8", "replace") for i in full])
-            row, cls, own = (np.array(x, np.int64) for x in zip(*((i, x["cls"], x["n"]) for i, b in enumerate(by) for x in b), strict=True))
-            q = (own + SHARED_TOKENS * c[row] / max(totals.all, 1)) / (totals.tokens[cls] + SHARED_TOKENS)
-            empty = np.array([not w for w in words])[row]
             with np.errstate(divide="ignore"):
-                seen, parts = np.log((1 - share) * q), math.log(share) + np.log1p(-end[cls]) + log[row, cls]
-            lp = np.where(empty, np.log(end[cls]), np.logaddexp(seen, parts)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(row)), pa.array(cls, pa.int32()), pa.array(c[row], pa.int64()), pa.array(lp)], names=["word", "cls", "c", "lp"])
+                seen, parts = np.log((1 - share) * totals.shares(own, c[:, None])), math.log(share) + np.log1p(-end) + log
+            empty = np.array([not w for w in words])[:, None]
+            lp = (np.where(empty, np.log(end), np.logaddexp(seen, parts)) / math.log(10)).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array([row.tobytes() for row in lp], pa.binary())], names=["word", "c", "lp"])
 
-    return map_arrow(counts.select("word", "by", "c"), score, "word binary, cls int, c long, lp double")
+    return map_arrow(counts.select("word", "by", "c"), score, "word binary, c long, lp binary")
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -396,15 +398,16 @@ def score(docs: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> DataFrame
     """Base and lattice log10 probability of every whole text.
 
     Null and empty texts are the end alone; a null doc_id counts as training; repeated rows
-    count and return each time; documents without a label, and those of labels beyond the
-    ``CLASSES`` with most training tokens, are a class of their own; without training documents
+    count and return each time; equal texts have equal scores; training documents without a
+    label, and those of labels beyond the ``CLASSES`` with most training tokens, are one class
+    of their own; labels of held-out documents play no part; without training documents
     the lattice of the existing weights has it all; ties among labels go by the label. A word
     of any length is scored whole, in memory of the longest piece; in learning, words beyond
     ``LONG`` characters count in stretches. An empty table gives no row; columns besides
     doc_id, text and lang are not looked at, and lang may be missing.
     """
     table = stored(coded(docs))
-    labels = table.where("word is not null and label is not null").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES)
+    labels = table.where("word is not null and label is not null").groupBy("label").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "label").limit(CLASSES)
     number = _numbered([r.label for r in labels.collect()])
     words = table.where("word is not null").select("block", number.alias("cls"), "word", "code", "n")
     by_class = words.select("word", "cls", "n").repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n"))
@@ -417,20 +420,25 @@ def score(docs: DataFrame, model_file: str = unigram.DEFAULT_MODEL) -> DataFrame
     dropped(counts)
     blocks = table.select("block").distinct().count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
-    known = words.select("block", "word", "code", "cls").join(scores, ["word", "cls"]).select("block", "code", "c", "lp")
-    texts = table.where("word is null").select(F.col("block").alias("text_block"), number.alias("cls"), "doc_id", "held_out", "n_tokens", "codes")
+    known = words.select("block", "word", "code").join(scores, "word").select("block", "code", "c", "lp")
+    texts = table.where("word is null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "n_tokens", "codes")
     of_label = totals.log_label()
 
     def joined(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         code = right.column("code").to_numpy()
-        c, lp = np.zeros(len(code), np.int64), np.zeros(len(code))
-        c[code], lp[code] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        c, lp = np.zeros(len(code), np.int64), np.zeros((len(code), classes), "<f4")
+        c[code] = right.column("c").to_numpy()
+        lp[code] = np.frombuffer(b"".join(right.column("lp").to_pylist()), "<f4").reshape(-1, classes)
         base = np.log10((c + 1) / (tokens + distinct + 1))
         lengths = left.column("n_tokens").to_numpy()
         codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), "<u4")
         starts = np.cumsum(lengths) - lengths
-        n_known, base_score, own = (np.add.reduceat(x[codes], starts) for x in ((c > 0).astype(np.int64), base, lp))
+        n_known, base_score = (np.add.reduceat(x[codes], starts) for x in ((c > 0).astype(np.int64), base))
+        # one class at a time, so that a block's tokens are held once
+        by_class = np.stack([np.add.reduceat(lp[:, k].astype(float)[codes], starts) + of_label[k] for k in range(classes)])
+        top = by_class.max(0)
+        own = top + np.log10(np.power(10.0, by_class - top).sum(0))
         n = left.num_rows
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(own + of_label[left.column("cls").to_numpy()], pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
+        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(base_score, pa.float64()), pa.array(own, pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return texts.repartition(parts, "text_block").groupBy("text_block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(joined, _SCORES)

@@ -98,8 +98,8 @@ def test_a_small_corpus_by_hand(spark):
     train = [d for d, _ in docs if zlib.crc32(str(d).encode()) % 7 != 2]
     labels = [x for x, _ in Counter(w for d in train for w in [label[d]] * len(tokens[d]) if label[d]).most_common()]
     cls = {d: labels.index(label[d]) + 1 if label[d] in labels else 0 for d, _ in docs}
-    for r in rows:
-        k = cls[r.doc_id]
+    parts = {d: [] for d, _ in docs}
+    for k in range(len(labels) + 1):
         own = Counter(w for d in train if cls[d] == k for w in tokens[d])
         size, ends = sum(own.values()), sum(cls[d] == k for d in train)
         pieces = np.concatenate([lm.PRIOR * PRIOR.weight, lm.PRIOR * PRIOR.weight, [1.0, 1.0, 1.0]])
@@ -109,13 +109,28 @@ def test_a_small_corpus_by_hand(spark):
             pieces[2 * N + 2] += times if w else 0
         weights, stop = lm.normalised(PRIOR.pieces, pieces)
         share = lambda w: (own[w] + lm.SHARED_TOKENS * counts[w] / n) / (size + lm.SHARED_TOKENS)  # noqa: B023, E731
-        total = math.log10((ends + 1) / (len(train) + 1 + max(cls.values())))
-        for w in tokens[r.doc_id]:
-            p = share(b"")
-            if w:
-                p = (1 - lm.SHARE) * share(w) + lm.SHARE * (1 - share(b"")) * sum(weight_of(x, weights) for x in ways(w.decode())) * math.exp(stop)
-            total += math.log10(p)
-        assert r.score == pytest.approx(total, rel=1e-6), r.doc_id
+        for d, _ in docs:
+            total = math.log10((ends + 1) / (len(train) + 1 + len(labels)))
+            for w in tokens[d]:
+                p = share(b"")
+                if w:
+                    p = (1 - lm.SHARE) * share(w) + lm.SHARE * (1 - share(b"")) * sum(weight_of(x, weights) for x in ways(w.decode())) * math.exp(stop)
+                total += math.log10(p)
+            parts[d].append(total)
+    for r in rows:
+        assert r.score == pytest.approx(math.log10(sum(10**x for x in parts[r.doc_id])), rel=1e-6), r.doc_id
+
+
+def test_lang_is_no_input_of_a_score(spark):
+    """One text under any label, known, unknown or none, has one score; held-out labels move nothing at all."""
+    base = [(i, f"the cat {i % 7} sat", "en") if i % 2 else (i, f"le chat {i % 5} dort", "fr") for i in range(1, 80)]
+    held = [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    made = [(*r, 0) for r in base] + [(i, "the chat sat zq", x, 0) for i, x in zip(held, ("en", "fr", "de", None, "xx"), strict=True)]
+    schema = "doc_id long, text string, lang string, lp int"
+    rows = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(made, schema)).collect()}
+    assert len({rows[i] for i in held}) == 1
+    other = [(i, t, "en" if i in held else x, z) for i, t, x, z in made]
+    assert {r.doc_id: r.score for r in lm.score(spark.createDataFrame(other, schema)).collect()} == pytest.approx(rows, rel=1e-9)
 
 
 def test_whole_corpus_loses_nothing_to_the_base(spark):
