@@ -1,10 +1,15 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-Every 64-byte window of a text has a rank by its entropy: windows of very low or very high
-entropy are common or meaningless, those between are rarer. A window that is the rarest of
-many runs of 64 consecutive windows is a feature. Features enter Bloom filters of fixed
+Every 64-byte window of a text has a rank by its entropy: running text crowds around one
+level, and windows are the rarer the further they are from it, on either side; padding and
+packed bytes at both ends say little and are left out. A window that is the rarest of
+many runs of 64 consecutive windows is a feature. A short text has few such windows, so it
+adds features of smaller windows, found in the same way. Features enter Bloom filters of fixed
 size, a new one being chained on when one is full. Two digests are compared filter by
 filter by their common bits, normalised by what chance gives and what equality would give.
+
+Ranks are a fixed function of entropy, not counts of one corpus: digests of different corpora,
+and of the same text on another day, must be comparable, and equal texts have equal digests.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagveil.llm.common import map_arrow, sub_batches, texts_of
@@ -24,73 +29,77 @@ from tagveil.llm.common import map_arrow, sub_batches, texts_of
 WINDOW, RUN = 64, 64
 #: Runs that a window must be the rarest of.
 LEAST_RUNS = 16
+#: Texts of fewer bytes add features of smaller windows; beside a longer text only their other features count, as the smaller set does.
+SHORT = 512
+SHORT_WINDOW, SHORT_RUN, SHORT_LEAST_RUNS = 8, 4, 2
 #: Bits of a filter, bits set by a feature, features of a full filter.
 FILTER_BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
 #: Share of the way from chance to equality that counts as nothing in common.
 FLOOR = 0.2
 #: Entropy in thousandths of the highest possible, and the classes its rarity is counted in.
 LEVELS = 1000
-CROWD, _LOW, _HIGH = 620, 100, 990
+CROWD, _LOW, _HIGH = {WINDOW: 620, SHORT_WINDOW: 915}, 100, {WINDOW: 990, SHORT_WINDOW: LEVELS}
 CHUNK_BYTES = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
 
-def _plogp() -> np.ndarray:
-    """c/64 log2(64/c) for c occurrences in a window, in units whose sum is exact in integers."""
-    c = np.arange(WINDOW + 1, dtype=float)
+def _plogp(window: int) -> np.ndarray:
+    """c/w log2(w/c) for c occurrences in a window of w bytes, in units whose sum is exact in integers."""
+    c = np.arange(window + 1, dtype=float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(np.round(c / WINDOW * np.log2(WINDOW / c) * (1 << 20))).astype(np.int32)
+        return np.nan_to_num(np.round(c / window * np.log2(window / c) * (1 << 20))).astype(np.int32)
 
 
-_TERM = _plogp()
-#: log2(64) bits are the most that 64 bytes can have.
-_FULL = 6 << 20
+_TERM = {w: _plogp(w) for w in (WINDOW, SHORT_WINDOW)}
+#: log2(w) bits are the most that w bytes can have.
+_FULL = {w: (w.bit_length() - 1) << 20 for w in (WINDOW, SHORT_WINDOW)}
 
 
-def ranks(entropy: np.ndarray) -> np.ndarray:
+def ranks(entropy: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Rank of windows by entropy level, the lower the rarer; 0 to 1000, 1001 for windows never taken.
 
     Running text crowds around ``CROWD``, so rarity grows with the distance from there; levels outside the limits (padding, tables, packed bytes) say little.
     """
     level = np.arange(LEVELS + 1)
-    rank = LEVELS - np.abs(level - CROWD)
-    rank[(level < _LOW) | (level > _HIGH)] = LEVELS + 1
+    rank = LEVELS - np.abs(level - CROWD[window])
+    rank[(level < _LOW) | (level > _HIGH[window])] = LEVELS + 1
     return rank.astype(np.int16)[entropy]
 
 
-def entropies(data: np.ndarray) -> np.ndarray:
-    """Entropy level of each 64-byte window of one byte array, from running counts.
+def entropies(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Entropy level of each window of one byte array, from running counts.
 
     Moving on by a byte changes two terms of the sum: that of the byte that leaves, by how
-    often it occurs up to 63 places on, and that of the byte that enters, by how often it
-    occurs up to 63 places back. Sorted by byte and place, both counts are ranges.
+    often it occurs up to a window's length on, and that of the byte that enters, by how often
+    it occurs as far back. Sorted by byte and place, both counts are ranges.
     """
-    n = len(data)
-    total = np.empty(n - WINDOW + 1, np.int64)
-    total[0] = _TERM[np.bincount(data[:WINDOW], minlength=256)].sum()
-    if n > WINDOW:
+    n, term = len(data), _TERM[window]
+    total = np.empty(n - window + 1, np.int64)
+    total[0] = term[np.bincount(data[:window], minlength=256)].sum()
+    if n > window:
         order = np.argsort(data, kind="stable")
         kind = np.int32 if n < 1 << 22 else np.int64
-        key = data[order].astype(kind) * kind(n + WINDOW) + order.astype(kind)
-        low = np.searchsorted(key, key - kind(WINDOW - 1))
+        key = data[order].astype(kind) * kind(n + window) + order.astype(kind)
+        low = np.searchsorted(key, key - kind(window - 1))
         index = np.arange(n)
         back, on = np.empty(n, np.int64), np.empty(n, np.int64)
         back[order] = index - low + 1
         on[order] = np.cumsum(np.bincount(low, minlength=n)) - index
-        step = _TERM[1:] - _TERM[:-1]
-        total[1:] = step[back[WINDOW:] - 1] - step[on[: n - WINDOW] - 1]
+        step = term[1:] - term[:-1]
+        total[1:] = step[back[window:] - 1] - step[on[: n - window] - 1]
         np.cumsum(total, out=total)
-    return total * LEVELS // _FULL
+    return total * LEVELS // _FULL[window]
 
 
-def hash_windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def hash_windows(data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """A 64-bit hash of the windows that start at ``at``."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    words = data[at[:, None] + np.arange(WINDOW)].view("<u8")
-    mixed = words * _ODD
+    words = data[at[:, None] + np.arange(window)].view("<u8")
+    odd = _ODD[: window // 8]
+    mixed = words * odd
     mixed ^= mixed >> np.uint64(29)
-    h = (mixed * _ODD[::-1]).sum(1, dtype=np.uint64)
+    h = (mixed * odd[::-1]).sum(1, dtype=np.uint64)
     for shift, odd in ((31, _ODD[0]), (27, _ODD[1]), (33, _ODD[2])):
         h ^= h >> np.uint64(shift)
         h *= odd
@@ -106,29 +115,39 @@ def levels_of(text: bytes, like: tuple[int, np.ndarray] | None = None) -> np.nda
     return np.concatenate([like[1][:shared], entropies(data[shared:])]) if shared + WINDOW <= len(data) else like[1][: len(data) - WINDOW + 1]
 
 
-def features(text: bytes, level: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of a text's features in order of place, each once. A shorter text than a window is padded to one; no text has none."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    if len(text) < WINDOW:
-        return hash_windows(np.frombuffer(text + bytes(WINDOW - len(text)), np.uint8), np.zeros(1, np.int64))
-    data = np.frombuffer(text, np.uint8)
-    rank = ranks(levels_of(text) if level is None else level)
+def rarest(rank: np.ndarray, run: int, least: int) -> np.ndarray:
+    """Places of the windows that are the leftmost rarest of at least ``least`` runs; the leftmost rarest of all if there is none."""
     n = len(rank)
     at = np.zeros(0, np.int64)
-    if n >= RUN:
-        # the leftmost rarest window of each run: minima of (rank, place) by doubling
+    if n >= run:
+        # minima of (rank, place) by doubling
         bits, kind = (20, np.int32) if n < 1 << 20 else (40, np.int64)
         best = (rank.astype(kind) << kind(bits)) | np.arange(n, dtype=kind)
         step = 1
-        while step < RUN:
+        while step < run:
             best = np.minimum(best[: len(best) - step], best[step:])
             step *= 2
         wins = np.bincount(best & kind((1 << bits) - 1), minlength=n)
-        at = np.flatnonzero((wins >= LEAST_RUNS) & (rank <= LEVELS))
-    if not len(at):
-        at = np.array([int(rank.argmin())])
-    hashes = hash_windows(data, at)
+        at = np.flatnonzero((wins >= least) & (rank <= LEVELS))
+    return at if len(at) else np.array([int(rank.argmin())])
+
+
+def features(text: bytes, level: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of a text's features in order of place, each once, those of smaller windows behind the others.
+
+    A shorter text than a smaller window is padded to a window; no text has none.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text, np.uint8)
+    if len(text) < SHORT_WINDOW:
+        return hash_windows(np.frombuffer(text + bytes(WINDOW - len(text)), np.uint8), np.zeros(1, np.int64))
+    hashes = np.zeros(0, np.uint64)
+    if len(text) >= WINDOW:
+        hashes = hash_windows(data, rarest(ranks(levels_of(text) if level is None else level), RUN, LEAST_RUNS))
+    if len(text) < SHORT:
+        at = rarest(ranks(entropies(data, SHORT_WINDOW), SHORT_WINDOW), SHORT_RUN, SHORT_LEAST_RUNS)
+        hashes = np.concatenate([hashes, hash_windows(data, at, SHORT_WINDOW)])
     if len(hashes) > 1:
         _, once = np.unique(hashes, return_index=True)
         hashes = hashes[np.sort(once)]
@@ -219,7 +238,7 @@ def digests(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     empty one only; a single document is its own next; an empty table gives no row; columns
     besides doc_id and text are not looked at.
 
-    The documents are dealt into ranges of doc_id and sorted, so the next one is the next row,
+    The documents are dealt into ranges of doc_id, those without one into ranges of the hash, and sorted, so the next one is the next row,
     and the first document of each range goes to the range before it as well. The bounds are
     few and any bounds give the same result, so approximate quantiles do. Tasks stream: they
     hold one document and its successor.
@@ -229,30 +248,31 @@ def digests(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     found = docs.approxQuantile("doc_id", [i / pieces for i in range(1, pieces)], 0.2 / pieces) if pieces > 1 else []
     bounds = np.array(sorted({int(b) for b in found}), np.int64)
 
-    def pieces_of(ids: pd.Series, null: pd.Series) -> np.ndarray:
-        return np.where(null, 0, np.searchsorted(bounds, ids, side="right"))
-
     @F.pandas_udf("int")
-    def piece_of(ids: pd.Series, null: pd.Series) -> pd.Series:
-        return pd.Series(pieces_of(ids, null))
+    def behind(ids: pd.Series) -> pd.Series:
+        return pd.Series(pieces + np.searchsorted(bounds, ids, side="right"))
+
+    # rows without an id go first, by even ranges of their hash
+    no_id, h = F.col("doc_id").isNull(), F.xxhash64("text")
+    piece = F.when(no_id, F.expr(f"cast(((xxhash64(text) >> 32) + 2147483648) * {pieces} div 4294967296 as int)")).otherwise(behind(F.coalesce("doc_id", F.lit(0))))
+
+    def leading(rows: DataFrame, least: Column) -> DataFrame:
+        return rows.select(piece.alias("piece"), least.alias("least")).groupBy("piece").agg(F.min("least").alias("least"))
 
-    # a null goes beside the id, as pandas would make longs with nulls floats
-    key = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
-    firsts = docs.select("doc_id").withColumn("piece", piece_of(*key)).groupBy("piece").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("piece").collect()
-    first = {r.piece: None if r.has_null else r.least for r in firsts}
+    firsts = leading(docs.where(no_id), h).union(leading(docs.where(~no_id), F.col("doc_id"))).orderBy("piece").collect()
+    if not firsts:
+        return map_arrow(docs.select(F.lit(False).alias("borrowed"), "doc_id", "text"), _followed, _SCHEMA)
+    first = {r.piece: r.least for r in firsts}
     before = dict(zip(first, [*first][-1:] + [*first][:-1], strict=True))
 
     @F.pandas_udf("array<struct<piece:int,borrowed:boolean>>")
-    def places(ids: pd.Series, null: pd.Series) -> pd.Series:
+    def places(place: pd.Series, key: pd.Series) -> pd.Series:
         out = []
-        for i, missing, p in zip(ids.tolist(), null.tolist(), pieces_of(ids, null).tolist(), strict=True):
+        for p, k in zip(place.tolist(), key.tolist(), strict=True):
             own = {"piece": p, "borrowed": False}
-            at_first = first[p] == (None if missing else i)
-            out.append([own, {"piece": before[p], "borrowed": True}] if at_first else [own])
+            out.append([own, {"piece": before[p], "borrowed": True}] if first[p] == k else [own])
         return pd.Series(out)
 
-    if not first:
-        return map_arrow(docs.select(F.lit(False).alias("borrowed"), "doc_id", "text"), _followed, _SCHEMA)
-    placed = docs.withColumn("place", F.explode(places(*key))).select("place.piece", "place.borrowed", "doc_id", F.xxhash64("text").alias("h"), "text")
+    placed = docs.withColumn("place", F.explode(places(piece, F.coalesce("doc_id", h)))).select("place.piece", "place.borrowed", "doc_id", h.alias("h"), "text")
     dealt = placed.repartition("piece").sortWithinPartitions("piece", "borrowed", F.col("doc_id").asc_nulls_first(), "h", "text")
     return map_arrow(dealt.select("borrowed", "doc_id", "text"), _followed, _SCHEMA)
