@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tagveil.functions import text as T
 from tagveil.functions.patterns import CATALOGUE, DOCUMENT_LABELS, MONEY, STATES, Pattern
 from tagveil.operators import detect, matching, mint, redact, restore, review, segments
+from tagveil.plans.api import Engine
 from tagveil.plans.corpora import corpus, documents, table, with_sql
 from tagveil.sources import docx, ingest, providers, stores
+from tagveil.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -860,3 +863,63 @@ def docx_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
         z.writestr("word/document.xml", '<!DOCTYPE a [<!ENTITY b "c">]><a/>')
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(b"nozip")).when(F.col("c_custkey") % 3 == 0, F.lit(evil.getvalue())).otherwise(F.lit(docx.plain_docx(["x"]))).alias("content"))
     return docx.segments(files).select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+@query(f"""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as at, sha256(text) as picture, {docx.PICTURE_WIDTH} as width, {docx.PICTURE_WIDTH} * (length(text) + 1) // (turn + 1) as height from conversations""")
+def docx_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's first turn as a Word file, all its turns as pictures at the end; read back from the file."""
+    turns = table(spark, sf_dir, "conversations")
+    files = docx.from_texts(turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("text")))
+    kept = turns.selectExpr("conv_id as doc_id", "turn as image_id", "encode(text, 'UTF-8') as png", "turn + 1 as width", "length(text) + 1 as height")
+    return docx.pictures(docx.embedded(files, kept)).select("doc_id", "at", F.sha2("png", 256).alias("picture"), "width", "height")
+
+
+# --- calls of the engine, with its stores in a folder that all executors share ----------------------
+
+
+def _engine(spark: SparkSession) -> Engine:
+    home = f"{shared_dir(spark)}/engine/{uuid.uuid4().hex}"
+    return Engine(spark, f"{home}/terms.json", f"{home}/mappings")
+
+
+def _after_redaction(spark: SparkSession, sf_dir: str) -> Engine:
+    """Letters redacted by every customer's name, the mapping saved and the names learnt; half of them were known."""
+    engine = _engine(spark)
+    engine.dictionary.save(corpus(spark, sf_dir, "base_"))
+    engine.redact(_letters(spark, sf_dir), _customers(spark, sf_dir), "letters", "s", "g")
+    return engine
+
+
+@query("select c_name as term, '[[CUST_' || cast(c_custkey as varchar) || ']]' as tag, case when c_custkey % 6 = 0 then 'manual' else 'redaction' end as source, row_number() over (order by c_custkey % 2, c_custkey) - 1 as ord from customer")
+def engine_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_redaction(spark, sf_dir).dictionary.load()
+
+
+@query(f"with {with_sql('letters')} select 'letters' as mapping_id, 's' as source, 'g' as generated, '[[CUST_' || cast(c_custkey as varchar) || ']]' as tag, any_value(c_name) as value, cast(2 * count(*) as bigint) as n from letters group by c_custkey")
+def engine_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = _after_redaction(spark, sf_dir).mappings.load()
+    return saved.select("mapping_id", "source", "generated", F.explode("entries").alias("e")).select("mapping_id", "source", "generated", "e.tag", "e.value", F.col("e.count").alias("n"))
+
+
+@query(f"with {_RESTORED.replace(" || ' $1' as v", ' as v')} select doc_id, new_text as restored_text, case doc_id % 4 when 3 then 1 else 2 end as total from r")
+def engine_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts restored with what the redaction of the letters has saved."""
+    drafts = corpus(spark, sf_dir, "drafts").select("doc_id", "text")
+    return _after_redaction(spark, sf_dir).restore(drafts).select("doc_id", "restored_text", "total")
+
+
+@query(_LAYERS.replace("2 as n from letters", "2 as n from letters where c_custkey % 2 = 0") + " select doc_id, source, term, n from l")
+def engine_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters against the dictionary's file, as far as names, addresses and links go."""
+    engine = _engine(spark)
+    engine.dictionary.save(corpus(spark, sf_dir, "base_"))
+    return engine.analyze(_letters(spark, sf_dir)).where("type in ('saved', 'email', 'url')").select("doc_id", "source", "term", "n")
+
+
+@query(f"with {_SIDES}, w as (select key, arg_max(term, side) as term, arg_max(tag, side) as tag, arg_max(source, side) as source, min(side) as s, min(ord) as o from s group by key) select term, tag, source, row_number() over (order by s, o) - 1 as ord from w")
+def engine_dictionary_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary moved to where another one lies, and back to the place that it left."""
+    one, other = _engine(spark).dictionary, _engine(spark).dictionary
+    one.save(corpus(spark, sf_dir, "incoming"))
+    other.save(corpus(spark, sf_dir, "base_"))
+    return one.move(other.path).reset(one.path).load()

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -147,13 +148,24 @@ def dictionary_path(override: str | None = None, folder: str | None = None, defa
 
 
 class Dictionary:
-    """A dictionary file (JSON, private to the user), small by nature, with the operations above."""
+    """A dictionary file (JSON, private to the user), small by nature, with the operations above.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
+    A plain path is a file of the driver's user, read as it is at the time. A path with a scheme
+    (``hdfs:``, ``file:``, ...) is a file of that filesystem, read by tasks when rows are asked for.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | Path):
+        self.spark, self.shared = spark, bool(re.match("[a-zA-Z][a-zA-Z0-9+.-]+:", str(path)))
+        self.path = str(path) if self.shared else Path(path)
 
     def load(self) -> DataFrame:
         """An unreadable or missing file is an empty dictionary; a bare list of entries is one, too."""
+        if self.shared:
+            fs, path = _hadoop(self.spark, self.path)
+            if fs.exists(path):
+                raw = self.spark.read.format("binaryFile").load(self.path).select(F.lit("").alias("file_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("json"))
+                return dictionary_entries(raw).select("term", "tag", "source", "ord")
+            return self.spark.createDataFrame([], ENTRY)
         try:
             data = json.loads(self.path.read_text("utf-8"))
             rows = data.get("entries", []) if isinstance(data, dict) else data
@@ -164,7 +176,11 @@ class Dictionary:
 
     def save(self, entries: DataFrame) -> DataFrame:
         rows = ({k: v for k, v in (("term", r.term), ("tag", r.tag), ("source", r.source)) if v is not None} for r in entries.orderBy("ord").toLocalIterator())
-        _private(self.path, _json({"note": "Saved terms. Private; may be deleted."}, rows))
+        pieces = _json({"note": "Saved terms. Private; may be deleted."}, rows)
+        if self.shared:
+            _put(self.spark, *self.path.rsplit("/", 1), pieces)
+        else:
+            _private(self.path, pieces)
         return self.load()
 
     def upsert(self, new: DataFrame) -> DataFrame:
@@ -177,14 +193,26 @@ class Dictionary:
         return self.save(remove(self.load(), self.spark.createDataFrame([(term,)], "term string")))
 
     def clear(self) -> None:
-        self.path.unlink(missing_ok=True)
+        if self.shared:
+            fs, path = _hadoop(self.spark, self.path)
+            fs.delete(path, False)
+        else:
+            self.path.unlink(missing_ok=True)
+
+    def _place(self) -> str:
+        """The whole address of the file, the same for every way to write it."""
+        if not self.shared:
+            return f"file:{self.path.resolve()}"
+        fs, path = _hadoop(self.spark, self.path)
+        return fs.makeQualified(path).toString()
 
     def move(self, path: str) -> Dictionary:
         """Merge into the file at the new place and give up the old one; the same place changes nothing."""
         other = Dictionary(self.spark, path)
-        if other.path.resolve() == self.path.resolve():
+        if other._place() == self._place():
             return self
-        _usable(other.path.parent)
+        if not other.shared:
+            _usable(other.path.parent)
         other.save(merge(other.load(), self.load()))
         self.clear()
         return other
@@ -192,7 +220,7 @@ class Dictionary:
     def reset(self, default: str) -> Dictionary:
         """Back to the default place, with what is there and here; the file here is left."""
         other = Dictionary(self.spark, default)
-        if other.path.resolve() != self.path.resolve():
+        if other._place() != self._place():
             other.save(merge(other.load(), self.load()))
         return other
 
@@ -205,8 +233,7 @@ class MappingStore:
 
     def _at(self, name: str = ""):
         """(filesystem, path) of a name in the folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        return _hadoop(self.spark, f"{self.folder}/{name}" if name else self.folder)
 
     def save(self, mapping_id: str, text: str) -> None:
         self._write(mapping_id, [text])
@@ -217,22 +244,9 @@ class MappingStore:
         self._write(mapping_id, _json({"source": source, "generated": generated}, each))
 
     def _write(self, mapping_id: str, pieces: Iterable[str]) -> None:
-        """Written whole under another name first, for the owner's eyes; invalid ids are left out without a word."""
-        if not _valid(mapping_id):
-            return
-        fs, path = self._at(f"{mapping_id}.json")
-        _, draft = self._at(f"_{mapping_id}.{uuid.uuid4().hex}")
-        private = self.spark._jvm.org.apache.hadoop.fs.permission.FsPermission
-        fs.mkdirs(self._at()[1], private("700"))
-        out = fs.create(draft, True)
-        fs.setPermission(draft, private("600"))
-        try:
-            for piece in pieces:
-                out.write(piece.encode("utf-8"))
-        finally:
-            out.close()
-        fs.delete(path, False)
-        fs.rename(draft, path)
+        """Invalid ids are left out without a word."""
+        if _valid(mapping_id):
+            _put(self.spark, self.folder, f"{mapping_id}.json", pieces)
 
     def _raw(self) -> DataFrame:
         """(mapping_id, saved_at, json) of all files, read by tasks."""
@@ -272,6 +286,29 @@ def _valid(mapping_id: str) -> bool:
     return bool(mapping_id) and all(c.isascii() and (c.isalnum() or c in "_-") for c in mapping_id)
 
 
+def _hadoop(spark: SparkSession, name: str):
+    """(filesystem, path) of a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _put(spark: SparkSession, folder: str, name: str, pieces: Iterable[str]) -> None:
+    """A file on any filesystem, written whole under another name first, for the owner's eyes."""
+    fs, path = _hadoop(spark, f"{folder}/{name}")
+    _, draft = _hadoop(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")
+    private = spark._jvm.org.apache.hadoop.fs.permission.FsPermission
+    fs.mkdirs(path.getParent(), private("700"))
+    out = fs.create(draft, True)
+    fs.setPermission(draft, private("600"))
+    try:
+        for piece in pieces:
+            out.write(piece.encode("utf-8"))
+    finally:
+        out.close()
+    fs.delete(path, False)
+    fs.rename(draft, path)
+
+
 def _usable(folder: Path) -> None:
     """Refuse a folder that cannot be written to."""
     try:

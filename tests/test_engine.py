@@ -589,3 +589,39 @@ def test_rules_that_share_their_words(spark):
         new = plain_redaction(text, pairs)
         left = plain_leaks(new, pairs)
         assert (got[i].redacted_text, got[i].leaked) == (None if left else new, left), text
+
+
+def test_dictionary_on_any_filesystem(spark, tmp_path):
+    def rows(d):
+        return [(r.term, r.tag, r.source) for r in d.load().orderBy("ord").collect()]
+
+    def pairs(*terms):
+        return spark.createDataFrame([(t, f"[[{t[0]}]]", None, i) for i, t in enumerate(terms)], "term string, tag string, source string, ord long")
+
+    home = f"file:{tmp_path}/a b"
+    one = stores.Dictionary(spark, f"{home}/terms.json")
+    assert one.load().isEmpty() and one.upsert(pairs("Äther", "b")).count() == 2
+    assert rows(one) == [("Äther", "[[Ä]]", "manual"), ("b", "[[b]]", "manual")]
+    assert oct((tmp_path / "a b/terms.json").stat().st_mode & 0o777) == "0o600" and [p.name for p in (tmp_path / "a b").iterdir() if not p.name.startswith(".")] == ["terms.json"]
+    # the same file by its plain path is the same place
+    assert one.move(f"{tmp_path}/a b/terms.json") is one and rows(stores.Dictionary(spark, f"{tmp_path}/a b/terms.json")) == rows(one)
+    two = stores.Dictionary(spark, f"{home}/other/terms.json")
+    two.save(pairs("c", "B."))
+    moved = one.move(two.path)
+    assert [r[0] for r in rows(moved)] == ["c", "b", "Äther"] and one.load().isEmpty()
+    assert [r[0] for r in rows(moved.reset(one.path))] == ["c", "b", "Äther"] and not moved.load().isEmpty()
+    for text in ("{broken", "7", '{"entries": null}', ""):
+        (tmp_path / "a b/odd.json").write_text(text)
+        assert stores.Dictionary(spark, f"{home}/odd.json").load().isEmpty()
+    moved.clear()
+    moved.clear()
+    assert moved.load().isEmpty()
+
+
+def test_pictures_of_odd_files(spark):
+    files = spark.createDataFrame([(1, docx.plain_docx(["a"])), (1, docx.plain_docx(["a"])), (None, docx.plain_docx(["b"])), (2, b"nozip"), (3, None)], "doc_id long, content binary")
+    kept = spark.createDataFrame([(1, 5, b"x", 10, 20), (1, 4, b"", 10, 10), (None, 0, b"y", 0, 0), (2, 0, b"z", 1, 1), (9, 0, b"w", 1, 1)], "doc_id long, image_id int, png binary, width int, height int")
+    wide = docx.PICTURE_WIDTH
+    found = sorted(((r.doc_id or 0, r.at, bytes(r.png), r.width, r.height) for r in docx.pictures(docx.embedded(files, kept)).collect()))
+    assert found == [(0, 0, b"y", wide, wide), (1, 0, b"", wide, wide), (1, 0, b"", wide, wide), (1, 1, b"x", wide, 2 * wide), (1, 1, b"x", wide, 2 * wide)]
+    assert docx.pictures(files).isEmpty() and docx.pictures(files.where("false")).isEmpty()
