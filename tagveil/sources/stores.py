@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
@@ -75,10 +75,13 @@ def remove(base: DataFrame, terms: DataFrame) -> DataFrame:
     return base.join(keys, T.norm_key(F.coalesce("term", F.lit(""))) == F.col("gone"), "left_anti")
 
 
-def all_entries(mappings: DataFrame) -> DataFrame:
-    """(tag, value, n) over all saved mappings (mapping_id, saved_at, entries): of a tag the newest entry, in order of first sight."""
+def all_entries(mappings: DataFrame, when: Column | None = None) -> DataFrame:
+    """(tag, value, n) over all saved mappings (mapping_id, saved_at, entries): of a tag the newest entry, in order of first sight.
+
+    ``when``, by which an entry is newer, may be given of those columns, its place ``pos`` and the entry ``e``.
+    """
     each = mappings.select("mapping_id", "saved_at", F.posexplode("entries").alias("pos", "e")).where("e.tag != ''")
-    when = F.struct("saved_at", "mapping_id", "pos")
+    when = F.struct("saved_at", "mapping_id", "pos") if when is None else when
     won = each.groupBy("e.tag").agg(F.max_by("e", when).alias("w"), F.min(when).alias("first"))
     return numbered(won, ["first"], "ord").select("tag", F.col("w.value").alias("value"), F.col("w.count").alias("n"), "ord")
 
