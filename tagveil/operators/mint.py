@@ -10,6 +10,10 @@ from tagveil.functions import text as T
 from tagveil.operators.order import numbered
 
 
+#: Rows in a row that may meet what is known of their prefix in one task, as a power of two.
+_BLOCK_BITS = 18
+
+
 def clean_prefix(prefix: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.upper(prefix), "[^A-Z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("TAG"))
 
@@ -26,10 +30,14 @@ def taken_numbers(taken: DataFrame) -> DataFrame:
 
 
 def _within_prefix(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Number rows from 1 within their prefix, by ranges of the whole order: a prefix may have all rows."""
-    placed = numbered(rows, ["prefix", *order], "_pos")
-    firsts = placed.groupBy("prefix").agg(F.min("_pos").alias("_first"))
-    return placed.join(firsts, "prefix").withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+    """Number rows from 1 within their prefix, by ranges of the whole order: a prefix may have all rows.
+
+    Rows meet the place of their prefix's first one by block and prefix, so that no task has all rows of a prefix.
+    """
+    placed = numbered(rows, ["prefix", *order], "_pos").withColumn("_block", F.shiftright("_pos", _BLOCK_BITS))
+    own = placed.groupBy("_block", "prefix").agg(F.min("_pos").alias("_first"))
+    firsts = own.withColumn("_first", F.min("_first").over(W.partitionBy("prefix")))
+    return placed.join(firsts, ["_block", "prefix"]).withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_block", "_pos", "_first")
 
 
 def gaps(taken: DataFrame) -> DataFrame:
@@ -44,7 +52,7 @@ def free_numbers(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     An as-of merge: a taken number goes behind as many wanted ones as there are free ones
     below it, and a wanted one's place in that order is its number.
     """
-    at = _within_prefix(taken_numbers(taken).join(wanted.select("prefix").distinct(), "prefix", "left_semi"), ["n"], "i")
+    at = _within_prefix(taken_numbers(taken), ["n"], "i")
     both = wanted.select("prefix", F.col("k").cast("long").alias("after"), F.lit(True).alias("wanted")).unionByName(at.select("prefix", (F.col("n") - F.col("i")).alias("after"), F.lit(False).alias("wanted")))
     merged = _within_prefix(both, ["after", F.col("wanted").desc()], "number")
     return merged.where("wanted").select("prefix", F.col("after").alias("k"), "number")
