@@ -47,6 +47,9 @@ _START_TAG = re.compile(rb"""<[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>""")
 #: Characters that XML cannot hold.
 _FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
+#: Files that a task holds as Python objects at a time.
+ROWS_AT_ONCE = 64
+
 #: Paragraphs in the order of the file, each the texts of its nodes.
 PARAGRAPHS = "array<struct<part:string,para_idx:int,texts:array<string>>>"
 READ = f"struct<paragraphs:{PARAGRAPHS},error:string>"
@@ -146,11 +149,16 @@ def _paragraphs(content: bytes) -> list[dict]:
     return [{"part": member.filename, "para_idx": p, "texts": [n.text for n in nodes]} for member, data in _parts(content) for p, nodes in enumerate(_units(member.filename, _utf8(data)))]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time."""
+    return (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+
+
 def _beside(rows: DataFrame, name: str, kind: str, of: list[str], made: Callable[..., dict]) -> DataFrame:
     """Add a column that a plain function makes of the columns ``of``, row by row. What breaks in a file is its ``error``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for values in zip(*(batch.column(c).to_pylist() for c in of), strict=True):
                 try:
