@@ -29,7 +29,7 @@ _STRINGS = "array<string>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``row_key``; rows equal in id and text share it, and whatever is found by it is true of both."""
+    """Add ``row_key``; rows equal in id and text share it, and whatever is found by it is true of both. One that the rows come with is kept."""
     return docs if "row_key" in docs.columns else docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
@@ -57,18 +57,19 @@ def anchored(rules: DataFrame) -> DataFrame:
     pair of words in a row instead, where they have one (``pairs``), so that texts with a
     common word do not meet all rules with it; those known by three characters in a row by more.
     """
-    whole = F.struct(*(c for c in rules.columns if c not in ("keys", "pairs")))
+    # keys go without the rules they are of, which are met again by a hash of them
+    rules = rules.withColumn("rule_key", F.xxhash64(*(c for c in rules.columns if c not in ("keys", "pairs"))))
     both = F.col("keys")
     if "pairs" in rules.columns:
         both = F.concat("keys", F.when(F.col("kind").isin(BY_RUN, GRAMS[0], ANY + GRAMS[0]), F.col("pairs")).otherwise(F.expr(f"cast(array() as {_STRINGS})")))
-    each = rules.select(F.explode(F.array_distinct(both)).alias("key"), whole.alias("rule"))
+    each = spans.each(rules, ["rule_key", "ord", "kind"], F.array_distinct(both), "key")
     often = each.groupBy("key").agg(F.count("*").alias("n"))
-    paired = F.col("key").contains(" ") & (F.col("rule.kind") == BY_RUN)
-    longer = F.col("rule.kind").isin(GRAMS[0], ANY + GRAMS[0]) & (F.length("key") > GRAMS[0])
+    paired = F.col("key").contains(" ") & (F.col("kind") == BY_RUN)
+    longer = F.col("kind").isin(GRAMS[0], ANY + GRAMS[0]) & (F.length("key") > GRAMS[0])
     # a word comes before any pair unless too many share it
-    rank = F.struct(F.when(paired | longer, 1).when(F.col("n") > MOST_SHARED, 2).otherwise(0).alias("late"), "n", (-F.length("key")).alias("l"), "key", paired.alias("paired"), longer.alias("longer"), "rule")
-    best = each.join(often, "key").groupBy("rule.ord").agg(F.min(rank).alias("m"))
-    out = best.select("m.rule.*", F.col("m.key").alias("anchor"), "m.paired", "m.longer")
+    rank = F.struct(F.when(paired | longer, 1).when(F.col("n") > MOST_SHARED, 2).otherwise(0).alias("late"), "n", (-F.length("key")).alias("l"), "key", paired.alias("paired"), longer.alias("longer"), "rule_key")
+    best = each.join(often, "key").groupBy("ord").agg(F.min(rank).alias("m")).select("m.rule_key", F.col("m.key").alias("anchor"), "m.paired", "m.longer")
+    out = rules.drop("keys", "pairs").dropDuplicates(["rule_key"]).join(best, "rule_key").drop("rule_key")
     kind = F.when(F.col("paired"), BY_PAIR).when(F.col("longer"), F.col("kind") - GRAMS[0] + F.length("anchor")).otherwise(F.col("kind"))
     return out.withColumn("kind", kind).drop("paired", "longer")
 
@@ -126,22 +127,26 @@ def anchors_in(text: Column, kinds: set[int]) -> Column:
     return F.array_distinct(F.concat(*found)) if found else F.expr(f"cast(array() as {_STRINGS})")
 
 
-def with_rules(docs: DataFrame, rules: DataFrame, kinds: set[int] | None = None) -> DataFrame:
+def with_rules(docs: DataFrame, rules: DataFrame, kinds: set[int] | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Add ``rules``, an array of those whose anchor the text holds (null if none does).
 
     Up to ``MOST_HELD`` rules go into the rows' expression, and no text is moved. Beyond that
     it is an equality join of the texts' distinct keys with the rules' anchors; Spark sends the
     rules to the texts while they are small and shuffles by key beyond that. Keys and rules
     travel without the texts, which are joined with their rules once, and keys that begin like
-    no rule's anchor do not travel at all.
+    no rule's anchor do not travel at all. Rows dealt out by a ``row_key`` of their own stay
+    where they are. ``seen`` (row_key, text) may give the texts where they are cheaper to read
+    for their keys, repeated ones among them.
     """
     docs, rules = keyed(docs), stored(rules)
     few = rules.limit(MOST_HELD + 1).collect()
     if len(few) <= MOST_HELD:
         return docs.withColumn("rules", _held(F.col("text"), few, rules.schema))
     kinds = kinds_of(rules) if kinds is None else kinds
-    keys = spans.each(docs, ["row_key"], _likely(anchors_in(F.col("text"), kinds), rules), "anchor")
+    keys = spans.each(docs if seen is None else seen, ["row_key"], _likely(anchors_in(F.col("text"), kinds), rules), "anchor")
     rule = F.struct(*(c for c in rules.columns if c not in ("anchor", "kind")))
+    # a key that is never null asks for no filter on the texts' rows, so that both readings of them can share one exchange
+    keys = keys.withColumn("row_key", F.coalesce("row_key", F.lit(0)))
     hits = keys.join(rules, "anchor").groupBy("row_key").agg(F.collect_set(rule).alias("rules"))
     return docs.join(hits, "row_key", "left")
 
@@ -159,7 +164,9 @@ def _held(text: Column, rules: list[Row], schema: ty.StructType) -> Column:
     kept = ty.StructType([f for f in schema.fields if f.name not in ("anchor", "kind")])
     pairs = ty.StructType([schema["anchor"], ty.StructField("rule", kept)])
     every = _literal([{"anchor": r["anchor"], "rule": r} for r in rules], ty.ArrayType(pairs))
-    met = F.transform(F.array(anchors_in(text, {r["kind"] for r in rules})), lambda found: F.filter(every, lambda r: F.array_contains(found, r["anchor"])))[0]
+    # a set of all anchors leaves the text's few
+    known = F.filter(anchors_in(text, {r["kind"] for r in rules}), lambda key: key.isin([r["anchor"] for r in rules]))
+    met = F.transform(F.array(known), lambda found: F.filter(every, lambda r: F.array_contains(found, r["anchor"])))[0]
     return F.transform(F.array(met), lambda m: F.when(F.size(m) > 0, F.transform(m, lambda r: r["rule"])))[0]
 
 
@@ -176,10 +183,11 @@ def _likely(keys: Column, rules: DataFrame) -> Column:
 def candidates_of(text: Column, rules: Column) -> Column:
     """Every rule's own matches in a text, before any is preferred over another."""
 
-    def of(rule: Column) -> Column:
-        return F.transform(spans.rule_spans(text, rule["regex"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *(rule[c].alias(c) for c in ("weight", "ord", "label", "source", "replacement"))))
+    def of(rule: Column, known: Column) -> Column:
+        return F.transform(spans.rule_spans(text, rule["regex"], known), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), *(rule[c].alias(c) for c in ("weight", "ord", "label", "source", "replacement"))))
 
-    return F.coalesce(F.flatten(F.transform(rules, of)), F.expr(f"cast(array() as array<{spans.CANDIDATE}>)"))
+    found = F.transform(F.array(spans.facts(text)), lambda known: F.flatten(F.transform(rules, lambda rule: of(rule, known))))[0]
+    return F.coalesce(found, F.expr(f"cast(array() as array<{spans.CANDIDATE}>)"))
 
 
 def with_candidates(ruled: DataFrame) -> DataFrame:
@@ -187,14 +195,14 @@ def with_candidates(ruled: DataFrame) -> DataFrame:
     return ruled.withColumn("candidates", candidates_of(F.col("text"), F.col("rules")))
 
 
-def candidates(docs: DataFrame, rules: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, rules: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and whatever else) with their candidates."""
-    return with_candidates(with_rules(docs, rules)).drop("rules")
+    return with_candidates(with_rules(docs, rules, seen=seen)).drop("rules")
 
 
-def matches(docs: DataFrame, rules: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, rules: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Every row of ``docs`` with ``matches``, what a sweep over the candidates takes; an empty array where there is none."""
-    return candidates(docs, rules).withColumn("matches", spans.resolve_overlaps(F.col("candidates"))).drop("candidates")
+    return candidates(docs, rules, seen).withColumn("matches", spans.resolve_overlaps(F.col("candidates"))).drop("candidates")
 
 
 def exploded(found: DataFrame, column: str = "matches", context: bool = False) -> DataFrame:

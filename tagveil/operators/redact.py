@@ -42,17 +42,17 @@ def mapping_entries(counts: DataFrame, values: DataFrame) -> DataFrame:
 
 def leaks(outputs: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, term): whole-word terms that the new texts (doc_id, new_text) still hold. Existence only, no spans."""
-    texts = outputs.select("doc_id", F.col("new_text").alias("text"))
+    texts = outputs.withColumnRenamed("new_text", "text")
     ruled = matching.with_rules(texts, matching.term_rules(entries))
-    left = F.filter("rules", lambda r: F.regexp_like("text", r["regex"]))
+    left = F.filter("rules", lambda r: F.regexp_like("text", spans.quick(r["regex"], F.octet_length("text") == F.char_length("text"))))
     return spans.each(ruled, ["doc_id"], F.transform(left, lambda r: r["term"]), "term")
 
 
 def gate(outputs: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, ok, leaked) of every row of new texts (doc_id, new_text), each judged in its own row."""
-    texts = outputs.select("doc_id", F.col("new_text").alias("text"))
+    texts = outputs.withColumnRenamed("new_text", "text")
     ruled = matching.with_rules(texts, matching.term_rules(entries))
-    left = F.filter("rules", lambda r: F.regexp_like("text", r["regex"]))
+    left = F.filter("rules", lambda r: F.regexp_like("text", spans.quick(r["regex"], F.octet_length("text") == F.char_length("text"))))
     leaked = F.coalesce(F.array_sort(F.transform(left, lambda r: r["term"])), F.expr("cast(array() as array<string>)"))
     return ruled.select("doc_id", leaked.alias("leaked")).select("doc_id", F.coalesce(F.size("leaked") == 0, F.lit(False)).alias("ok"), "leaked")
 

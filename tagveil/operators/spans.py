@@ -59,20 +59,33 @@ def marked_walk(text: Column, regex: Column | str) -> Column:
     return F.transform(F.array(pieces), counted)[0]
 
 
-def pattern_spans(text: Column, pattern: Pattern) -> Column:
-    """Valid spans of a catalogue pattern; texts without what it needs are not searched at all."""
+def facts(text: Column) -> Column:
+    """What is to be known of a text before it is searched: does it hold a mark, is it ASCII only, its length."""
+    length = F.char_length(text)
+    return F.struct((text.contains(_OPEN) | text.contains(_CLOSE)).alias("held"), (F.octet_length(text) == length).alias("plain"), length.alias("length"))
+
+
+def pattern_spans(text: Column, pattern: Pattern, known: Column | None = None) -> Column:
+    """Valid spans of a catalogue pattern; texts without what it needs are not searched at all. ``known`` are the text's ``facts``, where they are at hand."""
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    held = text.contains(_OPEN) | text.contains(_CLOSE)
-    plain = F.octet_length(text) == F.char_length(text)
+    known = facts(text) if known is None else known
+    held, plain = known["held"], known["plain"]
     spans = F.when(held, walk(text, F.lit(pattern.walk))).when(plain, marked_walk(text, pattern.ascii_parts)).otherwise(marked_walk(text, pattern.parts))
     if pattern.needs:
         spans = F.when(text.contains(pattern.needs), spans).otherwise(empty)
     return F.filter(spans, lambda x: pattern.valid(x["t"])) if pattern.valid else spans
 
 
-def rule_spans(text: Column, regex: Column) -> Column:
-    """Spans of a rule's regex (flags in front are allowed), empty matches left out."""
-    held = text.contains(_OPEN) | text.contains(_CLOSE)
+def quick(regex: Column, plain: Column) -> Column:
+    """A rule's regex for a text: where both are ASCII only, the faster ASCII classes and letters mean the same as ``(?iU)``."""
+    ascii_only = plain & regex.startswith("(?iU)") & (F.octet_length(regex) == F.char_length(regex))
+    return F.when(ascii_only, F.concat(F.lit("(?i)"), F.substring(regex, F.lit(6), F.length(regex)))).otherwise(regex)
+
+
+def rule_spans(text: Column, regex: Column, known: Column | None = None) -> Column:
+    """Spans of a rule's regex (flags in front are allowed), empty matches left out. ``known`` are the text's ``facts``, where they are at hand."""
+    known = facts(text) if known is None else known
+    held, regex = known["held"], quick(regex, known["plain"])
     walked = walk(text, F.concat(F.lit(r"(?s)\G(.*?)("), regex, F.lit(")")))
     found = F.when(held, walked).otherwise(marked_walk(text, F.concat(F.lit("()("), regex, F.lit(")"))))
     return F.filter(found, lambda x: x["e"] > x["s"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagveil.functions.patterns import STATES
+from tagveil.sources.scratch import dealt
 
 _STATES = STATES.replace("|", "")
 _STATE = f"substr('{_STATES}', cast(1 + 2 * (c_custkey % 51) as int), 2)"
@@ -66,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "letters":
         # letters are a hundred times their tables, which come in too few pieces for them; dealt out before the texts are made
         rows = spark.sql(_braced(_LETTER_ROWS, tables), **{t: table(spark, sf_dir, t) for t in tables})
-        return rows.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").selectExpr("o_orderkey as doc_id", f"{LETTER} as text", "c_custkey", "c_name", "n_name")
+        return dealt(rows, "o_orderkey").selectExpr("o_orderkey as doc_id", f"{LETTER} as text", "c_custkey", "c_name", "n_name")
     return spark.sql(_braced(sql, tables), **{t: table(spark, sf_dir, t) for t in tables})
 
 

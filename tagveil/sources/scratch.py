@@ -21,6 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows by hash, in as many pieces as a join makes, so that it takes them as they lie; small rows of which much is to be made are not gathered in few."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The table as compressed Parquet, read back; it lives as long as the folder."""
     path = f"{shared_dir(df.sparkSession)}/scratch/{uuid.uuid4().hex}"
